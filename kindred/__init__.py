@@ -1,0 +1 @@
+"""A record-linkage engine on Spark: DataFrames in, DataFrames out."""

@@ -1,0 +1 @@
+"""Column builders: cleaning transforms, comparison features, comparison trees, string similarity."""

@@ -1,0 +1 @@
+"""DataFrame operators of the linkage pipeline."""

@@ -1,0 +1 @@
+"""Configurations, runs and the registered queries."""

@@ -1,0 +1 @@
+"""Readers, writers and the table registry."""

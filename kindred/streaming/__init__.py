@@ -1,0 +1,22 @@
+"""Incremental linking: records of A that arrive as a stream, against a table B."""
+
+from __future__ import annotations
+
+from typing import Any
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
+
+from kindred.operators import blocking, pairs
+
+
+def link_stream(stream: DataFrame, b: DataFrame, config: dict[str, Any], target: str, checkpoint: str) -> StreamingQuery:
+    """Candidate pairs with features of each micro-batch, appended as Parquet; a batch that is replayed replaces its own folder."""
+    specs = pairs.needed_features(config.get("comparisons"), config.get("comparison_features", []))
+
+    def one(batch: DataFrame, epoch: int) -> None:
+        ids = blocking.candidate_ids(batch, b, config["blocking"], config["id_column"])
+        out = pairs.compare(batch.sparkSession, ids, batch, b, config["id_column"], specs, config.get("comparisons"))
+        out.write.mode("overwrite").parquet(f"{target}/batch={epoch}")
+
+    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
