@@ -28,8 +28,8 @@ class Shell(cmd.Cmd):
         super().__init__(stdout=stdout)
         self.run_, self.current = run, run.task(task)
 
-    def say(self, *words) -> None:
-        print(*words, file=self.stdout)
+    def say(self, *words, sep: str = " ") -> None:
+        print(*words, sep=sep, file=self.stdout)
 
     def frame(self, name: str) -> DataFrame:
         return self.run_.table(name)
