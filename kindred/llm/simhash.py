@@ -18,6 +18,8 @@ repeated rows share a component. The smallest doc_id of a component names it; nu
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -100,96 +102,134 @@ def anchors(half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nearest, far
 
 
-def replicate(distinct: DataFrame) -> DataFrame:
-    """anchor, fp, home: each fingerprint at every anchor of both halves within reach."""
-    out = pa.schema([("anchor", pa.int64()), ("fp", pa.int64()), ("home", pa.bool_())])
+def replicate(nodes: DataFrame, fps: Sequence[str]) -> DataFrame:
+    """anchor, node, fp, home: each node at every anchor of both halves of each of its fingerprints within reach."""
+    out = pa.schema([("anchor", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("home", pa.bool_())])
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 16_384):
-                fp = np.array(b.column(0)[at : at + 16_384].to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
-                for side in (0, 1):
-                    near, far = anchors(fp >> np.uint64(32 * side))
-                    tag = np.uint64(side) << np.uint64(32)
-                    moved = far != near[:, None]
-                    rows, cols = np.nonzero(moved)
-                    a = np.concatenate([near, far[rows, cols]]) | tag
-                    f = np.concatenate([fp, fp[rows]])
-                    home = np.concatenate([np.ones(len(fp), bool), np.zeros(len(rows), bool)])
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(f.view(np.int64)), pa.array(home)], schema=out)
-
-    return distinct.select("fp").mapInArrow(run, "anchor long, fp long, home boolean")
-
-
-def link_block(fp: np.ndarray, home: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Stars (member, smallest member) of the links between rows `left` and `right` of fp, where one of a pair is at home."""
+            for at in range(0, b.num_rows, 8192):
+                own = np.array(b.column(0)[at : at + 8192].to_numpy(zero_copy_only=False), np.int64)
+                for k in range(len(fps)):
+                    fp = np.array(b.column(k + 1)[at : at + 8192].to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
+                    for side in (0, 1):
+                        near, far = anchors(fp >> np.uint64(32 * side))
+                        tag = np.uint64(2 * k + side) << np.uint64(32)
+                        rows, cols = np.nonzero(far != near[:, None])
+                        a = np.concatenate([near, far[rows, cols]]) | tag
+                        home = np.concatenate([np.ones(len(fp), bool), np.zeros(len(rows), bool)])
+                        columns = [a.view(np.int64), np.concatenate([own, own[rows]]), np.concatenate([fp, fp[rows]]).view(np.int64), home]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=out)
+
+    return nodes.select("node", *fps).mapInArrow(run, "anchor long, node long, fp long, home boolean")
+
+
+def close_pairs(fp: np.ndarray, home: np.ndarray, left: np.ndarray, right: np.ndarray, marks: np.ndarray | None, similar: float) -> np.ndarray:
+    """close[x, y]: whether rows left[x] and right[y] link; marks: their sketches, which have to agree as well."""
     close = np.zeros((len(left), len(right)), bool)
     for at in range(0, len(left), 256):
         l = left[at : at + 256]
         near = np.bitwise_count(fp[l][:, None] ^ fp[right][None, :]) <= THRESHOLD
         close[at : at + 256] = near & (home[l][:, None] | home[right][None, :])
-    label = np.arange(len(fp), dtype=np.int32)
-    none = np.int32(len(fp))
+    if marks is not None:
+        xs, ys = np.nonzero(close)
+        for at in range(0, len(xs), 16_384):
+            x, y = xs[at : at + 16_384], ys[at : at + 16_384]
+            close[x, y] = sketch_similarity(marks[left[x]], marks[right[y]]) >= similar
+    return close
+
+
+def stars(close: np.ndarray, n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The smallest row of each row's component."""
+    label = np.arange(n, dtype=np.int32)
+    none = np.int32(n)
     while True:
         new = label.copy()
         seen = np.full(len(right), none)
         for at in range(0, len(left), 256):
             c = close[at : at + 256]
             l = left[at : at + 256]
-            new[l] = np.minimum(new[l], np.where(c, label[right][None, :], none).min(1))
-            seen = np.minimum(seen, np.where(c, label[l][:, None], none).min(0))
+            new[l] = np.minimum(new[l], np.where(c, label[right][None, :], none).min(1, initial=none))
+            seen = np.minimum(seen, np.where(c, label[l][:, None], none).min(0, initial=none))
         new[right] = np.minimum(new[right], seen)
         new = new[new]
         if (new == label).all():
-            break
+            return label
         label = new
-    signed = fp.view(np.int64)
-    moved = np.flatnonzero(label != np.arange(len(fp)))
-    return list(zip(signed[moved].tolist(), signed[label[moved]].tolist()))
 
 
-def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
-    """u, v: distinct fingerprints whose chains are all chains of three or fewer differing bits."""
-    placed = durable(replicate(distinct), "simhash-anchors")
-    counts = placed.groupBy("anchor").agg(F.count("*").alias("n"), F.max("home").alias("any_home")).where("n > 1 and any_home")
-    counts = durable(counts.select(F.col("anchor").alias("c_anchor"), "n"), "simhash-counts")
-    sized = placed.join(counts, F.col("anchor") == F.col("c_anchor")).select("anchor", "fp", "home", "n")
-    small = sized.where(F.col("n") <= block).select("anchor", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("part"), "fp", "home")
-    parts = F.ceil(F.col("n") / block).cast("int")
-    part = F.pmod(F.xxhash64("fp"), parts).cast("int")
-    # Each row of a large anchor goes to the block pairs that hold its block: (part, other) for every other block.
-    large = (
-        sized.where(F.col("n") > block)
-        .select("anchor", "fp", "home", part.alias("part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-        .select("anchor", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "fp", "home")
-    )
-    dealt = small.unionByName(large).repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
+def _grouped(dealt: DataFrame, schema: str, work) -> DataFrame:
+    """work(node, fp, home, part, i, j, marks) for each (anchor, i, j), whose rows stand together; marks may be None."""
+    with_marks = "sketch" in dealt.columns
 
     def run(parts_in):
         key, rows = None, []
 
         def flush():
-            f = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-            order = np.argsort(f, kind="stable")
-            f = f[order]
-            h = np.array([r[1] for r in rows])[order]
-            p = np.array([r[2] for r in rows])[order]
-            _, i, j = key
-            return link_block(f, h, np.flatnonzero(p == i), np.flatnonzero(p == j))
+            node, f, h, p, m = zip(*rows)
+            marks = np.frombuffer(b"".join(m), np.uint16).reshape(len(rows), -1) if with_marks else None
+            return work(key, np.array(node, np.int64), np.array(f, np.int64).view(np.uint64), np.array(h), np.array(p), marks)
 
         for b in parts_in:
             out = []
-            for a, i, j, p, f, h in zip(b["anchor"], b["i"], b["j"], b["part"], b["fp"], b["home"], strict=True):
+            marks = b["sketch"] if with_marks else [b""] * len(b["fp"])
+            for a, i, j, *row in zip(b["anchor"], b["i"], b["j"], b["node"], b["fp"], b["home"], b["part"], marks, strict=True):
                 if key != (a, i, j):
                     if len(rows) > 1:
                         out += flush()
                     key, rows = (a, i, j), []
-                rows.append((f, h, p))
+                rows.append(row)
             yield out
         if len(rows) > 1:
             yield flush()
 
-    return map_batches(dealt, "u long, v long", run, rows=16_384).distinct()
+    return map_batches(dealt.sortWithinPartitions("anchor", "i", "j", "node"), schema, run, rows=16_384)
+
+
+def links(nodes: DataFrame, fps: Sequence[str] = ("fp",), sketches: DataFrame | None = None, similar: float = 0.0, block: int = BLOCK) -> DataFrame:
+    """u, v: nodes whose chains are all chains of linked nodes.
+
+    Two nodes link where one of their fingerprints differs in three bits or fewer and, with `sketches` (node, sketch), the
+    estimated similarity is `similar` or more. Sketches join only the rows that have a partner by fingerprint.
+    """
+    placed = durable(replicate(nodes, fps), "simhash-anchors")
+    counts = placed.groupBy("anchor").agg(F.count("*").alias("n"), F.max("home").alias("any_home")).where("n > 1 and any_home")
+    counts = durable(counts.select(F.col("anchor").alias("c_anchor"), "n"), "simhash-counts")
+    sized = placed.join(counts, F.col("anchor") == F.col("c_anchor")).select("anchor", "node", "fp", "home", "n")
+    small = sized.where(F.col("n") <= block).select("anchor", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("part"), "node", "fp", "home")
+    parts = F.ceil(F.col("n") / block).cast("int")
+    part = F.pmod(F.xxhash64("node"), parts).cast("int")
+    # Each row of a large anchor goes to the block pairs that hold its block: (part, other) for every other block.
+    large = (
+        sized.where(F.col("n") > block)
+        .select("anchor", "node", "fp", "home", part.alias("part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+        .select("anchor", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "fp", "home")
+    )
+    dealt = small.unionByName(large).repartition("anchor", "i", "j")
+
+    def both(key, p):
+        return np.flatnonzero(p == key[1]), np.flatnonzero(p == key[2])
+
+    def partners(key, node, fp, home, p, marks):
+        left, right = both(key, p)
+        close = close_pairs(fp, home, left, right, None, 0.0)
+        if key[1] == key[2]:
+            np.fill_diagonal(close, False)
+        keep = np.union1d(left[close.any(1)], right[close.any(0)])
+        return [(*key, int(p[k]), int(node[k]), int(fp[k : k + 1].view(np.int64)[0]), bool(home[k])) for k in keep]
+
+    def linked(key, node, fp, home, p, marks):
+        left, right = both(key, p)
+        label = stars(close_pairs(fp, home, left, right, marks, similar), len(node), left, right)
+        moved = np.flatnonzero(label != np.arange(len(node)))
+        return list(zip(node[moved].tolist(), node[label[moved]].tolist()))
+
+    if sketches is not None:
+        found = _grouped(dealt, "anchor long, i int, j int, part int, node long, fp long, home boolean", partners)
+        own = sketches.select(F.col("node").alias("s_node"), "sketch")
+        found = durable(found, "simhash-partners").join(own, F.col("node") == F.col("s_node")).drop("s_node")
+        dealt = found.repartition("anchor", "i", "j")
+    return _grouped(dealt, "u long, v long", linked).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -223,7 +263,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable over links), for each row of docs."""
     marked = durable(fingerprints(docs, width), "simhash-fp")
     distinct = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    comp = components(links(distinct))
+    comp = components(links(distinct.select(F.col("fp").alias("node"), "fp")))
     rooted = distinct.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = durable(rooted, "simhash-rooted")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "g_root")
@@ -231,6 +271,83 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     return marked.join(by_fp, F.col("fp") == F.col("g_fp")).select("doc_id", "fp", "component_id")
 
 
+# --- similar texts: the same covering, over fingerprints of distinct words, with a similarity to confirm a link
+
+SIMILAR, WORDS_IN_SHINGLE, BINS, SEEDS = 0.8, 5, 256, (1, 2, 3)
+
+
+def word_fingerprint(words: list[bytes], seed: int) -> int:
+    """SimHash of the distinct words: near copies stay within a few bits, and other texts far away."""
+    import xxhash
+
+    if not words:
+        return 0
+    h = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+    total = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits((2 * total > len(words)).astype(np.uint8), bitorder="little").view(np.uint64)[0])
+
+
+def sketch_of(words: list[bytes], width: int = WORDS_IN_SHINGLE) -> bytes:
+    """One-permutation min-hash of the distinct shingles: 16 bits of the smallest hash of each of BINS bins, 0 for none."""
+    import xxhash
+
+    out = np.zeros(BINS, np.uint16)
+    if words:
+        line = b" ".join(words)
+        ends = np.cumsum([len(w) + 1 for w in words]) - 1
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        k = max(1, len(words) - width + 1)
+        spans = zip(starts[:k].tolist(), ends[min(width, len(words)) - 1 :].tolist())
+        h = np.unique(np.fromiter((xxhash.xxh64_intdigest(line[s:e], SEED) for s, e in spans), np.uint64, k))
+        bins, first = np.unique(h >> np.uint64(56), return_index=True)  # the smallest of each bin, since h is sorted
+        out[bins.astype(np.int64)] = ((h[first] >> np.uint64(20)) & np.uint64(0xFFFF)).astype(np.uint16) | np.uint16(1)
+    return out.tobytes()
+
+
+def sketch_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity of rows of sketches; two empty ones are equal."""
+    same = (a == b) & (a != 0)
+    either = (a != 0) | (b != 0)
+    n = either.sum(1)
+    return np.where(n == 0, 1.0, same.sum(1) / np.maximum(n, 1))
+
+
+def similar_texts(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """rid, keep_rid: the smallest row id of each row's group of texts that are similar on five-word shingles.
+
+    A text has a fingerprint of its distinct words for each of SEEDS; two meet if any two of them are within three bits,
+    and link if their sketches estimate a similarity of `similar` or more. Row ids are those of the scan.
+    """
+    fps = [f"f{k}" for k in range(len(SEEDS))]
+
+    def run(parts):
+        for b in parts:
+            out = []
+            for rid, t in zip(b["rid"], b["text"], strict=True):
+                words = (t or "").encode().lower().split()
+                distinct = list(dict.fromkeys(words))
+                prints = np.array([word_fingerprint(distinct, s) for s in SEEDS], np.uint64).view(np.int64).tolist()
+                out.append((rid, *prints, sketch_of(words)))
+            yield out
+
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("text").cast("string").alias("text"))
+    marked = durable(map_batches(rows, "rid long, " + ", ".join(f"{f} long" for f in fps) + ", sketch binary", run, rows=512), "similar-marks")
+    nodes = durable(marked.groupBy(*fps, "sketch").agg(F.min("rid").alias("node")), "similar-nodes")
+    comp = durable(components(links(nodes.select("node", *fps), fps, nodes.select("node", "sketch"), similar)), "similar-roots")
+    rooted = nodes.join(comp.select(F.col("node").alias("c_node"), "root"), F.col("node") == F.col("c_node"), "left").select(
+        *[F.col(f).alias(f"n_{f}") for f in fps], F.col("sketch").alias("n_sketch"), F.coalesce("root", "node").alias("keep_rid")
+    )
+    on = [F.col(f) == F.col(f"n_{f}") for f in fps] + [F.col("sketch") == F.col("n_sketch")]
+    return marked.join(durable(rooted, "similar-rooted"), on).select("rid", "keep_rid")
+
+
+def keep_dissimilar(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """docs with the first row of each group of similar texts, and their columns."""
+    stay = durable(similar_texts(docs, similar).where("rid = keep_rid").select(F.col("rid").alias("__stay")), "similar-stay")
+    numbered = docs.withColumn("__rid", F.monotonically_increasing_id())
+    return numbered.join(stay, F.col("__rid") == F.col("__stay"), "left_semi").drop("__rid")
+
+
 def hexed(fp: str) -> Column:
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
 
@@ -245,4 +362,4 @@ def keep_one(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     return docs.join(stay, F.col("doc_id") == F.col("__stay"), "left_semi")
 
 
-__all__ = ["anchors", "components", "fingerprint_of", "fingerprints", "hexed", "keep_one", "links", "near_duplicates"]
+__all__ = ["anchors", "components", "fingerprint_of", "fingerprints", "hexed", "keep_dissimilar", "keep_one", "links", "near_duplicates", "similar_texts"]

@@ -121,8 +121,8 @@ def test_links_and_components(spark, block):
     hub = rng.getrandbits(64)
     fps |= {hub ^ (1 << b) for b in range(64)} | {hub}  # one large group of near copies
     signed = lambda f: f - 2**64 if f >= 2**63 else f
-    df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
-    got = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, block)).collect()}
+    df = spark.createDataFrame([(signed(f), signed(f)) for f in fps], "node long, fp long")
+    got = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, block=block)).collect()}
     want = brute_components(fps)
     mine, theirs = {}, {}
     for f in fps:
@@ -146,6 +146,30 @@ def test_simhash_odd(odd, empty):
     assert simhash.keep_one(clashing(odd)).columns == clashing(odd).columns
 
 
+def test_similar_texts(table, odd, empty):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows, group = [], {}
+    for g in range(60):
+        base = [word() for _ in range(300)]
+        for k in range(5):
+            t = list(base)
+            for _ in range(k):  # k words of 300 differ: similarity of (296 - 5k) / (296 + 5k)
+                t[rng.randrange(300)] = word()
+            group[len(rows)] = g
+            rows.append((len(rows), " ".join(t)))
+    docs = table(rows)
+    ids = {r["__rid"]: r["doc_id"] for r in docs.withColumn("__rid", F.monotonically_increasing_id()).collect()}
+    found = {}
+    for r in simhash.similar_texts(docs).collect():
+        found.setdefault(r["keep_rid"], set()).add(group[ids[r["rid"]]])
+    assert all(len(g) == 1 for g in found.values())  # nothing else is linked
+    assert 60 <= len(found) <= 63
+    kept = simhash.keep_dissimilar(clashing(docs))
+    assert kept.count() == len(found) and kept.columns == clashing(docs).columns
+    assert simhash.keep_dissimilar(odd).count() > 0 and simhash.keep_dissimilar(empty).count() == 0
+
+
 # --- byte-level BPE
 
 
