@@ -5,9 +5,9 @@ from __future__ import annotations
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType
+from pyspark.sql.types import DoubleType, StringType
 
 BOOST_FROM, SCALE, PREFIX = 0.7, 0.1, 4
 
@@ -74,11 +74,7 @@ def jw_rate(a: Column, b: Column, threshold: float) -> Column:
 
     @F.pandas_udf(DoubleType())
     def rate(p: pd.Series, q: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(p, q):
-            x, y = _texts(x), _texts(y)
-            out.append(sum(any(jaro_winkler(u, v) > threshold for v in y) for u in x) / len(x) if x else 0.0)
-        return pd.Series(out, dtype="float64")
+        return pd.Series([share_over(_texts(x), _texts(y), threshold) for x, y in zip(p, q)], dtype="float64")
 
     return rate(a, b)
 
@@ -102,62 +98,71 @@ def _gap(x, y) -> float:
 def related_jw(a: Column, b: Column, threshold: float, years: float, name: str = "namefrst_std", birth: str = "birthyr", sex: str = "sex") -> Column:
     """How many people of b have somebody in a with a similar name, close birth year and the same sex."""
 
-    @F.pandas_udf(LongType())
+    @F.pandas_udf(DoubleType())
     def count(an: pd.Series, ab: pd.Series, asx: pd.Series, bn: pd.Series, bb: pd.Series, bsx: pd.Series) -> pd.Series:
-        out = []
-        for row in zip(an, ab, asx, bn, bb, bsx):
-            ours, theirs = _rows(*row[:3]), _rows(*row[3:])
-            out.append(sum(any(s == u and _gap(y, v) <= years and jaro_winkler(n or "", m or "") >= threshold for n, y, s in ours) for m, v, u in theirs))
-        return pd.Series(out, dtype="int64")
+        return pd.Series([count_related(_rows(*row[:3]), _rows(*row[3:]), threshold, years) for row in zip(an, ab, asx, bn, bb, bsx)], dtype="float64")
 
     fields = {"n": name, "b": birth, "s": sex}
     return count(*_people(a, **fields), *_people(b, **fields))
 
 
+def count_related(ours: list[tuple], theirs: list[tuple], threshold: float, years: float) -> float:
+    """People are (name, birth year, sex)."""
+    return float(sum(any(s == u and _gap(y, v) <= years and jaro_winkler(n or "", m or "") >= threshold for n, y, s in ours) for m, v, u in theirs))
+
+
+def count_extra_children(ours: list[tuple], theirs: list[tuple], year: float, threshold: float, years: float) -> float:
+    """People are (name, birth year, sex, relate). Matches are made best first; each child takes part in one at most."""
+    child = lambda p: p[3] is not None and 300 <= p[3] < 400
+    ours = [p for p in ours if child(p)]
+    theirs = [p for p in theirs if child(p) and p[1] is not None and year - p[1] >= 11]
+    close = []
+    for j, (m, v, u, _) in enumerate(theirs):
+        for i, (n, w, s, _) in enumerate(ours):
+            x = jaro_winkler(n or "", m or "")
+            if s == u and _gap(w, v) <= years and x >= threshold:
+                close.append((-x, j, i))
+    used_a, used_b = set(), set()
+    for _, j, i in sorted(close, key=lambda c: c[0]):
+        if i not in used_a and j not in used_b:
+            used_a.add(i)
+            used_b.add(j)
+    return float(len(theirs) - len(used_b))
+
+
 def extra_children(
     a: Column, b: Column, year_b: Column, relate_a: Column, relate_b: Column, threshold: float, years: float,
     name: str = "namefrst_std", birth: str = "birthyr", sex: str = "sex", relate: str = "relate",
 ) -> Column:
-    """Children in b of ten years' distance or more from b's year that no child in a matches; 0 where either is no head's kin.
+    """Children in b that no child in a matches; 0 where either person is no kin of the head (relate over 399).
 
-    Children have relate codes 300 to 399 and are 11 or older in year_b; each child of a matches one of b at most.
+    Children have relate codes 300 to 399 and are 11 or older in year_b.
     """
 
-    @F.pandas_udf(LongType())
+    @F.pandas_udf(DoubleType())
     def count(an: pd.Series, ab: pd.Series, asx: pd.Series, ar: pd.Series, bn: pd.Series, bb: pd.Series, bsx: pd.Series, br: pd.Series, yb: pd.Series, ra: pd.Series, rb: pd.Series) -> pd.Series:
         out = []
         for *row, year, x, y in zip(an, ab, asx, ar, bn, bb, bsx, br, yb, ra, rb):
-            if x is None or y is None or x != x or y != y or x > 399 or y > 399:
-                out.append(0)
-                continue
-            child = lambda p: p[3] is not None and 300 <= p[3] <= 399
-            ours = [p for p in _rows(*row[:4]) if child(p)]
-            theirs = [p for p in _rows(*row[4:8]) if child(p) and p[1] is not None and year - p[1] >= 11]
-            extra = 0
-            for m, v, u, _ in theirs:
-                hit = next((k for k, (n, w, s, _) in enumerate(ours) if s == u and _gap(w, v) <= years and jaro_winkler(n or "", m or "") >= threshold), None)
-                if hit is None:
-                    extra += 1
-                else:
-                    ours.pop(hit)
-            out.append(extra)
-        return pd.Series(out, dtype="int64")
+            kin = x is not None and y is not None and x <= 399 and y <= 399  # NaN compares false
+            out.append(count_extra_children(_rows(*row[:4]), _rows(*row[4:8]), year, threshold, years) if kin else 0.0)
+        return pd.Series(out, dtype="float64")
 
     fields = {"n": name, "b": birth, "s": sex, "r": relate}
     return count(*_people(a, **fields), *_people(b, **fields), year_b.cast("long"), relate_a.cast("long"), relate_b.cast("long"))
 
 
+def compare_rate(ours: list[tuple], theirs: list[tuple]) -> float:
+    """People are (name, birth year, place, sex)."""
+    score = lambda p, q: 2 * (jaro_winkler(p[0] or "", q[0] or "") > 0.8) + (p[1] == q[1]) + (p[2] == q[2]) + (p[3] == q[3])
+    return sum(any(score(p, q) > 3.9 for p in ours) for q in theirs) / len(theirs) if theirs else 0.0
+
+
 def hh_compare_rate(a: Column, b: Column, name: str = "namefrst_std", birth: str = "birthyr", bpl: str = "bpl", sex: str = "sex") -> Column:
     """Share of b's people for whom somebody in a scores over 3.9: name over 0.8 counts 2, birth year, place and sex 1 each."""
 
     @F.pandas_udf(DoubleType())
     def rate(an: pd.Series, ab: pd.Series, ap: pd.Series, asx: pd.Series, bn: pd.Series, bb: pd.Series, bp: pd.Series, bsx: pd.Series) -> pd.Series:
-        out = []
-        for row in zip(an, ab, ap, asx, bn, bb, bp, bsx):
-            ours, theirs = _rows(*row[:4]), _rows(*row[4:])
-            score = lambda p, q: 2 * (jaro_winkler(p[0] or "", q[0] or "") > 0.8) + (p[1] == q[1]) + (p[2] == q[2]) + (p[3] == q[3])
-            out.append(sum(any(score(p, q) > 3.9 for p in ours) for q in theirs) / len(theirs) if theirs else 0.0)
-        return pd.Series(out, dtype="float64")
+        return pd.Series([compare_rate(_rows(*row[:4]), _rows(*row[4:])) for row in zip(an, ab, ap, asx, bn, bb, bp, bsx)], dtype="float64")
 
     fields = {"n": name, "b": birth, "p": bpl, "s": sex}
     return rate(*_people(a, **fields), *_people(b, **fields))
@@ -166,3 +171,62 @@ def hh_compare_rate(a: Column, b: Column, name: str = "namefrst_std", birth: str
 def has_matching_element(a: Column, b: Column) -> Column:
     """Whether two arrays share an element; false if either is null."""
     return F.coalesce(F.arrays_overlap(a, b), F.lit(False))
+
+
+# --- the same by name, for expressions in configurations
+
+
+def _struct_rows(x, *names: str) -> list[tuple]:
+    return [] if x is None else [tuple(p.get(n) for n in names) for p in x]
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Make the comparators callable in SQL expressions (jw, jw_max, jw_rate, rel_jw, extra_children, ...).
+
+    What Spark expresses itself becomes a SQL function, so it stays in the plan; the similarity family is Arrow-batched.
+    """
+
+    @F.pandas_udf(DoubleType())
+    def rate(a: pd.Series, b: pd.Series, t: pd.Series) -> pd.Series:
+        return pd.Series([share_over(_texts(x), _texts(y), float(z)) for x, y, z in zip(a, b, t)], dtype="float64")
+
+    @F.pandas_udf(DoubleType())
+    def related(a: pd.Series, b: pd.Series, t: pd.Series, years: pd.Series, names: pd.Series) -> pd.Series:
+        out = []
+        for x, y, u, v, m in zip(a, b, t, years, names):
+            m = dict(m)
+            cols = (m.get("name", "namefrst_std"), m.get("byr", "birthyr"), m.get("sex", "sex"))
+            out.append(count_related(_struct_rows(x, *cols), _struct_rows(y, *cols), float(u), float(v)))
+        return pd.Series(out, dtype="float64")
+
+    @F.pandas_udf(DoubleType())
+    def extra(a: pd.Series, b: pd.Series, year: pd.Series, ra: pd.Series, rb: pd.Series, t: pd.Series, years: pd.Series, names: pd.Series) -> pd.Series:
+        out = []
+        for x, y, z, p, q, u, v, m in zip(a, b, year, ra, rb, t, years, names):
+            m = dict(m)
+            cols = (m.get("name", "namefrst_std"), m.get("byr", "birthyr"), m.get("sex", "sex"), m.get("relate", "relate"))
+            kin = p is not None and q is not None and p <= 399 and q <= 399
+            out.append(count_extra_children(_struct_rows(x, *cols), _struct_rows(y, *cols), float(z), float(u), float(v)) if kin else 0.0)
+        return pd.Series(out, dtype="float64")
+
+    @F.pandas_udf(DoubleType())
+    def households(a: pd.Series, b: pd.Series) -> pd.Series:
+        cols = ("namefrst_std", "birthyr", "bpl", "sex")
+        return pd.Series([compare_rate(_struct_rows(x, *cols), _struct_rows(y, *cols)) for x, y in zip(a, b)], dtype="float64")
+
+    for name, f in (("jw", _jw), ("jw_max", _jw_max), ("jw_rate", rate), ("rel_jw", related), ("extra_children", extra), ("hh_compare_rate", households)):
+        spark.udf.register(name, f)
+    spark.udf.register("parseProbVector", lambda v: float(v[1]) if v is not None and len(v) > 1 else 0.0, DoubleType())
+    spark.udf.register("vector_to_string", lambda v: None if v is None else "[" + ",".join(str(float(x)) for x in v) + "]", StringType())
+    for text in (
+        "has_matching_element(a ARRAY<STRING>, b ARRAY<STRING>) RETURNS BOOLEAN RETURN coalesce(arrays_overlap(a, b), false)",
+        "array_to_string(a ARRAY<STRING>) RETURNS STRING RETURN concat('[', array_join(a, ','), ']')",
+        "extract_neighbors(a ARRAY<STRUCT<serial: BIGINT, value: STRING>>, own BIGINT) RETURNS ARRAY<STRING> RETURN transform(filter(a, x -> x.serial <> own), x -> x.value)",
+        "hh_rows_get_first_value(a ARRAY<STRUCT<serial: BIGINT, pernum: BIGINT, value: STRING>>) RETURNS STRUCT<serial: BIGINT, value: STRING> "
+        "RETURN transform(array_sort(transform(a, x -> named_struct('pernum', x.pernum, 'serial', x.serial, 'value', x.value))), x -> named_struct('serial', x.serial, 'value', x.value))[0]",
+    ):
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {text}")
+
+
+def share_over(ours: list[str], theirs: list[str], threshold: float) -> float:
+    return sum(any(jaro_winkler(u, v) > threshold for v in theirs) for u in ours) / len(ours) if ours else 0.0

@@ -13,6 +13,9 @@ from kindred.functions.transforms import apply_transform
 from kindred.sources.io import read_csv, read_substitutions
 
 
+LITERAL_PAIRS = 1000
+
+
 def filter_rows(df: DataFrame, expression: str) -> DataFrame:
     return df.filter(F.expr(expression))
 
@@ -65,18 +68,23 @@ def map_columns(df: DataFrame, mappings: list[dict[str, Any]], id_column: str, i
 def substitute_table(df: DataFrame, column: str, pairs: list[tuple[str, str]], join_column: str | None = None, join_value: Any = None) -> DataFrame:
     """Where the first word is a `from` (and the join column has its value): its `to`, then the second word; others stay.
 
-    The table is a map literal, so nothing is shuffled or joined; the driver has read it from a small file.
+    A table of up to LITERAL_PAIRS is a map literal, so nothing is joined; a longer one is joined by its first word.
     """
     if not pairs:
         return df
     words = F.split(F.col(column), " ")
-    table = F.create_map(*[F.lit(x) for p in dict(pairs).items() for x in p])
-    new = F.try_element_at(table, F.get(words, F.lit(0)))
+    if len(pairs) <= LITERAL_PAIRS:
+        table = F.create_map(*[F.lit(x) for p in dict(pairs).items() for x in p])
+        new = F.try_element_at(table, F.get(words, F.lit(0)))
+    else:
+        table = df.sparkSession.createDataFrame(list(dict(pairs).items()), "__from string, __to string")
+        df = df.join(table, F.get(words, F.lit(0)) == F.col("__from"), "left")
+        new = F.col("__to")
     hit = new.isNotNull()
     if join_column is not None:
         hit = hit & (F.col(join_column) == F.lit(join_value))
     second = F.get(words, F.lit(1))
-    return df.withColumn(column, F.when(hit, F.when(second.isNotNull(), F.concat_ws(" ", new, second)).otherwise(new)).otherwise(F.col(column)))
+    return df.withColumn(column, F.when(hit, F.when(second.isNotNull(), F.concat_ws(" ", new, second)).otherwise(new)).otherwise(F.col(column))).drop("__from", "__to")
 
 
 def substitute_words(df: DataFrame, column: str, pairs: list[tuple[str, str]]) -> DataFrame:

@@ -13,6 +13,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindred.functions.similarity import register_functions
 from kindred.operators import blocking, decide, households, ml, pairs, prepare, reports, selections
 from kindred.sources.io import Registry, check_text_columns, read_csv, read_datasource
 
@@ -24,6 +25,7 @@ class LinkRun:
 
     def __init__(self, spark: SparkSession, config: dict[str, Any], use_preexisting_tables: bool = True, warehouse: str | None = None, print_sql: bool = False):
         self.spark, self.config = spark, config
+        register_functions(spark)
         self.use_preexisting_tables, self.print_sql = use_preexisting_tables, print_sql
         self.tables = Registry(spark, warehouse)
         self.models: dict[str, ml.LinkModel] = {}

@@ -124,3 +124,21 @@ def test_metrics_ranges(tp, fp, fn, tn):
         assert math.isnan(v) or 0 <= v <= 1
     m = ml.mcc(tp, fp, fn, tn)
     assert math.isnan(m) or -1 <= m <= 1
+
+
+def test_sql_functions(spark):
+    similarity.register_functions(spark)
+    q = """SELECT jw('Name', 'Nameish') AS a, jw_max(array('x', 'ann'), array('ann')) AS b, jw_rate(array('ann', 'zz'), array('ann'), '0.8') AS c,
+        has_matching_element(array('a'), array('b', 'a')) AS d, array_to_string(array('a', 'b')) AS e,
+        extract_neighbors(array(named_struct('serial', 1L, 'value', 'x'), named_struct('serial', 2L, 'value', 'y')), 1L) AS f,
+        hh_rows_get_first_value(array(named_struct('serial', 7L, 'pernum', 2L, 'value', 'b'), named_struct('serial', 7L, 'pernum', 1L, 'value', 'a'))).value AS g,
+        rel_jw(array(named_struct('n', 'ann', 'y', 1900L, 's', 2L)), array(named_struct('n', 'anne', 'y', 1901L, 's', 2L)), '0.8', '5', map('name', 'n', 'byr', 'y', 'sex', 's')) AS h"""
+    r = spark.sql(q).first()
+    assert r["a"] == pytest.approx(0.9142857142857143) and r["b"] == 1 and r["c"] == 0.5 and r["d"] and r["e"] == "[a,b]" and r["f"] == ["y"] and r["g"] == "a" and r["h"] == 1
+
+
+def test_extra_children_takes_the_best_first():
+    ours = [("anna", 1890, 2, 301), ("ann", 1890, 2, 301)]
+    theirs = [("ann", 1890, 2, 301), ("anna", 1890, 2, 301), ("paul", 1885, 1, 302)]
+    assert similarity.count_extra_children(ours, theirs, 1910, 0.8, 5) == 1
+    assert similarity.count_extra_children([], theirs, 1910, 0.8, 5) == 3

@@ -108,6 +108,8 @@ def test_substitutions(spark, tmp_path):
     out = prepare.substitute_table(df, "n", pairs_, "sex", 2)
     assert [r["n"] for r in out.collect()] == ["catherine ann", "kate", "william", "other x"]
     assert prepare.substitute(spark, df, [spec]).count() == 4
+    many = [(f"w{k}", "x") for k in range(prepare.LITERAL_PAIRS)] + pairs_
+    assert sorted(r["n"] for r in prepare.substitute_table(df, "n", many, "sex", 2).collect()) == sorted(r["n"] for r in out.collect())
     with pytest.raises(KeyError):
         prepare.substitute(spark, df, [{"column_name": "n", "substitutions": [{"substitution_file": str(tmp_path / "s.csv")}]}])
 
