@@ -46,3 +46,20 @@ def families_of(df: DataFrame, ids: DataFrame, id_column: str, serial: str = "se
     picked = ids.select(F.col(id_column).alias("__id"))
     serials = df.join(picked, F.col(id_column) == F.col("__id"), "left_semi").select(F.col(serial).alias("__serial")).distinct()
     return df.join(serials, F.col(serial) == F.col("__serial"), "left_semi").distinct()
+
+
+def drop_links(df: DataFrame, id_column: str, side: str, *matches: DataFrame) -> DataFrame:
+    """The records that none of the match tables links."""
+    for m in matches:
+        df = unmatched(df, m, id_column, side)
+    return df
+
+
+def all_members(a: DataFrame, b: DataFrame, pairs: DataFrame, serial: str = "serialp") -> DataFrame:
+    """Members of both sides of linked households, with their pair of serials and a `side`."""
+    common = [c for c in a.columns if c in set(b.columns)]
+    out = []
+    for side, df in (("a", a), ("b", b)):
+        own = pairs.select(F.col(f"{serial}_{side}").alias("__serial"), f"{serial}_a", f"{serial}_b").distinct()
+        out.append(df.select(*common).join(own, F.col(serial) == F.col("__serial")).select(*common, f"{serial}_a", f"{serial}_b", F.lit(side).alias("side")))
+    return out[0].unionByName(out[1])

@@ -612,6 +612,13 @@ def hh_families(spark, sf_dir):
     return households.families_of(a, m.select(F.col("id_a").alias("id")), "id")
 
 
+@query("hh_all_members", f"WITH {_ROUND} SELECT a.id, a.serialp, serialp_a, serialp_b, 'a' AS side FROM a JOIN hh ON a.serialp = serialp_a UNION ALL SELECT b.id, b.serialp, serialp_a, serialp_b, 'b' FROM b JOIN hh ON b.serialp = serialp_b")
+def hh_all_members(spark, sf_dir):
+    a, b, m = _round_sides(spark, sf_dir)
+    linked = households.household_pairs(m, a, b, "id")
+    return households.all_members(a.select("id", "serialp"), b.select("id", "serialp"), linked)
+
+
 # --- reports
 
 
@@ -633,6 +640,35 @@ def report_percent_linked(spark, sf_dir):
     return reports.percent_linked(a, m, second, "id")
 
 
+@query("hh_drop_links", f"WITH {_ROUNDS} SELECT id, serialp FROM a WHERE id NOT IN (SELECT id_a FROM m) AND id NOT IN (SELECT id_a FROM m2)")
+def hh_drop_links(spark, sf_dir):
+    a, _, m, second = _rounds(spark, sf_dir)
+    return households.drop_links(a, "id", "a", m, second).select("id", "serialp")
+
+
+@query("report_mean_percent_linked", f'WITH {_ROUNDS}, g AS (SELECT serialp, count(*) AS total, count(*) FILTER (rnd = 1) AS r1, count(*) FILTER (rnd = 2) AS r2 FROM la GROUP BY serialp) SELECT round(avg(r1 / total), 9) AS "R1_mean", round(avg(CASE WHEN total > r1 THEN r2 / (total - r1) END), 9) AS "R2_mean" FROM g WHERE r1 > 0')
+def report_mean_percent_linked(spark, sf_dir):
+    a, _, m, second = _rounds(spark, sf_dir)
+    means = reports.mean_percent_linked(reports.percent_linked(a, m, second, "id"))
+    return means.select(F.round("R1_mean", 9).alias("R1_mean"), F.round("R2_mean", 9).alias("R2_mean"))
+
+
+@query(
+    "report_bucket_modes",
+    "SELECT o_orderkey, CASE WHEN price < 20 THEN '1' ELSE '0' END AS low, CASE WHEN price > 30 AND price <> 40 THEN '1' ELSE '0' END AS high_dni, CASE WHEN price >= 25 THEN 'null' ELSE CAST(k - k % 5 AS VARCHAR) END AS low_group, "
+    "CASE WHEN price > 25 THEN CAST(k - k % 5 AS VARCHAR) ELSE 'null' END AS high_group, CAST(CAST(price <> k AS INTEGER) AS VARCHAR) AS differs, CASE WHEN price <> k THEN CAST(k - k % 5 AS VARCHAR) ELSE 'null' END AS differs_group, "
+    "CAST(CAST(sum(CASE WHEN price BETWEEN 20 AND 40 AND k > 10 THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey) AS BIGINT) AS VARCHAR) AS children "
+    "FROM (SELECT o_orderkey, o_custkey, CAST(floor(o_totalprice / 10000) AS INTEGER) AS price, CAST(o_orderkey % 50 AS INTEGER) AS k FROM orders)",
+)
+def report_bucket_modes(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.floor(F.col("o_totalprice") / 10000).cast("int").alias("price"), (F.col("o_orderkey") % 50).cast("int").alias("k"))
+    return o.select(
+        "o_orderkey", reports.below("price", 20).alias("low"), reports.above("price", 30, dni=40).alias("high_dni"), reports.low_by_group("price", 25, "k", 5).alias("low_group"),
+        reports.high_by_group("price", 25, "k", 5).alias("high_group"), reports.differs("price", "k").alias("differs"), reports.differs_by_group("price", "k", "k", 5).alias("differs_group"),
+        reports.children_over("price", "k", "o_custkey", 20, 40, 10).alias("children"),
+    )
+
+
 def _rep_sql() -> str:
     cells = "SELECT rnd, 'status' AS feature, o_orderstatus AS value FROM {t} UNION ALL SELECT rnd, 'price', CAST(price - price % 10 AS VARCHAR) FROM {t} UNION ALL SELECT rnd, 'dear', CASE WHEN price > 40 THEN '1' ELSE '0' END FROM {t} UNION ALL SELECT rnd, 'family size', CASE WHEN n <= 5 THEN '1-5' WHEN n <= 20 THEN '6-20' WHEN n <= 60 THEN '21-60' ELSE '61-' END FROM (SELECT *, count(*) OVER (PARTITION BY serialp) AS n FROM {t})"
     one = "(SELECT feature, value, count(*) AS n_{s}, count(*) FILTER (rnd = 1) AS n_{s}_r1, count(*) FILTER (rnd = 2) AS n_{s}_r2 FROM ({c}) GROUP BY ALL)"
