@@ -106,6 +106,8 @@ def prose_p(s: str) -> float:
     cls = [0 if c.islower() else 1 if c.isupper() else 2 for c in s]
     changes = sum(x != y for x, y in zip(cls, cls[1:]))
     n, q = len(s) - 1, 1 / 12
+    if n > 1000:  # the normal tail, with continuity correction
+        return 0.5 * math.erfc((changes - 0.5 - n * q) / math.sqrt(2 * n * q * (1 - q)))
     total = 0.0
     for k in range(changes, n + 1):
         total += math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(q) + (n - k) * math.log(1 - q))
@@ -118,7 +120,7 @@ def battery(s: str) -> tuple[str, float] | None:
     if not found:
         return None
     name, abc = found
-    body = s.rstrip("=")[:4096]
+    body = s.rstrip("=")
     if len(body) < MIN_LENGTH:
         return None
     at = {c: k for k, c in enumerate(abc)}
