@@ -12,6 +12,11 @@ from pyspark.sql.types import DoubleType, StringType
 BOOST_FROM, SCALE, PREFIX = 0.7, 0.1, 4
 
 
+def _batched(f):
+    """A vectorised UDF of doubles that Catalyst may not evaluate twice, as it does when it moves a filter on its result below it."""
+    return F.pandas_udf(f, DoubleType()).asNondeterministic()
+
+
 @lru_cache(maxsize=200_000)
 def jaro_winkler(a: str, b: str) -> float:
     """Similarity in [0, 1]; 0 if either side is empty; the prefix boost applies from a Jaro similarity of 0.7 on."""
@@ -45,7 +50,7 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + SCALE * same * (1 - jaro)
 
 
-@F.pandas_udf(DoubleType())
+@_batched
 def _jw(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaro_winkler(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
 
@@ -59,7 +64,7 @@ def _texts(x) -> list[str]:
     return [] if x is None else [v or "" for v in x]
 
 
-@F.pandas_udf(DoubleType())
+@_batched
 def _jw_max(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([max((jaro_winkler(x, y) for x in _texts(p) for y in _texts(q)), default=0.0) for p, q in zip(a, b)], dtype="float64")
 
@@ -72,7 +77,7 @@ def jw_max(a: Column, b: Column) -> Column:
 def jw_rate(a: Column, b: Column, threshold: float) -> Column:
     """Share of a's elements whose best match in b is over the threshold; 0 if a has none."""
 
-    @F.pandas_udf(DoubleType())
+    @_batched
     def rate(p: pd.Series, q: pd.Series) -> pd.Series:
         return pd.Series([share_over(_texts(x), _texts(y), threshold) for x, y in zip(p, q)], dtype="float64")
 
@@ -98,7 +103,7 @@ def _gap(x, y) -> float:
 def related_jw(a: Column, b: Column, threshold: float, years: float, name: str = "namefrst_std", birth: str = "birthyr", sex: str = "sex") -> Column:
     """How many people of b have somebody in a with a similar name, close birth year and the same sex."""
 
-    @F.pandas_udf(DoubleType())
+    @_batched
     def count(an: pd.Series, ab: pd.Series, asx: pd.Series, bn: pd.Series, bb: pd.Series, bsx: pd.Series) -> pd.Series:
         return pd.Series([count_related(_rows(*row[:3]), _rows(*row[3:]), threshold, years) for row in zip(an, ab, asx, bn, bb, bsx)], dtype="float64")
 
@@ -139,7 +144,7 @@ def extra_children(
     Children have relate codes 300 to 399 and are 11 or older in year_b.
     """
 
-    @F.pandas_udf(DoubleType())
+    @_batched
     def count(an: pd.Series, ab: pd.Series, asx: pd.Series, ar: pd.Series, bn: pd.Series, bb: pd.Series, bsx: pd.Series, br: pd.Series, yb: pd.Series, ra: pd.Series, rb: pd.Series) -> pd.Series:
         out = []
         for *row, year, x, y in zip(an, ab, asx, ar, bn, bb, bsx, br, yb, ra, rb):
@@ -160,7 +165,7 @@ def compare_rate(ours: list[tuple], theirs: list[tuple]) -> float:
 def hh_compare_rate(a: Column, b: Column, name: str = "namefrst_std", birth: str = "birthyr", bpl: str = "bpl", sex: str = "sex") -> Column:
     """Share of b's people for whom somebody in a scores over 3.9: name over 0.8 counts 2, birth year, place and sex 1 each."""
 
-    @F.pandas_udf(DoubleType())
+    @_batched
     def rate(an: pd.Series, ab: pd.Series, ap: pd.Series, asx: pd.Series, bn: pd.Series, bb: pd.Series, bp: pd.Series, bsx: pd.Series) -> pd.Series:
         return pd.Series([compare_rate(_rows(*row[:4]), _rows(*row[4:])) for row in zip(an, ab, ap, asx, bn, bb, bp, bsx)], dtype="float64")
 
@@ -186,11 +191,11 @@ def register_functions(spark: SparkSession) -> None:
     What Spark expresses itself becomes a SQL function, so it stays in the plan; the similarity family is Arrow-batched.
     """
 
-    @F.pandas_udf(DoubleType())
+    @_batched
     def rate(a: pd.Series, b: pd.Series, t: pd.Series) -> pd.Series:
         return pd.Series([share_over(_texts(x), _texts(y), float(z)) for x, y, z in zip(a, b, t)], dtype="float64")
 
-    @F.pandas_udf(DoubleType())
+    @_batched
     def related(a: pd.Series, b: pd.Series, t: pd.Series, years: pd.Series, names: pd.Series) -> pd.Series:
         out = []
         for x, y, u, v, m in zip(a, b, t, years, names):
@@ -199,7 +204,7 @@ def register_functions(spark: SparkSession) -> None:
             out.append(count_related(_struct_rows(x, *cols), _struct_rows(y, *cols), float(u), float(v)))
         return pd.Series(out, dtype="float64")
 
-    @F.pandas_udf(DoubleType())
+    @_batched
     def extra(a: pd.Series, b: pd.Series, year: pd.Series, ra: pd.Series, rb: pd.Series, t: pd.Series, years: pd.Series, names: pd.Series) -> pd.Series:
         out = []
         for x, y, z, p, q, u, v, m in zip(a, b, year, ra, rb, t, years, names):
@@ -209,7 +214,7 @@ def register_functions(spark: SparkSession) -> None:
             out.append(count_extra_children(_struct_rows(x, *cols), _struct_rows(y, *cols), float(z), float(u), float(v)) if kin else 0.0)
         return pd.Series(out, dtype="float64")
 
-    @F.pandas_udf(DoubleType())
+    @_batched
     def households(a: pd.Series, b: pd.Series) -> pd.Series:
         cols = ("namefrst_std", "birthyr", "bpl", "sex")
         return pd.Series([compare_rate(_struct_rows(x, *cols), _struct_rows(y, *cols)) for x, y in zip(a, b)], dtype="float64")
