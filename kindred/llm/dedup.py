@@ -38,7 +38,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
 def _named(rows: DataFrame, key: list[str], salts: int) -> DataFrame:
     """rid, pos, n, name for rows (rid, pos, n, *key): one integer for each distinct key."""
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("rid", "pos"), F.lit(salts)))
-    seat = F.struct("rid", "pos")
+    seat = F.struct("rid", "pos", "n")  # both uses below then read the same columns, and the exchange of blocks is made once
     near = Window.partitionBy(*key, "salt").orderBy("rid", "pos")
     near_rows = salted.withColumn("rep", F.first(seat).over(near))
     heads = near_rows.where(F.col("rep") == seat).select(*key, "rep")
