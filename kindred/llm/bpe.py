@@ -1,11 +1,11 @@
 """Byte-level BPE encoding and decoding by a global distinct-word shuffle.
 
-Pre-tokens are counted over the whole corpus (a map-side combined shuffle of distinct words). A word that holds at least
-1 / DICTIONARY of all pre-tokens is frequent; there are at most DICTIONARY of them whatever the corpus, so their ids may
-be broadcast. All other occurrences are exploded with their position and shuffled by word; each distinct word is encoded
+Pre-tokens are counted over the whole corpus (a map-side combined shuffle of distinct words; a word that a task meets only
+once in some hundred thousand distinct ones isn't sent, it can't be frequent there). The most frequent words, never more
+than DICTIONARY, are encoded once and broadcast. All other occurrences are exploded with their position and shuffled by word; each distinct word is encoded
 once where its occurrences meet, and its ids travel back to the document, which is reassembled by position. What waits
 for them is the document as compressed dictionary numbers. Frequent words are no hot keys, since they are not shuffled;
-a rare word has less than 1 / DICTIONARY of the rows. Decoding looks every id up in the token-byte table.
+a word that is shuffled has less than 1 / DICTIONARY of all occurrences. Decoding looks every id up in the token-byte table.
 
 Ranks and pattern are those of a published vocabulary; its path is a parameter, read on the driver.
 
@@ -20,12 +20,12 @@ from array import array
 from collections import Counter
 
 import zstandard as zs
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import durable, map_batches
+from kindred.llm.common import durable, map_batches, most_frequent
 
-DICTIONARY = 200_000
+DICTIONARY = 400_000
 MEMO = 150_000
 HOLE = 0xFFFFFFFF
 
@@ -35,6 +35,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+def token_bytes(ranks: dict[bytes, int]) -> list[bytes]:
+    """The token-byte table: the bytes of each id."""
+    out = [b""] * (max(ranks.values(), default=-1) + 1)
+    for k, v in ranks.items():
+        out[v] = k
+    return out
+
+
 class Splitter:
     """Pre-tokens of a text, as pattern.findall gives them.
 
@@ -47,17 +55,24 @@ class Splitter:
         import regex
 
         self.findall = regex.compile(pattern).findall
-        self.memo: dict[str, list[str]] = {}
+
+    def parts(self, text: str):
+        """(words, None) for a line cut at its single blanks, or (None, piece) for what has other white space."""
+        for line in self.lines(text):
+            if line == "\n" or "  " in line or line[0] == " " or line[-1] == " " or not line.isprintable():
+                yield None, line
+            else:
+                yield line.split(" "), None
 
     def pieces(self, text: str) -> list[str]:
+        """The pieces that are matched on their own, in order."""
         out: list[str] = []
-        for line in self.lines(text):
-            raw = line.split(" ")
-            if "" in raw or not line.isprintable():
-                out.append(line)  # more than one blank in a row, or other white space: matched as one piece
+        for words, piece in self.parts(text):
+            if words is None:
+                out.append(piece)
             else:
-                out.append(raw[0])
-                out.extend([" " + p for p in raw[1:]])
+                out.append(words[0])
+                out.extend([" " + w for w in words[1:]])
         return out
 
     @staticmethod
@@ -82,34 +97,30 @@ class Splitter:
             out.append(held)
         return out
 
-    def words(self, piece: str) -> list[str]:
-        got = self.memo.get(piece)
-        if got is None:
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-            got = self.findall(piece)
-            if len(piece) < 64:
-                self.memo[piece] = got
-        return got
-
 
 def count_words(docs: DataFrame, pattern: str, flush: int = 400_000) -> DataFrame:
-    """word, n over all pre-tokens of docs."""
+    """word, n over all pre-tokens of docs, but for words that occur once among `flush` distinct ones of a task."""
 
     def run(parts):
         s = Splitter(pattern)
         total: Counter = Counter()
         for b in parts:
-            pieces: Counter = Counter()
+            plain, blank = [], []  # pieces, and words after a blank
             for t in b["text"]:
-                pieces.update(s.pieces(t or ""))
-            for p, n in pieces.items():
-                for w in s.findall(p):
-                    total[w] += n
+                for words, piece in s.parts(t or ""):
+                    if words is None:
+                        plain.append(piece)
+                    else:
+                        plain.append(words[0])
+                        blank += words[1:]
+            for pieces, lead in ((Counter(plain), ""), (Counter(blank), " ")):
+                for p, n in pieces.items():
+                    for w in s.findall(lead + p):
+                        total[w] += n
             if len(total) > flush:
-                yield list(total.items())
+                yield [x for x in total.items() if x[1] > 1]
                 total = Counter()
-        yield list(total.items())
+        yield [x for x in total.items() if x[1] > 1]
 
     part = map_batches(docs.select("text"), "word string, n long", run)
     return part.groupBy("word").agg(F.sum("n").alias("n"))
@@ -124,9 +135,7 @@ def _encoder(ranks: dict[bytes, int], pattern: str):
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, dictionary: int = DICTIONARY) -> DataFrame:
     """rid, doc_id, ids (binary, four bytes each, little-endian): one row for each row of docs."""
     spark = docs.sparkSession
-    seen = Observation()
-    counts = durable(count_words(docs, pattern).observe(seen, F.sum("n").alias("total")).where("n > 1"), "bpe-words")
-    total = seen.get["total"] or 0
+    counts = durable(count_words(docs, pattern), "bpe-words")
     vocab = spark.sparkContext.broadcast(ranks)  # the vocabulary file, of fixed size
 
     def encode_words(parts):
@@ -134,47 +143,72 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, dictionary: i
         for b in parts:
             yield [(w, array("I", enc.encode_ordinary(w)).tobytes()) for w in b["word"]]
 
-    often = map_batches(counts.where(F.col("n") * dictionary >= max(total, 1)).select("word"), "word string, ids binary", encode_words)
-    known = sorted((r[0], bytes(r[1])) for r in often.collect())  # at most `dictionary` rows, since each holds its share
+    often = map_batches(counts.where(most_frequent(counts, "n", dictionary)).select("word"), "word string, ids binary", encode_words)
+    known = sorted((r[0], bytes(r[1])) for r in often.collect())  # at most `dictionary` rows
     shared = spark.sparkContext.broadcast(known)
 
-    def numbered(parts, finish):
-        """finish(rid, doc_id, numbers, rare) of each document; rare: (position, word) without a number."""
+    def heads(parts):
+        """A row for each document: the numbers of its words, HOLE for a rare one."""
         s = Splitter(pattern)
         number = {w: k for k, (w, _) in enumerate(shared.value)}
-        memo: dict[str, array] = {}
-        for b in parts:
-            out: list = []
-            for rid, doc_id, text in zip(b["rid"], b["doc_id"], b["text"], strict=True):
-                seq, rare = array("I"), []
-                for p in s.pieces(text or ""):
-                    got = memo.get(p)
-                    if got is not None:
-                        seq.extend(got)
-                        continue
-                    ws = s.findall(p)
-                    nums = [number.get(w, HOLE) for w in ws]
-                    if HOLE in nums:
-                        rare += [(len(seq) + k, w) for k, (w, x) in enumerate(zip(ws, nums)) if x == HOLE]
-                    elif len(p) < 64:
-                        if len(memo) > MEMO:
-                            memo.clear()
-                        memo[p] = array("I", nums)
-                    seq.extend(nums)
-                finish(out, rid, doc_id, seq, rare)
-            yield out
-
-    def heads(parts):
         press = zs.ZstdCompressor(level=3).compress
+        memo: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
 
-        def finish(out, rid, doc_id, seq, rare):
-            raw = seq.tobytes()  # the four bytes of all numbers stand in four planes: the high ones are nearly constant
-            out.append((rid, -1, doc_id, press(b"".join(raw[k::4] for k in range(4)))))
+        def numbers(lead: str, p: str) -> bytes:
+            got = array("I", [number.get(w, HOLE) for w in s.findall(lead + p)]).tobytes()
+            if len(p) < 64:
+                if len(memo[lead]) > MEMO:
+                    memo[lead].clear()
+                memo[lead][p] = got
+            return got
 
-        return numbered(parts, finish)
+        plain, blank = memo[""], memo[" "]
+        for b in parts:
+            out = []
+            for rid, doc_id, text in zip(b["rid"], b["doc_id"], b["text"], strict=True):
+                body: list[bytes] = []
+                for words, piece in s.parts(text or ""):
+                    first = piece if words is None else words[0]
+                    body.append(plain.get(first) or numbers("", first))
+                    if words is not None:
+                        del words[0]
+                        got = list(map(blank.get, words))
+                        if None in got:
+                            got = [x if x is not None else numbers(" ", w) for x, w in zip(got, words)]
+                        body += got
+                raw = b"".join(body)  # the four bytes of all numbers stand in four planes: the high ones are nearly constant
+                out.append((rid, -1, doc_id, press(b"".join(raw[k::4] for k in range(4)))))
+            yield out
 
     def rare_words(parts):
-        return numbered(parts, lambda out, rid, doc_id, seq, rare: out.extend([(rid, pos, w) for pos, w in rare]))
+        """A row for each occurrence of a rare word, numbered within its document."""
+        s = Splitter(pattern)
+        known = {w for w, _ in shared.value}
+        clean: dict[str, set[str]] = {"": set(), " ": set()}  # pieces without rare words
+
+        def rare(lead: str, p: str) -> list[str]:
+            got = [w for w in s.findall(lead + p) if w not in known]
+            if not got and len(p) < 64:
+                if len(clean[lead]) > MEMO:
+                    clean[lead].clear()
+                clean[lead].add(p)
+            return got
+
+        plain, blank = clean[""], clean[" "]
+        for b in parts:
+            out = []
+            for rid, text in zip(b["rid"], b["text"], strict=True):
+                found: list[str] = []
+                for words, piece in s.parts(text or ""):
+                    first = piece if words is None else words[0]
+                    if first not in plain:
+                        found += rare("", first)
+                    if words is not None:
+                        del words[0]
+                        for w in [w for w in words if w not in blank]:
+                            found += rare(" ", w)
+                out += [(rid, k, w) for k, w in enumerate(found)]
+            yield out
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.col("text").cast("string").alias("text"))
     met = map_batches(rows, "rid long, pos int, word string", rare_words, rows=512).repartition("word").sortWithinPartitions("word")
@@ -224,30 +258,29 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, dictionary: i
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """rid, doc_id, bytes: the token-byte table joined to every id."""
-    table = encoded.sparkSession.sparkContext.broadcast({v: k for k, v in ranks.items()})
+    table = encoded.sparkSession.sparkContext.broadcast(token_bytes(ranks))
 
     def run(parts):
         of = table.value
         for b in parts:
-            yield [(r, d, b"".join([of[i] for i in array("I", ids)])) for r, d, ids in zip(b["rid"], b["doc_id"], b["ids"], strict=True)]
+            yield [(r, d, b"".join(map(of.__getitem__, array("I", ids)))) for r, d, ids in zip(b["rid"], b["doc_id"], b["ids"], strict=True)]
 
     return map_batches(encoded, "rid long, doc_id long, bytes binary", run, rows=256)
 
 
 def digests(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of encode()'s rows; every id is looked up in the token-byte table."""
-    table = encoded.sparkSession.sparkContext.broadcast({v: k for k, v in ranks.items()})
+    table = encoded.sparkSession.sparkContext.broadcast(token_bytes(ranks))
 
     def run(parts):
-        of = table.value
-        text = {i: str(i) for i in of}
+        of, text = table.value, list(map(str, range(len(table.value))))
         sha = hashlib.sha256
         for b in parts:
             out = []
             for d, raw in zip(b["doc_id"], b["ids"], strict=True):
                 ids = array("I", raw)
-                joined = ",".join([text[i] for i in ids]).encode()
-                out.append((d, len(ids), sha(joined).hexdigest(), sha(b"".join([of[i] for i in ids])).hexdigest()))
+                joined = ",".join(map(text.__getitem__, ids)).encode()
+                out.append((d, len(ids), sha(joined).hexdigest(), sha(b"".join(map(of.__getitem__, ids))).hexdigest()))
             yield out
 
     return map_batches(encoded.select("doc_id", "ids"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", run, rows=256)

@@ -83,6 +83,22 @@ def labelled_texts(docs: DataFrame, chosen: DataFrame, chars: int) -> list[tuple
     return sorted({(r[0], r[1], r[2]) for r in rows})
 
 
+def most_frequent(counts: DataFrame, column: str, k: int) -> Column:
+    """The condition that picks the rows with the largest counts, never more than k of them.
+
+    Counts are compared by steps of a sixteenth of a doubling, so the driver sees some hundred sums whatever the corpus.
+    """
+    step = F.floor(F.log2(F.col(column).cast("double")) * 16).cast("int")
+    sums = {r["s"]: r["n"] for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect() if r["s"] is not None}
+    least, total = None, 0
+    for s in sorted(sums, reverse=True):
+        total += sums[s]
+        if total > k:
+            break
+        least = s
+    return F.lit(False) if least is None else F.coalesce(step >= least, F.lit(False))
+
+
 def map_batches(df: DataFrame, schema: str, fn: Callable[[Iterator[dict]], Iterator[list]], rows: int = 2048) -> DataFrame:
     """mapInArrow over dicts of Python lists; fn yields lists of rows in the order of `schema`."""
     out = T._parse_datatype_string(schema)
