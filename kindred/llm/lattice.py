@@ -4,8 +4,8 @@ The pieces and their order come from a published subword vocabulary. A piece wei
 the vocabulary's own tokenizer cuts it, smoothed with the vocabulary's scores (its ranks, as a Zipf law). The probability
 of a word is the sum over all its segmentations, by forward recursion in log space; a text is its words and one end.
 
-All corpus statistics come from one table of distinct words over all documents. Words that hold 1 / DICTIONARY of all
-tokens or more, at most DICTIONARY whatever the corpus, are broadcast; all other occurrences join the table by word.
+All corpus statistics come from one table of distinct words over all documents. The most frequent words,
+never more than DICTIONARY, are broadcast; all other occurrences join the table by word.
 
 Defined results: null counts as empty; an empty text has its end token alone; a null doc_id counts as empty text for the
 split; without training documents every count is 0, and weights are the vocabulary's scores.
@@ -20,9 +20,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import crc_mod, durable, map_batches, py_crc_mod
+from kindred.llm.common import crc_mod, durable, map_batches, most_frequent, py_crc_mod
 
-DICTIONARY = 200_000
+DICTIONARY = 300_000
 PRIOR_TOKENS = 10_000.0
 SPACE = "▁"
 
@@ -117,8 +117,8 @@ def score_texts(docs: DataFrame, model: bytes, dictionary: int = DICTIONARY) ->
     spark = docs.sparkSession
     words = durable(count_words(docs), "lm-words")
     ends = docs.where(crc_mod(F.col("doc_id"), 7) != 2).count()
-    told = words.agg(F.sum("c").alias("c"), F.sum("n").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
-    n_train, n_all = (told["c"] or 0) + ends, told["n"] or 0
+    told = words.agg(F.sum("c").alias("c"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
+    n_train = (told["c"] or 0) + ends
     distinct = (told["v"] or 0) + (1 if ends else 0)
     vocab = spark.sparkContext.broadcast(model)  # the vocabulary file, of fixed size
 
@@ -142,8 +142,8 @@ def score_texts(docs: DataFrame, model: bytes, dictionary: int = DICTIONARY) ->
             yield [(w, c, n, net.log_marginal(w.decode())) for w, c, n in zip(b["word"], b["c"], b["n"], strict=True)]
 
     lexicon = durable(map_batches(words, "word binary, c long, n long, lp double", marginals), "lm-lexicon")
-    often = F.col("n") * dictionary >= max(n_all, 1)
-    known = lexicon.where(often).select("word", "c", "lp").collect()  # at most `dictionary` rows, since each holds its share
+    often = most_frequent(lexicon, "n", dictionary)
+    known = lexicon.where(often).select("word", "c", "lp").collect()  # at most `dictionary` rows
     top = spark.sparkContext.broadcast(([bytes(r[0]) for r in known], np.array([r[1] for r in known], np.int64), np.array([r[2] for r in known])))
 
     def partial(parts):
