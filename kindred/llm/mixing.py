@@ -53,8 +53,8 @@ def weighed(docs: DataFrame) -> DataFrame:
 def tempered(cells: DataFrame, margin: str, temper: float) -> DataFrame:
     """value, share: observed token shares to the power `temper`, summing to 1."""
     sums = cells.groupBy(F.col(margin).alias("value")).agg(F.pow(F.sum("w"), F.lit(temper)).alias("s"))
-    total = sums.agg(F.sum("s").alias("all"))
-    return sums.crossJoin(F.broadcast(total)).select("value", (F.col("s") / F.col("all")).alias("share"))  # one row
+    total = sums.agg(F.sum("s")).first()[0]
+    return sums.select("value", (F.col("s") / F.lit(total)).alias("share"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, rounds: int = MAX_ROUNDS) -> DataFrame:
