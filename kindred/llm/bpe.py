@@ -144,13 +144,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, dictionary: i
             yield [(w, array("I", enc.encode_ordinary(w)).tobytes()) for w in b["word"]]
 
     often = map_batches(counts.where(most_frequent(counts, "n", dictionary)).select("word"), "word string, ids binary", encode_words)
-    known = sorted((r[0], bytes(r[1])) for r in often.collect())  # at most `dictionary` rows
-    shared = spark.sparkContext.broadcast(known)
+    # At most `dictionary` rows; as an Arrow table they take a few bytes each on the driver.
+    shared = spark.sparkContext.broadcast(often.toArrow())
 
     def heads(parts):
         """A row for each document: the numbers of its words, HOLE for a rare one."""
         s = Splitter(pattern)
-        number = {w: k for k, (w, _) in enumerate(shared.value)}
+        number = {w: k for k, w in enumerate(shared.value.column("word").to_pylist())}
         press = zs.ZstdCompressor(level=3).compress
         memo: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
 
@@ -183,7 +183,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, dictionary: i
     def rare_words(parts):
         """A row for each occurrence of a rare word, numbered within its document."""
         s = Splitter(pattern)
-        known = {w for w, _ in shared.value}
+        known = set(shared.value.column("word").to_pylist())
         clean: dict[str, set[str]] = {"": set(), " ": set()}  # pieces without rare words
 
         def rare(lead: str, p: str) -> list[str]:
@@ -231,7 +231,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, dictionary: i
     def assemble(parts):
         import numpy as np
 
-        pieces = [ids for _, ids in shared.value]
+        pieces = shared.value.column("ids").to_pylist()
         open_press = zs.ZstdDecompressor().decompress
         head = None
 

@@ -143,12 +143,12 @@ def score_texts(docs: DataFrame, model: bytes, dictionary: int = DICTIONARY) ->
 
     lexicon = durable(map_batches(words, "word binary, c long, n long, lp double", marginals), "lm-lexicon")
     often = most_frequent(lexicon, "n", dictionary)
-    known = lexicon.where(often).select("word", "c", "lp").collect()  # at most `dictionary` rows
-    top = spark.sparkContext.broadcast(([bytes(r[0]) for r in known], np.array([r[1] for r in known], np.int64), np.array([r[2] for r in known])))
+    # At most `dictionary` rows; as an Arrow table they take a few bytes each on the driver.
+    top = spark.sparkContext.broadcast(lexicon.where(often).select("word", "c", "lp").toArrow())
 
     def partial(parts):
         """A head row for each document with its frequent words, and a row for each of its other distinct words."""
-        names, c, lp = top.value
+        names, c, lp = top.value.column("word").to_pylist(), top.value.column("c").to_numpy(), top.value.column("lp").to_numpy()
         at = {w: k for k, w in enumerate(names)}
         logc = np.append(np.log10(c + 1.0), 0.0)
         has = np.append(c > 0, False)
