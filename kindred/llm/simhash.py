@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import discard, durable, map_batches
+from kindred.llm.common import discard, durable, map_batches, most_frequent, unit_hash
 
 SHINGLE = 3
 THRESHOLD = 3
@@ -220,7 +220,15 @@ def links(nodes: DataFrame, fps: Sequence[str] = ("fp",), sketches: DataFrame |
 
     def linked(key, node, fp, home, p, marks):
         left, right = both(key, p)
-        label = stars(close_pairs(fp, home, left, right, marks, similar), len(node), left, right)
+        close = close_pairs(fp, home, left, right, marks, similar)
+        label = stars(close, len(node), left, right)
+        if marks is not None:  # pairs to be confirmed: also the smallest partner itself
+            direct = np.arange(len(node))
+            none = len(node)
+            np.minimum.at(direct, left, np.where(close, right[None, :], none).min(1, initial=none))
+            np.minimum.at(direct, right, np.where(close, left[:, None], none).min(0, initial=none))
+            label = np.concatenate([label, direct])
+            node = np.concatenate([node, node])
         moved = np.flatnonzero(label != np.arange(len(node)))
         return list(zip(node[moved].tolist(), node[label[moved]].tolist()))
 
@@ -271,9 +279,11 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     return marked.join(by_fp, F.col("fp") == F.col("g_fp")).select("doc_id", "fp", "component_id")
 
 
-# --- similar texts: the same covering, over fingerprints of distinct words, with a similarity to confirm a link
+# --- similar texts: candidates by the same covering, over fingerprints of distinct words, and by shared shingles; exact similarity
 
-SIMILAR, WORDS_IN_SHINGLE, BINS, SEEDS = 0.8, 5, 256, (1, 2, 3)
+SIMILAR, LOOSE, WORDS_IN_SHINGLE, BINS, SEEDS = 0.8, 0.65, 5, 256, (1, 2, 3)
+#: Bounds of the list of hot shingles and of the texts it is counted in.
+HOT, HOT_TEXTS = 50_000, 4000
 
 
 def word_fingerprint(words: list[bytes], seed: int) -> int:
@@ -287,20 +297,25 @@ def word_fingerprint(words: list[bytes], seed: int) -> int:
     return int(np.packbits((2 * total > len(words)).astype(np.uint8), bitorder="little").view(np.uint64)[0])
 
 
-def sketch_of(words: list[bytes], width: int = WORDS_IN_SHINGLE) -> bytes:
-    """One-permutation min-hash of the distinct shingles: 16 bits of the smallest hash of each of BINS bins, 0 for none."""
+def shingle_set(words: list[bytes], width: int = WORDS_IN_SHINGLE) -> np.ndarray:
+    """The distinct shingles as sorted 64-bit hashes."""
     import xxhash
 
+    if not words:
+        return np.zeros(0, np.uint64)
+    line = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    k = max(1, len(words) - width + 1)
+    spans = zip(starts[:k].tolist(), ends[min(width, len(words)) - 1 :].tolist())
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(line[s:e], SEED) for s, e in spans), np.uint64, k))
+
+
+def sketch_of(h: np.ndarray) -> bytes:
+    """One-permutation min-hash of a shingle set: 16 bits of the smallest hash of each of BINS bins, 0 for none."""
     out = np.zeros(BINS, np.uint16)
-    if words:
-        line = b" ".join(words)
-        ends = np.cumsum([len(w) + 1 for w in words]) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        k = max(1, len(words) - width + 1)
-        spans = zip(starts[:k].tolist(), ends[min(width, len(words)) - 1 :].tolist())
-        h = np.unique(np.fromiter((xxhash.xxh64_intdigest(line[s:e], SEED) for s, e in spans), np.uint64, k))
-        bins, first = np.unique(h >> np.uint64(56), return_index=True)  # the smallest of each bin, since h is sorted
-        out[bins.astype(np.int64)] = ((h[first] >> np.uint64(20)) & np.uint64(0xFFFF)).astype(np.uint16) | np.uint16(1)
+    bins, first = np.unique(h >> np.uint64(56), return_index=True)  # the smallest of each bin, since h is sorted
+    out[bins.astype(np.int64)] = ((h[first] >> np.uint64(20)) & np.uint64(0xFFFF)).astype(np.uint16) | np.uint16(1)
     return out.tobytes()
 
 
@@ -312,33 +327,126 @@ def sketch_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(n == 0, 1.0, same.sum(1) / np.maximum(n, 1))
 
 
+def prefix_of(h: np.ndarray, hot: np.ndarray, similar: float) -> np.ndarray:
+    """The first shingles of a set, by hash and hot ones last: two sets at `similar` or more share one of theirs.
+
+    Such a pair shares at least similar * n of the n shingles of either, so the rest is too short to hold them all.
+    """
+    if len(hot) and len(h):
+        is_hot = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
+        h = np.concatenate([h[~is_hot], h[is_hot]])
+    return h[: len(h) - int(np.ceil(similar * len(h) - 1e-9)) + 1]
+
+
+def hot_shingles(rows: DataFrame) -> np.ndarray:
+    """Shingles of several texts of a bounded sample, at most HOT of them. Any list gives the same links; this one, short groups."""
+    share = min(1.0, HOT_TEXTS / max(1, rows.count()))
+
+    def run(parts):
+        for b in parts:
+            yield [(x,) for t in b["text"] for x in shingle_set((t or "").encode().lower().split()).view(np.int64).tolist()]
+
+    counts = map_batches(rows.where(unit_hash(F.col("rid"), "hot") < share), "h long", run, rows=64).groupBy("h").agg(F.count("*").alias("n")).where("n > 3")
+    counts = durable(counts, "similar-hot")
+    found = [r["h"] for r in counts.where(most_frequent(counts, "n", HOT)).collect()]
+    discard(counts)
+    return np.sort(np.array(found, np.int64).view(np.uint64))
+
+
+def sharing(marked: DataFrame, roots: DataFrame, similar: float, block: int = BLOCK) -> DataFrame:
+    """u, v: pairs of nodes with unequal roots that share a shingle of their prefixes and whose sketches don't rule them out.
+
+    roots: node, root. A shingle with more than `block` nodes is cut into blocks, as anchors are. Bins that differ are so
+    many shingles that only one of the two sets has, so no pair at `similar` or more is lost to sketches.
+    """
+    own = marked.join(roots, F.col("rid") == F.col("node")).select("node", "size", "root", F.explode("prefix").alias("key"))
+    counts = own.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    counts = durable(counts.select(F.col("key").alias("c_key"), "n"), "similar-keys")
+    parts = F.ceil(F.col("n") / block).cast("int")
+    part = F.pmod(F.xxhash64("node"), parts).cast("int")
+    dealt = own.join(counts, F.col("key") == F.col("c_key")).select("key", "node", "size", "root", part.alias("part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    dealt = durable(dealt.select("key", "node", "size", "root", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")), "similar-dealt")
+    columns = ("key", "i", "j", "node", "size", "root", "part")
+    a, b = (dealt.select(*[F.col(c).alias(f"{x}_{c}") for c in columns]) for x in "ab")
+    met = a.where("a_part = a_i").join(b.where("b_part = b_j"), (F.col("a_key") == F.col("b_key")) & (F.col("a_i") == F.col("b_i")) & (F.col("a_j") == F.col("b_j")))
+    near = (F.least("a_size", "b_size") + F.lit(1e-9) >= F.lit(similar) * F.greatest("a_size", "b_size")) & ((F.col("a_i") < F.col("a_j")) | (F.col("a_node") < F.col("b_node")))
+    pairs = met.where((F.col("a_root") != F.col("b_root")) & near).select(F.least("a_node", "b_node").alias("u"), F.greatest("a_node", "b_node").alias("v")).distinct()
+    u, v = (marked.select(F.col("rid").alias(f"{x}_node"), F.col("size").alias(f"{x}_size"), F.col("sketch").alias(f"{x}_sketch")) for x in "uv")
+
+    def possible(batches):
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(b.num_rows, -1) for c in ("u_sketch", "v_sketch"))
+            n = b.column("u_size").to_numpy(zero_copy_only=False).astype(np.int64) + b.column("v_size").to_numpy(zero_copy_only=False)
+            yield b.select(["u", "v"]).filter(pa.array((x != y).sum(1) <= (1 - similar) / (1 + similar) * n + 1e-9))
+
+    both = durable(pairs, "similar-pairs").join(u, F.col("u") == F.col("u_node")).join(v, F.col("v") == F.col("v_node")).select("u", "v", "u_size", "v_size", "u_sketch", "v_sketch")
+    return both.mapInArrow(possible, "u long, v long")
+
+
+def confirmed(rows: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
+    """The pairs u, v of row ids whose texts' shingle sets have a Jaccard similarity of `similar` or more."""
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("s_node")).distinct()
+
+    def sets(parts):
+        for b in parts:
+            yield [(rid, shingle_set((t or "").encode().lower().split()).tobytes()) for rid, t in zip(b["rid"], b["text"], strict=True)]
+
+    texts = rows.join(ids, F.col("rid") == F.col("s_node"), "left_semi")
+    own = durable(map_batches(texts, "node long, shingles binary", sets, rows=512), "similar-sets")
+    u, v = (own.select(F.col("node").alias(f"{x}_node"), F.col("shingles").alias(f"{x}_set")) for x in "uv")
+
+    def compare(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("u_set"), b.column("v_set"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both + 1e-9 >= similar * (len(x) + len(y) - both))
+            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(u, F.col("u") == F.col("u_node")).join(v, F.col("v") == F.col("v_node")).select("u", "v", "u_set", "v_set")
+    return both.mapInArrow(compare, "u long, v long")
+
+
 def similar_texts(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """rid, keep_rid: the smallest row id of each row's group of texts that are similar on five-word shingles.
 
-    A text has a fingerprint of its distinct words for each of SEEDS; two meet if any two of them are within three bits,
-    and link if their sketches estimate a similarity of `similar` or more. Row ids are those of the scan.
+    Texts link if the Jaccard similarity of their shingle sets is `similar` or more; those with the same set are one node.
+    A first pass compares texts of which a fingerprint of the distinct words is within three bits; it joins large groups
+    of copies cheaply and need not find all. The second compares all pairs that share a shingle of their prefixes, where
+    the first has not joined them, so no link is missed. Row ids are those of the scan.
     """
     fps = [f"f{k}" for k in range(len(SEEDS))]
 
     def run(parts):
+        import xxhash
+
         for b in parts:
             out = []
             for rid, t in zip(b["rid"], b["text"], strict=True):
                 words = (t or "").encode().lower().split()
                 distinct = list(dict.fromkeys(words))
                 prints = np.array([word_fingerprint(distinct, s) for s in SEEDS], np.uint64).view(np.int64).tolist()
-                out.append((rid, *prints, sketch_of(words)))
+                h = shingle_set(words)
+                out.append((rid, *prints, xxhash.xxh3_128_digest(h.tobytes()), len(h), sketch_of(h), prefix_of(h, hot, similar).view(np.int64).tolist()))
             yield out
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("text").cast("string").alias("text"))
-    marked = durable(map_batches(rows, "rid long, " + ", ".join(f"{f} long" for f in fps) + ", sketch binary", run, rows=512), "similar-marks")
-    nodes = durable(marked.groupBy(*fps, "sketch").agg(F.min("rid").alias("node")), "similar-nodes")
-    comp = durable(components(links(nodes.select("node", *fps), fps, nodes.select("node", "sketch"), similar)), "similar-roots")
-    rooted = nodes.join(comp.select(F.col("node").alias("c_node"), "root"), F.col("node") == F.col("c_node"), "left").select(
-        *[F.col(f).alias(f"n_{f}") for f in fps], F.col("sketch").alias("n_sketch"), F.coalesce("root", "node").alias("keep_rid")
-    )
-    on = [F.col(f) == F.col(f"n_{f}") for f in fps] + [F.col("sketch") == F.col("n_sketch")]
-    return marked.join(durable(rooted, "similar-rooted"), on).select("rid", "keep_rid")
+    hot = hot_shingles(rows)
+    schema = "rid long, " + ", ".join(f"{f} long" for f in fps) + ", own binary, size int, sketch binary, prefix array<long>"
+    marked = durable(map_batches(rows, schema, run, rows=512), "similar-marks")
+    least = marked.groupBy("own").agg(F.min("rid").alias("node"))
+    least = durable(least.select(F.col("own").alias("n_own"), "node"), "similar-least")
+    first = least.select("node")
+    nodes = durable(marked.join(first, F.col("rid") == F.col("node"), "left_semi").select(F.col("rid").alias("node"), *fps, "sketch"), "similar-nodes")
+    met = durable(links(nodes.select("node", *fps), fps, nodes.select("node", "sketch"), min(LOOSE, similar)).where("u <> v"), "similar-met")
+    edges = durable(confirmed(rows, met, similar), "similar-edges")
+    comp = components(edges).select(F.col("node").alias("c_node"), "root")
+    roots = durable(nodes.join(comp, F.col("node") == F.col("c_node"), "left").select("node", F.coalesce("root", "node").alias("root")), "similar-first")
+    rest = durable(sharing(marked, roots, similar), "similar-rest")
+    comp = durable(components(edges.unionByName(confirmed(rows, rest, similar))), "similar-roots")
+    rooted = least.join(comp.select(F.col("node").alias("c_node"), "root"), F.col("node") == F.col("c_node"), "left").select("n_own", F.coalesce("root", "node").alias("keep_rid"))
+    return marked.join(durable(rooted, "similar-rooted"), F.col("own") == F.col("n_own")).select("rid", "keep_rid")
 
 
 def keep_dissimilar(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:

@@ -170,6 +170,47 @@ def test_similar_texts(table, odd, empty):
     assert simhash.keep_dissimilar(odd).count() > 0 and simhash.keep_dissimilar(empty).count() == 0
 
 
+def set_similarity(a, b, width=5):
+    a, b = ({tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} for w in (a, b))
+    return len(a & b) / len(a | b)
+
+
+@pytest.fixture(scope="module")
+def edited():
+    """(words, words with some replaced, whether they are similar at 0.8): short and long texts just above and below the limit."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    out = []
+    for size in (40, 60, 400, 3000):
+        for low, high in ((0.75, 0.8), (0.8, 0.85)) * 6:
+            base = [vocabulary[min(int(rng.paretovariate(0.8)), 3000) - 1] for _ in range(size)]
+            while True:
+                near = list(base)
+                while (now := set_similarity(base, near)) >= high:
+                    near[rng.randrange(size)] = rng.choice(vocabulary)
+                if now >= low:
+                    break
+            out.append((base, near, now >= 0.8))
+    return out
+
+
+def test_similar_texts_at_the_limit(table, edited):
+    docs = table([(2 * k + j, " ".join(pair[j])) for k, pair in enumerate(edited) for j in (0, 1)])
+    ids = {r["__rid"]: r["doc_id"] for r in docs.withColumn("__rid", F.monotonically_increasing_id()).collect()}
+    keep = {ids[r["rid"]]: r["keep_rid"] for r in simhash.similar_texts(docs).collect()}
+    assert [keep[2 * k] == keep[2 * k + 1] for k in range(len(edited))] == [x[2] for x in edited]
+    assert max(Counter(keep.values()).values()) == 2
+
+
+@pytest.mark.parametrize("block", [2048, 3])
+def test_sharing_blocks(table, block):
+    rows = [(k, [k, k + 1, 7], 10, k % 5) for k in range(0, 40, 2)]
+    given = table(rows, "rid long, prefix array<long>, size int, root long")
+    marked, roots = given.drop("root").withColumn("sketch", F.lit(bytes(512))), given.select(F.col("rid").alias("node"), "root")
+    got = sorted((r["u"], r["v"]) for r in simhash.sharing(marked, roots, 0.8, block).collect())
+    assert got == sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[3] != b[3])
+
+
 # --- byte-level BPE
 
 
