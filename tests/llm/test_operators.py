@@ -202,6 +202,13 @@ def test_similar_texts_at_the_limit(table, edited):
     assert max(Counter(keep.values()).values()) == 2
 
 
+def test_confirmed_on_shingles(table, edited):
+    rows = table([(2 * k + j, " ".join(pair[j])) for k, pair in enumerate(edited) for j in (0, 1)], "rid long, text string")
+    pairs = table([(2 * k, 2 * k + 1) for k in range(len(edited))], "u long, v long")
+    got = {r["u"] // 2 for r in simhash.confirmed(rows, pairs, 0.8).collect()}
+    assert got == {k for k, x in enumerate(edited) if x[2]}
+
+
 @pytest.mark.parametrize("block", [2048, 3])
 def test_sharing_blocks(table, block):
     rows = [(k, [k, k + 1, 7], 10, k % 5) for k in range(0, 40, 2)]
