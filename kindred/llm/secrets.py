@@ -1,7 +1,8 @@
 """Secret scan: known forms, then a battery of randomness tests with false-discovery control.
 
 Known forms are assignments to secret-like names, access keys and long hexadecimal runs. Beyond them, every run of
-MIN_LENGTH or more key characters is a candidate. Its encoding is inferred (hexadecimal, base32, base62, base64), and
+MIN_LENGTH or more key characters is a candidate; '=' only pads its end, so NAME=VALUE gives the value. One that mixes
+the signs of two encodings, as a path before a key may, is cut into parts, tested each. Its encoding is inferred (hexadecimal, base32, base62, base64), and
 tested as a string over that alphabet: chi-squared uniformity of the characters, a runs test above and below the middle
 of the alphabet, and lag-1 serial correlation. A secret looks random, so all three must fail to reject; and it must not be
 prose: that gives the p-value, the probability that letters of prose (the candidate's case-folded letters under the
@@ -28,7 +29,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 MIN_LENGTH = 20
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_LENGTH)
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{%d,}=*" % MIN_LENGTH)
+#: Characters that only some alphabets have, and runs without one kind of them: the parts of a candidate that mixes both.
+PLAIN = re.compile(r"[A-Za-z0-9]+=*")
+MIXED = (re.compile(r"[A-Za-z0-9_-]+=*"), re.compile(r"[A-Za-z0-9+/]+=*"))
 ALPHABETS = (
     ("hex", "0123456789abcdef"),
     ("hex", "0123456789ABCDEF"),
@@ -130,6 +134,18 @@ def battery(s: str) -> tuple[str, float] | None:
     return name, prose_p(body)
 
 
+def parts(s: str) -> list[tuple[int, int]]:
+    """Spans of a candidate to test: itself if it fits an alphabet, else what is left between signs of another alphabet.
+
+    A candidate with signs of base64 and of base64url is cut at either kind, and at both, so that a key next to
+    a path or a name is a part of its own; parts shorter than MIN_LENGTH are no candidates.
+    """
+    if infer_alphabet(s):
+        return [(0, len(s))]
+    found = {m.span() for cut in MIXED for m in cut.finditer(s)} | {m.span() for m in PLAIN.finditer(s)}
+    return sorted(x for x in found if len(s[x[0] : x[1]].rstrip("=")) >= MIN_LENGTH)
+
+
 def _bin(p: float) -> int:
     return BINS - 1 if p <= 0 else min(BINS - 1, int(-10 * math.log2(p)))
 
@@ -138,11 +154,25 @@ def stratum(length: int) -> int:
     return min(12, length.bit_length())
 
 
+def tested(s: str, at: int) -> list[dict]:
+    """The tested parts of a candidate at a place; of parts that overlap only the least like prose, and then the longest, is ok."""
+    out = []
+    for x, y in parts(s):
+        got = battery(s[x:y])
+        out.append({"s": at + x, "e": at + y, "stratum": stratum(y - x), "bin": _bin(got[1]) if got else 0, "ok": got is not None})
+    chosen = []
+    for c in sorted((c for c in out if c["ok"]), key=lambda c: (-c["bin"], c["s"] - c["e"], c["s"])):
+        c["ok"] = not any(c["s"] < d["e"] and d["s"] < c["e"] for d in chosen)
+        if c["ok"]:
+            chosen.append(c)
+    return out
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, base (spans as text), counts of the kinds, candidates: array of (start, end, stratum, bin, tested)."""
 
-    def run(parts):
-        for b in parts:
+    def run(batches):
+        for b in batches:
             out = []
             for i, t in zip(b["doc_id"], b["text"], strict=True):
                 t = t or ""
@@ -152,8 +182,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 for m in CANDIDATE.finditer(t):
                     s, e = m.span()
                     if not any(s < y and x < e for x, y, _ in base):
-                        got = battery(m[0])
-                        cands.append({"s": s, "e": e, "stratum": stratum(e - s), "bin": _bin(got[1]) if got else 0, "ok": got is not None})
+                        cands += tested(m[0], s)
                 out.append((i, *n, [f"{k}:{s}:{e}" for s, e, k in base], cands))
             yield out
 

@@ -390,6 +390,22 @@ def test_secrets_odd(odd, empty, table):
     assert sum(found[k] for k in range(50)) >= 40 and not any(found[100 + k] for k in range(50))
 
 
+def test_secrets_in_assignments_and_paths(table):
+    rng = random.Random(2)
+    abc = secrets.ALPHABETS[3][1]
+    forms = ("AWS_SECRET_ACCESS_KEY={}", "private_key={}", "SIGNING_KEY={}==", "https://x.example/a?sig={}&v=1", "path/sub_dir/{}", "path/some-other_directory_name/{}")
+    keys = [("".join(rng.choice(abc) for _ in range(44)), f) for f in forms for _ in range(30)]
+    rows = [(k, "see " + f.format(key) + " here") for k, (key, f) in enumerate(keys)] + [(1000, "the_name_of_some_setting=the/name/of/some_other/file_in_a_folder here")]
+    got = {r["doc_id"]: (r["n_random"], r["spans"]) for r in secrets.find_secrets(table(rows)).collect()}
+    for f in forms:
+        hit = 0
+        for k, (key, form) in enumerate(keys):
+            spans = [tuple(map(int, x.split(":")[1:])) for x in got[k][1].split(",") if x.startswith("random:")]
+            hit += form == f and any(key in rows[k][1][s:e] and e - s <= 52 for s, e in spans)
+        assert hit >= 24, f
+    assert got[1000][0] == 0
+
+
 # --- language
 
 
