@@ -5,7 +5,8 @@ notices of each family and on ordinary paragraphs of a bounded sample of documen
 tells notices from ordinary text, at a limit over all ordinary paragraphs of the sample; a multinomial one names the
 family of a notice, and what stays below its limit is `unknown`. (One multinomial model for all paragraphs merges its
 sparse rows for every line, which took half of the time.) A predicted
-family is confirmed where the paragraph's shingles of five words meet a template of that family at CONTAINMENT or more.
+family is confirmed where the paragraph's shingles of five words meet a template of that family at CONTAINMENT or more, of
+either. Notices wrapped over lines are also found in blocks of non-blank lines, by templates alone.
 
 Paragraphs are counted where they stand, without a shuffle; documents' results are collected by document only.
 
@@ -66,6 +67,8 @@ TEMPLATES = {
     ),
     "proprietary": ("All rights reserved.", "Copyright (c) 2020 Example Corporation. All rights reserved.", "Unauthorized copying of this file, via any medium, is strictly prohibited."),
 }
+#: Every template needs one of these words to be held at CONTAINMENT.
+NEEDED = r"(?i)licen[sc]e|software|modification|conditions|rights|copying|prohibited|spdx"
 FAMILIES = ("none", *TEMPLATES)
 LEADS = ("", "This document is ", "Note: ", "The text is ", "Copyright 2021. ")
 TAILS = ("", " See LICENSE for details.", " Some terms apply.")
@@ -141,7 +144,7 @@ def confirmed(words: Column, family: Column) -> Column:
         for t in ts:
             theirs = shingles(F.filter(words_of(F.lit(t)), lambda w: w != ""))
             shared = F.size(F.array_intersect(own, theirs))
-            hit = hit | (shared >= CONTAINMENT * F.size(theirs)) | F.contains(F.array_join(words, " "), F.array_join(F.filter(words_of(F.lit(t.rstrip("."))), lambda w: w != ""), " "))
+            hit = hit | (shared >= CONTAINMENT * F.size(theirs)) | (shared >= CONTAINMENT * F.size(own)) | F.contains(F.array_join(words, " "), F.array_join(F.filter(words_of(F.lit(t.rstrip("."))), lambda w: w != ""), " "))
         out = F.when(family == f, hit).otherwise(out)
     return out
 
@@ -162,16 +165,42 @@ def scan_paragraphs(docs: DataFrame, scanner: Scanner) -> DataFrame:
     return named.select("rid", "doc_id", "line", "family", "p", confirmed(words, F.col("family")).alias("confirmed"))
 
 
+def scan_blocks(docs: DataFrame) -> DataFrame:
+    """rid, family of the templates that blocks of two and more non-blank lines hold at CONTAINMENT or more.
+
+    A wrapped notice stands over lines, among others that may be ordinary text, so templates decide alone.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.explode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), r"\n\s*\n")).alias("block"))
+    some = rows.where(F.contains(F.trim("block"), F.lit("\n")) & F.col("block").rlike(NEEDED))
+    own = some.select("rid", F.filter(words_of(F.col("block")), lambda w: w != "").alias("words")).select("rid", shingles(F.col("words")).alias("own"))
+    held = []
+    for f, ts in TEMPLATES.items():
+        hit = F.lit(False)
+        for t in ts:
+            theirs = shingles(F.filter(words_of(F.lit(t)), lambda w: w != ""))
+            # A line of few words is found as a line.
+            hit = hit | ((F.size(theirs) > 1) & (F.size(F.array_intersect("own", theirs)) >= CONTAINMENT * F.size(theirs)))
+        held.append(F.when(hit, F.lit(f)))
+    return own.select("rid", F.explode(F.array_compact(F.array(*held))).alias("family"))
+
+
 def scan_licences(docs: DataFrame, scanner: Scanner) -> DataFrame:
-    """doc_id, n_notices, n_confirmed, n_unknown, families (confirmed ones, sorted): one row for each row of docs."""
+    """doc_id, n_notices, n_confirmed, n_unknown, families (confirmed ones, sorted): one row for each row of docs.
+
+    A family that only blocks of lines confirm counts as one notice, confirmed.
+    """
     found = scan_paragraphs(docs, scanner)
     by = found.groupBy("rid").agg(
         F.count("*").alias("n_notices"),
         F.count_if("confirmed").alias("n_confirmed"),
         F.count_if(F.col("family") == "unknown").alias("n_unknown"),
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("families"),
+        F.collect_set(F.when(F.col("confirmed"), F.col("family"))).alias("by_line"),
     )
+    wrapped = scan_blocks(docs).groupBy("rid").agg(F.collect_set("family").alias("by_block")).withColumnRenamed("rid", "b_rid")
     own = docs.select(F.monotonically_increasing_id().alias("own_rid"), "doc_id")
-    return own.join(by, F.col("own_rid") == F.col("rid"), "left").select(
-        "doc_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_notices", "n_confirmed", "n_unknown")], F.coalesce("families", F.lit("")).alias("families")
+    none = F.array().cast("array<string>")
+    line, block = F.coalesce("by_line", none), F.coalesce("by_block", none)
+    more = {"n_notices": F.size(F.array_except(block, line)), "n_confirmed": F.size(F.array_except(block, line)), "n_unknown": F.lit(0)}
+    return own.join(by, F.col("own_rid") == F.col("rid"), "left").join(wrapped, F.col("own_rid") == F.col("b_rid"), "left").select(
+        "doc_id", *[(F.coalesce(c, F.lit(0)) + m).cast("long").alias(c) for c, m in more.items()], F.array_join(F.array_sort(F.array_union(line, block)), ",").alias("families")
     )

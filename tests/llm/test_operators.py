@@ -479,6 +479,22 @@ def test_licences(table, odd, empty):
     assert licences.scan_licences(empty, licences.train(empty)).count() == 0
 
 
+def test_wrapped_licences(table):
+    import textwrap
+
+    prose = "Some ordinary line of text about water and houses, with nothing else in it."
+    rows, want = [(k, prose + f" {k}\n" + prose) for k in range(60)], {}
+    for f in ("mit", "gpl", "bsd"):
+        notice = max(licences.TEMPLATES[f], key=len)
+        for width, mark in ((80, ""), (60, "# "), (40, "// ")):
+            want[100 + len(want)] = f
+            rows.append((99 + len(want), prose + "\n" + textwrap.fill(notice, width, initial_indent=mark, subsequent_indent=mark) + "\n" + prose))
+    docs = table(rows)
+    got = {r["doc_id"]: r for r in licences.scan_licences(docs, licences.train(docs)).collect()}
+    assert {k: got[k]["families"] for k in want} == want and all(got[k]["n_notices"] >= got[k]["n_confirmed"] > 0 for k in want)
+    assert not any(got[k]["families"] or got[k]["n_notices"] for k in range(60))
+
+
 # --- toxicity
 
 
