@@ -61,26 +61,38 @@ def unit_hash(col: Column, salt: str) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def bounded_labels(labels: DataFrame, flag: str, per_class: int, keep: Column, salt: str) -> DataFrame:
-    """At most about per_class ids of each class 0/1, chosen by hash; few rows whatever the size of labels."""
-    rows = labels.where(F.col("doc_id").isNotNull() & F.col(flag).isin(0, 1) & keep).select("doc_id", F.col(flag).cast("int").alias("label"))
+def labelled_sample(docs: DataFrame, labels: DataFrame, flag: str, per_class: dict[int, int], keep: Column, salt: str, longest: int) -> list[tuple[int, str, int]]:
+    """(doc_id, text, label) of at most per_class[c] labelled ids of each class c, chosen by hash, in id order.
+
+    Whole texts; ids whose text has more than `longest` characters, or none, are left out. Of repeated ids one text is
+    taken (the least), and an id with both labels counts as 1. Null ids and labels teach nothing. What reaches the driver
+    is bounded by the parameters, as Arrow tables.
+    """
+    spark = docs.sparkSession
+    rows = labels.where(F.col("doc_id").isNotNull() & F.col(flag).isin(*per_class) & keep).select("doc_id", F.col(flag).cast("int").alias("label"))
     n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    chosen = F.lit(False)
-    for c, k in n.items():
-        chosen = chosen | ((F.col("label") == c) & (unit_hash(F.col("doc_id"), salt) < min(1.0, per_class / k)))
-    return rows.where(chosen).groupBy("doc_id").agg(F.max("label").alias("label"))
-
-
-def labelled_texts(docs: DataFrame, chosen: DataFrame, chars: int) -> list[tuple[int, str, int]]:
-    """(doc_id, text, label) of the chosen ids, texts cut to `chars` for fitting only, in id order."""
-    picked = chosen.withColumnRenamed("doc_id", "__id")
-    rows = (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(picked), F.col("doc_id") == F.col("__id"))  # bounded by bounded_labels
-        .select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("text"), "label")
-        .collect()
+    # Some more than is needed pass the hash; the least hashes are taken, so that the bound holds.
+    rate = {c: min(1.0, 1.2 * per_class[c] / k + 50.0 / k) for c, k in n.items()}
+    draw = unit_hash(F.col("doc_id"), salt)
+    some = rows.where(draw < max(rate.values(), default=0.0)).groupBy("doc_id").agg(F.max("label").alias("label"))
+    wanted = F.lit(False)
+    for c, x in rate.items():
+        wanted = wanted | ((F.col("label") == c) & (draw < x))
+    found = some.where(wanted).select("doc_id", "label", draw.alias("draw")).toArrow().to_pydict()
+    order = sorted(zip(found["draw"], found["doc_id"], found["label"]))
+    chosen = [(i, y) for c, k in per_class.items() for _, i, y in [x for x in order if x[2] == c][:k]]
+    picked = spark.createDataFrame(chosen, f"__id {docs.schema['doc_id'].dataType.simpleString()}, __label int")  # at most the sum of per_class rows
+    text = F.col("text").cast("string")
+    texts = (
+        docs.where(F.length(text) <= longest)
+        .select("doc_id", text.alias("text"))
+        .join(F.broadcast(picked), F.col("doc_id") == F.col("__id"))
+        .groupBy("doc_id", "__label")
+        .agg(F.min("text").alias("text"))
+        .toArrow()
+        .to_pydict()
     )
-    return sorted({(r[0], r[1], r[2]) for r in rows})
+    return sorted(zip(texts["doc_id"], texts["text"], texts["__label"]))
 
 
 def most_frequent(counts: DataFrame, column: str, k: int) -> Column:

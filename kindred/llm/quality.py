@@ -20,13 +20,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import bounded_labels, labelled_texts, map_batches
+from kindred.llm.common import labelled_sample, map_batches
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\r\x0b\x0c"
 MIN_CONTENT_SHARE = 0.5
-#: Bounds of the sample that the field is trained on.
-PER_CLASS, FIT_CHARS, MAX_LINES = 600, 6_000, 20_000
+#: Bounds of the sample that the field is trained on: documents of each class, characters of a document (longer ones aren't used), lines.
+PER_CLASS, LONGEST, MAX_LINES = {0: 600, 1: 600}, 6_000, 20_000
 FEATURES = ("bias", "symbols", "bars", "shouting", "repeated", "short", "digits", "no_end", "bangs", "long_words", "rights", "plain")
 
 
@@ -119,8 +119,8 @@ def train_field(rows: list[tuple[int, str, int]], rounds: int = 25, rate: float
     """rows: (doc_id, text, quality). Adagrad over documents as sequences."""
     data, total = [], 0
     for _, text, good in rows:
-        lines = worded_lines(text)[:200]
-        if lines and total < MAX_LINES:
+        lines = worded_lines(text)
+        if lines and total + len(lines) <= MAX_LINES:
             x = line_features(lines)
             data.append((x, np.zeros(len(x), np.int64) if good else seed_labels(x)))
             total += len(x)
@@ -144,8 +144,8 @@ def train_field(rows: list[tuple[int, str, int]], rounds: int = 25, rate: float
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Field:
-    """Field from at most about PER_CLASS labelled documents of each quality, FIT_CHARS characters each."""
-    return train_field(labelled_texts(docs, bounded_labels(labels, "quality", PER_CLASS, F.lit(True), "quality"), FIT_CHARS))
+    """Field from at most PER_CLASS labelled documents of each quality, whole texts of up to LONGEST characters."""
+    return train_field(labelled_sample(docs, labels, "quality", PER_CLASS, F.lit(True), "quality", LONGEST))
 
 
 def repeat_words(words: list[bytes]) -> int:
