@@ -1,15 +1,18 @@
 """Byte-level BPE encoding and decoding by a global distinct-word shuffle.
 
-Pre-tokens are counted over the whole corpus (a map-side combined shuffle of distinct words; a word that a task meets only
-once in some hundred thousand distinct ones isn't sent, it can't be frequent there). The most frequent words, never more
-than DICTIONARY, are encoded once and broadcast. All other occurrences are exploded with their position and shuffled by word; each distinct word is encoded
-once where its occurrences meet, and its ids travel back to the document, which is reassembled by position. What waits
-for them is the document as compressed dictionary numbers. Frequent words are no hot keys, since they are not shuffled;
-a word that is shuffled has less than 1 / DICTIONARY of all occurrences. Decoding looks every id up in the token-byte table.
+Documents stand in chunks, consecutive rows of a scan partition with about CHUNK characters. The distinct pre-tokens of
+each chunk are numbered in order of appearance and shuffled by word, so that each distinct word of the corpus meets in one
+place (frequent ones in SALTS places) and is encoded once there; its ids travel back to the chunk by number. A document
+waits for them as its pre-tokens' numbers in order of position, compressed, and is reassembled by position. No word is
+hot: it is shuffled once for a chunk that has it, not once for each occurrence. Decoding looks every id up in the token-byte table.
+
+The scan is read twice, once for the words and once for the documents' numbers, and gives equal numbers both times; a
+written table of both would cost as much disk as the shuffles themselves.
 
 Ranks and pattern are those of a published vocabulary; its path is a parameter, read on the driver.
 
-Defined results: null counts as empty; an empty text has no tokens; rows are never merged, also with equal or null ids.
+Defined results: null counts as empty; an empty text has no tokens; rows are never merged, also with equal or null ids;
+columns other than doc_id and text are never read.
 """
 
 from __future__ import annotations
@@ -17,17 +20,22 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
-from collections import Counter
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 import zstandard as zs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import durable, map_batches, most_frequent
+from kindred.llm.common import map_batches, scanned
 
-DICTIONARY = 400_000
-MEMO = 150_000
-HOLE = 0xFFFFFFFF
+CHUNK = 6_000_000
+ROWS = 512
+SALTS = 16
+#: Numbers of words stand before the rows of their chunk.
+BEFORE = 1 << 40
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -65,7 +73,7 @@ class Splitter:
                 yield line.split(" "), None
 
     def pieces(self, text: str) -> list[str]:
-        """The pieces that are matched on their own, in order."""
+        """The pieces that are matched on their own, in order (for tests; chunks keep words after a blank apart)."""
         out: list[str] = []
         for words, piece in self.parts(text):
             if words is None:
@@ -98,166 +106,160 @@ class Splitter:
         return out
 
 
-def count_words(docs: DataFrame, pattern: str, flush: int = 400_000) -> DataFrame:
-    """word, n over all pre-tokens of docs, but for words that occur once among `flush` distinct ones of a task."""
-
-    def run(parts):
-        s = Splitter(pattern)
-        total: Counter = Counter()
-        for b in parts:
-            plain, blank = [], []  # pieces, and words after a blank
-            for t in b["text"]:
-                for words, piece in s.parts(t or ""):
-                    if words is None:
-                        plain.append(piece)
-                    else:
-                        plain.append(words[0])
-                        blank += words[1:]
-            for pieces, lead in ((Counter(plain), ""), (Counter(blank), " ")):
-                for p, n in pieces.items():
-                    for w in s.findall(lead + p):
-                        total[w] += n
-            if len(total) > flush:
-                yield [x for x in total.items() if x[1] > 1]
-                total = Counter()
-        yield [x for x in total.items() if x[1] > 1]
-
-    part = map_batches(docs.select("text"), "word string, n long", run)
-    return part.groupBy("word").agg(F.sum("n").alias("n"))
-
-
 def _encoder(ranks: dict[bytes, int], pattern: str):
     import tiktoken
 
     return tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, dictionary: int = DICTIONARY) -> DataFrame:
-    """rid, doc_id, ids (binary, four bytes each, little-endian): one row for each row of docs."""
-    spark = docs.sparkSession
-    counts = durable(count_words(docs, pattern), "bpe-words")
-    vocab = spark.sparkContext.broadcast(ranks)  # the vocabulary file, of fixed size
-
-    def encode_words(parts):
-        enc = _encoder(vocab.value, pattern)
-        for b in parts:
-            yield [(w, array("I", enc.encode_ordinary(w)).tobytes()) for w in b["word"]]
+class Chunk:
+    """The distinct pre-tokens of some documents, numbered in order of appearance."""
 
-    often = map_batches(counts.where(most_frequent(counts, "n", dictionary)).select("word"), "word string, ids binary", encode_words)
-    # At most `dictionary` rows; as an Arrow table they take a few bytes each on the driver.
-    shared = spark.sparkContext.broadcast(often.toArrow())
+    def __init__(self, splitter: Splitter):
+        self.splitter = splitter
+        self.number: dict[str, int] = {}
+        self.pieces: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # numbers of a piece, and of a word after a blank
 
-    def heads(parts):
-        """A row for each document: the numbers of its words, HOLE for a rare one."""
-        s = Splitter(pattern)
-        number = {w: k for k, w in enumerate(shared.value.column("word").to_pylist())}
+    def add(self, texts: list[str | None]) -> list[list[tuple[list[str] | None, str]]]:
+        """Take in the pre-tokens of texts; the parts of each text."""
+        parsed = [list(self.splitter.parts(t or "")) for t in texts]
+        plain: list[str] = []
+        blank: list[str] = []
+        for parts in parsed:
+            for words, piece in parts:
+                if words is None:
+                    plain.append(piece)
+                else:
+                    plain.append(words[0])
+                    blank += words[1:]
+        find, number = self.splitter.findall, self.number
+        for known, lead, found in zip(self.pieces, ("", " "), (plain, blank), strict=True):
+            for p in dict.fromkeys(found):
+                if p not in known:
+                    known[p] = array("I", [number.setdefault(w, len(number)) for w in find(lead + p)]).tobytes()
+        return parsed
+
+    def numbers(self, parts: list[tuple[list[str] | None, str]]) -> bytes:
+        """The numbers of a text's pre-tokens, four bytes each."""
+        plain, blank = self.pieces
+        body: list[bytes] = []
+        for words, piece in parts:
+            if words is None:
+                body.append(plain[piece])
+            else:
+                body.append(plain[words[0]])
+                body += map(blank.__getitem__, words[1:])
+        return b"".join(body)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], pattern: str, chars: int) -> Iterator[tuple[int, Chunk, list, list, bool]]:
+    """(chunk id, chunk, doc_ids, parsed texts, whether the chunk ends here) for slices of a scan partition, alike in every pass."""
+    splitter = Splitter(pattern)
+    part = TaskContext.get().partitionId()
+    k, size, chunk = 0, 0, Chunk(splitter)
+    for whole in batches:
+        for at in range(0, whole.num_rows, ROWS):
+            b = whole.slice(at, ROWS)
+            texts = b.column("text").to_pylist()
+            parsed = chunk.add(texts)
+            size += sum(len(t or "") for t in texts)
+            yield (part << 20) + k, chunk, b.column("doc_id").to_pylist(), parsed, size >= chars
+            if size >= chars:
+                k, size, chunk = k + 1, 0, Chunk(splitter)
+    if chunk.number:
+        yield (part << 20) + k, chunk, [], [], True
+
+
+def distinct_words(docs: DataFrame, pattern: str, chars: int = CHUNK) -> DataFrame:
+    """chunk, at, word: a row for each distinct pre-token of each chunk; `at` is its number less BEFORE."""
+    schema = pa.schema([("chunk", pa.int64()), ("at", pa.int64()), ("word", pa.string())])
+
+    def run(batches):
+        for k, chunk, _, _, ends in _chunks(batches, pattern, chars):
+            if ends and chunk.number:
+                words = list(chunk.number)
+                for at in range(0, len(words), 50_000):
+                    some = words[at : at + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k)), pa.array(np.arange(at, at + len(some)) - BEFORE), pa.array(some, pa.string())], schema=schema)
+
+    return docs.mapInArrow(run, "chunk long, at long, word string")
+
+
+def numbered_documents(docs: DataFrame, pattern: str, chars: int = CHUNK) -> DataFrame:
+    """chunk, at, doc_id, body: a row for each document; the compressed numbers of its pre-tokens, `at` its row in the partition."""
+    schema = pa.schema([("chunk", pa.int64()), ("at", pa.int64()), ("doc_id", pa.int64()), ("body", pa.binary())])
+
+    def run(batches):
         press = zs.ZstdCompressor(level=3).compress
-        memo: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
-
-        def numbers(lead: str, p: str) -> bytes:
-            got = array("I", [number.get(w, HOLE) for w in s.findall(lead + p)]).tobytes()
-            if len(p) < 64:
-                if len(memo[lead]) > MEMO:
-                    memo[lead].clear()
-                memo[lead][p] = got
-            return got
+        row = 0
+        for k, chunk, ids, parsed, _ in _chunks(batches, pattern, chars):
+            bodies = []
+            for parts in parsed:
+                raw = np.frombuffer(chunk.numbers(parts), np.uint8).reshape(-1, 4)  # the four bytes of all numbers stand in planes: the high ones are nearly constant
+                bodies.append(press(raw.T.tobytes()))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), k)), pa.array(np.arange(row, row + len(ids))), pa.array(ids, pa.int64()), pa.array(bodies, pa.binary())], schema=schema)
+            row += len(ids)
+
+    return docs.mapInArrow(run, "chunk long, at long, doc_id long, body binary")
+
+
+def encoded_words(words: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """chunk, at, doc_id (null), body: the ids of each row's word; equal words meet and are encoded once."""
+    vocab = words.sparkSession.sparkContext.broadcast(ranks)  # the vocabulary file, of fixed size
+    schema = pa.schema([("chunk", pa.int64()), ("at", pa.int64()), ("doc_id", pa.int64()), ("body", pa.binary())])
+    met = words.repartition("word", F.pmod("chunk", F.lit(SALTS))).sortWithinPartitions("word")
+
+    def run(batches):
+        enc = _encoder(vocab.value, pattern)
+        last = (None, b"")
+        for b in batches:
+            each = b.column("word").dictionary_encode()
+            ids = [last[1] if w == last[0] else array("I", enc.encode_ordinary(w)).tobytes() for w in each.dictionary.to_pylist()]
+            if ids:
+                last = (each.dictionary[-1].as_py(), ids[-1])
+            yield pa.RecordBatch.from_arrays([b.column("chunk"), b.column("at"), pa.nulls(b.num_rows, pa.int64()), pa.array(ids, pa.binary()).take(each.indices)], schema=schema)
 
-        plain, blank = memo[""], memo[" "]
-        for b in parts:
-            out = []
-            for rid, doc_id, text in zip(b["rid"], b["doc_id"], b["text"], strict=True):
-                body: list[bytes] = []
-                for words, piece in s.parts(text or ""):
-                    first = piece if words is None else words[0]
-                    body.append(plain.get(first) or numbers("", first))
-                    if words is not None:
-                        del words[0]
-                        got = list(map(blank.get, words))
-                        if None in got:
-                            got = [x if x is not None else numbers(" ", w) for x, w in zip(got, words)]
-                        body += got
-                raw = b"".join(body)  # the four bytes of all numbers stand in four planes: the high ones are nearly constant
-                out.append((rid, -1, doc_id, press(b"".join(raw[k::4] for k in range(4)))))
-            yield out
+    return met.mapInArrow(run, "chunk long, at long, doc_id long, body binary")
 
-    def rare_words(parts):
-        """A row for each occurrence of a rare word, numbered within its document."""
-        s = Splitter(pattern)
-        known = set(shared.value.column("word").to_pylist())
-        clean: dict[str, set[str]] = {"": set(), " ": set()}  # pieces without rare words
-
-        def rare(lead: str, p: str) -> list[str]:
-            got = [w for w in s.findall(lead + p) if w not in known]
-            if not got and len(p) < 64:
-                if len(clean[lead]) > MEMO:
-                    clean[lead].clear()
-                clean[lead].add(p)
-            return got
-
-        plain, blank = clean[""], clean[" "]
-        for b in parts:
-            out = []
-            for rid, text in zip(b["rid"], b["text"], strict=True):
-                found: list[str] = []
-                for words, piece in s.parts(text or ""):
-                    first = piece if words is None else words[0]
-                    if first not in plain:
-                        found += rare("", first)
-                    if words is not None:
-                        del words[0]
-                        for w in [w for w in words if w not in blank]:
-                            found += rare(" ", w)
-                out += [(rid, k, w) for k, w in enumerate(found)]
-            yield out
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.col("text").cast("string").alias("text"))
-    met = map_batches(rows, "rid long, pos int, word string", rare_words, rows=512).repartition("word").sortWithinPartitions("word")
+def _reassembled(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chars: int, schema: str, start: Callable, finish: Callable) -> DataFrame:
+    """finish(words, rid, doc_id, numbers) for each document, where words = start(the ids of each number of its chunk)."""
+    rows = scanned(docs.select("doc_id", F.col("text").cast("string").alias("text")))
+    back = numbered_documents(rows, pattern, chars).unionByName(encoded_words(distinct_words(rows, pattern, chars), ranks, pattern))
+    back = back.repartition("chunk").sortWithinPartitions("chunk", "at")
 
-    def encode_rare(parts):
-        enc = _encoder(vocab.value, pattern)
-        last, ids = None, b""
+    def run(parts):
+        open_press = zs.ZstdDecompressor().decompress
+        now, ids, words = None, [], None
         for b in parts:
             out = []
-            for rid, pos, w in zip(b["rid"], b["pos"], b["word"], strict=True):
-                if w != last:
-                    last, ids = w, array("I", enc.encode_ordinary(w)).tobytes()
-                out.append((rid, pos, None, ids))
+            for chunk, at, doc_id, body in zip(b["chunk"], b["at"], b["doc_id"], b["body"], strict=True):
+                if chunk != now:
+                    now, ids, words = chunk, [], None
+                if at < 0:
+                    ids.append(body)
+                    continue
+                if words is None:
+                    words = start(ids)
+                planes = np.frombuffer(open_press(body), np.uint8).reshape(4, -1)
+                out.append(finish(words, (chunk >> 20 << 33) + at, doc_id, np.ascontiguousarray(planes.T).view(np.uint32).ravel()))
             yield out
 
-    shape = "rid long, pos int, doc_id long, body binary"
-    back = map_batches(rows, shape, heads, rows=512).unionByName(map_batches(met, shape, encode_rare, rows=16_384))
-    back = back.repartition("rid").sortWithinPartitions("rid", "pos")
-
-    def assemble(parts):
-        import numpy as np
+    return map_batches(back, schema, run, rows=4096)
 
-        pieces = shared.value.column("ids").to_pylist()
-        open_press = zs.ZstdDecompressor().decompress
-        head = None
 
-        def done(rid, doc_id, seq, rare):
-            at = iter(rare)  # in order of position
-            return (rid, doc_id, b"".join([pieces[x] if x != HOLE else next(at) for x in seq]))
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chars: int = CHUNK) -> DataFrame:
+    """rid, doc_id, ids (binary, four bytes each, little-endian): one row for each row of docs."""
 
-        for b in parts:
-            out = []
-            for rid, pos, doc_id, body in zip(b["rid"], b["pos"], b["doc_id"], b["body"], strict=True):
-                if pos < 0:
-                    if head:
-                        out.append(done(*head))
-                    planes = np.frombuffer(open_press(body), np.uint8).reshape(4, -1)
-                    head = (rid, doc_id, np.ascontiguousarray(planes.T).view(np.uint32).ravel().tolist(), [])
-                else:
-                    head[3].append(body)
-            yield out
-        if head:
-            yield [done(*head)]
+    def finish(words, rid, doc_id, numbers):
+        return rid, doc_id, b"".join(map(words.__getitem__, numbers.tolist()))
 
-    return map_batches(back, "rid long, doc_id long, ids binary", assemble, rows=4096)
+    return _reassembled(docs, ranks, pattern, chars, "rid long, doc_id long, ids binary", list, finish)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """rid, doc_id, bytes: the token-byte table joined to every id."""
+    """rid, doc_id, bytes: every id looked up in the token-byte table, which has the vocabulary's fixed size and is broadcast."""
     table = encoded.sparkSession.sparkContext.broadcast(token_bytes(ranks))
 
     def run(parts):
@@ -268,19 +270,23 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return map_batches(encoded, "rid long, doc_id long, bytes binary", run, rows=256)
 
 
-def digests(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of encode()'s rows; every id is looked up in the token-byte table."""
-    table = encoded.sparkSession.sparkContext.broadcast(token_bytes(ranks))
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chars: int = CHUNK) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of docs: encoding, and decoding of its ids, in one pass.
 
-    def run(parts):
-        of, text = table.value, list(map(str, range(len(table.value))))
-        sha = hashlib.sha256
-        for b in parts:
-            out = []
-            for d, raw in zip(b["doc_id"], b["ids"], strict=True):
-                ids = array("I", raw)
-                joined = ",".join(map(text.__getitem__, ids)).encode()
-                out.append((d, len(ids), sha(joined).hexdigest(), sha(b"".join(map(of.__getitem__, ids))).hexdigest()))
-            yield out
+    The ids of each word are looked up in the token-byte table once for a chunk; documents join ids and bytes by position.
+    """
+    table = docs.sparkSession.sparkContext.broadcast(token_bytes(ranks))
+    sha = hashlib.sha256
+
+    def start(ids):
+        of = table.value
+        each = [array("I", x) for x in ids]
+        size = np.fromiter(map(len, each), np.int64, len(each))
+        return size, [",".join(map(str, x)).encode() for x in each], [b"".join(map(of.__getitem__, x)) for x in each]
+
+    def finish(words, rid, doc_id, numbers):
+        size, decimal, raw = words
+        at = numbers.tolist()
+        return doc_id, int(size[numbers].sum()), sha(b",".join(map(decimal.__getitem__, at))).hexdigest(), sha(b"".join(map(raw.__getitem__, at))).hexdigest()
 
-    return map_batches(encoded.select("doc_id", "ids"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", run, rows=256)
+    return _reassembled(docs, ranks, pattern, chars, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", start, finish)

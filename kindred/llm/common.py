@@ -15,12 +15,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Frames of a few numbers a row are broadcast up to this many rows, some megabytes.
+BROADCAST_ROWS = 500_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a temporary one of our own only where that is unset (tests, local mode)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         own = tempfile.mkdtemp(prefix="kindred-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = f"file://{own}"
@@ -46,6 +50,31 @@ def discard(df: DataFrame | None) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Steps of a plan that give the rows of each partition in the same order every time, with the order of the scan below.
+_STEADY = {"Project", "Filter", "SubqueryAlias", "LogicalRelation", "Generate", "View", "DataSourceV2Relation", "DataSourceV2ScanRelation", "MapInArrow", "LogicalRDD", "Relation"}
+
+
+def scanned(docs: DataFrame) -> DataFrame:
+    """docs, if its plan is a file scan (with projections and filters); else a written copy of it.
+
+    Operators number rows by their place in the scan more than once. After a shuffle, a task that runs again may give
+    them in another order, and joins by number would be wrong without notice; a written table stays as it is.
+    """
+    plan = docs._jdf.queryExecution().analyzed()
+    names, todo = set(), [plan]
+    while todo:
+        node = todo.pop()
+        names.add(node.getClass().getSimpleName())
+        children = node.children()
+        todo += [children.apply(k) for k in range(children.size())]
+    return docs if names <= _STEADY - {"LogicalRDD"} else durable(docs, "scanned")
+
+
+def few(ids: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """`ids`, a durable frame, marked for broadcast if it has at most `rows` rows; else for a sort-merge join, which holds at any size."""
+    return F.broadcast(ids) if ids.count() <= rows else ids.hint("merge")
+
+
 def crc_mod(doc_id: Column, k: int) -> Column:
     """crc32 of the id as text, modulo k; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % k

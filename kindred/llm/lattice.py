@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import crc_mod, durable, map_batches, most_frequent, py_crc_mod
+from kindred.llm.common import crc_mod, durable, map_batches, most_frequent, py_crc_mod, scanned
 
 DICTIONARY = 300_000
 PRIOR_TOKENS = 10_000.0
@@ -114,7 +114,7 @@ def count_words(docs: DataFrame, flush: int = 400_000) -> DataFrame:
 
 def score_texts(docs: DataFrame, model: bytes, dictionary: int = DICTIONARY) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
-    spark = docs.sparkSession
+    docs, spark = scanned(docs), docs.sparkSession
     words = durable(count_words(docs), "lm-words")
     ends = docs.where(crc_mod(F.col("doc_id"), 7) != 2).count()
     told = words.agg(F.sum("c").alias("c"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()

@@ -59,7 +59,7 @@ def op8_license_scan(spark, sf_dir):
 def op9_byte_bpe(spark, sf_dir):
     t = _tokenizers()
     ranks = bpe.read_ranks(t.path(BPE_FILE))
-    return bpe.digests(bpe.encode(_table(spark, sf_dir, "documents"), ranks, t.PATTERN), ranks)
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), ranks, t.PATTERN)
 
 
 def op10_toxicity(spark, sf_dir):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import discard, durable, map_batches, most_frequent, unit_hash
+from kindred.llm.common import discard, durable, few, map_batches, most_frequent, scanned, unit_hash
 
 SHINGLE = 3
 THRESHOLD = 3
@@ -187,7 +187,7 @@ def _grouped(dealt: DataFrame, schema: str, work) -> DataFrame:
 
 
 def links(nodes: DataFrame, fps: Sequence[str] = ("fp",), sketches: DataFrame | None = None, similar: float = 0.0, block: int = BLOCK) -> DataFrame:
-    """u, v: nodes whose chains are all chains of linked nodes.
+    """u, v: nodes whose chains are all chains of linked nodes; durable.
 
     Two nodes link where one of their fingerprints differs in three bits or fewer and, with `sketches` (node, sketch), the
     estimated similarity is `similar` or more. Sketches join only the rows that have a partner by fingerprint.
@@ -232,12 +232,15 @@ def links(nodes: DataFrame, fps: Sequence[str] = ("fp",), sketches: DataFrame |
         moved = np.flatnonzero(label != np.arange(len(node)))
         return list(zip(node[moved].tolist(), node[label[moved]].tolist()))
 
+    met = None
     if sketches is not None:
-        found = _grouped(dealt, "anchor long, i int, j int, part int, node long, fp long, home boolean", partners)
+        met = durable(_grouped(dealt, "anchor long, i int, j int, part int, node long, fp long, home boolean", partners), "simhash-partners")
         own = sketches.select(F.col("node").alias("s_node"), "sketch")
-        found = durable(found, "simhash-partners").join(own, F.col("node") == F.col("s_node")).drop("s_node")
-        dealt = found.repartition("anchor", "i", "j")
-    return _grouped(dealt, "u long, v long", linked).distinct()
+        dealt = met.join(own, F.col("node") == F.col("s_node")).drop("s_node").repartition("anchor", "i", "j")
+    out = durable(_grouped(dealt, "u long, v long", linked).where("u <> v").distinct(), "simhash-links")
+    for d in (placed, counts, met):
+        discard(d)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -247,8 +250,9 @@ def components(edges: DataFrame) -> DataFrame:
     def smallest(e: DataFrame) -> DataFrame:
         return durable(e.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("c"), F.least("a", "b").alias("m")), "stars-min")
 
-    before = None
-    for k in range(1, 200):
+    before, k = None, 0
+    while True:  # stars only ever move nodes to smaller ones, so this ends
+        k += 1
         both = now.select(F.col("hi").alias("a"), F.col("lo").alias("b")).unionByName(now.select(F.col("lo").alias("a"), F.col("hi").alias("b")))
         m = smallest(both)
         large = both.join(m, F.col("a") == F.col("c")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -264,18 +268,23 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == before:
             break
         before = mark
-    return now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+    out = now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+    out._kindred_path = now._kindred_path  # for discard()
+    return out
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable over links), for each row of docs."""
     marked = durable(fingerprints(docs, width), "simhash-fp")
     distinct = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    comp = components(links(distinct.select(F.col("fp").alias("node"), "fp")))
+    edges = links(distinct.select(F.col("fp").alias("node"), "fp"))
+    comp = components(edges)
     rooted = distinct.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = durable(rooted, "simhash-rooted")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "g_root")
     by_fp = durable(rooted.join(named, F.col("root") == F.col("g_root")).select(F.col("fp").alias("g_fp"), "component_id"), "simhash-named")
+    for d in (distinct, edges, comp, rooted):
+        discard(d)
     return marked.join(by_fp, F.col("fp") == F.col("g_fp")).select("doc_id", "fp", "component_id")
 
 
@@ -359,7 +368,7 @@ def sharing(marked: DataFrame, roots: DataFrame, similar: float, block: int = BL
     roots: node, root. A shingle with more than `block` nodes is cut into blocks, as anchors are. Bins that differ are so
     many shingles that only one of the two sets has, so no pair at `similar` or more is lost to sketches.
     """
-    own = marked.join(roots, F.col("rid") == F.col("node")).select("node", "size", "root", F.explode("prefix").alias("key"))
+    own = marked.join(few(roots), F.col("rid") == F.col("node")).select("node", "size", "root", F.explode("prefix").alias("key"))
     counts = own.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     counts = durable(counts.select(F.col("key").alias("c_key"), "n"), "similar-keys")
     parts = F.ceil(F.col("n") / block).cast("int")
@@ -371,7 +380,10 @@ def sharing(marked: DataFrame, roots: DataFrame, similar: float, block: int = BL
     met = a.where("a_part = a_i").join(b.where("b_part = b_j"), (F.col("a_key") == F.col("b_key")) & (F.col("a_i") == F.col("b_i")) & (F.col("a_j") == F.col("b_j")))
     near = (F.least("a_size", "b_size") + F.lit(1e-9) >= F.lit(similar) * F.greatest("a_size", "b_size")) & ((F.col("a_i") < F.col("a_j")) | (F.col("a_node") < F.col("b_node")))
     pairs = met.where((F.col("a_root") != F.col("b_root")) & near).select(F.least("a_node", "b_node").alias("u"), F.greatest("a_node", "b_node").alias("v")).distinct()
-    u, v = (marked.select(F.col("rid").alias(f"{x}_node"), F.col("size").alias(f"{x}_size"), F.col("sketch").alias(f"{x}_sketch")) for x in "uv")
+    pairs = durable(pairs, "similar-pairs")
+    ids = durable(pairs.select(F.explode(F.array("u", "v")).alias("s_node")).distinct(), "similar-ids")
+    picked = durable(marked.join(few(ids), F.col("rid") == F.col("s_node"), "left_semi").select("rid", "size", "sketch"), "similar-picked")
+    u, v = (picked.select(F.col("rid").alias(f"{x}_node"), F.col("size").alias(f"{x}_size"), F.col("sketch").alias(f"{x}_sketch")) for x in "uv")
 
     def possible(batches):
         for b in batches:
@@ -379,19 +391,25 @@ def sharing(marked: DataFrame, roots: DataFrame, similar: float, block: int = BL
             n = b.column("u_size").to_numpy(zero_copy_only=False).astype(np.int64) + b.column("v_size").to_numpy(zero_copy_only=False)
             yield b.select(["u", "v"]).filter(pa.array((x != y).sum(1) <= (1 - similar) / (1 + similar) * n + 1e-9))
 
-    both = durable(pairs, "similar-pairs").join(u, F.col("u") == F.col("u_node")).join(v, F.col("v") == F.col("v_node")).select("u", "v", "u_size", "v_size", "u_sketch", "v_sketch")
-    return both.mapInArrow(possible, "u long, v long")
+    both = pairs.join(u, F.col("u") == F.col("u_node")).join(v, F.col("v") == F.col("v_node")).select("u", "v", "u_size", "v_size", "u_sketch", "v_sketch")
+    out = durable(both.mapInArrow(possible, "u long, v long"), "similar-possible")
+    for d in (counts, dealt, pairs, ids, picked):
+        discard(d)
+    return out
 
 
 def confirmed(rows: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
-    """The pairs u, v of row ids whose texts' shingle sets have a Jaccard similarity of `similar` or more."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("s_node")).distinct()
+    """The pairs u, v of row ids whose texts' shingle sets have a Jaccard similarity of `similar` or more; durable.
+
+    Only texts in a pair are needed: their ids are broadcast up to a checked size, so that texts aren't shuffled for them.
+    """
+    ids = durable(pairs.select(F.explode(F.array("u", "v")).alias("s_node")).distinct(), "similar-ids")
 
     def sets(parts):
         for b in parts:
             yield [(rid, shingle_set((t or "").encode().lower().split()).tobytes()) for rid, t in zip(b["rid"], b["text"], strict=True)]
 
-    texts = rows.join(ids, F.col("rid") == F.col("s_node"), "left_semi")
+    texts = rows.join(few(ids), F.col("rid") == F.col("s_node"), "left_semi")
     own = durable(map_batches(texts, "node long, shingles binary", sets, rows=512), "similar-sets")
     u, v = (own.select(F.col("node").alias(f"{x}_node"), F.col("shingles").alias(f"{x}_set")) for x in "uv")
 
@@ -405,7 +423,10 @@ def confirmed(rows: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(u, F.col("u") == F.col("u_node")).join(v, F.col("v") == F.col("v_node")).select("u", "v", "u_set", "v_set")
-    return both.mapInArrow(compare, "u long, v long")
+    out = durable(both.mapInArrow(compare, "u long, v long"), "similar-edges")
+    for d in (ids, own):
+        discard(d)
+    return out
 
 
 def similar_texts(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -431,29 +452,38 @@ def similar_texts(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
                 out.append((rid, *prints, xxhash.xxh3_128_digest(h.tobytes()), len(h), sketch_of(h), prefix_of(h, hot, similar).view(np.int64).tolist()))
             yield out
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("text").cast("string").alias("text"))
+    rows = scanned(docs).select(F.monotonically_increasing_id().alias("rid"), F.col("text").cast("string").alias("text"))
     hot = hot_shingles(rows)
     schema = "rid long, " + ", ".join(f"{f} long" for f in fps) + ", own binary, size int, sketch binary, prefix array<long>"
-    marked = durable(map_batches(rows, schema, run, rows=512), "similar-marks")
-    least = marked.groupBy("own").agg(F.min("rid").alias("node"))
+    every = durable(map_batches(rows, schema, run, rows=512), "similar-marks")
+    least = every.groupBy("own").agg(F.min("rid").alias("node"))
     least = durable(least.select(F.col("own").alias("n_own"), "node"), "similar-least")
-    first = least.select("node")
-    nodes = durable(marked.join(first, F.col("rid") == F.col("node"), "left_semi").select(F.col("rid").alias("node"), *fps, "sketch"), "similar-nodes")
-    met = durable(links(nodes.select("node", *fps), fps, nodes.select("node", "sketch"), min(LOOSE, similar)).where("u <> v"), "similar-met")
-    edges = durable(confirmed(rows, met, similar), "similar-edges")
-    comp = components(edges).select(F.col("node").alias("c_node"), "root")
-    roots = durable(nodes.join(comp, F.col("node") == F.col("c_node"), "left").select("node", F.coalesce("root", "node").alias("root")), "similar-first")
-    rest = durable(sharing(marked, roots, similar), "similar-rest")
-    comp = durable(components(edges.unionByName(confirmed(rows, rest, similar))), "similar-roots")
-    rooted = least.join(comp.select(F.col("node").alias("c_node"), "root"), F.col("node") == F.col("c_node"), "left").select("n_own", F.coalesce("root", "node").alias("keep_rid"))
-    return marked.join(durable(rooted, "similar-rooted"), F.col("own") == F.col("n_own")).select("rid", "keep_rid")
+    # From here on a set of shingles stands once, under its first row; copies come back at the end.
+    marked = durable(every.join(few(least.select("node")), F.col("rid") == F.col("node"), "left_semi"), "similar-nodes")
+    members = durable(every.select("rid", "own"), "similar-members")
+    discard(every)
+    nodes = marked.select(F.col("rid").alias("node"), *fps, "sketch")
+    met = links(nodes.select("node", *fps), fps, nodes.select("node", "sketch"), min(LOOSE, similar))
+    edges = confirmed(rows, met, similar)
+    first = components(edges)
+    comp = first.select(F.col("node").alias("c_node"), "root")
+    roots = durable(nodes.select("node").join(comp, F.col("node") == F.col("c_node"), "left").select("node", F.coalesce("root", "node").alias("root")), "similar-first")
+    rest = sharing(marked, roots, similar)
+    more = confirmed(rows, rest, similar)
+    last = components(edges.unionByName(more))
+    comp = last.select(F.col("node").alias("c_node"), "root")
+    rooted = durable(least.join(comp, F.col("node") == F.col("c_node"), "left").select("n_own", F.coalesce("root", "node").alias("keep_rid")), "similar-rooted")
+    for d in (marked, met, edges, first, roots, rest, more, last, least):
+        discard(d)
+    return members.join(rooted, F.col("own") == F.col("n_own")).select("rid", "keep_rid")
 
 
 def keep_dissimilar(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """docs with the first row of each group of similar texts, and their columns."""
-    stay = durable(similar_texts(docs, similar).where("rid = keep_rid").select(F.col("rid").alias("__stay")), "similar-stay")
+    docs = scanned(docs)
+    gone = durable(similar_texts(docs, similar).where("rid <> keep_rid").select(F.col("rid").alias("__gone")), "similar-gone")
     numbered = docs.withColumn("__rid", F.monotonically_increasing_id())
-    return numbered.join(stay, F.col("__rid") == F.col("__stay"), "left_semi").drop("__rid")
+    return numbered.join(few(gone), F.col("__rid") == F.col("__gone"), "left_anti").drop("__rid")
 
 
 def hexed(fp: str) -> Column:

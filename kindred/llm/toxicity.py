@@ -145,7 +145,9 @@ class Model:
         total = np.concatenate([[0.0], np.cumsum(weight[np.array(numbers, np.int64)])])
         ends = np.cumsum(sizes)
         n = np.array(sizes, float)
-        sums = np.maximum(total[ends] - total[ends - np.array(sizes, np.int64)], 0)
+        return self.described(np.maximum(total[ends] - total[ends - np.array(sizes, np.int64)], 0), n)
+
+    def described(self, sums: np.ndarray, n: np.ndarray) -> np.ndarray:
         mean, var = self.noise
         z = (sums - n * mean) / np.sqrt(n * var + 1)
         return np.column_stack([np.minimum(z, 30) / 3, np.log1p(sums), np.log1p(n)])
@@ -274,7 +276,11 @@ def fit(rows: list[tuple[int, str, int]]) -> Model:
     if len({y for _, y in held}) < 2:  # too few labels to hold some back
         held = [(t, y) for _, t, y in rows]
     y = np.array([y for _, y in held], float)
-    model.curve = _logistic(model.features([t for t, _ in held]), y, np.where(y == 1, 2.0, 1.0))
+    # Texts without evidence are ordinary, of whatever length: lengths that the sample lacks, as no text at all, are held to that.
+    n = np.concatenate([[0.0], 2.0 ** np.arange(14)])
+    x = np.concatenate([model.features([t for t, _ in held]), model.described(np.zeros(len(n)), n)])
+    weight = np.concatenate([np.where(y == 1, 2.0, 1.0), np.full(len(n), max(1.0, len(held) / 50))])
+    model.curve = _logistic(x, np.concatenate([y, np.zeros(len(n))]), weight)
     return model
 
 

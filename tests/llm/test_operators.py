@@ -233,13 +233,45 @@ def bpe_truth(ranks, t):
     return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()
 
 
-@pytest.mark.parametrize("size", [400_000, 3, 0])
-def test_bpe(odd, empty, ranks, size):
-    enc = bpe.encode(clashing(odd), ranks, public_tokenizers.PATTERN, dictionary=size)
-    got = sorted((str(r[0]), *r[1:]) for r in bpe.digests(enc, ranks).collect())
+@pytest.mark.parametrize("chars", [bpe.CHUNK, 1])
+def test_bpe(odd, empty, ranks, chars):
+    from array import array
+
+    got = sorted((str(r[0]), *r[1:]) for r in bpe.round_trip(clashing(odd), ranks, public_tokenizers.PATTERN, chars).collect())
     assert got == sorted((str(i), *bpe_truth(ranks, t)) for i, t in odd_rows())
+    enc = bpe.encode(clashing(odd), ranks, public_tokenizers.PATTERN, chars)
+    ids = sorted((str(r["doc_id"]), len(r["ids"]) // 4, hashlib.sha256(",".join(map(str, array("I", r["ids"]))).encode()).hexdigest()) for r in enc.collect())
+    assert ids == [x[:3] for x in got]
     assert sorted(bytes(r["bytes"]) for r in bpe.decode(enc, ranks).collect()) == sorted((t or "").encode() for _, t in odd_rows())
-    assert bpe.encode(empty, ranks, public_tokenizers.PATTERN, dictionary=size).count() == 0
+    assert bpe.round_trip(empty, ranks, public_tokenizers.PATTERN, chars).count() == 0
+
+
+def test_chunks_number_alike(table, ranks):
+    """Each document's numbers, looked up in its chunk's words, give its pre-tokens, also where a partition has several chunks."""
+    import regex
+    import zstandard
+
+    rng = random.Random(4)
+    rows = [(k, " ".join(rng.choice(["ab", "cd", "x1", "--", "\n", "é"]) + str(rng.randrange(99)) for _ in range(rng.randrange(40)))) for k in range(1500)]
+    docs = table(rows, partitions=1)
+    words = {}
+    for r in bpe.distinct_words(docs, public_tokenizers.PATTERN, 20_000).collect():
+        words.setdefault(r["chunk"], {})[r["at"] + bpe.BEFORE] = r["word"]
+    assert len(words) > 1 and all(len(set(w.values())) == len(w) for w in words.values())
+    find, texts = regex.compile(public_tokenizers.PATTERN).findall, dict(rows)
+    for r in bpe.numbered_documents(docs, public_tokenizers.PATTERN, 20_000).collect():
+        planes = np.frombuffer(zstandard.decompress(r["body"]), np.uint8).reshape(4, -1)
+        numbers = np.ascontiguousarray(planes.T).view(np.uint32).ravel().tolist()
+        assert [words[r["chunk"]][n] for n in numbers] == find(texts[r["doc_id"]])
+
+
+def test_unsteady_frames_are_written_first(table):
+    from kindred.llm import common
+
+    docs = table([(k, str(k)) for k in range(20)])
+    assert common.scanned(docs.where("doc_id > 3").select("doc_id")) is not docs and common.scanned(docs) is docs
+    again = common.scanned(docs.repartition(3))
+    assert "__none" not in again.columns and sorted(r["doc_id"] for r in again.collect()) == list(range(20))
 
 
 def test_splitter_equals_pattern():
@@ -422,15 +454,72 @@ def test_language(table, odd, empty):
     assert langid.identify(empty, langid.train(empty)).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
-    texts = ["abcab cabba", "abba cab", "bacca abc"]
-    m = langid.fit([(k, t, "x") for k, t in enumerate(texts)], order=3)
-    letters = np.array(sorted({ord(c) for t in texts for c in t}), np.uint32)
-    for context in ("ab", "ca", "bb"):
-        total = 0.0
-        for c in letters:
-            total += math.exp(m.char_logs(np.array([*map(ord, context), c], np.uint32))[-1, 0])
-        assert total <= 1.0 + 1e-6 and total > 0.8
+def brute_kneser_ney(texts, order):
+    """p(context, character) by the definition, over dicts; '#' stands for any character that was never seen."""
+    grams = [Counter() for _ in range(order + 1)]
+    for t in texts:
+        t = " " + t + " "
+        for i in range(1, len(t)):
+            for k in range(1, order + 1):
+                if i - k + 1 >= 0:
+                    grams[k][t[i - k + 1 : i + 1]] += 1
+    for k in range(order - 1, 0, -1):
+        before = Counter(g[1:] for g in {*grams[k + 1]})
+        grams[k] = Counter({g: before.get(g, 1) for g in grams[k]})
+
+    def p(context, c):
+        k = len(context) + 1
+        n1, n2 = (sum(n == x for n in grams[k].values()) for x in (1, 2))
+        d = min(max(n1 / (n1 + 2 * n2), 0.1), 0.9) if n1 else 0.5
+        own = {g: n for g, n in grams[k].items() if g[:-1] == context}
+        low = p(context[1:], c) if context else 1 / (len(grams[1]) + 1)
+        if not own:
+            return low
+        total = sum(own.values())
+        return (max(own.get(context + c, 0) - d, 0) + d * len(own) * low) / total
+
+    return p
+
+
+def test_kneser_ney_is_exact():
+    texts = ["abcab cabba", "abba cab", "bacca abc", "a"]
+    m = langid.fit([(k, t, "x") for k, t in enumerate(texts)] + [(50, "cab ddcab", "y")], order=3)
+    apart = langid.Models(*m.__getstate__()[:-1], joint_bytes=0)
+    for j, own in enumerate((texts, ["cab ddcab"])):
+        p = brute_kneser_ney(own, 3)
+        letters = sorted({c for t in own for c in t} | {" "})
+        for context in ("ab", "ca", "bb", "zz", "az", " a", "cc"):
+            total = 0.0
+            for c in [*letters, "#"]:
+                want = p(context, c)
+                total += want
+                for model in (m, apart):
+                    got = math.exp(model.char_logs(np.array([*map(ord, context), ord(c)], np.uint32))[-1, j])
+                    assert got == pytest.approx(want, rel=1e-4), (context, c)
+            assert total == pytest.approx(1.0, abs=1e-6)
+
+
+def test_short_and_rare_letters():
+    m = langid.fit([(1, "a", "x"), (2, "b c", "y")])
+    assert m.predict("a")[0] == "x" and m.predict("12 c 3")[0] == "y" and m.predict("12 3")[0] == "und"
+    for t in ("\U0001d41a\U0001d41b", "\ud7b0", "\u3042", "\U00016800"):
+        assert t[0].isalpha() and m.predict(t)[0] != "und"
+    assert m.predict(None) == ("und", 0.0, None, True)
+
+
+def test_long_texts_are_scored_whole():
+    rng = random.Random(3)
+    m = langid.fit([(k, " ".join(rng.choice(["ab", "bca", "cab", "dd"]) for _ in range(50)), "xy"[k % 2]) for k in range(40)])
+    text = " ".join(rng.choice(["ab", "bca", "q", "dd"]) for _ in range(3000))
+    assert m.entropies([text], chunk=500)[0] == pytest.approx(m.entropies([text])[0], rel=1e-6)
+
+
+def test_every_language_is_calibrated():
+    rng = random.Random(5)
+    abc = "abcdefghijklmnop"
+    rows = [(k, " ".join(rng.choice(abc[3 * (k % 5) : 3 * (k % 5) + 3]) * rng.randint(1, 4) for _ in range(30)), "lang%d" % (k % 5)) for k in range(1500)]
+    m = langid.fit(rows)
+    assert np.isfinite(m.limits).all() and m.predict("zzz yyy zyz")[3]
 
 
 # --- mixing
@@ -498,28 +587,68 @@ def test_wrapped_licences(table):
 # --- toxicity
 
 
-def test_toxicity(table, odd, empty, labels):
-    rng = random.Random(12)
-    syll = "the on er in an re at th".split()
-    word = lambda: "".join(rng.choice(syll) for _ in range(rng.randint(1, 3)))
-    rows, lab = [], []
-    for k in range(600):
+def toxic_rows(rng, n, syllables, stems, every=6):
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 3)))
+    for k in range(n):
         t = [word() for _ in range(rng.randint(30, 80))]
-        bad = k % 6 == 0
-        if bad:
+        if k % every == 0:
             for _ in range(5):
-                t[rng.randrange(len(t))] = rng.choice(["blockhead", "zuckwurm", "quompf"]) + rng.choice(["", "ly", "s"])
-        rows.append((k, " ".join(t)))
-        lab.append((k, 1, int(bad)))
+                t[rng.randrange(len(t))] = rng.choice(stems) + rng.choice(["", *syllables])
+        yield " ".join(t), int(k % every == 0)
+
+
+def test_toxicity(table, odd, empty, labels):
+    rng = random.Random(12)
+    rows, lab, kind = [], [], {}
+    for name, syll, stems in (("x", "the on er in an re at th".split(), ["blockhead", "zuckwurm", "quompf"]), ("y", "que la do ción mi tar".split(), ["brumasco", "vilño"]), ("z", "ein ung sch ver keit".split(), ["dröblich"])):
+        for t, bad in toxic_rows(rng, 600, syll, stems):
+            kind[len(rows)] = (name, bad)
+            lab.append((len(rows), 1, bad))
+            rows.append((len(rows), t))
     docs, labelled = table(rows), table(lab, "doc_id long, quality int, toxic int")
     model = toxicity.train(docs, labelled)
     got = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, model).collect()}
-    assert all(got[k]["predicted"] == int(k % 6 == 0) for k in range(600) if got[k]["held_out"])
+    for name in "xyz":  # held-out recall of each language, and what is left alone
+        held = [k for k in kind if kind[k][0] == name and got[k]["held_out"]]
+        assert np.mean([got[k]["predicted"] for k in held if kind[k][1]]) >= 0.9, name
+        assert np.mean([got[k]["predicted"] for k in held if not kind[k][1]]) <= 0.02, name
     assert toxicity.drop_toxic(docs, model).count() == sum(1 - r["predicted"] for r in got.values())
     out = toxicity.score_toxicity(clashing(odd), toxicity.train(odd, labels)).collect()
     assert len(out) == len(odd_rows()) and all(0 <= r["score"] <= 1 for r in out)
     assert toxicity.score_toxicity(empty, toxicity.train(empty, labels)).count() == 0
     assert toxicity.drop_toxic(clashing(odd), model).columns == clashing(odd).columns
+    odd_scores = {str(r["doc_id"]) + (r["score"] >= 0.7) * "!" for r in toxicity.score_toxicity(odd, model).collect()}
+    assert not any("!" in x for x in odd_scores)
+
+
+def test_toxicity_with_few_or_contradicting_labels(table):
+    rng = random.Random(3)
+    made = list(toxic_rows(rng, 90, "the on er in".split(), ["blockhead"], every=3))
+    docs = table([(k, t) for k, (t, _) in enumerate(made)] * 2)
+    both = table([(k, 1, y) for k, (_, y) in enumerate(made)] + [(k, 1, 1 - y) for k, (_, y) in enumerate(made)] + [(None, 1, 1), (7, 1, None)], "doc_id long, quality int, toxic int")
+    out = toxicity.score_toxicity(docs, toxicity.train(docs, both)).collect()  # every id counts as toxic, so nothing is learned
+    assert {r["score"] for r in out} == {0.0} and len(out) == 180
+    few = table([(0, 1, 1), (1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    assert all(0 <= r["score"] <= 1 for r in toxicity.score_toxicity(docs, toxicity.train(docs, few)).collect())
+
+
+def test_sample_is_bounded(table):
+    from kindred.llm import common
+
+    docs = table([(k % 400, "t" * (k % 400)) for k in range(2000)])
+    lab = table([(k % 400, 1, int(k % 4 == 0)) for k in range(800)], "doc_id long, quality int, toxic int")
+    got = common.labelled_sample(docs, lab, "toxic", {0: 30, 1: 10}, F.lit(True), "s", 300)
+    assert sum(y == 0 for _, _, y in got) <= 30 and sum(y == 1 for _, _, y in got) <= 10 and len(got) > 20
+    assert len({i for i, _, _ in got}) == len(got) and all(len(t) == i <= 300 and y == int(i % 4 == 0) for i, t, y in got)
+
+
+def test_windows_hold_every_word():
+    rng = random.Random(1)
+    for _ in range(200):
+        words = ["".join(rng.choice("abé") for _ in range(rng.choice([1, 3, 9, 200]))).encode() for _ in range(rng.randrange(12))]
+        found = toxicity.windows_of(words)
+        assert b"".join(w[len(toxicity.CARRIER) :] for w in found).replace(b" ", b"") == b"".join(words)
+        assert all(len(w) <= toxicity.BYTES + len(toxicity.CARRIER) for w in found)
 
 
 # --- pipeline
