@@ -18,6 +18,8 @@ from kindred.functions.features import build_feature
 from kindred.functions.transforms import apply_transform
 from kindred.functions.trees import tree_condition
 from kindred.operators import blocking, decide, households, ml, pairs, prepare, reports, selections
+from kindred.plans import name_queries
+from kindred.plans.name_queries import jw_sql
 from kindred.sources import io
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -279,7 +281,6 @@ _CMP: dict[str, list[tuple[dict, str]]] = {
         ({"comparison_type": "existing_marr", "column_name": "bal", "lower_threshold": 5}, "b.bal >= 5"),
     ],
     "cmp_sql_condition": [({"comparison_type": "sql_condition", "condition": "a.x + coalesce(b.x, 0) > 3 or a.f = 'B'"}, "a.x + coalesce(b.x, 0) > 3 OR a.f = 'B'")],
-    "cmp_jw_short": [({"comparison_type": "jaro_winkler_street", "column_name": "f", "boundary": "y"}, "CASE WHEN a.y = b.y AND a.f <> '' THEN CAST(a.f = b.f AS INTEGER)::DOUBLE ELSE 0.0 END")],
 }
 
 
@@ -304,16 +305,30 @@ def cmp_jw_supplier(spark, sf_dir):
     return out.withColumn("jw", F.round("jw", 6))
 
 
-@query("cmp_jw_part")
+_NAMES = "(SELECT DISTINCT p_type, p_name FROM part)"
+
+
+@query(
+    "cmp_jw_part",
+    f"WITH n AS MATERIALIZED {_NAMES}, {jw_sql('jw', '(SELECT a.p_name AS x, b.p_name AS y FROM n a JOIN n b ON a.p_type = b.p_type AND a.p_name < b.p_name)')} "
+    "SELECT a.p_type, a.p_name AS name_a, b.p_name AS name_b, round(jw, 9) AS jw FROM n a JOIN n b ON a.p_type = b.p_type AND a.p_name < b.p_name JOIN jw ON jw.x = a.p_name AND jw.y = b.p_name",
+)
 def cmp_jw_part(spark, sf_dir):
     """Jaro-Winkler of all distinct part names within a type: pairs of distinct values, not of rows."""
     names = table(spark, sf_dir, "part").select("p_type", "p_name").distinct()
     a, b = names.alias("a"), names.alias("b")
     met = a.join(b, (F.col("a.p_type") == F.col("b.p_type")) & (F.col("a.p_name") < F.col("b.p_name")))
-    return met.select(F.col("a.p_type").alias("p_type"), F.col("a.p_name").alias("name_a"), F.col("b.p_name").alias("name_b"), build_feature({"alias": "jw", "comparison_type": "jaro_winkler", "column_name": "p_name"}))
+    return met.select(F.col("a.p_type").alias("p_type"), F.col("a.p_name").alias("name_a"), F.col("b.p_name").alias("name_b"), F.round(build_feature({"alias": "jw", "comparison_type": "jaro_winkler", "column_name": "p_name"}), 9).alias("jw"))
+
+
+_WORDS = "(SELECT p_partkey AS id, p_brand, p_type, split_part(p_name, ' ', 1) AS w1, split_part(p_name, ' ', 2) AS w2, p_size FROM part)"
 
 
-@query("cmp_multi_jw")
+@query(
+    "cmp_multi_jw",
+    f"WITH p AS MATERIALIZED {_WORDS}, w AS (SELECT DISTINCT w1 AS w FROM p UNION SELECT DISTINCT w2 FROM p), {jw_sql('jw', '(SELECT a.w AS x, b.w AS y FROM w a, w b)')} "
+    "SELECT a.id AS id_a, b.id AS id_b, a.p_size = b.p_size AND EXISTS (SELECT 1 FROM jw WHERE jw >= 0.9 AND x IN (a.w1, a.w2) AND y IN (b.w1, b.w2)) AS hit FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.id < b.id",
+)
 def cmp_multi_jw(spark, sf_dir):
     words = lambda c: F.split(c, " ")
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_brand", "p_type", F.get(words("p_name"), F.lit(0)).alias("w1"), F.get(words("p_name"), F.lit(1)).alias("w2"), F.col("p_size").alias("s1"), F.col("p_size").alias("s2"))
@@ -562,19 +577,23 @@ def decide_one_to_one(spark, sf_dir):
     return decide.one_to_one(e, "id")
 
 
-# --- household rounds: orders are records, customers households; round 1 links orders of one day
+# --- household rounds: orders are records, customers households; urgent orders link to the others of their customer
 
 
 def _round_sides(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("serialp"), "o_orderstatus", F.floor(F.col("o_totalprice") / 10000).cast("int").alias("price"))
-    a, b = o.where("id % 2 = 0"), o.where("id % 2 = 1")
-    matches = a.select(F.col("id").alias("id_a"), F.col("serialp").alias("s_a")).where("id_a % 10 = 0").join(b.select(F.col("id").alias("id_b"), F.col("serialp").alias("s_b")).where("id_b % 10 = 1"), F.col("id_b") == F.col("id_a") + 1).select("id_a", "id_b")
+    """Both sides, and as first round the pairs of one customer that alone share a status and price band on either side."""
+    urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("serialp"), "o_orderstatus", F.floor(F.col("o_totalprice") / 10000).cast("int").alias("price"), urgent.alias("urgent"))
+    a, b = o.where("urgent").drop("urgent"), o.where("not urgent").drop("urgent")
+    alone = [d.groupBy("serialp", "o_orderstatus", "price").agg(F.min("id").alias(f"id_{x}"), F.count("*").alias(f"n_{x}")).where(f"n_{x} = 1") for x, d in (("a", a), ("b", b))]
+    matches = alone[0].join(alone[1], ["serialp", "o_orderstatus", "price"]).select("id_a", "id_b")
     return a, b, matches
 
 
-_ROUND = """a AS (SELECT o_orderkey AS id, o_custkey AS serialp, o_orderstatus, CAST(floor(o_totalprice / 10000) AS INTEGER) AS price FROM orders WHERE o_orderkey % 2 = 0),
-    b AS (SELECT o_orderkey AS id, o_custkey AS serialp, o_orderstatus, CAST(floor(o_totalprice / 10000) AS INTEGER) AS price FROM orders WHERE o_orderkey % 2 = 1),
-    m AS (SELECT a.id AS id_a, b.id AS id_b FROM a JOIN b ON b.id = a.id + 1 WHERE a.id % 10 = 0),
+_SIDE = "SELECT o_orderkey AS id, o_custkey AS serialp, o_orderstatus, CAST(floor(o_totalprice / 10000) AS INTEGER) AS price FROM orders WHERE o_orderpriority {} ('1-URGENT', '2-HIGH')"
+_ALONE = "(SELECT serialp, o_orderstatus, price, min(id) AS id FROM {} GROUP BY ALL HAVING count(*) = 1)"
+_ROUND = f"""a AS MATERIALIZED ({_SIDE.format("IN")}), b AS MATERIALIZED ({_SIDE.format("NOT IN")}),
+    m AS MATERIALIZED (SELECT x.id AS id_a, y.id AS id_b FROM {_ALONE.format("a")} x JOIN {_ALONE.format("b")} y USING (serialp, o_orderstatus, price)),
     hh AS (SELECT DISTINCT a.serialp AS serialp_a, b.serialp AS serialp_b FROM m JOIN a ON a.id = m.id_a JOIN b ON b.id = m.id_b),
     blocked AS (SELECT DISTINCT a.id AS id_a, b.id AS id_b, serialp_a, serialp_b FROM hh JOIN a ON a.serialp = serialp_a JOIN b ON b.serialp = serialp_b WHERE a.id NOT IN (SELECT id_a FROM m) AND b.id NOT IN (SELECT id_b FROM m))"""
 
@@ -624,11 +643,12 @@ def hh_all_members(spark, sf_dir):
 
 def _rounds(spark, sf_dir):
     a, b, m = _round_sides(spark, sf_dir)
-    second = households.block_on_households(m, a, b, "id").where("id_a % 3 = 0").select("id_a", "id_b")
-    return a, b, m, second
+    blocked = households.block_on_households(m, a, b, "id")
+    near = pairs.compare(spark, blocked, a, b, "id", [{"alias": "gap", "comparison_type": "abs_diff", "column_name": "price"}], {"feature_name": "gap", "comparison_type": "threshold", "threshold_expr": "<= 3"})
+    return a, b, m, near.select("id_a", "id_b")
 
 
-_ROUNDS = _ROUND + ", m2 AS (SELECT id_a, id_b FROM blocked WHERE id_a % 3 = 0), la AS (SELECT *, CASE WHEN id IN (SELECT id_a FROM m) THEN 1 WHEN id IN (SELECT id_a FROM m2) THEN 2 ELSE 0 END AS rnd FROM a), lb AS (SELECT *, CASE WHEN id IN (SELECT id_b FROM m) THEN 1 WHEN id IN (SELECT id_b FROM m2) THEN 2 ELSE 0 END AS rnd FROM b)"
+_ROUNDS = _ROUND + ", m2 AS (SELECT id_a, id_b FROM blocked JOIN a ON a.id = id_a JOIN b ON b.id = id_b WHERE abs(b.price - a.price) <= 3), la AS (SELECT *, CASE WHEN id IN (SELECT id_a FROM m) THEN 1 WHEN id IN (SELECT id_a FROM m2) THEN 2 ELSE 0 END AS rnd FROM a), lb AS (SELECT *, CASE WHEN id IN (SELECT id_b FROM m) THEN 1 WHEN id IN (SELECT id_b FROM m2) THEN 2 ELSE 0 END AS rnd FROM b)"
 
 
 @query(
@@ -788,24 +808,28 @@ def link_parts(spark, sf_dir):
     return pairs.compare(spark, ids, a, b, "id", specs, tree)
 
 
-@query("link_parts_jw")
+@query(
+    "link_parts_jw",
+    f"WITH p AS MATERIALIZED (SELECT p_partkey AS id, lower(trim(p_name)) AS name, p_brand, p_size FROM part), {jw_sql('jw', '(SELECT a.name AS x, b.name AS y FROM (SELECT DISTINCT name FROM p) a, (SELECT DISTINCT name FROM p) b)')} "
+    "SELECT a.id AS id_a, b.id AS id_b, round(jw, 9) AS jw FROM p a JOIN p b ON a.p_brand = b.p_brand AND abs(a.p_size - b.p_size) <= 1 AND a.id < b.id JOIN jw ON jw.x = a.name AND jw.y = b.name WHERE jw >= 0.8",
+)
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with Jaro-Winkler of names: the flagship."""
-    source = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), apply_transform(F.col("p_name"), {"type": "lowercase_strip"}, True).alias("name"), "p_brand", "p_type", "p_size")
-    rules = [{"column_name": "p_brand"}, {"column_name": "p_type"}, {"column_name": "size_1", "explode": True, "expand_length": 1, "derived_from": "p_size", "dataset": "a"}]
+    """Map, block on brand and a band of sizes, Jaro-Winkler of names, threshold: the flagship."""
+    source = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), apply_transform(F.col("p_name"), {"type": "lowercase_strip"}, True).alias("name"), "p_brand", "p_size")
+    rules = [{"column_name": "p_brand"}, {"column_name": "size_1", "explode": True, "expand_length": 1, "derived_from": "p_size", "dataset": "a"}]
     ids = blocking.candidate_ids(source, source, rules, "id", unordered=True)
     specs = [{"alias": "jw", "comparison_type": "jaro_winkler", "column_name": "name"}]
     tree = {"feature_name": "jw", "comparison_type": "threshold", "threshold": 0.8}
-    return pairs.compare(spark, ids, source, source, "id", specs, tree)
+    return pairs.compare(spark, ids, source, source, "id", specs, tree).withColumn("jw", F.round("jw", 9))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return _QUERIES | name_queries.queries()
 
 
 @cache
 def _sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | name_queries.oracle_sql()
 
 
 def oracle_sql() -> dict[str, str]:

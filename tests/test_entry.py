@@ -40,4 +40,20 @@ def test_every_sql_has_a_query():
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are not here")
 def test_flagship(spark):
-    assert set(entry.entry(spark).columns) == {"id_a", "id_b", "jw"}
+    df = entry.entry(spark)
+    assert set(df.columns) == {"id_a", "id_b", "jw"} and df.count() > 0
+
+
+def test_without_the_training_data_operators(tmp_path):
+    """A copy without the subpackage and its tests still imports and has the linkage engine's queries."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    shutil.copytree(os.path.join(root, "kindred"), tmp_path / "kindred", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for f in ("__spark_entry__.py", "corpus_pipeline.py", "bench.py"):
+        if os.path.exists(os.path.join(root, f)):
+            shutil.copy(os.path.join(root, f), tmp_path)
+    says = "import __spark_entry__ as e, kindred.cli; q = e.queries(); assert len(q) > 90 and not any(k.startswith('op') or k == 'pipeline' for k in q) and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", says], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
