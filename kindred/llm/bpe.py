@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding by a global distinct-word shuffle.
 
 Documents stand in chunks, consecutive rows of a scan partition with about CHUNK characters. The distinct pre-tokens of
-each chunk are numbered in order of appearance and shuffled by word, so that each distinct word of the corpus meets in one
-place (frequent ones in SALTS places) and is encoded once there; its ids travel back to the chunk by number. A document
-waits for them as its pre-tokens' numbers in order of position, compressed, and is reassembled by position. No word is
-hot: it is shuffled once for a chunk that has it, not once for each occurrence. Decoding looks every id up in the token-byte table.
+each chunk are numbered and shuffled by word: a word's hash names its bucket, where it meets itself from all chunks and is
+encoded once, and its ids travel back to the chunk by number. A document waits for them as its pre-tokens' numbers in order
+of position, and is reassembled by position. No word is hot: it is shuffled once for a chunk that has it, not once for
+each occurrence, and buckets are alike. Decoding looks every id up in the token-byte table. What travels is packed: a row
+holds a chunk's words of a bucket, or the numbers of some documents, compressed.
 
 The scan is read twice, once for the words and once for the documents' numbers, and gives equal numbers both times; a
 written table of both would cost as much disk as the shuffles themselves.
@@ -19,7 +20,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from array import array
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,11 +34,35 @@ from pyspark.sql import functions as F
 
 from kindred.llm.common import map_batches, scanned
 
-CHUNK = 6_000_000
+CHUNK = 12_000_000
 ROWS = 512
-SALTS = 16
-#: Numbers of words stand before the rows of their chunk.
-BEFORE = 1 << 40
+#: Words that a bucket remembers; beyond it, it starts anew.
+MEMO = 500_000
+#: Rows of words stand before the rows of their chunk's documents.
+WORDS = -1
+
+
+def pack(*arrays: np.ndarray, tail: bytes = b"") -> bytes:
+    """Arrays of unsigned numbers below 2^32 and some bytes, compressed; the four bytes of all numbers stand in planes, of which the high ones are nearly constant."""
+    sizes = np.array([len(arrays), *map(len, arrays)], "<u4").tobytes()
+    planes = [np.asarray(x, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in arrays]
+    return zs.ZstdCompressor(level=3).compress(sizes + b"".join(planes) + tail)
+
+
+def unpack(body: bytes) -> tuple[list[np.ndarray], bytes]:
+    raw = zs.ZstdDecompressor().decompress(body)
+    k = int(np.frombuffer(raw, "<u4", 1)[0])
+    sizes, at, out = np.frombuffer(raw, "<u4", k, 4).tolist(), 4 * (k + 1), []
+    for n in sizes:
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, at).reshape(4, -1).T).view("<u4").ravel())
+        at += 4 * n
+    return out, raw[at:]
+
+
+def cut(data: bytes, sizes: np.ndarray) -> list[bytes]:
+    """data in pieces of the given sizes."""
+    ends = np.cumsum(sizes, dtype=np.int64).tolist()
+    return [data[x:y] for x, y in zip([0, *ends[:-1]], ends)]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -113,7 +140,7 @@ def _encoder(ranks: dict[bytes, int], pattern: str):
 
 
 class Chunk:
-    """The distinct pre-tokens of some documents, numbered in order of appearance."""
+    """The distinct pre-tokens of some documents, numbered in order of appearance; those of the first texts by frequency."""
 
     def __init__(self, splitter: Splitter):
         self.splitter = splitter
@@ -134,7 +161,8 @@ class Chunk:
                     blank += words[1:]
         find, number = self.splitter.findall, self.number
         for known, lead, found in zip(self.pieces, ("", " "), (plain, blank), strict=True):
-            for p in dict.fromkeys(found):
+            first = Counter(found) if not known else None
+            for p in sorted(first, key=first.get, reverse=True) if first else dict.fromkeys(found):
                 if p not in known:
                     known[p] = array("I", [number.setdefault(w, len(number)) for w in find(lead + p)]).tobytes()
         return parsed
@@ -171,56 +199,72 @@ def _chunks(batches: Iterator[pa.RecordBatch], pattern: str, chars: int) -> Iter
 
 
 def distinct_words(docs: DataFrame, pattern: str, chars: int = CHUNK) -> DataFrame:
-    """chunk, at, word: a row for each distinct pre-token of each chunk; `at` is its number less BEFORE."""
-    schema = pa.schema([("chunk", pa.int64()), ("at", pa.int64()), ("word", pa.string())])
+    """bucket, chunk, body: the distinct pre-tokens of each chunk by bucket; packed numbers (their differences), sizes and bytes."""
+    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("body", pa.binary())])
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
         for k, chunk, _, _, ends in _chunks(batches, pattern, chars):
-            if ends and chunk.number:
-                words = list(chunk.number)
-                for at in range(0, len(words), 50_000):
-                    some = words[at : at + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k)), pa.array(np.arange(at, at + len(some)) - BEFORE), pa.array(some, pa.string())], schema=schema)
+            if not ends or not chunk.number:
+                continue
+            words = [w.encode() for w in chunk.number]
+            of = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % buckets
+            order = np.argsort(of, kind="stable")
+            found, starts = np.unique(of[order], return_index=True)
+            bodies = []
+            for numbers in np.split(order, starts[1:]):
+                own = [words[n] for n in numbers]
+                bodies.append(pack(np.diff(numbers, prepend=0), np.fromiter(map(len, own), np.int64, len(own)), tail=b"".join(own)))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(np.full(len(found), k)), pa.array(bodies, pa.binary())], schema=schema)
 
-    return docs.mapInArrow(run, "chunk long, at long, word string")
+    return docs.mapInArrow(run, "bucket int, chunk long, body binary")
+
+
+_BACK = pa.schema([("chunk", pa.int64()), ("at", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("body", pa.binary())])
 
 
 def numbered_documents(docs: DataFrame, pattern: str, chars: int = CHUNK) -> DataFrame:
-    """chunk, at, doc_id, body: a row for each document; the compressed numbers of its pre-tokens, `at` its row in the partition."""
-    schema = pa.schema([("chunk", pa.int64()), ("at", pa.int64()), ("doc_id", pa.int64()), ("body", pa.binary())])
+    """chunk, at, doc_ids, body: some documents, from row `at` of the partition on; packed counts of pre-tokens, and their numbers."""
 
     def run(batches):
-        press = zs.ZstdCompressor(level=3).compress
         row = 0
         for k, chunk, ids, parsed, _ in _chunks(batches, pattern, chars):
-            bodies = []
-            for parts in parsed:
-                raw = np.frombuffer(chunk.numbers(parts), np.uint8).reshape(-1, 4)  # the four bytes of all numbers stand in planes: the high ones are nearly constant
-                bodies.append(press(raw.T.tobytes()))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), k)), pa.array(np.arange(row, row + len(ids))), pa.array(ids, pa.int64()), pa.array(bodies, pa.binary())], schema=schema)
+            if not ids:
+                continue
+            each = [chunk.numbers(parts) for parts in parsed]
+            body = pack(np.fromiter(map(len, each), np.int64, len(each)) // 4, np.frombuffer(b"".join(each), np.uint32))
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([row]), pa.array([ids], pa.list_(pa.int64())), pa.array([body], pa.binary())], schema=_BACK)
             row += len(ids)
 
-    return docs.mapInArrow(run, "chunk long, at long, doc_id long, body binary")
+    return docs.mapInArrow(run, "chunk long, at long, doc_ids array<long>, body binary")
 
 
 def encoded_words(words: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """chunk, at, doc_id (null), body: the ids of each row's word; equal words meet and are encoded once."""
+    """chunk, at (WORDS), doc_ids (null), body: packed numbers (their differences), counts of ids, and ids; equal words meet and are encoded once."""
     vocab = words.sparkSession.sparkContext.broadcast(ranks)  # the vocabulary file, of fixed size
-    schema = pa.schema([("chunk", pa.int64()), ("at", pa.int64()), ("doc_id", pa.int64()), ("body", pa.binary())])
-    met = words.repartition("word", F.pmod("chunk", F.lit(SALTS))).sortWithinPartitions("word")
+    met = words.repartition("bucket").sortWithinPartitions("bucket")
 
     def run(batches):
         enc = _encoder(vocab.value, pattern)
-        last = (None, b"")
+        memo: dict[bytes, array] = {}
+        now = None
         for b in batches:
-            each = b.column("word").dictionary_encode()
-            ids = [last[1] if w == last[0] else array("I", enc.encode_ordinary(w)).tobytes() for w in each.dictionary.to_pylist()]
-            if ids:
-                last = (each.dictionary[-1].as_py(), ids[-1])
-            yield pa.RecordBatch.from_arrays([b.column("chunk"), b.column("at"), pa.nulls(b.num_rows, pa.int64()), pa.array(ids, pa.binary()).take(each.indices)], schema=schema)
-
-    return met.mapInArrow(run, "chunk long, at long, doc_id long, body binary")
+            bodies = []
+            for bucket, body in zip(b.column("bucket").to_pylist(), b.column("body").to_pylist(), strict=True):
+                if bucket != now or len(memo) > MEMO:
+                    now, memo = bucket, {}
+                (steps, sizes), data = unpack(body)
+                own = cut(data, sizes)
+                for w in own:
+                    if w not in memo:
+                        memo[w] = array("I", enc.encode_ordinary(w.decode()))
+                each = [memo[w] for w in own]
+                ids = np.frombuffer(b"".join(x.tobytes() for x in each), np.uint32)
+                bodies.append(pack(steps, np.fromiter(map(len, each), np.int64, len(each)), ids))
+            n = b.num_rows
+            yield pa.RecordBatch.from_arrays([b.column("chunk"), pa.array(np.full(n, WORDS)), pa.nulls(n, pa.list_(pa.int64())), pa.array(bodies, pa.binary())], schema=_BACK)
+
+    return met.mapInArrow(run, "chunk long, at long, doc_ids array<long>, body binary")
 
 
 def _reassembled(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chars: int, schema: str, start: Callable, finish: Callable) -> DataFrame:
@@ -230,23 +274,25 @@ def _reassembled(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chars:
     back = back.repartition("chunk").sortWithinPartitions("chunk", "at")
 
     def run(parts):
-        open_press = zs.ZstdDecompressor().decompress
-        now, ids, words = None, [], None
+        now, found, words = None, [], None
         for b in parts:
-            out = []
-            for chunk, at, doc_id, body in zip(b["chunk"], b["at"], b["doc_id"], b["body"], strict=True):
+            for chunk, at, doc_ids, body in zip(b["chunk"], b["at"], b["doc_ids"], b["body"], strict=True):
                 if chunk != now:
-                    now, ids, words = chunk, [], None
-                if at < 0:
-                    ids.append(body)
+                    now, found, words = chunk, [], None
+                if at == WORDS:
+                    found.append(body)
                     continue
                 if words is None:
-                    words = start(ids)
-                planes = np.frombuffer(open_press(body), np.uint8).reshape(4, -1)
-                out.append(finish(words, (chunk >> 20 << 33) + at, doc_id, np.ascontiguousarray(planes.T).view(np.uint32).ravel()))
-            yield out
-
-    return map_batches(back, schema, run, rows=4096)
+                    ids: dict[int, bytes] = {}
+                    for packed in found:
+                        (steps, counts, own), _ = unpack(packed)
+                        ids.update(zip(np.cumsum(steps, dtype=np.int64).tolist(), cut(own.tobytes(), counts.astype(np.int64) * 4)))
+                    words, found = start([ids[k] for k in range(len(ids))]), []
+                (counts, numbers), _ = unpack(body)
+                ends = np.cumsum(counts, dtype=np.int64).tolist()
+                yield [finish(words, (chunk >> 20 << 33) + at + k, i, numbers[x:y]) for k, (i, x, y) in enumerate(zip(doc_ids, [0, *ends[:-1]], ends, strict=True))]
+
+    return map_batches(back, schema, run, rows=64)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chars: int = CHUNK) -> DataFrame:
