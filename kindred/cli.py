@@ -163,7 +163,7 @@ class Shell(cmd.Cmd):
     def do_x_tab(self, arg):
         """x_tab TABLE COLUMN..."""
         name, *cols = shlex.split(arg)
-        self._print(self.frame(name).groupBy(*cols).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *cols), False)
+        self._print(reports.tabulate(self.frame(name), cols).orderBy(F.desc("n"), *cols), False)
 
     def do_x_persist(self, arg):
         """x_persist TABLE: write it to the warehouse"""

@@ -72,18 +72,18 @@ def household_aggregates(
     """jw_max_a and jw_max_b: the best first-name similarity among the *other* candidates of a B record in a household pair.
 
     Only candidates whose birth years are at most `years` apart count, for jw_max_b only those of equal sex too; 0 if
-    there is none. Best and second best of the group give the maximum over everyone else, so no frame is walked per row.
+    there is none. The best of the group, how often it occurs and the best below it give the maximum over everyone else.
     """
     near = F.col(born) <= years
     w = Window.partitionBy(f"{id_column}_b", f"{serial}_a", f"{serial}_b")
     for name, ok in (("jw_max_a", near), ("jw_max_b", near & (F.col(sex).cast("int") == 1))):
         if name not in wanted:
             continue
-        entry = F.struct(F.when(ok, F.col(jw)).otherwise(0.0).alias("v"), F.col(f"{id_column}_a").alias("i"))
-        df = df.withColumn("__top", F.slice(F.sort_array(F.collect_list(entry).over(w), asc=False), 1, 2))
-        first, second = F.get("__top", F.lit(0)), F.get("__top", F.lit(1))
-        best = F.when(first["i"] == F.col(f"{id_column}_a"), second["v"]).otherwise(first["v"])
-        df = df.withColumn(name, F.coalesce(best, F.lit(0.0))).drop("__top")
+        df = df.withColumn("__v", F.coalesce(F.when(ok, F.col(jw).cast("double")), F.lit(0.0))).withColumn("__top", F.max("__v").over(w))
+        is_top = F.col("__v") == F.col("__top")
+        df = df.withColumn("__tops", F.count_if(is_top).over(w)).withColumn("__next", F.max(F.when(~is_top, F.col("__v"))).over(w))
+        alone = is_top & (F.col("__tops") == 1)
+        df = df.withColumn(name, F.when(alone, F.coalesce("__next", F.lit(0.0))).otherwise(F.col("__top"))).drop("__v", "__top", "__tops", "__next")
     return df
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -66,10 +67,16 @@ def differs_by_group(column: str, other: str, group: str, width: int) -> Column:
     return F.when(F.col(column).try_cast("int") != F.col(other).try_cast("int"), interval(group, width)).otherwise("null")
 
 
-def commonality(column: str) -> Column:
-    """How common a name is: 1-5, 6-20, 21-60 or 61- bearers."""
-    n = F.count("*").over(Window.partitionBy(column))
-    return F.when(n <= 5, "1-5").when(n <= 20, "6-20").when(n <= 60, "21-60").otherwise("61-")
+def commonality(column: str) -> Callable[[DataFrame, str], DataFrame]:
+    """How common a name is: 1-5, 6-20, 21-60 or 61- bearers. A function that adds the column, since names are counted first and joined then."""
+
+    def add(df: DataFrame, name: str) -> DataFrame:
+        bearers = df.groupBy(F.col(column).alias("__name")).agg(F.count("*").alias("__n"))
+        n = F.col("__n")
+        size = F.when(n <= 5, "1-5").when(n <= 20, "6-20").when(n <= 60, "21-60").otherwise("61-")
+        return df.join(bearers, F.col(column).eqNullSafe(F.col("__name")), "left").withColumn(name, size).drop("__name", "__n")
+
+    return add
 
 
 def children_over(relate: str, age: str, serial: str, low: int = 300, high: int = 399, years: int = 10) -> Column:
@@ -81,7 +88,7 @@ def plain(column: str) -> Column:
     return F.col(column).cast("string")
 
 
-def representivity(a: DataFrame, b: DataFrame, first: DataFrame, second: DataFrame, features: dict[str, Column], id_column: str = "histid") -> DataFrame:
+def representivity(a: DataFrame, b: DataFrame, first: DataFrame, second: DataFrame, features: dict[str, Column | Callable], id_column: str = "histid") -> DataFrame:
     """feature, value, then count and percent of each side in all records and those linked in round 1 and in round 2.
 
     Both sides are unpivoted to (feature, value) and counted in one aggregation each.
@@ -89,7 +96,9 @@ def representivity(a: DataFrame, b: DataFrame, first: DataFrame, second: DataFra
     sides = []
     for side, df in (("a", a), ("b", b)):
         marked = _round(df, first, second, id_column, side)
-        cells = marked.select("linked_round", *[c.alias(f"__f{k}") for k, c in enumerate(features.values())])
+        for k, f in enumerate(features.values()):
+            marked = marked.withColumn(f"__f{k}", f) if isinstance(f, Column) else f(marked, f"__f{k}")
+        cells = marked.select("linked_round", *[f"__f{k}" for k in range(len(features))])
         pairs = F.array(*[F.struct(F.lit(n).alias("feature"), F.coalesce(F.col(f"__f{k}"), F.lit("null")).alias("value")) for k, n in enumerate(features)])
         long = cells.select("linked_round", F.inline(pairs))
         sums = long.groupBy("feature", "value").agg(F.count("*").alias(f"n_{side}"), F.count_if(F.col("linked_round") == 1).alias(f"n_{side}_r1"), F.count_if(F.col("linked_round") == 2).alias(f"n_{side}_r2"))
@@ -113,7 +122,40 @@ def crosswalk(matches: list[DataFrame], raw_a: DataFrame, raw_b: DataFrame, id_c
     return out.join(left, F.col(f"{id_column}_a") == F.col("__ia")).join(right, F.col(f"{id_column}_b") == F.col("__ib")).drop("__ia", "__ib")
 
 
-def report_features(spec: list[dict[str, Any]]) -> dict[str, Column]:
+# The features of the report where a configuration names none.
+DEFAULT_FEATURES = (
+    {"label": "sex", "kind": "plain", "column": "sex"},
+    {"label": "age", "kind": "interval", "column": "age", "width": 10},
+    {"label": "race", "kind": "plain", "column": "race_div_100"},
+    {"label": "relationship to household head", "kind": "plain", "column": "relate_div_100"},
+    {"label": "marst", "kind": "plain", "column": "marst"},
+    {"label": "married", "kind": "below", "column": "marst", "limit": 3},
+    {"label": "married, by age", "kind": "low_by_group", "column": "marst", "limit": 3, "group": "age", "width": 10},
+    {"label": "marriage duration at least ten years", "kind": "above", "column": "durmarr", "limit": 9, "dni": 99},
+    {"label": "marriage duration at least 10 years, by age", "kind": "high_by_group", "column": "durmarr", "limit": 9, "group": "age", "width": 10, "dni": 99},
+    {"label": "region of residence", "kind": "plain", "column": "region_of_residence"},
+    {"label": "region of birth", "kind": "plain", "column": "region"},
+    {"label": "socioeconomic status", "kind": "interval", "column": "sei", "width": 15},
+    {"label": "lifetime migrant", "kind": "differs", "column": "bpl_clean", "other": "statefip"},
+    {"label": "lifetime migrant by age", "kind": "differs_by_group", "column": "bpl_clean", "other": "statefip", "group": "age", "width": 10},
+    {"label": "namefrst_unstd commonality", "kind": "commonality", "column": "namefrst_unstd"},
+    {"label": "namefrst_std commonality", "kind": "commonality", "column": "namefrst_std"},
+    {"label": "namelast_clean commonality", "kind": "commonality", "column": "namelast_clean"},
+)
+
+
+def default_features(columns: list[str]) -> list[dict[str, Any]]:
+    """Those of DEFAULT_FEATURES whose columns are there."""
+    have = {c.lower() for c in columns}
+    return [s for s in DEFAULT_FEATURES if {s[k] for k in ("column", "other", "group") if k in s} <= have]
+
+
+def tabulate(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows for each combination of values."""
+    return df.groupBy(*columns).agg(F.count("*").alias("n"))
+
+
+def report_features(spec: list[dict[str, Any]]) -> dict[str, Column | Callable]:
     """Features of a configuration: [{label, kind, ...arguments of the builder named kind}]."""
     kinds = {f.__name__: f for f in (plain, interval, below, above, low_by_group, high_by_group, differs, differs_by_group, commonality, children_over)}
     return {s["label"]: kinds[s["kind"]](**{k: v for k, v in s.items() if k not in ("label", "kind")}) for s in spec}

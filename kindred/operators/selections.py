@@ -30,17 +30,24 @@ def minhash(tokens: Column, number: int, seed: int = 445123) -> Column:
 def popularity(df: DataFrame, output: str, columns: list[str] | None = None, range_column: str | None = None, reach: int | None = None) -> DataFrame:
     """How many rows share the columns' values, within `reach` of the range column if given.
 
-    A band count is computed on distinct values: counts per (columns, value), a band join of those, and a join back.
-    So no group of rows is ever sorted in one task, also without columns to partition by.
+    A band count is computed on distinct values: counts per (columns, value), each put into its own bucket of `reach` values
+    and the two beside it, a window over each bucket, and a join back. So no group of rows is ever sorted in one task,
+    also without columns to partition by, and a wide reach costs no more than a narrow one.
     """
     columns = list(columns or [])
+    if not columns and not (range_column and reach):
+        return df.withColumn(output, F.lit(df.count()))
     if not (range_column and reach):
         counts = df.groupBy(*[F.col(c).alias(f"__{c}") for c in columns]).agg(F.count("*").alias(output))
         return df.join(counts, _same(columns), "left").drop(*[f"__{c}" for c in columns])
     value = F.col(range_column).cast("long")
     n = df.groupBy(*columns, value.alias("__at")).agg(F.count("*").alias("__n"))
-    spread = n.select(*columns, "__n", F.explode(F.when(F.col("__at").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.sequence(F.col("__at") - reach, F.col("__at") + reach))).alias("__to"))
-    sums = spread.groupBy(*[F.col(c).alias(f"__{c}") for c in columns], "__to").agg(F.sum("__n").alias(output))
+    own = F.floor(F.col("__at") / reach)
+    near = F.when(own.isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array(own - 1, own, own + 1))
+    spread = n.withColumn("__home", own).withColumn("__bucket", F.explode(near))
+    band = Window.partitionBy(*columns, "__bucket").orderBy("__at").rangeBetween(-reach, reach)
+    summed = spread.withColumn(output, F.sum("__n").over(band)).where(F.col("__bucket").eqNullSafe(F.col("__home")))
+    sums = summed.select(*[F.col(c).alias(f"__{c}") for c in columns], F.col("__at").alias("__to"), output)
     on = _same(columns) & value.eqNullSafe(F.col("__to")) if columns else value.eqNullSafe(F.col("__to"))
     return df.join(sums, on, "left").drop("__to", *[f"__{c}" for c in columns])
 

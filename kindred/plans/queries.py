@@ -735,7 +735,7 @@ def export_as_text(spark, sf_dir):
 
 @query("tab_summary", "SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY ALL")
 def tab_summary(spark, sf_dir):
-    return table(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.count("*").alias("n"))
+    return reports.tabulate(table(spark, sf_dir, "part"), ["p_brand", "p_type"])
 
 
 # --- models: pairs of parts of one brand and type; the label is one name

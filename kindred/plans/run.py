@@ -1,25 +1,34 @@
 """A linkage run: a configuration, named frames, and tasks of steps over them.
 
-Frames are lazy; a step's output is written only if the registry has a warehouse and persisting is asked for.
+Every step's output is written to the run's warehouse and read back, so later steps start from files: nothing is
+computed twice, and a lost executor costs one step at most.
 """
 
 from __future__ import annotations
 
 import logging
 import time
+import uuid
 from collections.abc import Callable
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.functions.similarity import register_functions
 from kindred.operators import blocking, decide, households, ml, pairs, prepare, reports, selections
-from kindred.sources.io import Registry, check_text_columns, read_csv, read_datasource
+from kindred.sources.io import Registry, check_text_columns, read_csv, read_datasource, write_csv
 
 log = logging.getLogger(__name__)
 
 
+def default_warehouse(spark: SparkSession) -> str:
+    """A folder for one run's tables: in spark.checkpoint.dir, or in Spark's warehouse where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/link-run-{uuid.uuid4().hex}"
+
+
 class LinkRun:
     """Programmatic entry: LinkRun(spark, config).task("matching").run_all_steps()."""
 
@@ -27,7 +36,7 @@ class LinkRun:
         self.spark, self.config = spark, config
         register_functions(spark)
         self.use_preexisting_tables, self.print_sql = use_preexisting_tables, print_sql
-        self.tables = Registry(spark, warehouse)
+        self.tables = Registry(spark, warehouse or default_warehouse(spark))
         self.models: dict[str, ml.LinkModel] = {}
         self.tasks = {t.name: t for t in (make(self) for make in TASKS)}
 
@@ -43,6 +52,22 @@ class LinkRun:
 
     get_table = table
 
+    def _model_path(self, section: str) -> str:
+        return f"{self.tables.warehouse.rstrip('/')}/models/{section}"
+
+    def keep_model(self, section: str, model: ml.LinkModel) -> None:
+        self.models[section] = model
+        model.save(self._model_path(section))
+
+    def model(self, section: str) -> ml.LinkModel:
+        """The model of this run, or the one that an earlier run left in the same warehouse."""
+        if section not in self.models:
+            try:
+                self.models[section] = ml.LinkModel.load(self.spark, self._model_path(section))
+            except AnalysisException:
+                raise RuntimeError(f"no model is there; run the task {section} first") from None
+        return self.models[section]
+
     def put(self, name: str, make: Callable[[], DataFrame], persist: bool = True) -> DataFrame:
         """The named frame: an existing one if that is allowed, else a new one."""
         if self.use_preexisting_tables and self.tables.exists(name):
@@ -154,9 +179,7 @@ class Matching(Task):
         if not conf.get("score_with_model"):
             log.warning("%s: score_with_model is off; pairs are not scored", self.section)
             return
-        if self.section not in self.run.models:
-            raise RuntimeError(f"no model is there; run the task {self.section} first")
-        model, id_column = self.run.models[self.section], c["id_column"]
+        model, id_column = self.run.model(self.section), c["id_column"]
         potential = self.run.table(source)
 
         def make():
@@ -247,7 +270,7 @@ class Training(Task):
         if not self.config[self.section].get("score_with_model"):
             log.warning("%s: score_with_model is off; no model is fitted", self.section)
             return
-        self.run.models[self.section] = ml.train(self.run.table(f"{self.prefix}training_features"), self.config, self.section)
+        self.run.keep_model(self.section, ml.train(self.run.table(f"{self.prefix}training_features"), self.config, self.section))
 
     def metadata(self):
         if self.config[self.section].get("feature_importances") and self.section in self.run.models:
@@ -282,17 +305,25 @@ class Reporting(Task):
 
     def steps(self):
         needs = ("prepped_df_a", "prepped_df_b", "predicted_matches", "predicted_hh_matches")
-        return [("percent linked in round 2", needs, self.percent), ("representivity", needs, self.representivity), ("crosswalk", ("raw_df_a", "raw_df_b", "predicted_matches"), self.crosswalk)]
+        return [("percent linked in round 2", needs, self.percent), ("representivity", ("raw_df_a", "raw_df_b", *needs), self.representivity), ("crosswalk", ("raw_df_a", "raw_df_b", "predicted_matches"), self.crosswalk)]
 
     def percent(self):
         t = self.run.table
         self.run.put("report_percent_linked", lambda: reports.percent_linked(t("prepped_df_a"), t("predicted_matches"), t("predicted_hh_matches"), self.config["id_column"]))
 
     def representivity(self):
-        t = self.run.table
-        features = reports.report_features(self.config.get("representivity", []))
-        if features:
-            self.run.put("report_representivity", lambda: reports.representivity(t("prepped_df_a"), t("prepped_df_b"), t("predicted_matches"), t("predicted_hh_matches"), features, self.config["id_column"]))
+        """The report as a table and as one CSV file; the configuration's features, or else the default ones that have their columns."""
+        t, id_column = self.run.table, self.config["id_column"]
+        sides = []
+        for side in ("a", "b"):
+            raw, prepped = t(f"raw_df_{side}"), t(f"prepped_df_{side}")
+            more = [c for c in raw.columns if c not in prepped.columns]
+            both = prepped.join(raw.select(F.col(id_column).alias("__id"), *more), F.col(id_column) == F.col("__id"), "left").drop("__id") if more else prepped
+            sides.append(both)
+        spec = self.config.get("representivity") or reports.default_features([c for c in sides[0].columns if c in sides[1].columns])
+        if spec:
+            df = self.run.put("report_representivity", lambda: reports.representivity(*sides, t("predicted_matches"), t("predicted_hh_matches"), reports.report_features(spec), id_column))
+            write_csv(df.orderBy("feature", "value"), f"{self.run.tables.warehouse.rstrip('/')}/reports/representivity.csv")
 
     def crosswalk(self):
         t, c = self.run.table, self.config.get("crosswalk", {})
@@ -343,6 +374,3 @@ class SparkFactory:
         b = SparkSession.builder.appName(self.name).master(self.master or f"local[{self.cores}]").config("spark.driver.memory", self.memory).config("spark.executor.memory", self.memory)
         return b.config(map=self.conf).getOrCreate()
 
-
-def count_rows(df: DataFrame) -> int:
-    return df.agg(F.count("*")).first()[0]

@@ -129,7 +129,7 @@ KNOWN_TABLES = {
 
 @dataclass
 class Registry:
-    """Named frames of a run: lazy views by default, tables on disk where asked."""
+    """Named frames of a run: tables in the warehouse folder, or lazy views without one."""
 
     spark: SparkSession
     warehouse: str | None = None

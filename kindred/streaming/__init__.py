@@ -11,12 +11,18 @@ from kindred.operators import blocking, pairs
 
 
 def link_stream(stream: DataFrame, b: DataFrame, config: dict[str, Any], target: str, checkpoint: str) -> StreamingQuery:
-    """Candidate pairs with features of each micro-batch, appended as Parquet; a batch that is replayed replaces its own folder."""
+    """Candidate pairs with features of each micro-batch, appended as Parquet; a batch that is replayed replaces its own folder.
+
+    A batch is kept while its branches read it. B is read anew for each batch, so that it may grow; give a table bucketed
+    by the blocking columns where that matters.
+    """
     specs = pairs.needed_features(config.get("comparisons"), config.get("comparison_features", []))
 
     def one(batch: DataFrame, epoch: int) -> None:
+        batch = batch.persist()
         ids = blocking.candidate_ids(batch, b, config["blocking"], config["id_column"])
         out = pairs.compare(batch.sparkSession, ids, batch, b, config["id_column"], specs, config.get("comparisons"))
         out.write.mode("overwrite").parquet(f"{target}/batch={epoch}")
+        batch.unpersist()
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -20,14 +20,14 @@ def scored(spark, *parts):
 
 
 def test_alpha(spark):
-    df = scored(spark, *[(k, k, p) for k, p in enumerate((0.1, 0.7, 0.2, 0.4, 1.0, 0.0))])
-    assert [r["prediction"] for r in decide.by_alpha(df, 0.6).orderBy("id_a").collect()] == [0, 1, 0, 0, 1, 0]
+    df = scored(spark, *[(k, k, p) for k, p in enumerate((0.55, 0.3, 0.5, 0.49, 0.95))])
+    assert [r["prediction"] for r in decide.by_alpha(df, 0.5).orderBy("id_a").collect()] == [1, 0, 1, 0, 1]
 
 
 def test_ratio(spark):
-    df = scored(spark, (0, 1, 0.8), (0, 2, 0.9), (1, 4, 0.75), (2, 5, 0.3), (3, 6, 0.1), (3, 7, 0.8), (4, 8, 0.9), (4, 9, 0.0))
-    got = {(r["id_a"], r["id_b"]): r["prediction"] for r in decide.by_ratio(df, 0.5, 2.0, "id").collect()}
-    assert got == {(0, 1): 0, (0, 2): 0, (1, 4): 1, (2, 5): 0, (3, 6): 0, (3, 7): 1, (4, 8): 1, (4, 9): 0}
+    df = scored(spark, (5, 51, 0.66), (5, 52, 0.6), (6, 61, 0.45), (7, 71, 0.99), (7, 72, 0.33), (7, 73, 0.2), (8, 81, 0.7), (9, 91, 0.8), (9, 92, 0.0))
+    got = {(r["id_a"], r["id_b"]): r["prediction"] for r in decide.by_ratio(df, 0.6, 1.5, "id").collect()}
+    assert {k for k, v in got.items() if v} == {(7, 71), (8, 81), (9, 91)} and len(got) == 9
 
 
 def test_one_to_one(spark):
@@ -245,3 +245,103 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema(a.schema).parquet(str(tmp_path / "in"))
     link_stream(stream, b, conf, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert [(r["id_a"], r["id_b"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, 7)]
+
+
+def test_popularity_of_wide_bands(spark):
+    df = spark.createDataFrame([(k, (k * 7919) % 1000003 if k % 11 else None) for k in range(300)], "id int, v long")
+    values = {r["id"]: r["v"] for r in df.collect()}
+    for reach in (1, 1000, 400_000):
+        want = {i: sum(w is None for w in values.values()) if v is None else sum(w is not None and abs(w - v) <= reach for w in values.values()) for i, v in values.items()}
+        assert {r["id"]: r["n"] for r in selections.popularity(df, "n", None, "v", reach).collect()} == want
+    assert {r["n"] for r in selections.popularity(df, "n").collect()} == {300}
+
+
+def test_household_maximum_with_ties(spark):
+    df = spark.createDataFrame([(1, 9, 5, 6, 0.8, 3, True), (2, 9, 5, 6, 0.8, 3, True), (3, 9, 5, 6, None, 1, True), (4, 8, 5, 6, 0.7, 1, True)], "id_a int, id_b int, serialp_a int, serialp_b int, namefrst_jw double, byrdiff int, sexmatch boolean")
+    got = {r["id_a"]: r["jw_max_a"] for r in pairs.household_aggregates(df, "id", ["jw_max_a"]).collect()}
+    assert got == {1: 0.8, 2: 0.8, 3: 0.8, 4: 0.0}
+
+
+def test_selection_modifiers(spark, tmp_path):
+    df = spark.createDataFrame([(1, "Ann", "Bea"), (2, "Cay", "Dot")], "id int, first string, other string")
+    bi = {"transform": "bigrams", "input_column": "first", "output_column": "grams", "no_first_pad": True}
+    other = {r["id"]: r["grams"] for r in selections.select_features(spark, df, [bi | {"override_column_b": "other"}], "id", False).collect()}
+    assert other[1] == ["b e", "e a"]
+    side_a = {r["id"]: r["grams"] for r in selections.select_features(spark, df, [bi | {"override_column_b": "other"}], "id", True).collect()}
+    assert side_a[1] == ["a n", "n n"]
+    fixed = selections.select_features(spark, df, [{"transform": "power", "input_column": "id", "exponent": 2, "output_column": "p", "set_value_column_b": 7}], "id", False)
+    assert {r["p"] for r in fixed.collect()} == {7}
+    assert "grams" not in selections.select_features(spark, df, [bi | {"skip": True}], "id", True).columns
+    late = [{"transform": "sql_condition", "condition": "size(grams)", "output_column": "n", "post_agg_feature": True}, bi]
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "cp"))
+    assert {r["n"] for r in selections.select_features(spark, df, [late[0], bi | {"checkpoint": True}], "id", True).collect()} == {2}
+    with pytest.raises(ValueError):
+        selections.select_features(spark, df, [{"transform": "nothing", "output_column": "x"}], "id", True)
+
+
+def test_soundex_and_minhash(spark):
+    df = spark.createDataFrame([(1, "Robert"), (2, "Rupert"), (3, "Ashcraft"), (4, "")], "id int, n string")
+    code = {r["id"]: r["c"] for r in selections.select_features(spark, df, [{"transform": "soundex", "input_column": "n", "output_column": "c"}], "id", True).collect()}
+    assert code[1] == code[2] == "R163" and code[3] == "A261"
+    words = [[f"w{k}" for k in range(100)], [f"w{k}" for k in range(25, 125)], []]  # similarity of the first two: 0.6
+    sets = spark.createDataFrame(list(enumerate(words)), "id int, t array<string>")
+    spec = {"transform": "hash", "input_column": "t", "output_column": "h", "number": 400}
+    got = {r["id"]: r["h"] for r in selections.select_features(spark, sets, [spec], "id", True).collect()}
+    assert set(got) == {0, 1}  # rows without tokens leave
+    assert sum(x == y for x, y in zip(got[0], got[1])) / 400 == pytest.approx(0.6, abs=0.1)
+    each = {t: [r[0] for r in spark.createDataFrame([(t,)], "t string").select(F.explode(selections.minhash(F.array("t"), 3))).collect()] for t in ("w0", "w1", "w2")}
+    three = spark.createDataFrame([(["w0", "w1", "w2"],)], "t array<string>").select(F.explode(selections.minhash(F.col("t"), 3))).collect()
+    assert [r[0] for r in three] == [min(v[k] for v in each.values()) for k in range(3)]
+
+
+def test_default_report_features(spark):
+    a = spark.createDataFrame([(k, k // 2, k % 2 + 1, 20 + k, k % 7, "n%d" % (k % 3)) for k in range(12)], "histid int, serialp int, sex int, age int, marst int, namefrst_std string")
+    spec = reports.default_features(a.columns)
+    assert [s["label"] for s in spec] == ["sex", "age", "marst", "married", "married, by age", "namefrst_std commonality"] and len(reports.DEFAULT_FEATURES) == 17
+    m = a.where("histid < 4").select(F.col("histid").alias("histid_a"), F.col("histid").alias("histid_b"))
+    out = {(r["feature"], r["value"]): r for r in reports.representivity(a, a, m, m.where("histid_a < 0"), reports.report_features(spec)).collect()}
+    assert out["namefrst_std commonality", "1-5"]["n_a"] == 12 and out["sex", "1"]["n_a_r1"] == 2
+    assert sum(r["n_b"] for k, r in out.items() if k[0] == "married, by age") == 12
+
+
+def test_models_are_kept_and_slot_names_cleaned(spark, tmp_path):
+    data = spark.createDataFrame([(k, k + 1, float(k % 10), int(k % 10 > 6), k % 3) for k in range(60)], "id_a long, id_b long, x double, y int, c int")
+    conf = {"id_column": "id", "comparison_features": [{"alias": "c", "categorical": True}], "training": {"dependent_var": "y", "independent_vars": ["x", "c"], "chosen_model": {"type": "logistic_regression"}}}
+    model = ml.train(data, conf)
+    model.save(str(tmp_path / "m"))
+    again = ml.LinkModel.load(spark, str(tmp_path / "m"))
+    assert rows(again.score(data).select("id_a", "probability")) == rows(model.score(data).select("id_a", "probability"))
+    assert (again.kind, again.inputs, again.label) == (model.kind, model.inputs, model.label)
+    named = data.withMetadata("x", {"ml_attr": {"attrs": {"numeric": [{"name": "a:b,c", "idx": 0}]}}})
+    assert ml.strip_slot_names(named, "x").schema["x"].metadata["ml_attr"]["attrs"]["numeric"][0]["name"] == "abc"
+    assert ml.SlotNames().transform(model.fitted.transform(data.withColumns({n: F.col(n).cast("float") for n in ("x", "c")})).drop("rawPrediction", "probability", "prediction")).count() == 60
+
+
+def test_steps_are_written(spark, small_config, tmp_path):
+    run = LinkRun(spark, configs.load(small_config), use_preexisting_tables=False, warehouse=str(tmp_path / "w"))
+    for name in ("preprocessing", "training", "matching"):
+        run.task(name).run_all_steps()
+    plan = run.table("predicted_matches")._jdf.queryExecution().analyzed().toString()
+    assert "Relation" in plan and "Join" not in plan and "ArrowEvalPython" not in plan
+    for t in ("predicted_hh_matches",):
+        run.tables.put(t, run.table("predicted_matches").where("false"), True)
+    run.task("reporting").run_step(1)
+    other = LinkRun(spark, configs.load(small_config), use_preexisting_tables=False, warehouse=str(tmp_path / "w"))
+    assert other.model("training").kind == "decision_tree"  # a later process finds the model
+    with pytest.raises(RuntimeError, match="no model"):
+        other.model("hh_training")
+
+
+def test_files_in_and_out(spark, tmp_path):
+    df = spark.createDataFrame([(1, ["a", "b"], {"k": 1}, 'say "x", y'), (2, None, None, None)], "id int, l array<string>, m map<string,int>, t string")
+    io.write_csv(df, str(tmp_path / "o"))
+    back = {r["id"]: r for r in io.read_csv(spark, str(tmp_path / "o")).collect()}
+    assert back[1]["l"] == "[a,b]" and back[1]["m"] == "{k -> 1}" and len(list((tmp_path / "o").glob("part-*"))) == 1
+    (tmp_path / "s.csv").write_text("id,n\n1,x\n2,\n")
+    io.csv_to_parquet(spark, str(tmp_path / "s.csv"), str(tmp_path / "w" / "s.parquet"))
+    assert rows(spark.read.parquet(str(tmp_path / "w" / "s.parquet"))) == [(1, "x"), (2, "")]
+    registry = io.Registry(spark)
+    assert registry.borrow(str(tmp_path / "w")) == ["s"] and registry.get("s").count() == 2
+    assert io.read_datasource(spark, {"file": str(tmp_path / "s.csv"), "convert_ints_to_longs": True}).dtypes[0] == ("id", "bigint")
+    with pytest.raises(ValueError):
+        io.datasource_path({"file": "x.txt"})
