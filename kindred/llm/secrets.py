@@ -1,25 +1,30 @@
 """Secret scan: known forms, then a battery of randomness tests with false-discovery control.
 
 Known forms are assignments to secret-like names, access keys and long hexadecimal runs. Beyond them, every run of
-MIN_LENGTH or more key characters is a candidate; '=' only pads its end, so NAME=VALUE gives the value. One that mixes
-the signs of two encodings, as a path before a key may, is cut into parts, tested each. Its encoding is inferred (hexadecimal, base32, base62, base64), and
-tested as a string over that alphabet: chi-squared uniformity of the characters, a runs test above and below the middle
-of the alphabet, and lag-1 serial correlation. A secret looks random, so all three must fail to reject; and it must not be
-prose: that gives the p-value, the probability that letters of prose (the candidate's case-folded letters under the
-corpus-free null of word-like runs) show so many distinct characters and class changes. Benjamini-Hochberg control runs
-inside length strata over the whole corpus, from counts of p-value bins, so that many short candidates don't drown long ones.
-
-Defined results: null counts as empty; spans are in code points, end exclusive; added spans never overlap known ones.
+MIN_LENGTH or more key characters is a candidate, less what known spans take of it; '=' only pads its end, so NAME=VALUE
+gives the value. One that mixes the signs of two encodings, as a path before a key may, is cut into parts, tested each.
+Its encoding is inferred: the smallest alphabet that holds it and of which it shows every class of characters (words
+show no digits). It is tested as a string over that alphabet: chi-squared uniformity of the characters and of their
+classes, a runs test above and below the middle of the alphabet, and lag-1 serial correlation. Fisher's method combines
+the three p-values into one, uniform for random strings and near 0 for others.
+
+False discoveries are controlled on these p-values, inside length strata over the whole corpus (short strings give the
+tests less power, so their share of false discoveries is another): random strings are twice those over 1/2, which no other
+string reaches in number; what is accepted beyond their expected number is false. The limit of a stratum is the least
+p-value down to which the share of false discoveries stays within FDR; it is never over KEEP, so that no more random strings are lost.
+
+Defined results: null counts as empty; a null doc_id stays null; repeated rows and ties are scanned alike, and extra columns
+are never read; spans are in code points, end exclusive; added spans never overlap known ones. Texts are scanned whole.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from kindred.llm.common import durable, map_batches
 
@@ -33,16 +38,20 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{%d,}=*" % MIN_LENGTH)
 #: Characters that only some alphabets have, and runs without one kind of them: the parts of a candidate that mixes both.
 PLAIN = re.compile(r"[A-Za-z0-9]+=*")
 MIXED = (re.compile(r"[A-Za-z0-9_-]+=*"), re.compile(r"[A-Za-z0-9+/]+=*"))
+UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: Encodings as classes of characters, in the order of their alphabets; a string shows all of them but for signs.
 ALPHABETS = (
-    ("hex", "0123456789abcdef"),
-    ("hex", "0123456789ABCDEF"),
-    ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
-    ("base62", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
-    ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
-    ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
+    ("hex", (DIGITS, "abcdef"), ""),
+    ("hex", (DIGITS, "ABCDEF"), ""),
+    ("base32", (UPPER, "234567"), ""),
+    ("base36", (UPPER, DIGITS), ""),
+    ("base36", (LOWER, DIGITS), ""),
+    ("base62", (UPPER, LOWER, DIGITS), ""),
+    ("base64", (UPPER, LOWER, DIGITS), "+/"),
+    ("base64url", (UPPER, LOWER, DIGITS), "-_"),
 )
-ALPHA = 0.01  # of the randomness tests
-FDR = 0.01  # of the discoveries
+FDR = 0.05  # share of false ones among the discoveries of a stratum
+KEEP = 0.02  # the least limit's p-value: at most this share of random strings is lost
 BINS = 400  # p-value bins: -10 log2 p, rounded down
 
 
@@ -60,26 +69,35 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(s, e, KINDS[k]) for s, e, k in sorted(out, key=lambda x: (x[0], x[2]))]
 
 
-def infer_alphabet(s: str) -> tuple[str, str] | None:
+def infer_alphabet(s: str) -> tuple[str, tuple[str, ...], str] | None:
+    """(name, classes, signs) of the first encoding that holds the characters, with each of its classes among them."""
     body = set(s.rstrip("="))
-    return next(((name, abc) for name, abc in ALPHABETS if body <= set(abc)), None)
+    return next(((name, classes, signs) for name, classes, signs in ALPHABETS if body <= set("".join(classes) + signs) and all(body & set(c) for c in classes)), None)
 
 
 def _normal_tail(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
-def chi_squared_p(s: str, abc: str) -> float:
-    """Upper tail of the chi-squared uniformity statistic, by the Wilson-Hilferty approximation."""
-    n, k = len(s), len(abc)
-    expected = n / k
-    counts = [s.count(c) for c in set(s)]
-    x = sum((c - expected) ** 2 for c in counts) / expected + (k - len(counts)) * expected
-    df = k - 1
+def _chi_squared_tail(x: float, df: int) -> float:
+    """Upper tail by the Wilson-Hilferty approximation."""
     z = ((x / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
+def chi_squared_p(s: str, classes: tuple[str, ...]) -> float:
+    """Uniformity over the alphabet: the smaller p-value over single characters and over their classes, for two tests.
+
+    Short strings have far less than one of each character, where only classes tell.
+    """
+    n, k = len(s), sum(map(len, classes))
+    expected = n / k
+    counts = [s.count(c) for c in set(s)]
+    single = _chi_squared_tail(sum((c - expected) ** 2 for c in counts) / expected + (k - len(counts)) * expected, k - 1)
+    x = sum((sum(map(s.count, c)) - expected * len(c)) ** 2 / (expected * len(c)) for c in classes)
+    return 1 - (1 - min(single, _chi_squared_tail(x, len(classes) - 1))) ** 2
+
+
 def runs_p(values: list[int], k: int) -> float:
     """Two-sided Wald-Wolfowitz runs test above and below the middle of the alphabet."""
     up = [v >= k / 2 for v in values]
@@ -105,33 +123,27 @@ def serial_p(values: list[int]) -> float:
     return _normal_tail((r + 1 / n) * math.sqrt(n))
 
 
-def prose_p(s: str) -> float:
-    """How probable so many changes of character class are in prose, where about one in twelve places has one."""
-    cls = [0 if c.islower() else 1 if c.isupper() else 2 for c in s]
-    changes = sum(x != y for x, y in zip(cls, cls[1:]))
-    n, q = len(s) - 1, 1 / 12
-    if n > 1000:  # the normal tail, with continuity correction
-        return 0.5 * math.erfc((changes - 0.5 - n * q) / math.sqrt(2 * n * q * (1 - q)))
-    total = 0.0
-    for k in range(changes, n + 1):
-        total += math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(q) + (n - k) * math.log(1 - q))
-    return min(1.0, total)
+def combined_p(ps: tuple[float, ...]) -> float:
+    """Fisher's method: upper tail of chi-squared with two degrees of freedom for each p-value."""
+    half = -sum(math.log(max(p, 1e-300)) for p in ps)
+    term = total = 1.0
+    for k in range(1, len(ps)):
+        term *= half / k
+        total += term
+    return min(1.0, math.exp(-half) * total)
 
 
 def battery(s: str) -> tuple[str, float] | None:
-    """(encoding, p-value against prose) of a candidate that passes all randomness tests, else None."""
+    """(encoding, combined p-value of the randomness tests), or None where no encoding fits."""
     found = infer_alphabet(s)
-    if not found:
-        return None
-    name, abc = found
     body = s.rstrip("=")
-    if len(body) < MIN_LENGTH:
+    if not found or len(body) < MIN_LENGTH:
         return None
-    at = {c: k for k, c in enumerate(abc)}
+    name, classes, signs = found
+    classes = (*classes, signs) if signs else classes
+    at = {c: k for k, c in enumerate("".join(classes))}
     v = [at[c] for c in body]
-    if min(chi_squared_p(body, abc), runs_p(v, len(abc)), serial_p(v)) < ALPHA:
-        return None
-    return name, prose_p(body)
+    return name, combined_p((chi_squared_p(body, classes), runs_p(v, len(at)), serial_p(v)))
 
 
 def parts(s: str) -> list[tuple[int, int]]:
@@ -155,21 +167,44 @@ def stratum(length: int) -> int:
 
 
 def tested(s: str, at: int) -> list[dict]:
-    """The tested parts of a candidate at a place; of parts that overlap only the least like prose, and then the longest, is ok."""
+    """The tested parts of a candidate at a place; of parts that overlap, the most random and then the longest stays."""
     out = []
     for x, y in parts(s):
         got = battery(s[x:y])
-        out.append({"s": at + x, "e": at + y, "stratum": stratum(y - x), "bin": _bin(got[1]) if got else 0, "ok": got is not None})
-    chosen = []
-    for c in sorted((c for c in out if c["ok"]), key=lambda c: (-c["bin"], c["s"] - c["e"], c["s"])):
-        c["ok"] = not any(c["s"] < d["e"] and d["s"] < c["e"] for d in chosen)
-        if c["ok"]:
+        if got:
+            out.append({"s": at + x, "e": at + y, "stratum": stratum(y - x), "bin": _bin(got[1])})
+    chosen: list[dict] = []
+    for c in sorted(out, key=lambda c: (c["bin"] > _bin(KEEP), c["s"] - c["e"], c["bin"], c["s"])):
+        if not any(c["s"] < d["e"] and d["s"] < c["e"] for d in chosen):
             chosen.append(c)
+    return sorted(chosen, key=lambda c: c["s"])
+
+
+def outside(start: int, end: int, known: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the sorted, disjoint known spans leave of a span, in pieces of MIN_LENGTH or more."""
+    out, at = [], start
+    for x, y in known[max(0, bisect.bisect_right(known, (start, start)) - 1) :]:
+        if x >= end:
+            break
+        if y > at:
+            out.append((at, x))
+            at = max(at, y)
+    out.append((at, end))
+    return [(x, y) for x, y in out if y - x >= MIN_LENGTH]
+
+
+def _merged(spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for s, e, _ in spans:
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], e))
+        else:
+            out.append((s, e))
     return out
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, base (spans as text), counts of the kinds, candidates: array of (start, end, stratum, bin, tested)."""
+    """doc_id, counts of the kinds, base (spans as text), candidates: array of (start, end, stratum, bin)."""
 
     def run(batches):
         for b in batches:
@@ -178,31 +213,40 @@ def scan(docs: DataFrame) -> DataFrame:
                 t = t or ""
                 base = base_spans(t)
                 n = [sum(k == kind for _, _, k in base) for kind in KINDS[:3]]
+                known = _merged(base)
                 cands = []
                 for m in CANDIDATE.finditer(t):
-                    s, e = m.span()
-                    if not any(s < y and x < e for x, y, _ in base):
-                        cands += tested(m[0], s)
+                    for s, e in outside(*m.span(), known) if known else [m.span()]:
+                        cands += tested(t[s:e], s)
                 out.append((i, *n, [f"{k}:{s}:{e}" for s, e, k in base], cands))
             yield out
 
-    schema = "doc_id long, n_assign long, n_access long, n_hex long, base array<string>, candidates array<struct<s:int,e:int,stratum:int,bin:int,ok:boolean>>"
+    schema = "doc_id long, n_assign long, n_access long, n_hex long, base array<string>, candidates array<struct<s:int,e:int,stratum:int,bin:int>>"
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return map_batches(rows, schema, run)
 
 
-def discovery_limits(scanned: DataFrame, rate: float = FDR) -> dict[int, int]:
-    """stratum -> least bin that Benjamini-Hochberg accepts, over all candidates of the corpus.
+def limit_of(counts: dict[int, int], rate: float = FDR) -> int:
+    """The largest bin that is accepted, from the numbers of a stratum's candidates by bin.
 
-    The counts have a row for each (stratum, bin), at most 13 x BINS of them.
+    A p-value over 1/2 stands for two random strings; of those, the part over a limit's p-value is expected.
     """
-    counts = scanned.select(F.explode("candidates").alias("c")).groupBy(F.col("c.stratum").alias("stratum"), F.col("c.bin").alias("bin")).agg(F.count("*").alias("n"))
-    all_of = Window.partitionBy("stratum")
-    down = all_of.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("m", F.sum("n").over(all_of)).withColumn("rank", F.sum("n").over(down))
-    p_top = F.pow(F.lit(2.0), -F.col("bin") / 10.0)  # the largest p-value in a bin
-    ok = ranked.where((p_top <= F.col("rank") / F.col("m") * rate) & (F.col("bin") > 0))
-    return {r[0]: r[1] for r in ok.groupBy("stratum").agg(F.min("bin")).collect()}
+    least = _bin(KEEP)
+    random = 2 * sum(n for b, n in counts.items() if b < 10)
+    best, total = least, sum(n for b, n in counts.items() if b <= least)
+    for b in sorted(x for x in counts if x > least):
+        total += counts[b]
+        if total - random * (1 - 2 ** (-(b + 1) / 10)) <= rate * total:
+            best = b
+    return best
+
+
+def discovery_limits(scanned: DataFrame, rate: float = FDR) -> dict[int, int]:
+    """stratum -> largest bin accepted, over all candidates of the corpus; a row for each (stratum, bin), 13 * BINS at most, reaches the driver."""
+    counts: dict[int, dict[int, int]] = {}
+    for r in scanned.select(F.explode("candidates").alias("c")).groupBy(F.col("c.stratum").alias("stratum"), F.col("c.bin").alias("bin")).agg(F.count("*").alias("n")).collect():
+        counts.setdefault(r["stratum"], {})[r["bin"]] = r["n"]
+    return {k: limit_of(v, rate) for k, v in counts.items()}
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
@@ -210,7 +254,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     scanned = durable(scan(docs), "secrets-scan")
     limits = discovery_limits(scanned)
     lit_limits = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]) if limits else F.create_map().cast("map<int,int>")
-    found = F.filter("candidates", lambda x: x["ok"] & (x["bin"] >= F.coalesce(F.try_element_at(lit_limits, x["stratum"]), F.lit(BINS + 1))))
+    found = F.filter("candidates", lambda x: x["bin"] <= F.coalesce(F.try_element_at(lit_limits, x["stratum"]), F.lit(-1)))
     added = F.transform(found, lambda x: F.concat_ws(":", F.lit("random"), x["s"].cast("string"), x["e"].cast("string")))
     # Added spans overlap no known span, so order by start alone decides between them.
     both = F.array_sort(F.concat("base", added), lambda a, b: F.when(_start(a) != _start(b), _start(a) - _start(b)).otherwise(_kind(a) - _kind(b)))

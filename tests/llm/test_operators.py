@@ -403,12 +403,64 @@ def test_base_spans():
     assert secrets.base_spans("paſſword=abcdefgh") == []
 
 
+BASE62 = "".join(secrets.ALPHABETS[5][1])
+
+
+@pytest.mark.parametrize("name, classes, signs", secrets.ALPHABETS)
+def test_battery_keeps_random_strings(name, classes, signs):
+    rng = random.Random(name + classes[0])
+    abc = "".join(classes) + signs
+    for n in (20, 24, 32, 64):
+        found = [secrets.tested("".join(rng.choice(abc) for _ in range(n)), 0) for _ in range(400)]
+        assert np.mean([bool(x) and x[0]["bin"] <= secrets._bin(secrets.KEEP) for x in found]) >= 0.9, n
+
+
 def test_battery_tells_random_from_prose():
-    rng = random.Random(9)
-    abc = secrets.ALPHABETS[3][1]
-    hits = sum(secrets.battery("".join(rng.choice(abc) for _ in range(40))) is not None for _ in range(300))
-    assert hits > 270
-    assert all(secrets.battery(w * 4) is None for w in ("prosewords", "aaaaaaaaaa", "thequickbrown"))
+    for w in ("prosewords" * 4, "aaaaaaaaaa" * 4, "thequickbrown" * 4, "some_quite_ordinary_identifier_name", "Customer000000000123Name", "/usr/local/lib/python3/site", "2021-03-04-05-06-07-08-09"):
+        assert not any(x["bin"] <= secrets._bin(secrets.KEEP) for x in secrets.tested(w, 0)), w
+
+
+def test_p_values_are_uniform_for_random_strings():
+    rng = random.Random(4)
+    ps = []
+    for _ in range(3000):
+        got = secrets.battery("".join(rng.choice(BASE62) for _ in range(60)))
+        if got:
+            ps.append(got[1])
+    for q in (0.05, 0.25, 0.5, 0.75):
+        assert np.mean(np.array(ps) <= q) == pytest.approx(q, abs=0.08)  # runs and serial correlation depend on each other a little
+    assert secrets.combined_p((0.2, 0.5, 0.9)) == pytest.approx(sum(x * y * z <= 0.09 for x, y, z in np.random.default_rng(1).random((200_000, 3))) / 200_000, abs=0.01)
+
+
+def test_limits_by_brute_force(table):
+    rng = random.Random(8)
+    for _ in range(200):
+        bins = [min(399, int(rng.expovariate(0.07))) if rng.random() < 0.6 else rng.randrange(400) for _ in range(rng.randint(1, 80))]
+        least = secrets._bin(secrets.KEEP)
+        expected = least
+        for limit in range(least + 1, 400):
+            accepted = sum(b <= limit for b in bins)
+            truly = 2 * sum(b < 10 for b in bins) * (1 - 2 ** (-(limit + 1) / 10))
+            if limit in bins and accepted - truly <= secrets.FDR * accepted:
+                expected = limit
+        assert secrets.limit_of(Counter(bins)) == expected
+    scanned = table([(1, [(0, 30, 5, 3), (40, 70, 5, 90)]), (2, [(0, 90, 7, 399)]), (3, None)], "doc_id long, candidates array<struct<s:int,e:int,stratum:int,bin:int>>")
+    assert secrets.discovery_limits(scanned) == {5: secrets.limit_of({3: 1, 90: 1}), 7: secrets.limit_of({399: 1})}
+
+
+def test_outside_known_spans():
+    rng = random.Random(5)
+    for _ in range(300):
+        known = secrets._merged(sorted((s, s + rng.randint(1, 30), "hex") for s in (rng.randrange(200) for _ in range(rng.randint(1, 6)))))
+        s = rng.randrange(150)
+        e = s + rng.randint(20, 100)
+        free = [k for k in range(s, e) if not any(x <= k < y for x, y in known)]
+        runs = [[]]
+        for k in free:
+            if runs[-1] and k != runs[-1][-1] + 1:
+                runs.append([])
+            runs[-1].append(k)
+        assert secrets.outside(s, e, known) == [(r[0], r[-1] + 1) for r in runs if len(r) >= secrets.MIN_LENGTH]
 
 
 def test_secrets_odd(odd, empty, table):
@@ -418,14 +470,14 @@ def test_secrets_odd(odd, empty, table):
         assert r["n_random"] or r["base_sha256"] == hashlib.sha256(r["spans"].encode()).hexdigest()
     assert secrets.find_secrets(empty).count() == 0
     rng = random.Random(1)
-    rows = [(k, "see " + "".join(rng.choice(secrets.ALPHABETS[3][1]) for _ in range(44)) + " here") for k in range(50)] + [(100 + k, "some_quite_ordinary_identifier_name here") for k in range(50)]
+    rows = [(k, "see " + "".join(rng.choice(BASE62) for _ in range(44)) + " here") for k in range(50)] + [(100 + k, "some_quite_ordinary_identifier_name here") for k in range(50)]
     found = {r["doc_id"]: r["n_random"] for r in secrets.find_secrets(table(rows)).collect()}
     assert sum(found[k] for k in range(50)) >= 40 and not any(found[100 + k] for k in range(50))
 
 
 def test_secrets_in_assignments_and_paths(table):
     rng = random.Random(2)
-    abc = secrets.ALPHABETS[3][1]
+    abc = BASE62
     forms = ("AWS_SECRET_ACCESS_KEY={}", "private_key={}", "SIGNING_KEY={}==", "https://x.example/a?sig={}&v=1", "path/sub_dir/{}", "path/some-other_directory_name/{}")
     keys = [("".join(rng.choice(abc) for _ in range(44)), f) for f in forms for _ in range(30)]
     rows = [(k, "see " + f.format(key) + " here") for k, (key, f) in enumerate(keys)] + [(1000, "the_name_of_some_setting=the/name/of/some_other/file_in_a_folder here")]
@@ -439,6 +491,18 @@ def test_secrets_in_assignments_and_paths(table):
     assert got[1000][0] == 0
 
 
+def test_spans_are_in_order(table):
+    rng = random.Random(7)
+    key = lambda: "".join(rng.choice(BASE62) for _ in range(40))
+    rows = [(k, f"password=hunter{k}abc {key()} AKIA{'A1B2' * 4} {'0f' * 14} token: {key()} and {key()}") for k in range(20)]
+    for r in secrets.find_secrets(table(rows)).collect():
+        spans = [(x.split(":")[0], int(x.split(":")[1]), int(x.split(":")[2])) for x in r["spans"].split(",")]
+        base = [x for x in spans if x[0] != "random"]
+        assert [x[1] for x in spans] == sorted(x[1] for x in spans) and [(s, e, k) for k, s, e in base] == secrets.base_spans(rows[r["doc_id"]][1])
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in base).encode()).hexdigest()
+        assert r["n_random"] == len(spans) - len(base) and not any(x[1] < y[2] and y[1] < x[2] for x in spans if x[0] == "random" for y in base)
+
+
 # --- language
 
 
