@@ -1,16 +1,20 @@
-"""Licence scan: a paragraph classifier over sparse word n-grams, with an unknown class and template confirmation.
-
-Logistic regression (Spark ML, in the JVM) over hashed word 1- and 2-grams, trained here on paragraphs made from short
-notices of each family and on ordinary paragraphs of a bounded sample of documents. A paragraph is a line. A binary model
-tells notices from ordinary text, at a limit over all ordinary paragraphs of the sample; a multinomial one names the
-family of a notice, and what stays below its limit is `unknown`. (One multinomial model for all paragraphs merges its
-sparse rows for every line, which took half of the time.) A predicted
-family is confirmed where the paragraph's shingles of five words meet a template of that family at CONTAINMENT or more, of
-either. Notices wrapped over lines are also found in blocks of non-blank lines, by templates alone.
+"""Licence scan: a paragraph classifier over sparse word n-grams, with an unknown class and template comparison.
+
+A paragraph ends at a blank line or at a line that ends a sentence; lines that a notice was wrapped over are joined, without
+the comment signs before them. Logistic regression (Spark ML, in the JVM) over hashed word 1- and 2-grams is trained here on
+notices and licence sections of each family and on ordinary paragraphs of a bounded sample of documents. A binary model tells
+notices from ordinary text; a multinomial one names the family of a notice, and what stays below its limit is `unknown`.
+(One multinomial model for all paragraphs merges its sparse rows for every line, which took half of the time.) Both
+limits are calibrated on what the models never saw: held-back ordinary paragraphs and forms of notices, and notices of
+families that aren't trained, which are to stay unknown. A predicted family is confirmed where the paragraph's shingles of
+five words meet a template of that family at CONTAINMENT or more, of either. Notices whose lines end sentences, among other
+lines without a blank one between, are also found in blocks of non-blank lines, by templates alone.
 
 Paragraphs are counted where they stand, without a shuffle; documents' results are collected by document only.
 
-Defined results: null and empty texts have no paragraphs and no families; paragraphs without words are not classified.
+Defined results: null and empty texts have no paragraphs and no families; paragraphs without words are not classified; a
+null doc_id stays null; repeated rows are scanned alike, each with a row of its own; columns other than doc_id and text are
+never read. A paragraph of two families with equal probability gets the first of them.
 """
 
 from __future__ import annotations
@@ -21,54 +25,94 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import unit_hash
+from kindred.llm.common import scanned, unit_hash
 
 DIM = 1 << 14
 CONTAINMENT = 0.8
 SHINGLE = 5
-#: Bound of the sample of ordinary paragraphs.
-ORDINARY_PARAGRAPHS = 3000
-# Notices of each licence family; {} takes the words in FILL.
+#: Bounds of the sample of ordinary paragraphs: how many, characters of a document (longer ones aren't used).
+ORDINARY_PARAGRAPHS, LONGEST = 4000, 6000
+#: Share of ordinary paragraphs that may pass for notices, and of notices of untrained families that may get a name.
+PASS, NAMED = 0.001, 0.1
+# Notices and licence sections of each family, as published.
 TEMPLATES = {
     "apache": (
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+        "See the License for the specific language governing permissions and limitations under the License.",
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
         "SPDX-License-Identifier: Apache-2.0",
     ),
     "mit": (
         "Released under the MIT License.",
         "This project is licensed under the terms of the MIT license.",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction.',
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
         "SPDX-License-Identifier: MIT",
     ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
         "You should have received a copy of the GNU General Public License along with this program.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ),
     "bsd": (
         "Released under the BSD 3-Clause License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ),
     "mpl": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
         "Licensed under the Mozilla Public License, version 2.0.",
+        'This Source Code Form is "Incompatible With Secondary Licenses", as defined by the Mozilla Public License, v. 2.0.',
         "SPDX-License-Identifier: MPL-2.0",
     ),
     "cc": (
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by-sa/4.0/.",
         "Licensed under CC BY-SA 4.0.",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
         "SPDX-License-Identifier: CC-BY-4.0",
     ),
-    "proprietary": ("All rights reserved.", "Copyright (c) 2020 Example Corporation. All rights reserved.", "Unauthorized copying of this file, via any medium, is strictly prohibited."),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+        "SPDX-License-Identifier: ISC",
+    ),
+    "proprietary": ("All rights reserved.", "Copyright (c) 2020 Example Corporation. All rights reserved.", "Unauthorized copying of this file, via any medium, is strictly prohibited.", "Proprietary and confidential. No part of this document may be reproduced without prior written permission."),
 }
+# Notices of families that aren't trained; they calibrate the limit below which a notice is unknown.
+UNTRAINED = (
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License v. 2.0.",
+    "Licensed under the European Union Public Licence, version 1.2 or later.",
+    "Distributed under the Boost Software License, Version 1.0.",
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "This is free and unencumbered software released into the public domain.",
+    "Do what the fuck you want to public license, version 2.",
+    "Licensed under the Open Data Commons Open Database License.",
+    "The contents of this file are subject to the Common Development and Distribution License.",
+    "This font software is licensed under the SIL Open Font License, version 1.1.",
+    "Published under the Artistic License 2.0.",
+)
 #: Every template needs one of these words to be held at CONTAINMENT.
-NEEDED = r"(?i)licen[sc]e|software|modification|conditions|rights|copying|prohibited|spdx"
+NEEDED = r"(?i)licen[sc]e|software|modification|conditions|rights|copying|prohibited|spdx|redistribut|copyright|mpl|reproduced"
+#: Paragraphs with one of these words aren't taken for ordinary ones in training.
+LIKE_A_NOTICE = r"(?i)licen[sc]|rights|copyright|permission|redistribut|warrant|prohibited|confidential|mpl|as.is"
 FAMILIES = ("none", *TEMPLATES)
 LEADS = ("", "This document is ", "Note: ", "The text is ", "Copyright 2021. ")
 TAILS = ("", " See LICENSE for details.", " Some terms apply.")
@@ -91,9 +135,14 @@ def shingles(words: Column, k: int = SHINGLE) -> Column:
     return F.array_distinct(many)
 
 
+#: The end of a line within a sentence, up to the text of the next line: what stands between wrapped lines.
+WRAP = r"([^\s.!?:;])[ \t]*\r?\n[ \t]*(?:(?://+|#+|\*+|--+|;+|%+)[ \t]*)?(?=[^\s])"
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc columns id and rid, with a row for each line: line."""
-    return docs.select("rid", "doc_id", F.explode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("line"))
+    """doc columns id and rid, with a row for each paragraph: line."""
+    joined = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), WRAP, "$1 ")
+    return docs.select("rid", "doc_id", F.explode(F.split(joined, "\n")).alias("line"))
 
 
 class Scanner:
@@ -108,27 +157,42 @@ def _featured(lines: DataFrame) -> DataFrame:
     return tf.transform(lines.withColumn("words", words_of(F.col("line"))).withColumn("grams", grams(F.col("words"))))
 
 
+def _forms() -> list[tuple[str, float, bool]]:
+    """(text, family, whether it is held back): each notice with leads and tails; a quarter of the forms is for calibration."""
+    out = []
+    for f, ts in TEMPLATES.items():
+        for k, t in enumerate(ts):
+            for i, lead in enumerate(LEADS):
+                for j, tail in enumerate(TAILS):
+                    out.append((lead + t + tail, float(FAMILIES.index(f)), (k + 2 * i + j) % 4 == 3))
+    return out
+
+
 def train(docs: DataFrame) -> Scanner:
-    """Fit on notices and a bounded sample of lines of documents that don't look like notices."""
+    """Fit on notices and a bounded sample of paragraphs of documents that don't look like notices; the sample is chosen by hash."""
     spark = docs.sparkSession
-    made = [(lead + t + tail, float(FAMILIES.index(f))) for f, ts in TEMPLATES.items() for t in ts for lead in LEADS for tail in TAILS]
-    # Rights notices of no known family teach the classifier to hesitate rather than to guess.
-    n = docs.count()
-    share = min(1.0, ORDINARY_PARAGRAPHS / 4 / max(1, n))
     text = F.col("text").cast("string")
-    some = docs.where(unit_hash(F.col("doc_id"), "licences") < share).select(F.explode(F.split(F.substring(text, 1, 4000), "\n")).alias("line"))
-    plain = [(r[0], 0.0) for r in some.where(~F.col("line").rlike("(?i)licen[sc]|rights|copyright") & (F.length("line") > 0)).limit(ORDINARY_PARAGRAPHS).collect()]
-    data = _featured(spark.createDataFrame(made + sorted(plain) + [("", 0.0)], "line string, label double").repartition(1)).select("line", "label", "features").cache()
-    two = data.withColumn("label", (F.col("label") > 0).cast("double"))
-    notices = LogisticRegression(maxIter=25, regParam=1e-4, probabilityCol="p_notice", rawPredictionCol="raw_notice", predictionCol="is_notice").fit(two)
+    short = docs.where(F.length(text) <= LONGEST)
+    share = min(1.0, ORDINARY_PARAGRAPHS / max(1, short.count()))
+    some = paragraphs(short.where(unit_hash(F.col("doc_id"), "licences") < share).select(F.lit(0).alias("rid"), "doc_id", "text"))
+    draw = F.xxhash64("line")
+    fit_for = some.where(~F.col("line").rlike(LIKE_A_NOTICE) & (F.length("line") > 0)).select("line").distinct()
+    plain = [(r[0], 0.0, k % 4 == 3) for k, r in enumerate(fit_for.orderBy(draw, "line").limit(ORDINARY_PARAGRAPHS).collect())]
+    rows = [*_forms(), *plain, ("", 0.0, False), *[(t, -1.0, True) for t in UNTRAINED]]
+    data = _featured(spark.createDataFrame(rows, "line string, label double, held boolean").repartition(1)).select("line", "label", "held", "features").cache()
+    two = data.where("label >= 0").withColumn("label", (F.col("label") > 0).cast("double"))
+    notices = LogisticRegression(maxIter=25, regParam=1e-4, probabilityCol="p_notice", rawPredictionCol="raw_notice", predictionCol="is_notice").fit(two.where("not held"))
     many = data.where("label > 0").withColumn("label", F.col("label") - 1)
-    families = LogisticRegression(maxIter=25, regParam=1e-4, family="multinomial", probabilityCol="p_family", rawPredictionCol="raw_family", predictionCol="n_family").fit(many)
-    p = notices.transform(two).select("label", _second("p_notice").alias("p"))
-    least = p.where("label = 1").agg(F.min("p")).first()[0]
-    most = p.where("label = 0").agg(F.max("p")).first()[0]
-    q = families.transform(many).select(F.element_at(vector_to_array("p_family"), (F.col("label") + 1).cast("int")).alias("q")).agg(F.min("q")).first()[0]
+    families = LogisticRegression(maxIter=25, regParam=1e-4, family="multinomial", probabilityCol="p_family", rawPredictionCol="raw_family", predictionCol="n_family").fit(many.where("not held"))
+    p = notices.transform(two.where("held")).select("label", _second("p_notice").alias("p"))
+    most = p.where("label = 0").agg(F.percentile("p", 1 - PASS)).first()[0] or 0.0
+    least = p.where("label = 1").agg(F.percentile("p", 0.02)).first()[0]
+    best = lambda rows: families.transform(rows).select(F.array_max(vector_to_array("p_family")).alias("q"))
+    strange = best(data.where("label < 0")).agg(F.percentile("q", 1 - NAMED)).first()[0]
+    known = best(many.where("held")).agg(F.percentile("q", 0.05)).first()[0]
     data.unpersist()
-    return Scanner(notices, families, min(max(0.5, most), 0.9 * least), max(0.5, 0.9 * q))
+    # Between what ordinary text reaches and what notices reach; ordinary text decides where they overlap.
+    return Scanner(notices, families, max(0.5, most, (most + least) / 2), max(0.5, min(strange, known)))
 
 
 def _second(vector: str) -> Column:
@@ -170,7 +234,8 @@ def scan_blocks(docs: DataFrame) -> DataFrame:
 
     A wrapped notice stands over lines, among others that may be ordinary text, so templates decide alone.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.explode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), r"\n\s*\n")).alias("block"))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body"))
+    rows = rows.select("rid", F.explode(F.split("body", r"\n\s*\n")).alias("block"))
     some = rows.where(F.contains(F.trim("block"), F.lit("\n")) & F.col("block").rlike(NEEDED))
     own = some.select("rid", F.filter(words_of(F.col("block")), lambda w: w != "").alias("words")).select("rid", shingles(F.col("words")).alias("own"))
     held = []
@@ -189,6 +254,7 @@ def scan_licences(docs: DataFrame, scanner: Scanner) -> DataFrame:
 
     A family that only blocks of lines confirm counts as one notice, confirmed.
     """
+    docs = scanned(docs)
     found = scan_paragraphs(docs, scanner)
     by = found.groupBy("rid").agg(
         F.count("*").alias("n_notices"),

@@ -432,7 +432,7 @@ def test_p_values_are_uniform_for_random_strings():
     assert secrets.combined_p((0.2, 0.5, 0.9)) == pytest.approx(sum(x * y * z <= 0.09 for x, y, z in np.random.default_rng(1).random((200_000, 3))) / 200_000, abs=0.01)
 
 
-def test_limits_by_brute_force(table):
+def test_limits_by_brute_force(spark):
     rng = random.Random(8)
     for _ in range(200):
         bins = [min(399, int(rng.expovariate(0.07))) if rng.random() < 0.6 else rng.randrange(400) for _ in range(rng.randint(1, 80))]
@@ -444,7 +444,7 @@ def test_limits_by_brute_force(table):
             if limit in bins and accepted - truly <= secrets.FDR * accepted:
                 expected = limit
         assert secrets.limit_of(Counter(bins)) == expected
-    scanned = table([(1, [(0, 30, 5, 3), (40, 70, 5, 90)]), (2, [(0, 90, 7, 399)]), (3, None)], "doc_id long, candidates array<struct<s:int,e:int,stratum:int,bin:int>>")
+    scanned = spark.createDataFrame([(1, [(0, 30, 5, 3), (40, 70, 5, 90)]), (2, [(0, 90, 7, 399)]), (3, None)], "doc_id long, candidates array<struct<s:int,e:int,stratum:int,bin:int>>")
     assert secrets.discovery_limits(scanned) == {5: secrets.limit_of({3: 1, 90: 1}), 7: secrets.limit_of({399: 1})}
 
 
@@ -649,6 +649,88 @@ def test_wrapped_licences(table):
     assert not any(got[k]["families"] or got[k]["n_notices"] for k in range(60))
 
 
+def test_licence_texts_and_unknown_families(table):
+    import textwrap
+
+    prose = "Some ordinary line of text about water and houses, with nothing else in it."
+    texts, want = [prose + f" {k}\n" + prose for k in range(80)], {}
+    full = {f: "\n\n".join(textwrap.fill(t, 72) for t in licences.TEMPLATES[f]) for f in ("mit", "bsd", "apache", "gpl")}
+    for f, t in full.items():
+        want[len(texts)] = f
+        texts.append(f"{prose}\n\n{t}\n\n{prose}")
+    want[len(texts)] = "isc"
+    texts.append("/* " + textwrap.fill(licences.TEMPLATES["isc"][0], 60, subsequent_indent=" * ") + " */")
+    strange = len(texts)
+    texts.append("This program and the accompanying materials are made available under the terms of the Eclipse Public License v. 2.0.")
+    docs = table(list(enumerate(texts)))
+    got = {r["doc_id"]: r for r in licences.scan_licences(docs, licences.train(docs)).collect()}
+    assert all(f in got[k]["families"].split(",") for k, f in want.items())
+    assert got[strange]["families"] == "" and got[strange]["n_confirmed"] == 0
+    assert not any(got[k]["n_notices"] for k in range(80))
+
+
+def test_licences_by_brute_force(table, odd):
+    """Paragraphs, features, both models, limits and confirmation again, one paragraph after the other."""
+    import re
+
+    from pyspark.ml.feature import HashingTF
+
+    rng = random.Random(3)
+    prose = ["Water runs under the old house.", "Nobody knows the terms of this", "software that permission is granted for", "12 | 34 | 56", ""]
+    notices = [t for ts in licences.TEMPLATES.values() for t in ts] + list(licences.UNTRAINED)
+    docs = table([(k, "\n".join(rng.choice(prose) if rng.random() < 0.7 else rng.choice(notices) for _ in range(rng.randint(0, 6)))) for k in range(60)] + [(99, None), (99, "")])
+    scanner = licences.train(docs)
+    tf = HashingTF(numFeatures=licences.DIM, binary=True)
+    slot = {}
+
+    def words(t):
+        return re.split(r"[\x00-,/:-@\[-`{-~-]+", t.lower())
+
+    def sets(ws):
+        return {" ".join(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))}
+
+    w0, b0 = scanner.notices.coefficients.toArray(), scanner.notices.intercept
+    w1, b1 = scanner.families.coefficientMatrix.toArray(), scanner.families.interceptVector.toArray()
+    names = list(licences.TEMPLATES)
+
+    def judged(line):
+        ws = words(line)
+        at = {slot.setdefault(g, tf.indexOf(g)) for g in ws + [f"{x} {y}" for x, y in zip(ws, ws[1:])]}
+        if 1 / (1 + math.exp(-b0 - sum(w0[k] for k in at))) <= scanner.notice_limit:
+            return None
+        z = np.array([b1[f] + sum(w1[f, k] for k in at) for f in range(len(names))])
+        q = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        if q.max() < scanner.family_limit:
+            return "unknown", False
+        own = [x for x in ws if x]
+        for t in licences.TEMPLATES[names[q.argmax()]]:
+            theirs = [x for x in words(t) if x]
+            both = len(sets(own) & sets(theirs))
+            if both >= 0.8 * len(sets(theirs)) or both >= 0.8 * len(sets(own)) or " ".join(x for x in words(t.rstrip(".")) if x) in " ".join(own):
+                return names[q.argmax()], True
+        return names[q.argmax()], False
+
+    def blocks(t):
+        for block in re.split(r"\n\s*\n", t):
+            if "\n" in block.strip(" ") and re.search(licences.NEEDED, block):
+                own = sets([x for x in words(block) if x])
+                for f, ts in licences.TEMPLATES.items():
+                    if any(len(their := sets([x for x in words(t) if x])) > 1 and len(own & their) >= 0.8 * len(their) for t in ts):
+                        yield f
+
+    want = []
+    for r in docs.collect():
+        t = r["text"] or ""
+        found = [x for line in re.sub(licences.WRAP, r"\1 ", t).split("\n") if line and (x := judged(line))]
+        by_line = {f for f, ok in found if ok}
+        more = set(blocks(t)) - by_line
+        want.append((r["doc_id"], len(found) + len(more), sum(ok for _, ok in found) + len(more), sum(f == "unknown" for f, _ in found), ",".join(sorted(by_line | more))))
+    got = [tuple(r[c] for c in ("doc_id", "n_notices", "n_confirmed", "n_unknown", "families")) for r in licences.scan_licences(docs, scanner).collect()]
+    assert sorted(got) == sorted(want) and sum(x[1] for x in want) > 30
+    again = licences.train(docs.repartition(7))  # the sample is chosen by hash, so the model doesn't hang on the order of rows
+    assert again.notice_limit == pytest.approx(scanner.notice_limit, abs=1e-6) and np.allclose(again.notices.coefficients.toArray(), w0, atol=1e-6)
+
+
 # --- toxicity
 
 
