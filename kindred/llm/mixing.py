@@ -16,36 +16,51 @@ Defined results: nulls are a value of their own ("?") in every margin; empty tex
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.common import WORD, durable, unit_hash
 
+log = logging.getLogger(__name__)
+
 TEMPER = 0.7
 KEEP_SHARE = 0.9
 TOLERANCE = 1e-9
 MAX_ROUNDS = 40
 MARGINS = ("source", "lang", "topic")
-# Marker of a topic, in order of precedence; a text without one is prose.
-TOPICS = (("licence", "icense"), ("contact", "@"), ("table", " | "), ("credential", "token"), ("symbols", "%%%"), ("shouting", "!! "))
+#: What a document is about is told from its make-up, in order of precedence: (topic, signs counted, percent of all characters).
+SIGNS = (("markup", "{}()[]<>=;#*$%&|~^", 3), ("figures", "0123456789", 5), ("capitals", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", 40))
+LIST_LINES, LIST_CHARS, LONG_CHARS = 3, 60, 2000
 
 
 def topic_of(text: Column) -> Column:
-    """Coarse topic by the first marker that the text contains."""
-    out = F.lit("prose")
-    for name, marker in reversed(TOPICS):
-        out = F.when(F.contains(text, F.lit(marker)), name).otherwise(out)
-    return out
+    """Coarse topic of a text from the characters and lines it is made of: no word lists, so it holds for any language.
+
+    Other topics, as those of a classifier, are a column: see `topic` of mix().
+    """
+    n = F.length(text)
+    count = lambda signs: n - F.length(F.translate(text, signs, ""))
+    lines = count("\n") + 1
+    out = F.when(n == 0, "empty")
+    for name, signs, percent in SIGNS:
+        out = out.when(count(signs) * 100 >= n * percent, name)
+    return out.when((lines >= LIST_LINES) & (n < lines * LIST_CHARS), "lists").when(n < LONG_CHARS, "notes").otherwise("prose")
+
+
+def _topic(text: Column, topic: str | None) -> Column:
+    return topic_of(text) if topic is None else F.coalesce(F.col(topic).cast("string"), F.lit("?"))
 
 
-def weighed(docs: DataFrame) -> DataFrame:
-    """doc_id, source, lang, topic, tokens for each row of docs."""
+def weighed(docs: DataFrame, topic: str | None = None) -> DataFrame:
+    """doc_id, source, lang, topic, tokens for each row of docs; topics from the column `topic`, or by topic_of()."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(
         "doc_id",
         F.coalesce(F.col("source").cast("string"), F.lit("?")).alias("source"),
         F.coalesce(F.col("lang").cast("string"), F.lit("?")).alias("lang"),
-        topic_of(text).alias("topic"),
+        _topic(text, topic).alias("topic"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("tokens"),
     )
 
@@ -58,9 +73,10 @@ def tempered(cells: DataFrame, margin: str, temper: float) -> DataFrame:
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, rounds: int = MAX_ROUNDS) -> DataFrame:
-    """cells (margins, w) with x: weights that meet all target shares as nearly as they can."""
+    """cells (margins, w) with x: weights that meet all target shares; where no weights can, as nearly as `rounds` rounds bring them, with a warning."""
     total = cells.agg(F.sum("w")).first()[0] or 0.0
     goals = {m: durable(t.select(F.col("value").alias("g_value"), (F.col("share") * F.lit(float(total))).alias("goal")), "mix-goal") for m, t in targets.items()}
+    off = 0.0
     now = durable(cells.withColumn("x", F.col("w")).withColumn("off", F.lit(0.0)), "mix-0")
     for k in range(1, rounds + 1):
         step = now.withColumn("off", F.lit(0.0))
@@ -71,8 +87,11 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
                 *MARGINS, "w", (F.col("x") * F.col("f")).alias("x"), F.greatest("off", F.abs(F.col("f") - 1.0)).alias("off")
             )
         now = durable(step, f"mix-{k}")
-        if (now.agg(F.max("off")).first()[0] or 0.0) <= tolerance:
+        off = now.agg(F.max("off")).first()[0] or 0.0
+        if off <= tolerance:
             break
+    else:
+        log.warning("after %d rounds a margin is off by the factor %.2g: its targets contradict the cells that are there", rounds, off)
     return now.select(*MARGINS, "w", "x")
 
 
@@ -92,9 +111,9 @@ def draw_rate(cells: DataFrame, keep_share: float, steps: int = 60) -> float:
     return c
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep_share: float = KEEP_SHARE, temper: float = TEMPER) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep_share: float = KEEP_SHARE, temper: float = TEMPER, topic: str | None = None) -> DataFrame:
     """doc_id, source, lang, topic, tokens, ratio, p, sample_weight, sampled for each row of docs."""
-    rows = weighed(docs)
+    rows = weighed(docs, topic)
     cells = durable(rows.groupBy(*MARGINS).agg(F.sum("tokens").cast("double").alias("w")), "mix-cells")
     heavy = cells.where("w > 0")
     goals = {m: (targets or {}).get(m) if (targets or {}).get(m) is not None else tempered(heavy, m, temper) for m in MARGINS}
@@ -121,14 +140,17 @@ def keep_sampled(docs: DataFrame, **kw) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     for m in ("source", "lang"):
         own = own.withColumn(names[m], F.coalesce(F.col(m).cast("string"), F.lit("?")))
-    own = own.withColumn("__topic", topic_of(text))
+    own = own.withColumn("__topic", _topic(text, kw.get("topic")))
     met = own.join(p, [F.col(names[m]) == F.col(f"__c_{m}") for m in MARGINS], "left")
     return met.where(unit_hash(F.col("doc_id"), "mix") < F.coalesce("__p", F.lit(1.0))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_sql(rounds: int = 25, newton: int = 12, keep_share: float = KEEP_SHARE, temper: float = TEMPER) -> str:
     """The same in one DuckDB statement, with a fixed number of rounds."""
-    topic = "CASE " + " ".join(f"WHEN contains(t, '{marker}') THEN '{name}'" for name, marker in TOPICS) + " ELSE 'prose' END"
+    count = lambda signs: f"(length(t) - length(translate(t, '{signs}', '')))"
+    lines = "(length(t) - length(replace(t, chr(10), '')) + 1)"
+    makeup = " ".join(f"WHEN {count(signs)} * 100 >= length(t) * {percent} THEN '{name}'" for name, signs, percent in SIGNS)
+    topic = f"CASE WHEN length(t) = 0 THEN 'empty' {makeup} WHEN {lines} >= {LIST_LINES} AND length(t) < {lines} * {LIST_CHARS} THEN 'lists' WHEN length(t) < {LONG_CHARS} THEN 'notes' ELSE 'prose' END"
     word = "[^\\x20\\x09-\\x0D]+"
     parts = [
         f"""r AS MATERIALIZED (SELECT doc_id, coalesce(source, '?') AS source, coalesce(lang, '?') AS lang, {topic} AS topic,
