@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import discard, durable, few, map_batches, most_frequent, scanned, unit_hash
+from kindred.llm.common import batches_of, discard, durable, few, map_batches, most_frequent, scanned, unit_hash
 
 SHINGLE = 3
 THRESHOLD = 3
@@ -293,6 +293,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 SIMILAR, LOOSE, WORDS_IN_SHINGLE, BINS, SEEDS = 0.8, 0.65, 5, 256, (1, 2, 3)
 #: Bounds of the list of hot shingles and of the texts it is counted in.
 HOT, HOT_TEXTS = 50_000, 4000
+#: Texts, sets or pairs of sets in one Arrow batch.
+SETS = 256
 
 
 def word_fingerprint(words: list[bytes], seed: int) -> int:
@@ -410,7 +412,8 @@ def confirmed(rows: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
             yield [(rid, shingle_set((t or "").encode().lower().split()).tobytes()) for rid, t in zip(b["rid"], b["text"], strict=True)]
 
     texts = rows.join(few(ids), F.col("rid") == F.col("s_node"), "left_semi")
-    own = durable(map_batches(texts, "node long, shingles binary", sets, rows=512), "similar-sets")
+    with batches_of(rows.sparkSession, SETS):
+        own = durable(map_batches(texts, "node long, shingles binary", sets, rows=SETS), "similar-sets")
     u, v = (own.select(F.col("node").alias(f"{x}_node"), F.col("shingles").alias(f"{x}_set")) for x in "uv")
 
     def compare(batches):
@@ -423,7 +426,8 @@ def confirmed(rows: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(u, F.col("u") == F.col("u_node")).join(v, F.col("v") == F.col("v_node")).select("u", "v", "u_set", "v_set")
-    out = durable(both.mapInArrow(compare, "u long, v long"), "similar-edges")
+    with batches_of(rows.sparkSession, SETS):  # the set of a long text has some hundred kilobytes, and that of a hub stands in all its pairs
+        out = durable(both.mapInArrow(compare, "u long, v long"), "similar-edges")
     for d in (ids, own):
         discard(d)
     return out
@@ -455,7 +459,8 @@ def similar_texts(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     rows = scanned(docs).select(F.monotonically_increasing_id().alias("rid"), F.col("text").cast("string").alias("text"))
     hot = hot_shingles(rows)
     schema = "rid long, " + ", ".join(f"{f} long" for f in fps) + ", own binary, size int, sketch binary, prefix array<long>"
-    every = durable(map_batches(rows, schema, run, rows=512), "similar-marks")
+    with batches_of(docs.sparkSession, SETS):
+        every = durable(map_batches(rows, schema, run, rows=SETS), "similar-marks")
     least = every.groupBy("own").agg(F.min("rid").alias("node"))
     least = durable(least.select(F.col("own").alias("n_own"), "node"), "similar-least")
     # From here on a set of shingles stands once, under its first row; copies come back at the end.
