@@ -323,6 +323,26 @@ def test_lm_scores(odd, empty, size):
     assert lattice.score_texts(empty, model).count() == 0
 
 
+def test_lm_score_of_whole_texts(table):
+    """The score of a text is the sum of its words' marginals and the end's weight, with weights from the training documents."""
+    import sentencepiece
+
+    rng = random.Random(9)
+    vocabulary = ["water", "house", "light", "straße", "числа", "a", "of", "zq9"]
+    rows = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 25)))) for k in range(60)] + [(100, None), (101, "")]
+    model = lattice.read_vocabulary(public_tokenizers.path(queries.PIECE_FILE))
+    got = {r["doc_id"]: r["score"] for r in lattice.score_texts(table(rows), model, dictionary=3).collect()}
+    sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+    train = [(t or "").lower().split() for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    pieces = Counter()
+    for w, n in Counter(w for ws in train for w in ws).items():
+        for i in sp.encode(w):
+            pieces[i] += n
+    net, end = lattice.build_lattice(model, pieces, float(len(train)))
+    for i, t in rows:
+        assert got[i] == pytest.approx((sum(net.log_marginal(w) for w in (t or "").lower().split()) + end) / math.log(10), rel=1e-9)
+
+
 # --- quality
 
 
@@ -382,6 +402,26 @@ def test_quality_odd(odd, empty, labels):
     assert quality.judge_quality(empty, quality.train(empty, labels)).count() == 0
 
 
+def test_judged_by_brute_force(table, odd, labels):
+    rng = random.Random(6)
+    bits = ["A clean line of prose, with words that end well.", "w1x %%% w2y ### w3z", "| a | b | c |", "BUY NOW AND SAVE BIG!! TODAY!!", "All rights reserved.", "", "the same line", "one two three one two three"]
+    rows = [(k, "\n".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))) for k in range(80)] + odd_rows()
+    docs = table(rows)
+    field = quality.train(docs, labels)
+    want = []
+    for i, t in rows:
+        t = t or ""
+        n, chars, sym, dup, rep = quality.base_rules(t)
+        lines = [x for x in t.split("\n") if x.strip(" \t\n\r\x0b\x0c")]
+        label = field.viterbi(quality.line_features(lines)) if lines else []
+        content = sum(len(x.split()) or 1 for x, y in zip(lines, label) if y == 0)
+        share = content / max(1, sum(len(x.split()) or 1 for x in lines))
+        failed = n < 50 or 100 * rep > 50 * n
+        want.append((str(i), n, chars, sym, dup, rep, failed, not failed and share >= 0.5))
+    got = quality.judge_quality(clashing(docs), field).collect()
+    assert sorted((str(r["doc_id"]), *(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"))) for r in got) == sorted(want)
+
+
 def test_quality_separates(table):
     good = [(k, "\n".join(f"This is a clean line of prose number {k} {j}, with words that end well." for j in range(8))) for k in range(40)]
     bad = [(100 + k, "\n".join(" ".join(f"w{k}x{j}y{i}%%%" for i in range(12)) for j in range(8))) for k in range(40)]
@@ -820,3 +860,72 @@ def test_pipeline_stages(spark, table, tmp_path, labels):
             assert out.where("doc_id < 50").count() == 6
         docs = out
     assert set(docs.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
+
+
+def test_pipeline_by_brute_force(spark, table, tmp_path, ranks):
+    """Each stage on what the one before it kept, against plain code: scores, equal texts, similar texts, draws, tokens."""
+    import corpus_pipeline
+
+    rng = random.Random(17)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    made = list(toxic_rows(rng, 240, vocabulary[:40], ["blockhead", "zuckwurm"], every=4))
+    rows = [(k, t, "en", f"s{k % 3}", len(t)) for k, (t, _) in enumerate(made)]
+    for g in range(12):  # equal texts, near copies above and below the limit
+        base = [rng.choice(vocabulary) for _ in range(120)]
+        for j, changes in enumerate((0, 0, 1, 2, 40)):
+            t = list(base)
+            for _ in range(changes):
+                t[rng.randrange(120)] = rng.choice(vocabulary)
+            rows.append((1000 + 10 * g + j, " ".join(t), None if g % 4 == 0 else "de", None if g % 3 == 0 else "s9", 1))
+    rows += [(None, None, None, None, None), (5000, "", "en", "s0", 0), (5001, "", "en", "s0", 0), (None, "alone without an id", "en", "s0", 1), (7, "the row again", "en", "s1", 1), (7, "the row again", "en", "s1", 1), (5002, "x" * 30_000, "en", "s0", 1)]
+    docs = clashing(table(rows))
+    table([(k, 1, y) for k, (_, y) in enumerate(made)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = {}
+    before = docs
+    for name, stage in corpus_pipeline.STAGES:
+        path = str(tmp_path / name)
+        stage(spark, before, str(tmp_path)).write.parquet(path)
+        kept[name] = (before, spark.read.parquet(path))
+        before = kept[name][1]
+    texts = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+
+    had, has = kept["toxicity"]
+    model = toxicity.train(docs, spark.read.parquet(str(tmp_path / "labels.parquet")))
+    assert has.columns == docs.columns and texts(has) == Counter((r["doc_id"], r["text"]) for r in had.collect() if model.score(r["text"]) < 0.7)
+    assert sum(r["doc_id"] is not None and r["doc_id"] < 240 and made[r["doc_id"]][1] for r in has.collect()) <= 6
+
+    had, has = kept["exact_dedup"]
+    best = {}
+    for r in had.collect():
+        t = r["text"] or ""
+        best[t] = max(best.get(t, -1), -1 if r["doc_id"] is None else r["doc_id"])
+    assert Counter((r["doc_id"] if r["doc_id"] is not None else -1, r["text"] or "") for r in has.collect()) == Counter((i, t) for t, i in best.items())
+
+    had, has = kept["simhash_near_dedup"]
+    own = [r["text"] or "" for r in had.collect()]
+    sets = [frozenset(" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if (w := t.lower().split()) else frozenset() for t in own]
+    group = list(range(len(own)))
+    for i in range(len(own)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    assert has.count() == len(set(group)) and len({group[own.index(r["text"] or "")] for r in has.collect()}) == has.count()
+    assert len(set(group)) <= len(own) - 12  # the near copies are there
+
+    had, has = kept["source_mixing"]
+    drawn = Counter(r["doc_id"] for r in mixing.mix(had).collect() if r["sampled"])
+    assert Counter(r["doc_id"] for r in has.collect()) == drawn and has.columns == docs.columns
+
+    had, has = kept["byte_bpe"]
+    assert sorted((str(r["doc_id"]), *tuple(r)[1:]) for r in has.collect()) == sorted((str(r["doc_id"]), *bpe_truth(ranks, r["text"])) for r in had.collect())
+
+
+def test_pipeline_of_an_empty_table(spark, empty, labels, tmp_path):
+    import corpus_pipeline
+
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    docs = empty
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.count() == 0
