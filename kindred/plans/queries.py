@@ -568,12 +568,12 @@ def decide_best_of_a(spark, sf_dir):
     return decide.decide(_scored(spark, sf_dir), "drop_duplicate_a", 0.5, 1.3, "id")
 
 
-_EVENT_PAIRS = "(SELECT event_id AS id_a, user_id AS id_b, CASE WHEN value > 10 THEN 1 ELSE 0 END AS prediction FROM events)"
+_EVENT_PAIRS = "(SELECT event_id AS id_a, user_id AS id_b, CASE WHEN value > 200 THEN 1 ELSE 0 END AS prediction FROM events)"
 
 
 @query("decide_one_to_one", f"SELECT id_a, id_b, prediction FROM (SELECT *, count(*) OVER (PARTITION BY id_b) AS n FROM {_EVENT_PAIRS} WHERE prediction = 1) WHERE n = 1")
 def decide_one_to_one(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id_a"), F.col("user_id").alias("id_b"), F.when(F.col("value") > 10, 1).otherwise(0).alias("prediction"))
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id_a"), F.col("user_id").alias("id_b"), F.when(F.col("value") > 200, 1).otherwise(0).alias("prediction"))
     return decide.one_to_one(e, "id")
 
 
