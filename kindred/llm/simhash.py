@@ -293,6 +293,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 SIMILAR, LOOSE, WORDS_IN_SHINGLE, BINS, SEEDS = 0.8, 0.65, 5, 256, (1, 2, 3)
 #: Bounds of the list of hot shingles and of the texts it is counted in.
 HOT, HOT_TEXTS = 50_000, 4000
+#: Sets of so many shingles have their counts in more bins.
+LONG_SET = 1500
 #: Texts, sets or pairs of sets in one Arrow batch.
 SETS = 256
 
@@ -330,6 +332,20 @@ def sketch_of(h: np.ndarray) -> bytes:
     return out.tobytes()
 
 
+def bin_counts(h: np.ndarray) -> bytes:
+    """How many shingles of a set fall into each bin of hashes: 256 bins, or 2048 for a long text."""
+    bits = 8 if len(h) < LONG_SET else 11
+    return np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).clip(max=65_535).astype("<u2").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """At least so many shingles are in one of two sets only, from their bin counts."""
+    x, y = (np.frombuffer(c, "<u2").astype(np.int64) for c in (a, b))
+    if len(x) != len(y):
+        x, y = (c.reshape(256, -1).sum(1) for c in (x, y))
+    return int(np.abs(x - y).sum())
+
+
 def sketch_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Estimated Jaccard similarity of rows of sketches; two empty ones are equal."""
     same = (a == b) & (a != 0)
@@ -368,7 +384,8 @@ def sharing(marked: DataFrame, roots: DataFrame, similar: float, block: int = BL
     """u, v: pairs of nodes with unequal roots that share a shingle of their prefixes and whose sketches don't rule them out.
 
     roots: node, root. A shingle with more than `block` nodes is cut into blocks, as anchors are. Bins that differ are so
-    many shingles that only one of the two sets has, so no pair at `similar` or more is lost to sketches.
+    many shingles that only one of the two sets has, and so are the differences of bin counts (which tell long texts apart),
+    so no pair at `similar` or more is lost to either.
     """
     own = marked.join(few(roots), F.col("rid") == F.col("node")).select("node", "size", "root", F.explode("prefix").alias("key"))
     counts = own.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
@@ -384,16 +401,20 @@ def sharing(marked: DataFrame, roots: DataFrame, similar: float, block: int = BL
     pairs = met.where((F.col("a_root") != F.col("b_root")) & near).select(F.least("a_node", "b_node").alias("u"), F.greatest("a_node", "b_node").alias("v")).distinct()
     pairs = durable(pairs, "similar-pairs")
     ids = durable(pairs.select(F.explode(F.array("u", "v")).alias("s_node")).distinct(), "similar-ids")
-    picked = durable(marked.join(few(ids), F.col("rid") == F.col("s_node"), "left_semi").select("rid", "size", "sketch"), "similar-picked")
-    u, v = (picked.select(F.col("rid").alias(f"{x}_node"), F.col("size").alias(f"{x}_size"), F.col("sketch").alias(f"{x}_sketch")) for x in "uv")
+    picked = durable(marked.join(few(ids), F.col("rid") == F.col("s_node"), "left_semi").select("rid", "size", "sketch", "bins"), "similar-picked")
+    u, v = (picked.select(F.col("rid").alias(f"{x}_node"), F.col("size").alias(f"{x}_size"), F.col("sketch").alias(f"{x}_sketch"), F.col("bins").alias(f"{x}_bins")) for x in "uv")
 
     def possible(batches):
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(b.num_rows, -1) for c in ("u_sketch", "v_sketch"))
             n = b.column("u_size").to_numpy(zero_copy_only=False).astype(np.int64) + b.column("v_size").to_numpy(zero_copy_only=False)
-            yield b.select(["u", "v"]).filter(pa.array((x != y).sum(1) <= (1 - similar) / (1 + similar) * n + 1e-9))
+            most = (1 - similar) / (1 + similar) * n + 1e-9
+            keep = (x != y).sum(1) <= most
+            bins = zip(b.column("u_bins").to_pylist(), b.column("v_bins").to_pylist(), strict=True)
+            keep &= np.fromiter((not k or least_difference(p, q) <= m for k, m, (p, q) in zip(keep, most, bins, strict=True)), bool, b.num_rows)
+            yield b.select(["u", "v"]).filter(pa.array(keep))
 
-    both = pairs.join(u, F.col("u") == F.col("u_node")).join(v, F.col("v") == F.col("v_node")).select("u", "v", "u_size", "v_size", "u_sketch", "v_sketch")
+    both = pairs.join(u, F.col("u") == F.col("u_node")).join(v, F.col("v") == F.col("v_node")).select("u", "v", "u_size", "v_size", "u_sketch", "v_sketch", "u_bins", "v_bins")
     out = durable(both.mapInArrow(possible, "u long, v long"), "similar-possible")
     for d in (counts, dealt, pairs, ids, picked):
         discard(d)
@@ -453,12 +474,12 @@ def similar_texts(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
                 distinct = list(dict.fromkeys(words))
                 prints = np.array([word_fingerprint(distinct, s) for s in SEEDS], np.uint64).view(np.int64).tolist()
                 h = shingle_set(words)
-                out.append((rid, *prints, xxhash.xxh3_128_digest(h.tobytes()), len(h), sketch_of(h), prefix_of(h, hot, similar).view(np.int64).tolist()))
+                out.append((rid, *prints, xxhash.xxh3_128_digest(h.tobytes()), len(h), sketch_of(h), bin_counts(h), prefix_of(h, hot, similar).view(np.int64).tolist()))
             yield out
 
     rows = scanned(docs).select(F.monotonically_increasing_id().alias("rid"), F.col("text").cast("string").alias("text"))
     hot = hot_shingles(rows)
-    schema = "rid long, " + ", ".join(f"{f} long" for f in fps) + ", own binary, size int, sketch binary, prefix array<long>"
+    schema = "rid long, " + ", ".join(f"{f} long" for f in fps) + ", own binary, size int, sketch binary, bins binary, prefix array<long>"
     with batches_of(docs.sparkSession, SETS):
         every = durable(map_batches(rows, schema, run, rows=SETS), "similar-marks")
     least = every.groupBy("own").agg(F.min("rid").alias("node"))

@@ -209,11 +209,23 @@ def test_confirmed_on_shingles(table, edited):
     assert got == {k for k, x in enumerate(edited) if x[2]}
 
 
+def test_bin_counts_never_overstate_the_difference():
+    rng = np.random.default_rng(4)
+    for n in (3, 200, 1400, 1700, 6000):
+        for changed in (0, 1, n // 10, n // 2):
+            a = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2)
+            b = np.unique(np.concatenate([a[changed:], rng.integers(0, 2**63, changed // 2, dtype=np.uint64) * np.uint64(2)]))
+            a = np.unique(a)
+            assert simhash.least_difference(simhash.bin_counts(a), simhash.bin_counts(b)) <= len(np.setxor1d(a, b))
+    x, y = (np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2)) for n in (6000, 6000))
+    assert simhash.least_difference(simhash.bin_counts(x), simhash.bin_counts(y)) > 12_000 / 9  # other texts are told apart
+
+
 @pytest.mark.parametrize("block", [2048, 3])
 def test_sharing_blocks(table, block):
     rows = [(k, [k, k + 1, 7], 10, k % 5) for k in range(0, 40, 2)]
     given = table(rows, "rid long, prefix array<long>, size int, root long")
-    marked, roots = given.drop("root").withColumn("sketch", F.lit(bytes(512))), given.select(F.col("rid").alias("node"), "root")
+    marked, roots = given.drop("root").withColumns({"sketch": F.lit(bytes(512)), "bins": F.lit(bytes(512))}), given.select(F.col("rid").alias("node"), "root")
     got = sorted((r["u"], r["v"]) for r in simhash.sharing(marked, roots, 0.8, block).collect())
     assert got == sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[3] != b[3])
 
