@@ -18,11 +18,13 @@ repeated rows share a component. The smallest doc_id of a component names it; nu
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm.common import batches_of, discard, durable, few, map_batches, most_frequent, scanned, unit_hash
@@ -293,10 +295,14 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 SIMILAR, LOOSE, WORDS_IN_SHINGLE, BINS, SEEDS = 0.8, 0.65, 5, 256, (1, 2, 3)
 #: Bounds of the list of hot shingles and of the texts it is counted in.
 HOT, HOT_TEXTS = 50_000, 4000
+#: A prefix is longer than it has to be by this share of its set and SPARE shingles, and as many more have to be shared.
+LONGER, SPARE = 0.02, 2
 #: Sets of so many shingles have their counts in more bins.
 LONG_SET = 1500
 #: Texts, sets or pairs of sets in one Arrow batch.
 SETS = 256
+#: Pairs that are joined to their sketches, or to their sets, at once.
+SKETCHED_AT_ONCE, SETS_AT_ONCE = 2_000_000, 200_000
 
 
 def word_fingerprint(words: list[bytes], seed: int) -> int:
@@ -355,14 +361,16 @@ def sketch_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def prefix_of(h: np.ndarray, hot: np.ndarray, similar: float) -> np.ndarray:
-    """The first shingles of a set, by hash and hot ones last: two sets at `similar` or more share one of theirs.
+    """The first shingles of a set, by hash and hot ones last: two sets at `similar` or more share some of theirs.
 
-    Such a pair shares at least similar * n of the n shingles of either, so the rest is too short to hold them all.
+    Such a pair shares at least similar * n of the n shingles of either, so n - similar * n + k of each hold k shared ones;
+    k is n's share LONGER and SPARE, and 1 at least. The pair shares the smaller k of the two: see `sharing`.
     """
     if len(hot) and len(h):
         is_hot = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
         h = np.concatenate([h[~is_hot], h[is_hot]])
-    return h[: len(h) - int(np.ceil(similar * len(h) - 1e-9)) + 1]
+    least = int(np.ceil(similar * len(h) - 1e-9))
+    return h[: len(h) - least + max(1, min(least, 1 + SPARE + int(LONGER * len(h))))]
 
 
 def hot_shingles(rows: DataFrame) -> np.ndarray:
@@ -380,26 +388,56 @@ def hot_shingles(rows: DataFrame) -> np.ndarray:
     return np.sort(np.array(found, np.int64).view(np.uint64))
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """The shuffle files of each action inside are deleted when it ends: durable tables stand for them."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def in_slices(pairs: DataFrame, at_once: int, label: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """work(pairs), durable, for about `at_once` pairs u, v at a time: what is joined to them never stands on disk for all."""
+    k = max(1, -(-pairs.count() // at_once))
+    if k == 1:
+        return durable(work(pairs), label)
+    slice_of = F.pmod(F.xxhash64(F.lit("slice"), "u", "v"), F.lit(k))
+    done = [durable(work(pairs.where(slice_of == i)), label) for i in range(k)]
+    out = durable(reduce(DataFrame.unionByName, done), label)
+    for d in done:
+        discard(d)
+    return out
+
+
 def sharing(marked: DataFrame, roots: DataFrame, similar: float, block: int = BLOCK) -> DataFrame:
     """u, v: pairs of nodes with unequal roots that share a shingle of their prefixes and whose sketches don't rule them out.
 
-    roots: node, root. A shingle with more than `block` nodes is cut into blocks, as anchors are. Bins that differ are so
-    many shingles that only one of the two sets has, and so are the differences of bin counts (which tell long texts apart),
-    so no pair at `similar` or more is lost to either.
+    roots: node, root. A prefix that is longer by k than the shingles a similar set may lack shares k with it at least, and
+    pairs that share fewer are left out. A shingle with more than `block` nodes is cut into blocks, as anchors are. Bins that
+    differ are so many shingles that only one of the two sets has, and so are the differences of bin counts (which tell long
+    texts apart), so no pair at `similar` or more is lost to either.
     """
-    own = marked.join(few(roots), F.col("rid") == F.col("node")).select("node", "size", "root", F.explode("prefix").alias("key"))
+    lacking = F.col("size") - F.ceil(F.lit(similar) * F.col("size") - F.lit(1e-9))
+    need = (F.size("prefix") - lacking).cast("int").alias("need")
+    own = marked.join(few(roots), F.col("rid") == F.col("node")).select("node", "size", "root", need, F.explode("prefix").alias("key"))
     counts = own.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     counts = durable(counts.select(F.col("key").alias("c_key"), "n"), "similar-keys")
     parts = F.ceil(F.col("n") / block).cast("int")
     part = F.pmod(F.xxhash64("node"), parts).cast("int")
-    dealt = own.join(counts, F.col("key") == F.col("c_key")).select("key", "node", "size", "root", part.alias("part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    dealt = durable(dealt.select("key", "node", "size", "root", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")), "similar-dealt")
-    columns = ("key", "i", "j", "node", "size", "root", "part")
+    dealt = own.join(counts, F.col("key") == F.col("c_key")).select("key", "node", "size", "root", "need", part.alias("part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    dealt = durable(dealt.select("key", "node", "size", "root", "need", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")), "similar-dealt")
+    columns = ("key", "i", "j", "node", "size", "root", "need", "part")
     a, b = (dealt.select(*[F.col(c).alias(f"{x}_{c}") for c in columns]) for x in "ab")
     met = a.where("a_part = a_i").join(b.where("b_part = b_j"), (F.col("a_key") == F.col("b_key")) & (F.col("a_i") == F.col("b_i")) & (F.col("a_j") == F.col("b_j")))
     near = (F.least("a_size", "b_size") + F.lit(1e-9) >= F.lit(similar) * F.greatest("a_size", "b_size")) & ((F.col("a_i") < F.col("a_j")) | (F.col("a_node") < F.col("b_node")))
-    pairs = met.where((F.col("a_root") != F.col("b_root")) & near).select(F.least("a_node", "b_node").alias("u"), F.greatest("a_node", "b_node").alias("v")).distinct()
-    pairs = durable(pairs, "similar-pairs")
+    pairs = met.where((F.col("a_root") != F.col("b_root")) & near).groupBy(F.least("a_node", "b_node").alias("u"), F.greatest("a_node", "b_node").alias("v"))
+    pairs = pairs.agg(F.count("*").alias("shared"), F.min(F.least("a_need", "b_need")).alias("need")).where("shared >= need")
+    pairs = durable(pairs.select("u", "v"), "similar-pairs")
+    discard(dealt)
     ids = durable(pairs.select(F.explode(F.array("u", "v")).alias("s_node")).distinct(), "similar-ids")
     picked = durable(marked.join(few(ids), F.col("rid") == F.col("s_node"), "left_semi").select("rid", "size", "sketch", "bins"), "similar-picked")
     u, v = (picked.select(F.col("rid").alias(f"{x}_node"), F.col("size").alias(f"{x}_size"), F.col("sketch").alias(f"{x}_sketch"), F.col("bins").alias(f"{x}_bins")) for x in "uv")
@@ -414,9 +452,13 @@ def sharing(marked: DataFrame, roots: DataFrame, similar: float, block: int = BL
             keep &= np.fromiter((not k or least_difference(p, q) <= m for k, m, (p, q) in zip(keep, most, bins, strict=True)), bool, b.num_rows)
             yield b.select(["u", "v"]).filter(pa.array(keep))
 
-    both = pairs.join(u, F.col("u") == F.col("u_node")).join(v, F.col("v") == F.col("v_node")).select("u", "v", "u_size", "v_size", "u_sketch", "v_sketch", "u_bins", "v_bins")
-    out = durable(both.mapInArrow(possible, "u long, v long"), "similar-possible")
-    for d in (counts, dealt, pairs, ids, picked):
+    def both(some):
+        met = some.join(u, F.col("u") == F.col("u_node")).join(v, F.col("v") == F.col("v_node"))
+        return met.select("u", "v", "u_size", "v_size", "u_sketch", "v_sketch", "u_bins", "v_bins").mapInArrow(possible, "u long, v long")
+
+    with batches_of(marked.sparkSession, SETS):  # sketch and bins of a pair are up to nine kilobytes
+        out = in_slices(pairs, SKETCHED_AT_ONCE, "similar-possible", both)
+    for d in (counts, pairs, ids, picked):
         discard(d)
     return out
 
@@ -446,9 +488,12 @@ def confirmed(rows: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
                 keep.append(both + 1e-9 >= similar * (len(x) + len(y) - both))
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(u, F.col("u") == F.col("u_node")).join(v, F.col("v") == F.col("v_node")).select("u", "v", "u_set", "v_set")
+    def both(some):
+        met = some.join(u, F.col("u") == F.col("u_node")).join(v, F.col("v") == F.col("v_node"))
+        return met.select("u", "v", "u_set", "v_set").mapInArrow(compare, "u long, v long")
+
     with batches_of(rows.sparkSession, SETS):  # the set of a long text has some hundred kilobytes, and that of a hub stands in all its pairs
-        out = durable(both.mapInArrow(compare, "u long, v long"), "similar-edges")
+        out = in_slices(pairs, SETS_AT_ONCE, "similar-edges", both)
     for d in (ids, own):
         discard(d)
     return out
@@ -507,7 +552,8 @@ def similar_texts(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 def keep_dissimilar(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """docs with the first row of each group of similar texts, and their columns."""
     docs = scanned(docs)
-    gone = durable(similar_texts(docs, similar).where("rid <> keep_rid").select(F.col("rid").alias("__gone")), "similar-gone")
+    with shuffles_removed(docs.sparkSession):
+        gone = durable(similar_texts(docs, similar).where("rid <> keep_rid").select(F.col("rid").alias("__gone")), "similar-gone")
     numbered = docs.withColumn("__rid", F.monotonically_increasing_id())
     return numbered.join(few(gone), F.col("__rid") == F.col("__gone"), "left_anti").drop("__rid")
 

@@ -230,6 +230,55 @@ def test_sharing_blocks(table, block):
     assert got == sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[3] != b[3])
 
 
+def test_prefixes_of_similar_sets_share_enough():
+    rng = np.random.default_rng(6)
+    draw = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
+    for n in (1, 2, 3, 4, 5, 9, 10, 60, 400, 1000):
+        for share in (0.0, 0.3, 0.5, 1.0):
+            a = np.unique(draw(n))
+            lost = int((1 - 0.8) / (1 + 0.8) * 2 * n * share / (1 + share)) if share else 0
+            b = np.sort(np.concatenate([a[lost:], np.arange(int(0.2 * (n - lost) * (1 - share)), dtype=np.uint64)]))  # the worst place: the first hashes differ
+            both = len(np.intersect1d(a, b))
+            if both < 0.8 * (len(a) + len(b) - both):
+                continue
+            for hot in (np.zeros(0, np.uint64), np.sort(rng.choice(a, n // 3, replace=False))):
+                p, q = simhash.prefix_of(a, hot, 0.8), simhash.prefix_of(b, hot, 0.8)
+                need = [len(x) - (len(h) - int(np.ceil(0.8 * len(h) - 1e-9))) for x, h in ((p, a), (q, b))]
+                assert min(need) >= 1 and len(np.intersect1d(p, q)) >= min(need)
+
+
+def test_sharing_leaves_out_pairs_that_share_too_few(table):
+    rows = [(0, [1, 2, 3, 4], 10, 0), (1, [1, 2, 5, 6], 10, 1), (2, [1, 7, 8, 9], 10, 2), (3, [7, 10, 11], 10, 3)]
+    given = table(rows, "rid long, prefix array<long>, size int, root long")
+    marked, roots = given.drop("root").withColumns({"sketch": F.lit(bytes(512)), "bins": F.lit(bytes(512))}), given.select(F.col("rid").alias("node"), "root")
+    # Ten shingles may lack two, so four in a prefix hold two shared ones, and three hold one.
+    assert sorted((r["u"], r["v"]) for r in simhash.sharing(marked, roots, 0.8).collect()) == [(0, 1), (2, 3)]
+
+
+def test_pairs_in_slices(table, edited, monkeypatch):
+    rows = table([(2 * k + j, " ".join(pair[j])) for k, pair in enumerate(edited) for j in (0, 1)], "rid long, text string")
+    pairs = table([(2 * k, 2 * k + 1) for k in range(len(edited))], "u long, v long")
+    sizes = []
+    write = simhash.durable
+    monkeypatch.setattr(simhash, "SETS_AT_ONCE", 10)
+    monkeypatch.setattr(simhash, "durable", lambda df, label: sizes.append(label) or write(df, label))
+    got = sorted(r["u"] // 2 for r in simhash.confirmed(rows, pairs, 0.8).collect())
+    assert got == [k for k, x in enumerate(edited) if x[2]]
+    assert sizes.count("similar-edges") == 6  # 48 pairs by tens, and all of them
+
+
+def test_shuffle_files_go_with_their_action(spark, table):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    docs = table([(k, f"some words of text {k}") for k in range(20)])
+    seen = []
+    write = simhash.durable
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(simhash, "durable", lambda df, label: seen.append(spark.conf.get(name, None)) or write(df, label))
+        assert simhash.keep_dissimilar(docs).count() == 20
+    assert set(seen) == {"true"} and spark.conf.get(name, None) == before
+
+
 # --- byte-level BPE
 
 
