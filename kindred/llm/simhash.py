@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import batches_of, discard, durable, few, map_batches, most_frequent, scanned, unit_hash
+from kindred.llm.common import batches_of, discard, durable, few, map_batches, most_frequent, scanned
 
 SHINGLE = 3
 THRESHOLD = 3
@@ -293,8 +293,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 # --- similar texts: candidates by the same covering, over fingerprints of distinct words, and by shared shingles; exact similarity
 
 SIMILAR, LOOSE, WORDS_IN_SHINGLE, BINS, SEEDS = 0.8, 0.65, 5, 256, (1, 2, 3)
-#: Bounds of the list of hot shingles and of the texts it is counted in.
-HOT, HOT_TEXTS = 50_000, 4000
+#: Bound of the list of hot shingles.
+HOT = 50_000
 #: A prefix is longer than it has to be by this share of its set and SPARE shingles, and as many more have to be shared.
 LONGER, SPARE = 0.02, 2
 #: Sets of so many shingles have their counts in more bins.
@@ -373,17 +373,24 @@ def prefix_of(h: np.ndarray, hot: np.ndarray, similar: float) -> np.ndarray:
     return h[: len(h) - least + max(1, min(least, 1 + SPARE + int(LONGER * len(h))))]
 
 
-def hot_shingles(rows: DataFrame) -> np.ndarray:
-    """Shingles of several texts of a bounded sample, at most HOT of them. Any list gives the same links; this one, short groups."""
-    share = min(1.0, HOT_TEXTS / max(1, rows.count()))
+def hot_shingles(rows: DataFrame, similar: float = SIMILAR) -> np.ndarray:
+    """The shingles that stand in the prefixes of most texts, at most HOT of them, counted over the prefixes of all rows.
 
-    def run(parts):
-        for b in parts:
-            yield [(x,) for t in b["text"] for x in shingle_set((t or "").encode().lower().split()).view(np.int64).tolist()]
+    Prefixes by hash alone, which is where a shingle would make a group. Any list gives the same links; this one, short groups.
+    """
+    none = np.zeros(0, np.uint64)
 
-    counts = map_batches(rows.where(unit_hash(F.col("rid"), "hot") < share), "h long", run, rows=64).groupBy("h").agg(F.count("*").alias("n")).where("n > 3")
-    counts = durable(counts, "similar-hot")
-    found = [r["h"] for r in counts.where(most_frequent(counts, "n", HOT)).collect()]
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, SETS):
+                found = [prefix_of(shingle_set((t or "").encode().lower().split()), none, similar) for t in b.column("text").slice(at, SETS).to_pylist()]
+                h, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "m"])
+
+    with batches_of(rows.sparkSession, SETS):
+        counts = rows.select("text").mapInArrow(run, "h long, m long").groupBy("h").agg(F.sum("m").alias("n")).where("n > 3")
+        counts = durable(counts, "similar-hot")
+    found = counts.where(most_frequent(counts, "n", HOT)).select("h").toArrow()["h"].to_numpy()
     discard(counts)
     return np.sort(np.array(found, np.int64).view(np.uint64))
 
@@ -523,7 +530,7 @@ def similar_texts(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
             yield out
 
     rows = scanned(docs).select(F.monotonically_increasing_id().alias("rid"), F.col("text").cast("string").alias("text"))
-    hot = hot_shingles(rows)
+    hot = hot_shingles(rows, similar)
     schema = "rid long, " + ", ".join(f"{f} long" for f in fps) + ", own binary, size int, sketch binary, bins binary, prefix array<long>"
     with batches_of(docs.sparkSession, SETS):
         every = durable(map_batches(rows, schema, run, rows=SETS), "similar-marks")

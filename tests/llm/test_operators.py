@@ -230,6 +230,13 @@ def test_sharing_blocks(table, block):
     assert got == sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[3] != b[3])
 
 
+def test_hot_shingles_are_counted_in_all_texts(table):
+    words = lambda k: " ".join(f"w{k}x{j}" for j in range(5))
+    often = [words(k) for k in range(40)]  # one shingle each, in four texts; every other one in one text
+    rows = table([(k, often[k // 200] if k % 50 == 0 else words(k + 1000)) for k in range(8000)], "rid long, text string")
+    assert simhash.hot_shingles(rows).tolist() == sorted(int(simhash.shingle_set(t.encode().split())[0]) for t in often)
+
+
 def test_prefixes_of_similar_sets_share_enough():
     rng = np.random.default_rng(6)
     draw = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
