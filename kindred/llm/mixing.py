@@ -111,14 +111,22 @@ def draw_rate(cells: DataFrame, keep_share: float, steps: int = 60) -> float:
     return c
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep_share: float = KEEP_SHARE, temper: float = TEMPER, topic: str | None = None) -> DataFrame:
-    """doc_id, source, lang, topic, tokens, ratio, p, sample_weight, sampled for each row of docs."""
-    rows = weighed(docs, topic)
+def fit_cells(rows: DataFrame, targets: dict[str, DataFrame] | None = None, keep_share: float = KEEP_SHARE, temper: float = TEMPER) -> tuple[DataFrame, float]:
+    """(margins, ratio of each cell that weighs something; the draw rate c) of rows as those of weighed()."""
     cells = durable(rows.groupBy(*MARGINS).agg(F.sum("tokens").cast("double").alias("w")), "mix-cells")
     heavy = cells.where("w > 0")
     goals = {m: (targets or {}).get(m) if (targets or {}).get(m) is not None else tempered(heavy, m, temper) for m in MARGINS}
     raked = durable(rake(heavy, goals).withColumn("ratio", F.col("x") / F.col("w")), "mix-raked")
-    c = draw_rate(raked, keep_share)
+    return raked, draw_rate(raked, keep_share)
+
+
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep_share: float = KEEP_SHARE, temper: float = TEMPER, topic: str | None = None) -> DataFrame:
+    """doc_id, source, lang, topic, tokens, ratio, p, sample_weight, sampled for each row of docs.
+
+    Texts are read once: their topics and token counts are written out, for the cells and for the result.
+    """
+    rows = durable(weighed(docs, topic), "mix-rows")
+    raked, c = fit_cells(rows, targets, keep_share, temper)
     fit = raked.select(*[F.col(m).alias(f"c_{m}") for m in MARGINS], "ratio")
     on = [F.col(m) == F.col(f"c_{m}") for m in MARGINS]
     ratio = F.coalesce("ratio", F.lit(1.0))
@@ -131,18 +139,19 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep_share
     )
 
 
-def keep_sampled(docs: DataFrame, **kw) -> DataFrame:
+def keep_sampled(docs: DataFrame, topic: str | None = None, **kw) -> DataFrame:
     """The drawn rows of docs, with its columns. Cells, not documents, carry the probability, so no text is shuffled."""
-    plain = durable(mix(docs, **kw).groupBy(*MARGINS).agg(F.max("p").alias("__p")), "mix-p")
+    raked, c = fit_cells(weighed(docs, topic), **kw)
+    p = raked.select(*[F.col(m).alias(f"__c_{m}") for m in MARGINS], F.least(F.lit(1.0), F.lit(c) * F.col("ratio")).alias("__p"))
     names = {m: f"__{m}" for m in MARGINS}
-    p = plain.select(*[F.col(m).alias(f"__c_{m}") for m in MARGINS], "__p")
     own = docs
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     for m in ("source", "lang"):
         own = own.withColumn(names[m], F.coalesce(F.col(m).cast("string"), F.lit("?")))
-    own = own.withColumn("__topic", _topic(text, kw.get("topic")))
+    own = own.withColumn("__topic", _topic(text, topic))
     met = own.join(p, [F.col(names[m]) == F.col(f"__c_{m}") for m in MARGINS], "left")
-    return met.where(unit_hash(F.col("doc_id"), "mix") < F.coalesce("__p", F.lit(1.0))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # Cells of empty texts only have ratio 1.
+    return met.where(unit_hash(F.col("doc_id"), "mix") < F.coalesce("__p", F.lit(min(1.0, c)))).select(*[F.col(f"`{name}`") for name in docs.columns])
 
 
 def mix_sql(rounds: int = 25, newton: int = 12, keep_share: float = KEEP_SHARE, temper: float = TEMPER) -> str:

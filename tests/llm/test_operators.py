@@ -720,6 +720,19 @@ def test_mixing_meets_targets(table):
     assert {r["doc_id"] for r in mixing.keep_sampled(docs).collect()} == kept
 
 
+def test_mixing_reads_texts_once(table, odd, monkeypatch):
+    labels = []
+    write = mixing.durable
+    monkeypatch.setattr(mixing, "durable", lambda df, label: labels.append((label, "regexp_count" in df._jdf.queryExecution().toString())) or write(df, label))
+    got = mixing.mix(odd, keep_share=0.4)
+    assert [label for label, reads in labels if reads] == ["mix-rows"] and "regexp_count" not in got._jdf.queryExecution().toString()
+    labels.clear()
+    kept = mixing.keep_sampled(odd, keep_share=0.4)
+    assert [label for label, reads in labels if reads] == ["mix-cells"]  # and once more for the rows themselves
+    drawn = Counter(r["doc_id"] for r in got.collect() if r["sampled"])  # among them empty texts, whose cells weigh nothing
+    assert Counter(r["doc_id"] for r in kept.collect()) == drawn and 0 < sum(drawn.values()) < odd.count()
+
+
 def test_mixing_odd(odd, empty):
     assert mixing.mix(clashing(odd)).count() == len(odd_rows())
     assert mixing.keep_sampled(clashing(odd)).columns == clashing(odd).columns
