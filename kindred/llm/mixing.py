@@ -21,7 +21,7 @@ import logging
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import WORD, durable, unit_hash
+from kindred.llm.common import WORD, discard, durable, unit_hash
 
 log = logging.getLogger(__name__)
 
@@ -75,18 +75,24 @@ def tempered(cells: DataFrame, margin: str, temper: float) -> DataFrame:
 def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, rounds: int = MAX_ROUNDS) -> DataFrame:
     """cells (margins, w) with x: weights that meet all target shares; where no weights can, as nearly as `rounds` rounds bring them, with a warning."""
     total = cells.agg(F.sum("w")).first()[0] or 0.0
-    goals = {m: durable(t.select(F.col("value").alias("g_value"), (F.col("share") * F.lit(float(total))).alias("goal")), "mix-goal") for m, t in targets.items()}
+    # Cells carry their goals, so a round has one join a margin; cells without a goal are left out.
+    aimed = cells.withColumn("x", F.col("w")).withColumn("off", F.lit(0.0))
+    for m, t in targets.items():
+        goal = t.select(F.col("value").alias("g_value"), (F.col("share") * F.lit(float(total))).alias(f"goal_{m}"))
+        aimed = aimed.join(goal, F.col(m) == F.col("g_value")).drop("g_value")
+    goals = [f"goal_{m}" for m in MARGINS]
     off = 0.0
-    now = durable(cells.withColumn("x", F.col("w")).withColumn("off", F.lit(0.0)), "mix-0")
+    now = durable(aimed, "mix-0")
     for k in range(1, rounds + 1):
         step = now.withColumn("off", F.lit(0.0))
         for m in MARGINS:
             sums = step.groupBy(F.col(m).alias("g_value")).agg(F.sum("x").alias("had"))
-            factor = sums.join(goals[m], "g_value").select("g_value", (F.col("goal") / F.col("had")).alias("f"))
-            step = step.join(factor, F.col(m) == F.col("g_value")).select(
-                *MARGINS, "w", (F.col("x") * F.col("f")).alias("x"), F.greatest("off", F.abs(F.col("f") - 1.0)).alias("off")
+            factor = F.col(f"goal_{m}") / F.col("had")
+            step = step.join(sums, F.col(m) == F.col("g_value")).select(
+                *MARGINS, "w", *goals, (F.col("x") * factor).alias("x"), F.greatest("off", F.abs(factor - 1.0)).alias("off")
             )
-        now = durable(step, f"mix-{k}")
+        before, now = now, durable(step, f"mix-{k}")
+        discard(before)
         off = now.agg(F.max("off")).first()[0] or 0.0
         if off <= tolerance:
             break

@@ -733,6 +733,17 @@ def test_mixing_reads_texts_once(table, odd, monkeypatch):
     assert Counter(r["doc_id"] for r in kept.collect()) == drawn and 0 < sum(drawn.values()) < odd.count()
 
 
+def test_raking_round_has_one_join_a_margin(table, monkeypatch):
+    cells = table([("a", "x", "t", 3.0), ("a", "y", "t", 1.0), ("b", "x", "t", 2.0), ("b", "y", "t", 2.0)], "source string, lang string, topic string, w double")
+    goal = lambda **share: table(list(share.items()), "value string, share double")
+    joins = {}
+    write = mixing.durable
+    monkeypatch.setattr(mixing, "durable", lambda df, label: joins.setdefault(label, df._jdf.queryExecution().analyzed().toString().count("Join Inner")) and None or write(df, label))
+    got = mixing.rake(cells, {"source": goal(a=0.25, b=0.75), "lang": goal(x=0.5, y=0.5), "topic": goal(t=1.0)}).collect()
+    assert joins["mix-1"] == 1 + 2 + 4  # the plan of a margin stands twice in that of the next
+    assert sum(r["x"] for r in got if r["source"] == "a") == pytest.approx(2) and sum(r["x"] for r in got if r["lang"] == "x") == pytest.approx(4)
+
+
 def test_mixing_odd(odd, empty):
     assert mixing.mix(clashing(odd)).count() == len(odd_rows())
     assert mixing.keep_sampled(clashing(odd)).columns == clashing(odd).columns
