@@ -301,6 +301,10 @@ LONGER, SPARE = 0.02, 2
 LONG_SET = 1500
 #: Texts, sets or pairs of sets in one Arrow batch.
 SETS = 256
+#: A shingle in the prefixes of more nodes makes a crowd, whose sets are compared in one place instead of pair by pair.
+CROWD = 16
+#: Rows and shingles of half a crowd's task, and of an Arrow batch of its sets.
+CROWD_ROWS, CROWD_SHINGLES, CROWD_SETS = 512, 250_000, 32
 #: Pairs that are joined to their sketches, or to their sets, at once.
 SKETCHED_AT_ONCE, SETS_AT_ONCE = 2_000_000, 200_000
 
@@ -420,19 +424,128 @@ def in_slices(pairs: DataFrame, at_once: int, label: str, work: Callable[[DataFr
     return out
 
 
-def sharing(marked: DataFrame, roots: DataFrame, similar: float, block: int = BLOCK) -> DataFrame:
+def keyed(marked: DataFrame, roots: DataFrame, similar: float) -> DataFrame:
+    """node, size, root, need, key: a row for each shingle of the prefixes; need: how many of them a similar set shares."""
+    lacking = F.col("size") - F.ceil(F.lit(similar) * F.col("size") - F.lit(1e-9))
+    need = (F.size("prefix") - lacking).cast("int").alias("need")
+    return marked.join(few(roots), F.col("rid") == F.col("node")).select("node", "size", "root", need, F.explode("prefix").alias("key"))
+
+
+def shared_keys(own: DataFrame) -> DataFrame:
+    """c_key, n: the shingles of `keyed` in the prefixes of n nodes with unequal roots; durable."""
+    counts = own.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    return durable(counts.select(F.col("key").alias("c_key"), "n"), "similar-keys")
+
+
+def symmetric_differences(sets: list[np.ndarray]) -> np.ndarray:
+    """d[x, y]: how many shingles are in one of the sets x and y only.
+
+    A shingle of most sets stands for those that lack it, so copies with a few changes have few entries each, and only
+    entries that meet in a shingle are counted. Shingles of a single set meet nothing.
+    """
+    n = len(sets)
+    size = np.array([len(h) for h in sets], np.int64)
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), size)
+    usual = 2 * often > n
+    has = np.zeros((n, int(usual.sum())), bool)
+    place = np.cumsum(usual) - 1
+    mine = usual[column]
+    has[owner[mine], place[column[mine]]] = True
+    apart = size + has.shape[1] - 2 * has.sum(1)  # entries of each set
+    lacks, at = np.nonzero(~has)
+    other = ~mine & (often[column] > 1)
+    column, owner = np.concatenate([column[other], at + len(often)]), np.concatenate([owner[other], lacks])
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    starts = np.flatnonzero(np.r_[True, column[1:] != column[:-1]]) if len(column) else np.zeros(0, np.int64)
+    length = np.diff(np.r_[starts, len(column)])
+    both = np.zeros(n * n, np.int32)
+    for m in np.unique(length[(length > 1) & (length <= 32)]).tolist():
+        first = starts[length == m]
+        for k in range(0, len(first), 1 + 250_000 // m**2):
+            rows = owner[first[k : k + 1 + 250_000 // m**2, None] + np.arange(m)]
+            np.add.at(both, (rows[:, :, None] * n + rows[:, None, :]).ravel(), 1)
+    both = both.reshape(n, n)
+    for s, m in zip(starts[length > 32].tolist(), length[length > 32].tolist()):
+        rows = owner[s : s + m]
+        both[rows[:, None], rows[None, :]] += 1
+    apart = apart.astype(np.int32)
+    both *= -2
+    both += apart[:, None]
+    both += apart[None, :]
+    np.fill_diagonal(both, 0)
+    return both
+
+
+def crowds(rows: DataFrame, own: DataFrame, keys: DataFrame, similar: float, block: int = CROWD_ROWS) -> DataFrame:
+    """u, v: nodes whose chains are all chains of similar nodes that share one of `keys`; durable.
+
+    own, keys: as of `keyed` and `shared_keys`. The smallest of a shingle's nodes names their crowd, so a node with many such
+    shingles goes to few crowds. Sets meet in the crowd's task, which decides all pairs on the whole sets and returns a
+    spanning forest: rows grow with the nodes, not with their pairs. A crowd of more than `block` rows (or CROWD_SHINGLES) is
+    cut into blocks, and pairs of blocks are compared in tasks of their own.
+    """
+    few_own = durable(own.join(few(keys), F.col("key") == F.col("c_key")).select("key", "node", "size"), "similar-crowded")
+    name = F.min(F.struct("size", F.xxhash64("node"), "node"))["node"].alias("crowd")
+    named = durable(few_own.groupBy(F.col("key").alias("n_key")).agg(name), "similar-named")
+    placed = durable(few_own.join(few(named), F.col("key") == F.col("n_key")).select("crowd", "node", "size").distinct(), "similar-crowds")
+    parts = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / CROWD_SHINGLES)).cast("int").alias("parts")
+    sized = durable(placed.groupBy(F.col("crowd").alias("c_crowd")).agg(parts), "similar-sized")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    dealt = placed.join(few(sized), F.col("crowd") == F.col("c_crowd")).select("crowd", "node", "parts", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    # The pairs inside a block are compared with those to any other.
+    dealt = dealt.where("parts = 1 or part <> other").select("crowd", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node")
+    ids = durable(placed.select(F.col("node").alias("s_node")).distinct(), "similar-ids")
+    sets = shingle_sets(rows, ids)
+    met = dealt.join(sets.select(F.col("node").alias("s_node"), "shingles"), F.col("node") == F.col("s_node")).drop("s_node").repartition("crowd", "i", "j")
+
+    def linked(node, sets):
+        size, every = np.array([len(h) for h in sets]), np.arange(len(sets))
+        apart = symmetric_differences(sets)
+        close = np.zeros(apart.shape, bool)
+        for at in range(0, len(sets), 256):
+            total = size[at : at + 256, None] + size[None, :]
+            close[at : at + 256] = total - apart[at : at + 256] + 2e-9 >= similar * (total + apart[at : at + 256])
+        label = stars(close, len(node), every, every)
+        moved = np.flatnonzero(label != np.arange(len(node)))
+        return list(zip(node[moved].tolist(), node[label[moved]].tolist()))
+
+    def run(parts_in):
+        key, got = None, []
+
+        def flush():
+            node, sets = zip(*got)
+            return linked(np.array(node, np.int64), [np.frombuffer(h, np.uint64) for h in sets])
+
+        for b in parts_in:
+            for c, i, j, node, h in zip(b["crowd"], b["i"], b["j"], b["node"], b["shingles"], strict=True):
+                if key != (c, i, j):
+                    if len(got) > 1:
+                        yield flush()
+                    key, got = (c, i, j), []
+                got.append((node, h))
+        if len(got) > 1:
+            yield flush()
+
+    with batches_of(rows.sparkSession, CROWD_SETS):
+        out = durable(map_batches(met.sortWithinPartitions("crowd", "i", "j", "node"), "u long, v long", run, rows=CROWD_SETS).distinct(), "similar-dense")
+    for d in (few_own, named, placed, sized, ids, sets):
+        discard(d)
+    return out
+
+
+def sharing(marked: DataFrame, roots: DataFrame, similar: float, block: int = BLOCK, keys: DataFrame | None = None) -> DataFrame:
     """u, v: pairs of nodes with unequal roots that share a shingle of their prefixes and whose sketches don't rule them out.
 
     roots: node, root. A prefix that is longer by k than the shingles a similar set may lack shares k with it at least, and
     pairs that share fewer are left out. A shingle with more than `block` nodes is cut into blocks, as anchors are. Bins that
     differ are so many shingles that only one of the two sets has, and so are the differences of bin counts (which tell long
-    texts apart), so no pair at `similar` or more is lost to either.
+    texts apart), so no pair at `similar` or more is lost to either. With `keys` (c_key, n), only those shingles are looked at;
+    `crowds` has the pairs of all others.
     """
-    lacking = F.col("size") - F.ceil(F.lit(similar) * F.col("size") - F.lit(1e-9))
-    need = (F.size("prefix") - lacking).cast("int").alias("need")
-    own = marked.join(few(roots), F.col("rid") == F.col("node")).select("node", "size", "root", need, F.explode("prefix").alias("key"))
-    counts = own.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    counts = durable(counts.select(F.col("key").alias("c_key"), "n"), "similar-keys")
+    own = keyed(marked, roots, similar)
+    counts = shared_keys(own) if keys is None else keys
     parts = F.ceil(F.col("n") / block).cast("int")
     part = F.pmod(F.xxhash64("node"), parts).cast("int")
     dealt = own.join(counts, F.col("key") == F.col("c_key")).select("key", "node", "size", "root", "need", part.alias("part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
@@ -465,17 +578,13 @@ def sharing(marked: DataFrame, roots: DataFrame, similar: float, block: int = BL
 
     with batches_of(marked.sparkSession, SETS):  # sketch and bins of a pair are up to nine kilobytes
         out = in_slices(pairs, SKETCHED_AT_ONCE, "similar-possible", both)
-    for d in (counts, pairs, ids, picked):
+    for d in (None if keys is not None else counts, pairs, ids, picked):
         discard(d)
     return out
 
 
-def confirmed(rows: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
-    """The pairs u, v of row ids whose texts' shingle sets have a Jaccard similarity of `similar` or more; durable.
-
-    Only texts in a pair are needed: their ids are broadcast up to a checked size, so that texts aren't shuffled for them.
-    """
-    ids = durable(pairs.select(F.explode(F.array("u", "v")).alias("s_node")).distinct(), "similar-ids")
+def shingle_sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """node, shingles of the rows whose ids are in s_node of `ids`, a durable frame; durable."""
 
     def sets(parts):
         for b in parts:
@@ -483,7 +592,16 @@ def confirmed(rows: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
 
     texts = rows.join(few(ids), F.col("rid") == F.col("s_node"), "left_semi")
     with batches_of(rows.sparkSession, SETS):
-        own = durable(map_batches(texts, "node long, shingles binary", sets, rows=SETS), "similar-sets")
+        return durable(map_batches(texts, "node long, shingles binary", sets, rows=SETS), "similar-sets")
+
+
+def confirmed(rows: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
+    """The pairs u, v of row ids whose texts' shingle sets have a Jaccard similarity of `similar` or more; durable.
+
+    Only texts in a pair are needed: their ids are broadcast up to a checked size, so that texts aren't shuffled for them.
+    """
+    ids = durable(pairs.select(F.explode(F.array("u", "v")).alias("s_node")).distinct(), "similar-ids")
+    own = shingle_sets(rows, ids)
     u, v = (own.select(F.col("node").alias(f"{x}_node"), F.col("shingles").alias(f"{x}_set")) for x in "uv")
 
     def compare(batches):
@@ -512,7 +630,8 @@ def similar_texts(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     Texts link if the Jaccard similarity of their shingle sets is `similar` or more; those with the same set are one node.
     A first pass compares texts of which a fingerprint of the distinct words is within three bits; it joins large groups
     of copies cheaply and need not find all. The second compares all pairs that share a shingle of their prefixes, where
-    the first has not joined them, so no link is missed. Row ids are those of the scan.
+    the first has not joined them, so no link is missed; what shares a frequent one is compared in crowds. Row ids are those of
+    the scan.
     """
     fps = [f"f{k}" for k in range(len(SEEDS))]
 
@@ -546,12 +665,14 @@ def similar_texts(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     first = components(edges)
     comp = first.select(F.col("node").alias("c_node"), "root")
     roots = durable(nodes.select("node").join(comp, F.col("node") == F.col("c_node"), "left").select("node", F.coalesce("root", "node").alias("root")), "similar-first")
-    rest = sharing(marked, roots, similar)
+    keys = shared_keys(own := keyed(marked, roots, similar))
+    dense = crowds(rows, own, keys.where(F.col("n") > CROWD).select("c_key"), similar)
+    rest = sharing(marked, roots, similar, keys=keys.where(F.col("n") <= CROWD))
     more = confirmed(rows, rest, similar)
-    last = components(edges.unionByName(more))
+    last = components(edges.unionByName(dense).unionByName(more))
     comp = last.select(F.col("node").alias("c_node"), "root")
     rooted = durable(least.join(comp, F.col("node") == F.col("c_node"), "left").select("n_own", F.coalesce("root", "node").alias("keep_rid")), "similar-rooted")
-    for d in (marked, met, edges, first, roots, rest, more, last, least):
+    for d in (marked, met, edges, first, roots, keys, dense, rest, more, last, least):
         discard(d)
     return members.join(rooted, F.col("own") == F.col("n_own")).select("rid", "keep_rid")
 

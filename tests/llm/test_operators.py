@@ -286,6 +286,83 @@ def test_shuffle_files_go_with_their_action(spark, table):
     assert set(seen) == {"true"} and spark.conf.get(name, None) == before
 
 
+def near_copies(n, size, edits, seed):
+    """n copies of one text of `size` words, each with some of its words replaced."""
+    rng = random.Random(seed)
+    base = [f"w{k}" for k in range(size)]
+    out = []
+    for k in range(n):
+        words = list(base)
+        for at in rng.sample(range(size), rng.choice(edits)):
+            words[at] = f"x{k}y{at}"
+        out.append(words)
+    return out
+
+
+def brute_groups(words):
+    """The smallest index of each text's group of texts that are similar at 0.8."""
+    parent = list(range(len(words)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for i in range(len(words)):
+        for j in range(i):
+            if set_similarity(words[i], words[j]) >= 0.8:
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    return [root(k) for k in range(len(words))]
+
+
+def test_symmetric_differences():
+    rng = np.random.default_rng(3)
+    words = near_copies(70, 60, (0, 1, 3, 30), 1) + near_copies(3, 400, (2,), 2) + [[f"z{k}{j}" for j in range(9)] for k in range(4)]
+    sets = [simhash.shingle_set(" ".join(w).encode().split()) for w in words]
+    for some in (sets, sets[70:], sets[:1], sets[:2], [sets[k] for k in rng.permutation(len(sets))]):
+        assert simhash.symmetric_differences(some).tolist() == [[len(np.setxor1d(a, b)) for b in some] for a in some]
+
+
+@pytest.mark.parametrize("block", [1024, 8])
+def test_large_groups_of_near_copies_make_no_row_for_each_pair(table, block, monkeypatch):
+    """150 near copies, of which many are similar to none: groups as by brute force, rows in proportion to the texts."""
+    words = near_copies(150, 150, (1, 2, 3, 4, 5), 5) + near_copies(40, 60, (1, 2), 6)
+    docs = table([(k, " ".join(w)) for k, w in enumerate(words)])
+    ids = {r["rid"]: r["doc_id"] for r in docs.withColumn("rid", F.monotonically_increasing_id()).collect()}
+    written, write = {}, simhash.durable
+
+    def counted(df, label):
+        out = write(df, label)
+        written[label] = max(written.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "durable", counted)
+    monkeypatch.setattr(simhash.crowds, "__defaults__", (block,))
+    found, want = {}, {}
+    for r in simhash.similar_texts(docs).collect():
+        found.setdefault(r["keep_rid"], set()).add(ids[r["rid"]])
+    for k, g in enumerate(brute_groups(words)):
+        want.setdefault(g, set()).add(k)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, want.values()))
+    assert max(map(len, found.values())) > 30 and sum(len(g) == 1 for g in found.values()) > 30
+    assert written["similar-pairs"] + written["similar-possible"] < simhash.CROWD * len(words) / 2
+
+
+def test_pairs_of_rare_and_of_crowded_shingles_are_all_found(table, edited, monkeypatch):
+    """Shingles of two texts, of a few and of many: what goes to crowds and what to pairs make up all links."""
+    words = [w for pair in edited for w in pair[:2]] + near_copies(20, 80, (1, 2, 3), 7)
+    docs = table([(k, " ".join(w)) for k, w in enumerate(words)])
+    ids = {r["rid"]: r["doc_id"] for r in docs.withColumn("rid", F.monotonically_increasing_id()).collect()}
+    want = Counter(brute_groups(words)).values()
+    for most in (0, 1, 3, 18):
+        monkeypatch.setattr(simhash, "CROWD", most)
+        got = {}
+        for r in simhash.similar_texts(docs).collect():
+            got.setdefault(r["keep_rid"], set()).add(ids[r["rid"]])
+        assert sorted(map(len, got.values())) == sorted(want)
+
+
 # --- byte-level BPE
 
 
