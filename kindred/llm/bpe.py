@@ -22,11 +22,13 @@ import base64
 import hashlib
 import zlib
 from array import array
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import accumulate, count, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard as zs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -91,25 +93,32 @@ class Splitter:
 
         self.findall = regex.compile(pattern).findall
 
-    def parts(self, text: str):
-        """(words, None) for a line cut at its single blanks, or (None, piece) for what has other white space."""
+    def parts(self, text: str) -> Iterator[tuple[bool, str]]:
+        """(True, line) for a line that is cut at its single blanks, (False, piece) for what has other white space."""
         for line in self.lines(text):
-            if line == "\n" or "  " in line or line[0] == " " or line[-1] == " " or not line.isprintable():
-                yield None, line
-            else:
-                yield line.split(" "), None
+            yield not (line == "\n" or "  " in line or line[0] == " " or line[-1] == " " or not line.isprintable()), line
 
     def pieces(self, text: str) -> list[str]:
         """The pieces that are matched on their own, in order (for tests; chunks keep words after a blank apart)."""
         out: list[str] = []
-        for words, piece in self.parts(text):
-            if words is None:
-                out.append(piece)
-            else:
-                out.append(words[0])
-                out.extend([" " + w for w in words[1:]])
+        for plain, piece in self.parts(text):
+            words = piece.split(" ") if plain else [piece]
+            out.append(words[0])
+            out.extend([" " + w for w in words[1:]])
         return out
 
+    def matches(self, words: list[str], blank: bool) -> tuple[list[str], list[int]]:
+        """The pre-tokens of words (visible characters alone) after a blank, or at the start of a line, matched in one go; how many each word has."""
+        if not words:
+            return [], []
+        if blank:
+            found = self.findall(" " + " ".join(words))
+            starts = np.flatnonzero(np.fromiter([w[0] == " " for w in found], bool, len(found)))
+            return found, np.diff(starts, append=len(found)).tolist()
+        found = self.findall("\n".join(words))
+        ends = np.flatnonzero(np.fromiter([w == "\n" for w in found], bool, len(found)))
+        return [w for w in found if w != "\n"], (np.diff(ends, prepend=-1, append=len(found)) - 1).tolist()
+
     @staticmethod
     def lines(text: str) -> list[str]:
         """Lines and line ends as pieces; a line end with white space beside it stays with its neighbours."""
@@ -139,49 +148,81 @@ def _encoder(ranks: dict[bytes, int], pattern: str):
     return tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def listed(words: pa.Array) -> list[str]:
+    """Strings without blanks as a list (some times faster than one after the other)."""
+    one = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+    return pc.binary_join(one, pa.scalar(" ", pa.large_string()))[0].as_py().split(" ") if len(words) else []
+
+
 class Chunk:
     """The distinct pre-tokens of some documents, numbered in order of appearance; those of the first texts by frequency."""
 
     def __init__(self, splitter: Splitter):
         self.splitter = splitter
-        self.number: dict[str, int] = {}
-        self.pieces: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # numbers of a piece, and of a word after a blank
-
-    def add(self, texts: list[str | None]) -> list[list[tuple[list[str] | None, str]]]:
-        """Take in the pre-tokens of texts; the parts of each text."""
-        parsed = [list(self.splitter.parts(t or "")) for t in texts]
-        plain: list[str] = []
-        blank: list[str] = []
-        for parts in parsed:
-            for words, piece in parts:
-                if words is None:
-                    plain.append(piece)
+        self.number: dict[str, int] = defaultdict(count().__next__)
+        self.entry: tuple[dict[str, int], ...] = ({}, {}, {})  # of a word after a blank, a line's first word, and a piece with other white space
+        self.pool, self.ends = array("I"), array("I", [0])  # the numbers of all entries, and where each entry's end
+
+    def add(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Take in the pre-tokens of texts: how many each text has, and their numbers. Equal words of these texts are looked up once."""
+        lines: list[str] = []
+        odd: list[str] = []
+        parts = np.zeros(len(texts) + 1, np.int64)
+        for k, t in enumerate(texts):
+            for plain, piece in self.splitter.parts(t or ""):
+                if plain:
+                    lines.append(piece)
                 else:
-                    plain.append(words[0])
-                    blank += words[1:]
-        find, number = self.splitter.findall, self.number
-        for known, lead, found in zip(self.pieces, ("", " "), (plain, blank), strict=True):
-            first = Counter(found) if not known else None
-            for p in sorted(first, key=first.get, reverse=True) if first else dict.fromkeys(found):
-                if p not in known:
-                    known[p] = array("I", [number.setdefault(w, len(number)) for w in find(lead + p)]).tobytes()
-        return parsed
-
-    def numbers(self, parts: list[tuple[list[str] | None, str]]) -> bytes:
-        """The numbers of a text's pre-tokens, four bytes each."""
-        plain, blank = self.pieces
-        body: list[bytes] = []
-        for words, piece in parts:
-            if words is None:
-                body.append(plain[piece])
-            else:
-                body.append(plain[words[0]])
-                body += map(blank.__getitem__, words[1:])
-        return b"".join(body)
+                    lines.append("")  # no line is empty
+                    odd.append(piece)
+            parts[k + 1] = len(lines)
+        split = pc.split_pattern(pa.array(lines, pa.large_string()), " ")
+        at = np.asarray(split.offsets).astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        words, codes = listed(coded.dictionary), np.asarray(coded.indices).astype(np.int64)
+        codes[at[:-1]] += len(words)
+        names = list(dict.fromkeys(odd))
+        if odd:
+            code = {w: 2 * len(words) + k for k, w in enumerate(names)}
+            codes[at[:-1][codes[at[:-1]] == len(words) + words.index("")]] = [code[w] for w in odd]
+        entries = self._entries(codes, words, names)[codes]
+        ends = np.array(self.ends, np.int64)
+        sizes = np.diff(ends)[entries]
+        until = np.concatenate([[0], np.cumsum(sizes)])
+        where = np.arange(until[-1]) + np.repeat(ends[entries] - until[:-1], sizes)
+        return np.diff(until[at[parts]]), np.array(self.pool, np.uint32)[where]
+
+    def _entries(self, codes: np.ndarray, words: list[str], odd: list[str]) -> np.ndarray:
+        """The entry of each code that occurs; codes count words after a blank, then first words of lines, then odd pieces."""
+        n = len(words)
+        often = np.bincount(codes, minlength=2 * n + len(odd))
+        order = np.arange(len(often)) if self.number else np.argsort(-often, kind="stable")
+        order = order[often[order] > 0]
+        out = np.zeros(len(often), np.int64)
+        for kind, base, names in zip(range(3), (0, n, 2 * n), (words, words, odd), strict=True):
+            mine = order[(order >= base) & (order < base + len(names))]
+            own = [names[c] for c in (mine - base).tolist()]
+            known = np.fromiter(map(self.entry[kind].get, own, repeat(-1)), np.int64, len(own))
+            new = np.flatnonzero(known < 0)
+            known[new] = np.arange(len(new)) + len(self.ends) - 1
+            self._learn([own[k] for k in new.tolist()], kind)
+            out[mine] = known
+        return out
 
+    def _learn(self, new: list[str], kind: int) -> None:
+        """Entries for these words, in this order."""
+        if kind == 2:
+            each = [self.splitter.findall(w) for w in new]
+            found, sizes = [x for e in each for x in e], list(map(len, each))
+        else:
+            found, sizes = self.splitter.matches(new, kind == 0)
+        self.entry[kind].update(zip(new, range(len(self.ends) - 1, len(self.ends) - 1 + len(sizes)), strict=True))
+        self.pool.extend(map(self.number.__getitem__, found))
+        self.ends.extend(accumulate(sizes, initial=self.ends.pop()))
 
-def _chunks(batches: Iterator[pa.RecordBatch], pattern: str, chars: int) -> Iterator[tuple[int, Chunk, list, list, bool]]:
-    """(chunk id, chunk, doc_ids, parsed texts, whether the chunk ends here) for slices of a scan partition, alike in every pass."""
+
+def _chunks(batches: Iterator[pa.RecordBatch], pattern: str, chars: int) -> Iterator[tuple[int, Chunk, list, tuple, bool]]:
+    """(chunk id, chunk, doc_ids, counts and numbers of their pre-tokens, whether the chunk ends here) for slices of a scan partition, alike in every pass."""
     splitter = Splitter(pattern)
     part = TaskContext.get().partitionId()
     k, size, chunk = 0, 0, Chunk(splitter)
@@ -189,13 +230,13 @@ def _chunks(batches: Iterator[pa.RecordBatch], pattern: str, chars: int) -> Iter
         for at in range(0, whole.num_rows, ROWS):
             b = whole.slice(at, ROWS)
             texts = b.column("text").to_pylist()
-            parsed = chunk.add(texts)
+            numbered = chunk.add(texts)
             size += sum(len(t or "") for t in texts)
-            yield (part << 20) + k, chunk, b.column("doc_id").to_pylist(), parsed, size >= chars
+            yield (part << 20) + k, chunk, b.column("doc_id").to_pylist(), numbered, size >= chars
             if size >= chars:
                 k, size, chunk = k + 1, 0, Chunk(splitter)
     if chunk.number:
-        yield (part << 20) + k, chunk, [], [], True
+        yield (part << 20) + k, chunk, [], (), True
 
 
 def distinct_words(docs: DataFrame, pattern: str, chars: int = CHUNK) -> DataFrame:
@@ -213,7 +254,7 @@ def distinct_words(docs: DataFrame, pattern: str, chars: int = CHUNK) -> DataFra
             found, starts = np.unique(of[order], return_index=True)
             bodies = []
             for numbers in np.split(order, starts[1:]):
-                own = [words[n] for n in numbers]
+                own = [words[n] for n in numbers.tolist()]
                 bodies.append(pack(np.diff(numbers, prepend=0), np.fromiter(map(len, own), np.int64, len(own)), tail=b"".join(own)))
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(np.full(len(found), k)), pa.array(bodies, pa.binary())], schema=schema)
 
@@ -228,11 +269,10 @@ def numbered_documents(docs: DataFrame, pattern: str, chars: int = CHUNK) -> Dat
 
     def run(batches):
         row = 0
-        for k, chunk, ids, parsed, _ in _chunks(batches, pattern, chars):
+        for k, _, ids, numbered, _ in _chunks(batches, pattern, chars):
             if not ids:
                 continue
-            each = [chunk.numbers(parts) for parts in parsed]
-            body = pack(np.fromiter(map(len, each), np.int64, len(each)) // 4, np.frombuffer(b"".join(each), np.uint32))
+            body = pack(*numbered)
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([row]), pa.array([ids], pa.list_(pa.int64())), pa.array([body], pa.binary())], schema=_BACK)
             row += len(ids)
 
@@ -245,8 +285,8 @@ def encoded_words(words: DataFrame, ranks: dict[bytes, int], pattern: str) -> Da
     met = words.repartition("bucket").sortWithinPartitions("bucket")
 
     def run(batches):
-        enc = _encoder(vocab.value, pattern)
-        memo: dict[bytes, array] = {}
+        encoded = _encoder(vocab.value, pattern)._encode_single_piece  # a word is one match
+        memo: dict[bytes, bytes] = {}
         now = None
         for b in batches:
             bodies = []
@@ -257,18 +297,29 @@ def encoded_words(words: DataFrame, ranks: dict[bytes, int], pattern: str) -> Da
                 own = cut(data, sizes)
                 for w in own:
                     if w not in memo:
-                        memo[w] = array("I", enc.encode_ordinary(w.decode()))
+                        memo[w] = array("I", encoded(w)).tobytes()
                 each = [memo[w] for w in own]
-                ids = np.frombuffer(b"".join(x.tobytes() for x in each), np.uint32)
-                bodies.append(pack(steps, np.fromiter(map(len, each), np.int64, len(each)), ids))
+                bodies.append(pack(steps, np.fromiter(map(len, each), np.int64, len(each)) // 4, np.frombuffer(b"".join(each), np.uint32)))
             n = b.num_rows
             yield pa.RecordBatch.from_arrays([b.column("chunk"), pa.array(np.full(n, WORDS)), pa.nulls(n, pa.list_(pa.int64())), pa.array(bodies, pa.binary())], schema=_BACK)
 
     return met.mapInArrow(run, "chunk long, at long, doc_ids array<long>, body binary")
 
 
+def strings(data: pa.Buffer, ends: np.ndarray) -> pa.LargeBinaryArray:
+    """data cut at 0 and the given ends."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), data])
+
+
+def joined(of: pa.LargeBinaryArray, at: np.ndarray) -> tuple[pa.Buffer, np.ndarray]:
+    """The strings at these places one after the other, and where each ends."""
+    out = of.take(pa.array(at))
+    _, ends, data = out.buffers()
+    return data or pa.py_buffer(b""), np.frombuffer(ends, np.int64, len(out), 8) if len(out) else np.zeros(0, np.int64)
+
+
 def _reassembled(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chars: int, schema: str, start: Callable, finish: Callable) -> DataFrame:
-    """finish(words, rid, doc_id, numbers) for each document, where words = start(the ids of each number of its chunk)."""
+    """finish(rid, doc_id, strings) for each document, which has a string for each array of start(ids, ends): the ids of some words, and their ends."""
     rows = scanned(docs.select("doc_id", F.col("text").cast("string").alias("text")))
     back = numbered_documents(rows, pattern, chars).unionByName(encoded_words(distinct_words(rows, pattern, chars), ranks, pattern))
     back = back.repartition("chunk").sortWithinPartitions("chunk", "at")
@@ -283,14 +334,19 @@ def _reassembled(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chars:
                     found.append(body)
                     continue
                 if words is None:
-                    ids: dict[int, bytes] = {}
-                    for packed in found:
-                        (steps, counts, own), _ = unpack(packed)
-                        ids.update(zip(np.cumsum(steps, dtype=np.int64).tolist(), cut(own.tobytes(), counts.astype(np.int64) * 4)))
-                    words, found = start([ids[k] for k in range(len(ids))]), []
+                    each = [unpack(packed)[0] for packed in found] or [[np.zeros(0, np.uint32)] * 3]
+                    order = np.argsort(np.concatenate([np.cumsum(steps, dtype=np.int64) for steps, _, _ in each]))
+                    ends = np.cumsum(np.concatenate([counts for _, counts, _ in each]), dtype=np.int64)
+                    words, found = [x.take(pa.array(order)) for x in start(np.concatenate([own for _, _, own in each]), ends)], []
                 (counts, numbers), _ = unpack(body)
-                ends = np.cumsum(counts, dtype=np.int64).tolist()
-                yield [finish(words, (chunk >> 20 << 33) + at + k, i, numbers[x:y]) for k, (i, x, y) in enumerate(zip(doc_ids, [0, *ends[:-1]], ends, strict=True))]
+                until = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+                cuts = []
+                for x in words:
+                    data, ends = joined(x, numbers)
+                    at_end = np.concatenate([[0], ends])[until].tolist()
+                    view = memoryview(data)
+                    cuts.append([view[y:z] for y, z in zip(at_end[:-1], at_end[1:], strict=True)])
+                yield [finish((chunk >> 20 << 33) + at + k, i, *own) for k, (i, *own) in enumerate(zip(doc_ids, *cuts, strict=True))]
 
     return map_batches(back, schema, run, rows=64)
 
@@ -298,10 +354,13 @@ def _reassembled(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chars:
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chars: int = CHUNK) -> DataFrame:
     """rid, doc_id, ids (binary, four bytes each, little-endian): one row for each row of docs."""
 
-    def finish(words, rid, doc_id, numbers):
-        return rid, doc_id, b"".join(map(words.__getitem__, numbers.tolist()))
+    def start(ids, ends):
+        return [strings(pa.py_buffer(ids.astype("<u4")), 4 * ends)]
+
+    def finish(rid, doc_id, ids):
+        return rid, doc_id, bytes(ids)
 
-    return _reassembled(docs, ranks, pattern, chars, "rid long, doc_id long, ids binary", list, finish)
+    return _reassembled(docs, ranks, pattern, chars, "rid long, doc_id long, ids binary", start, finish)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -324,15 +383,16 @@ def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chars: in
     table = docs.sparkSession.sparkContext.broadcast(token_bytes(ranks))
     sha = hashlib.sha256
 
-    def start(ids):
+    def start(ids, ends):
         of = table.value
-        each = [array("I", x) for x in ids]
-        size = np.fromiter(map(len, each), np.int64, len(each))
-        return size, [",".join(map(str, x)).encode() for x in each], [b"".join(map(of.__getitem__, x)) for x in each]
-
-    def finish(words, rid, doc_id, numbers):
-        size, decimal, raw = words
-        at = numbers.tolist()
-        return doc_id, int(size[numbers].sum()), sha(b",".join(map(decimal.__getitem__, at))).hexdigest(), sha(b"".join(map(raw.__getitem__, at))).hexdigest()
+        last = ends - 1  # every word has an id
+        out = [strings(pa.py_buffer(ids.astype("<u4")), 4 * ends)]
+        for names in ([b"%d," % k for k in range(len(of))], of):
+            data, until = joined(pa.array(names, pa.large_binary()), ids)
+            out.append(strings(data, until[last]))
+        return out
+
+    def finish(rid, doc_id, ids, decimal, raw):
+        return doc_id, len(ids) // 4, sha(decimal[:-1]).hexdigest(), sha(raw).hexdigest()
 
     return _reassembled(docs, ranks, pattern, chars, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", start, finish)

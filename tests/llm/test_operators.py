@@ -411,6 +411,25 @@ def test_chunks_number_alike(table, ranks):
             assert [words[r["chunk"]][n] for n in numbers[x:y].tolist()] == find(texts[i])
 
 
+def test_chunks_match_many_words_in_one_go():
+    """The pattern is not started once for each distinct word, and numbers still give the pre-tokens of every text."""
+    splitter = bpe.Splitter(public_tokenizers.PATTERN)
+    find, calls = splitter.findall, []
+    splitter.findall = lambda t: calls.append(t) or find(t)
+    rng = random.Random(8)
+    bits = ["don't", "'s", "x1,", "é", "(a)b", "--", "12a", "the"]
+    line = lambda: " ".join(rng.choice(bits) + rng.choice(bits) + str(rng.randrange(900)) for _ in range(rng.randint(1, 12)))
+    texts = [rng.choice(["\n", "\n\n", "\n ", "  "]).join(line() for _ in range(rng.randrange(4))) for _ in range(400)] + [None, "", " ", "\n", "a", "a", "a\t\tb"]
+    chunk = bpe.Chunk(splitter)
+    added = [chunk.add(texts[:200]), chunk.add(texts[200:])]
+    odd = {p for t in texts for p in splitter.pieces(t or "") if any(c.isspace() for c in p[1:]) or p.isspace()}
+    assert len(calls) <= len(odd) + 4 < len(chunk.number) / 2
+    words = list(chunk.number)
+    sizes, numbers = (np.concatenate(x) for x in zip(*added))
+    ends = np.cumsum(sizes).tolist()
+    assert [[words[n] for n in numbers[x:y].tolist()] for x, y in zip([0, *ends[:-1]], ends)] == [find(t or "") for t in texts]
+
+
 def test_unsteady_frames_are_written_first(table):
     from kindred.llm import common
 
