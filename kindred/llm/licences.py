@@ -19,6 +19,8 @@ never read. A paragraph of two families with equal probability gets the first of
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -110,7 +112,7 @@ UNTRAINED = (
     "Published under the Artistic License 2.0.",
 )
 #: Every template needs one of these words to be held at CONTAINMENT.
-NEEDED = r"(?i)licen[sc]e|software|modification|conditions|rights|copying|prohibited|spdx|redistribut|copyright|mpl|reproduced"
+NEEDED = r"(?i)(?=[lsmcrp])(?:licen[sc]e|software|modification|conditions|rights|copying|prohibited|spdx|redistribut|copyright|mpl|reproduced)"
 #: Paragraphs with one of these words aren't taken for ordinary ones in training.
 LIKE_A_NOTICE = r"(?i)licen[sc]|rights|copyright|permission|redistribut|warrant|prohibited|confidential|mpl|as.is"
 FAMILIES = ("none", *TEMPLATES)
@@ -118,9 +120,14 @@ LEADS = ("", "This document is ", "Note: ", "The text is ", "Copyright 2021. ")
 TAILS = ("", " See LICENSE for details.", " Some terms apply.")
 
 
+#: ASCII signs other than the full stop, one by one. Java looks single characters up in a table, but asks the ranges of a class
+#: one after the other, which took most of the scan's time.
+SIGNS = "[" + "".join(f"\\x{c:02x}" for c in range(0x7F) if not chr(c).isalnum() and chr(c) != ".") + "]"
+
+
 def words_of(text: Column) -> Column:
     """Words between ASCII signs other than the full stop; the first and last may be empty."""
-    return F.split(F.lower(text), r"[\x00-,/:-@\[-`{-~-]+")
+    return F.split(F.lower(text), SIGNS + "+")
 
 
 def grams(words: Column) -> Column:
@@ -135,8 +142,20 @@ def shingles(words: Column, k: int = SHINGLE) -> Column:
     return F.array_distinct(many)
 
 
-#: The end of a line within a sentence, up to the text of the next line: what stands between wrapped lines.
-WRAP = r"([^\s.!?:;])[ \t]*\r?\n[ \t]*(?:(?://+|#+|\*+|--+|;+|%+)[ \t]*)?(?=[^\s])"
+def template_words(template: str) -> list[str]:
+    """words_of a template, without the empty ones."""
+    return [w for w in re.split(SIGNS + "+", template.lower()) if w]
+
+
+def template_shingles(*templates: str) -> Column:
+    """The distinct shingles of templates, as a constant; Spark would work out lambdas over constants again for every row."""
+    ws = [template_words(t) for t in templates]
+    own = dict.fromkeys(" ".join(w[i : i + SHINGLE]) for w in ws for i in range(max(len(w) - SHINGLE + 1, 1)))
+    return F.split(F.lit("\n".join(own)), "\n")
+
+
+#: The end of a line within a sentence, up to the text of the next line: what stands between wrapped lines (white space one by one).
+WRAP = r"([^ \t\n\x0b\f\r.!?:;])[ \t]*\r?\n[ \t]*(?:(?://+|#+|\*+|--+|;+|%+)[ \t]*)?(?=[^ \t\n\x0b\f\r])"
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -206,9 +225,9 @@ def confirmed(words: Column, family: Column) -> Column:
     for f, ts in TEMPLATES.items():
         hit = F.lit(False)
         for t in ts:
-            theirs = shingles(F.filter(words_of(F.lit(t)), lambda w: w != ""))
+            theirs = template_shingles(t)
             shared = F.size(F.array_intersect(own, theirs))
-            hit = hit | (shared >= CONTAINMENT * F.size(theirs)) | (shared >= CONTAINMENT * F.size(own)) | F.contains(F.array_join(words, " "), F.array_join(F.filter(words_of(F.lit(t.rstrip("."))), lambda w: w != ""), " "))
+            hit = hit | (shared >= CONTAINMENT * F.size(theirs)) | (shared >= CONTAINMENT * F.size(own)) | F.contains(F.array_join(words, " "), F.lit(" ".join(template_words(t.rstrip(".")))))
         out = F.when(family == f, hit).otherwise(out)
     return out
 
@@ -238,11 +257,14 @@ def scan_blocks(docs: DataFrame) -> DataFrame:
     rows = rows.select("rid", F.explode(F.split("body", r"\n\s*\n")).alias("block"))
     some = rows.where(F.contains(F.trim("block"), F.lit("\n")) & F.col("block").rlike(NEEDED))
     own = some.select("rid", F.filter(words_of(F.col("block")), lambda w: w != "").alias("words")).select("rid", shingles(F.col("words")).alias("own"))
+    # A block has few shingles of templates, or none; only those are compared with each template. (A filter on them would be
+    # moved below the shingles, which would then split the block again for each of its words.)
+    own = own.select("rid", F.array_intersect("own", template_shingles(*[t for ts in TEMPLATES.values() for t in ts])).alias("own"))
     held = []
     for f, ts in TEMPLATES.items():
         hit = F.lit(False)
         for t in ts:
-            theirs = shingles(F.filter(words_of(F.lit(t)), lambda w: w != ""))
+            theirs = template_shingles(t)
             # A line of few words is found as a line.
             hit = hit | ((F.size(theirs) > 1) & (F.size(F.array_intersect("own", theirs)) >= CONTAINMENT * F.size(theirs)))
         held.append(F.when(hit, F.lit(f)))

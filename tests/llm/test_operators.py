@@ -897,6 +897,22 @@ def test_licence_texts_and_unknown_families(table):
     assert not any(got[k]["n_notices"] for k in range(80))
 
 
+def test_licence_templates_are_constants(table):
+    """Template shingles are worked out once, not by a lambda for every block; they and the signs are those of the columns."""
+    import re
+
+    docs = table([(1, "one\ntwo rights")])
+    plan = licences.scan_blocks(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sequence(") == 1
+    ranges = re.compile(r"[\x00-,/:-@\[-`{-~-]")
+    assert all(bool(ranges.match(chr(c))) == bool(re.match(licences.SIGNS, chr(c))) for c in range(0x3000))
+    notices = [t for ts in licences.TEMPLATES.values() for t in ts]
+    words = F.filter(licences.words_of(F.col("text")), lambda w: w != "")
+    got = table(list(enumerate(notices))).select("doc_id", licences.shingles(words).alias("own"), words.alias("words")).collect()
+    want = docs.select(*[licences.template_shingles(t) for t in notices]).first()
+    assert all(r["own"] == want[r["doc_id"]] and r["words"] == licences.template_words(notices[r["doc_id"]]) for r in got) and len(got) == len(notices)
+
+
 def test_licences_by_brute_force(table, odd):
     """Paragraphs, features, both models, limits and confirmation again, one paragraph after the other."""
     import re
