@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,6 +89,24 @@ def batches_of(spark: SparkSession, rows: int):
         spark.conf.set(name, before)
 
 
+def released(spark: SparkSession) -> None:
+    """What no frame refers to any more leaves the driver and the executors, and the room it took goes back to the system.
+
+    Executors keep broadcast relations until the driver collects its garbage, and their heaps stay as large as the largest
+    step has made them. A task for each core collects them, which takes some tenths of a second; no result depends on it.
+    """
+    spark._jvm.java.lang.System.gc()
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
+def trimmed() -> None:
+    """What this process has freed goes back to the system, where its allocators would keep it for later."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def crc_mod(doc_id: Column, k: int) -> Column:
     """crc32 of the id as text, modulo k; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % k

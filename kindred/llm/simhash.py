@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import batches_of, discard, durable, few, map_batches, most_frequent, scanned
+from kindred.llm.common import batches_of, discard, durable, few, map_batches, most_frequent, released, scanned
 
 SHINGLE = 3
 THRESHOLD = 3
@@ -659,16 +659,20 @@ def similar_texts(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     marked = durable(every.join(few(least.select("node")), F.col("rid") == F.col("node"), "left_semi"), "similar-nodes")
     members = durable(every.select("rid", "own"), "similar-members")
     discard(every)
+    released(docs.sparkSession)
     nodes = marked.select(F.col("rid").alias("node"), *fps, "sketch")
     met = links(nodes.select("node", *fps), fps, nodes.select("node", "sketch"), min(LOOSE, similar))
     edges = confirmed(rows, met, similar)
     first = components(edges)
+    released(docs.sparkSession)
     comp = first.select(F.col("node").alias("c_node"), "root")
     roots = durable(nodes.select("node").join(comp, F.col("node") == F.col("c_node"), "left").select("node", F.coalesce("root", "node").alias("root")), "similar-first")
     keys = shared_keys(own := keyed(marked, roots, similar))
     dense = crowds(rows, own, keys.where(F.col("n") > CROWD).select("c_key"), similar)
+    released(docs.sparkSession)
     rest = sharing(marked, roots, similar, keys=keys.where(F.col("n") <= CROWD))
     more = confirmed(rows, rest, similar)
+    released(docs.sparkSession)
     last = components(edges.unionByName(dense).unionByName(more))
     comp = last.select(F.col("node").alias("c_node"), "root")
     rooted = durable(least.join(comp, F.col("node") == F.col("c_node"), "left").select("n_own", F.coalesce("root", "node").alias("keep_rid")), "similar-rooted")

@@ -28,7 +28,7 @@ import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import crc_mod, labelled_sample, map_batches, py_crc_mod
+from kindred.llm.common import batches_of, crc_mod, durable, few, labelled_sample, map_batches, py_crc_mod, scanned, trimmed
 
 #: A window has so many words and bytes at most.
 WORDS, BYTES = 4, 56
@@ -44,6 +44,8 @@ CARRIER = bytes(range(128, 160))
 THRESHOLD = 0.7
 #: Bounds of the sample that the model is fitted on: documents of each class, characters of a document (longer ones aren't used).
 PER_CLASS, LONGEST = {0: 3000, 1: 1200}, 20_000
+#: Texts in one Arrow batch of the pipeline's stage, and in one call of the model.
+TEXTS = 512
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -286,7 +288,9 @@ def fit(rows: list[tuple[int, str, int]]) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on labelled rows whose crc32(doc_id) mod 3 is not 1, within PER_CLASS and LONGEST."""
-    return fit(labelled_sample(docs, labels, "toxic", PER_CLASS, crc_mod(F.col("doc_id"), 3) != 1, "toxicity", LONGEST))
+    model = fit(labelled_sample(docs, labels, "toxic", PER_CLASS, crc_mod(F.col("doc_id"), 3) != 1, "toxicity", LONGEST))
+    trimmed()  # the sample and its windows, some hundred megabytes
+    return model
 
 
 def _slices(texts: list[str | None], chars: int = 2_000_000):
@@ -312,23 +316,27 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
                 scores = m.scores(b["text"][x:y])
                 yield [(i, py_crc_mod(i, 3) == 1, s, int(s >= THRESHOLD)) for i, s in zip(b["doc_id"][x:y], scores, strict=True)]
 
-    return map_batches(docs.select("doc_id", F.col("text").cast("string").alias("text")), "doc_id long, held_out boolean, score double, predicted int", run, rows=512)
+    return map_batches(docs.select("doc_id", F.col("text").cast("string").alias("text")), "doc_id long, held_out boolean, score double, predicted int", run, rows=TEXTS)
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without the rows that score THRESHOLD or more; columns and order of columns stay."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    """docs without the rows that score THRESHOLD or more; columns and order of columns stay.
 
-    def run(batches):
-        import pyarrow as pa
+    Python gets texts alone, TEXTS at a time, and gives the numbers of the rows to drop. Whole rows in batches of Spark's size
+    take some hundred megabytes of an executor, and its Python workers keep them while later stages run.
+    """
+    docs = scanned(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    def run(parts):
         m = shared.value
-        for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                b = whole.slice(start, 512)
-                texts = b.column(at).to_pylist()
-                keep = [s < THRESHOLD for x, y in _slices(texts) for s in m.scores(texts[x:y])]
-                yield b.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+        for b in parts:
+            toxic = [s >= THRESHOLD for x, y in _slices(b["text"]) for s in m.scores(b["text"][x:y])]
+            yield [(rid,) for rid, t in zip(b["rid"], toxic, strict=True) if t]
+        trimmed()
+
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("text").cast("string").alias("text"))
+    with batches_of(docs.sparkSession, TEXTS):
+        gone = durable(map_batches(rows, "__gone long", run, rows=TEXTS), "toxicity-gone")
+    numbered = docs.withColumn("__rid", F.monotonically_increasing_id())
+    return numbered.join(few(gone), F.col("__rid") == F.col("__gone"), "left_anti").drop("__rid")

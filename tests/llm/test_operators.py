@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.llm import bpe, dedup, langid, lattice, licences, mixing, quality, queries, secrets, simhash, toxicity
+from kindred.llm import bpe, common, dedup, langid, lattice, licences, mixing, quality, queries, secrets, simhash, toxicity
 from tests.llm.conftest import odd_rows
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -1012,6 +1013,49 @@ def test_toxicity(table, odd, empty, labels):
     assert not any("!" in x for x in odd_scores)
 
 
+class Bad:
+    """A model that finds texts toxic that begin with this word."""
+
+    def scores(self, texts):
+        return [float(t is not None and t.startswith("bad")) for t in texts]
+
+
+def test_toxicity_stage_takes_small_batches_of_texts_alone(table, monkeypatch):
+    """10,000 whole rows were one batch, which filled the executors' memory on large tables."""
+    docs = table([(k, None if k % 50 == 7 else ("bad " if k % 3 == 0 else "good ") + f"word{k} " * 600, "en", "x" * 500, k) for k in range(6_000)], partitions=1)
+    plain = type(docs).mapInArrow
+
+    def watched(self, fn, schema, *rest):
+        def run(batches):
+            def small():
+                for b in batches:
+                    assert b.num_rows <= 512 and set(b.schema.names) == {"rid", "text"}
+                    yield b
+
+            yield from fn(small())
+
+        return plain(self, run, schema, *rest)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", watched)
+    out = toxicity.drop_toxic(docs, Bad())
+    assert out.columns == docs.columns and out.schema == docs.schema
+    want = [r for r in docs.collect() if not (r["text"] or "").startswith("bad")]
+    assert sorted(out.collect()) == sorted(want) and len(want) < 6_000
+
+
+def test_released_frees_broadcasts(spark):
+    used = lambda: spark._jvm.org.apache.spark.SparkEnv.get().memoryManager().storageMemoryUsed()
+    common.released(spark)
+    time.sleep(2)
+    before = used()
+    assert spark.range(10).join(F.broadcast(spark.range(300_000)), "id").count() == 10
+    common.released(spark)
+    end = time.time() + 20
+    while used() > before + 1_000_000 and time.time() < end:
+        time.sleep(0.2)
+    assert used() <= before + 1_000_000
+
+
 def test_toxicity_with_few_or_contradicting_labels(table):
     rng = random.Random(3)
     made = list(toxic_rows(rng, 90, "the on er in".split(), ["blockhead"], every=3))
