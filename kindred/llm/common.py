@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,29 +39,37 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     """Write once as Parquet in the shared checkpoint folder and read back: lineage ends, lost executors cost nothing."""
     path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _file_system(df.sparkSession, path).deleteOnExit(_hadoop_path(df.sparkSession, path))  # unless discard() comes first
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._kindred_path = path
     return out
 
 
-def discard(df: DataFrame | None) -> None:
-    """Delete a durable() table that nothing reads any more."""
-    path = getattr(df, "_kindred_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+def _hadoop_path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
 
 
-#: Steps of a plan that give the rows of each partition in the same order every time, with the order of the scan below.
-_STEADY = {"Project", "Filter", "SubqueryAlias", "LogicalRelation", "Generate", "View", "DataSourceV2Relation", "DataSourceV2ScanRelation", "MapInArrow", "LogicalRDD", "Relation"}
+def _file_system(spark: SparkSession, path: str):
+    return _hadoop_path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete durable() tables that nothing reads any more; those that results still read go when the driver ends."""
+    for df in frames:
+        path = getattr(df, "_kindred_path", None)
+        if path:
+            _file_system(df.sparkSession, path).delete(_hadoop_path(df.sparkSession, path), True)
+
+
+#: Steps of a plan that give a row of the file scan below one row at most.
+_ROW_BY_ROW = {"Project", "Filter", "SubqueryAlias", "LogicalRelation", "View", "Relation"}
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """docs, if its plan is a file scan (with projections and filters); else a written copy of it.
+    """docs, if its plan is a scan of Parquet files (with projections and filters); else a written copy of it.
 
-    Operators number rows by their place in the scan more than once. After a shuffle, a task that runs again may give
-    them in another order, and joins by number would be wrong without notice; a written table stays as it is.
+    Operators join what they find out about a row back to it by its number, see numbered(). Only a row of a file has one that
+    holds however often the row is read.
     """
     plan = docs._jdf.queryExecution().analyzed()
     names, todo = set(), [plan]
@@ -69,7 +78,44 @@ def scanned(docs: DataFrame) -> DataFrame:
         names.add(node.getClass().getSimpleName())
         children = node.children()
         todo += [children.apply(k) for k in range(children.size())]
-    return docs if names <= _STEADY - {"LogicalRDD"} else durable(docs, "scanned")
+    if names <= _ROW_BY_ROW:
+        try:
+            docs.select(docs.metadataColumn("_metadata")["row_index"])
+        except AnalysisException:  # files of another format have no row numbers
+            pass
+        else:
+            return docs
+    return durable(docs, "scanned")
+
+
+def unused(columns: list[str], stem: str) -> str:
+    """stem, or the first of stem_, stem__, ... that is none of the columns."""
+    taken = {c.lower() for c in columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+#: Bits of a row number that count rows within a file; 2^23 files of 2^40 rows fit into a long.
+ROW_BITS = 40
+
+
+def numbered(docs: DataFrame, name: str = "rid") -> DataFrame:
+    """`docs`, as scanned() returns it, with a column `name`: the place of a row's file among the files by path, and of the row in its file.
+
+    So a row has one number in every scan, whatever tasks, executors and cores read it.
+    """
+    meta = docs.metadataColumn("_metadata")
+    path, row = unused([*docs.columns, name], "__path"), unused([*docs.columns, name], "__row")
+    found = getattr(docs, "_kindred_files", None)
+    if found is None:  # as many names as the driver has listed to plan the scan
+        found = docs._kindred_files = sorted(r[0] for r in docs.select(meta["file_path"].alias("p")).distinct().collect())
+    if len(found) < 2:
+        return docs.withColumn(name, meta["row_index"])
+    files = docs.sparkSession.createDataFrame([(p, k << ROW_BITS) for k, p in enumerate(found)], f"{path}_of string, {name} long")
+    own = docs.withColumns({path: meta["file_path"], row: meta["row_index"]})
+    side = F.broadcast(files) if len(found) <= BROADCAST_ROWS else files
+    return own.join(side, F.col(path) == F.col(f"{path}_of")).select(*[F.col(f"`{c}`") for c in docs.columns], (F.col(name) + F.col(row)).alias(name))
 
 
 def few(ids: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -77,6 +123,18 @@ def few(ids: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= rows else ids.hint("merge")
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """The shuffle files of each action inside are deleted when it ends: durable tables stand for them."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int):
     """Arrow batches of so many rows at most in the actions inside: wide rows then take little memory on either side."""

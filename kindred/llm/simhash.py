@@ -19,7 +19,6 @@ repeated rows share a component. The smallest doc_id of a component names it; nu
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import batches_of, discard, durable, few, map_batches, most_frequent, released, scanned
+from kindred.llm.common import batches_of, discard, durable, few, map_batches, most_frequent, released, scanned, shuffles_removed
 
 SHINGLE = 3
 THRESHOLD = 3
@@ -399,18 +398,6 @@ def hot_shingles(rows: DataFrame, similar: float = SIMILAR) -> np.ndarray:
     return np.sort(np.array(found, np.int64).view(np.uint64))
 
 
-@contextmanager
-def shuffles_removed(spark: SparkSession):
-    """The shuffle files of each action inside are deleted when it ends: durable tables stand for them."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
 def in_slices(pairs: DataFrame, at_once: int, label: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """work(pairs), durable, for about `at_once` pairs u, v at a time: what is joined to them never stands on disk for all."""
     k = max(1, -(-pairs.count() // at_once))
