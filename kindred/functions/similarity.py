@@ -1,58 +1,27 @@
-"""Jaro-Winkler similarity and the array comparators built on it, as Arrow-batched UDFs with a memo of distinct pairs."""
+"""Jaro-Winkler similarity and the array comparators built on it, as Arrow-batched UDFs: all names of a batch are compared at once."""
 
 from __future__ import annotations
 
-from functools import lru_cache
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-BOOST_FROM, SCALE, PREFIX = 0.7, 0.1, 4
-
+from kindred.functions.jaro import jaro_winkler, of_lists, of_pairs
 
 def _batched(f):
     """A vectorised UDF of doubles that Catalyst may not evaluate twice, as it does when it moves a filter on its result below it."""
     return F.pandas_udf(f, DoubleType()).asNondeterministic()
 
 
-@lru_cache(maxsize=200_000)
-def jaro_winkler(a: str, b: str) -> float:
-    """Similarity in [0, 1]; 0 if either side is empty; the prefix boost applies from a Jaro similarity of 0.7 on."""
-    if not a or not b:
-        return 0.0
-    if a == b:
-        return 1.0
-    short, long = (a, b) if len(a) <= len(b) else (b, a)
-    reach = max(len(long) // 2 - 1, 0)
-    taken = [False] * len(long)
-    mine = []
-    for i, ch in enumerate(short):
-        for j in range(max(0, i - reach), min(len(long), i + reach + 1)):
-            if not taken[j] and long[j] == ch:
-                taken[j] = True
-                mine.append(ch)
-                break
-    m = len(mine)
-    if not m:
-        return 0.0
-    theirs = [ch for ch, t in zip(long, taken) if t]
-    half = sum(x != y for x, y in zip(mine, theirs)) / 2
-    jaro = (m / len(a) + m / len(b) + (m - half) / m) / 3
-    if jaro < BOOST_FROM:
-        return jaro
-    same = 0
-    for x, y in zip(a[:PREFIX], b[:PREFIX]):
-        if x != y:
-            break
-        same += 1
-    return jaro + SCALE * same * (1 - jaro)
+def _series(values) -> pd.Series:
+    return pd.Series(values, dtype="float64")
 
 
 @_batched
 def _jw(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([jaro_winkler(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
+    return _series(of_pairs(a.fillna("").to_numpy(object), b.fillna("").to_numpy(object)))
 
 
 def jw(a: Column, b: Column) -> Column:
@@ -64,9 +33,32 @@ def _texts(x) -> list[str]:
     return [] if x is None else [v or "" for v in x]
 
 
+def _best_of_each(ours: list[list[str]], theirs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(the best similarity of every element of ours[k] with any of theirs[k], 0 where there is none; the row k of each)."""
+    scores, _ = of_lists(ours, theirs)
+    rows = np.repeat(np.arange(len(ours)), [len(p) for p in ours])
+    size = np.array([len(q) for q in theirs], np.int64)[rows]
+    best = np.zeros(len(rows))
+    some = np.flatnonzero(size)
+    if len(some):
+        best[some] = np.maximum.reduceat(scores, np.concatenate([[0], np.cumsum(size[some])[:-1]]))
+    return best, rows
+
+
 @_batched
 def _jw_max(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([max((jaro_winkler(x, y) for x in _texts(p) for y in _texts(q)), default=0.0) for p, q in zip(a, b)], dtype="float64")
+    best, rows = _best_of_each([_texts(x) for x in a], [_texts(x) for x in b])
+    out = np.zeros(len(a))
+    np.maximum.at(out, rows, best)
+    return _series(out)
+
+
+def shares_over(a: pd.Series, b: pd.Series, threshold: np.ndarray) -> pd.Series:
+    """Share of each row's elements of a whose best match in b is over the row's threshold; 0 if a has none."""
+    ours = [_texts(x) for x in a]
+    best, rows = _best_of_each(ours, [_texts(x) for x in b])
+    over = np.bincount(rows[best > threshold[rows]], minlength=len(a))
+    return _series(over / np.maximum([len(p) for p in ours], 1))
 
 
 def jw_max(a: Column, b: Column) -> Column:
@@ -79,7 +71,7 @@ def jw_rate(a: Column, b: Column, threshold: float) -> Column:
 
     @_batched
     def rate(p: pd.Series, q: pd.Series) -> pd.Series:
-        return pd.Series([share_over(_texts(x), _texts(y), threshold) for x, y in zip(p, q)], dtype="float64")
+        return shares_over(p, q, np.full(len(p), threshold))
 
     return rate(a, b)
 
@@ -105,34 +97,50 @@ def related_jw(a: Column, b: Column, threshold: float, years: float, name: str =
 
     @_batched
     def count(an: pd.Series, ab: pd.Series, asx: pd.Series, bn: pd.Series, bb: pd.Series, bsx: pd.Series) -> pd.Series:
-        return pd.Series([count_related(_rows(*row[:3]), _rows(*row[3:]), threshold, years) for row in zip(an, ab, asx, bn, bb, bsx)], dtype="float64")
+        rows = [(_rows(*row[:3]), _rows(*row[3:])) for row in zip(an, ab, asx, bn, bb, bsx)]
+        return _series(related_counts(rows, [threshold] * len(rows), [years] * len(rows)))
 
     fields = {"n": name, "b": birth, "s": sex}
     return count(*_people(a, **fields), *_people(b, **fields))
 
 
-def count_related(ours: list[tuple], theirs: list[tuple], threshold: float, years: float) -> float:
-    """People are (name, birth year, sex)."""
-    return float(sum(any(s == u and _gap(y, v) <= years and jaro_winkler(n or "", m or "") >= threshold for n, y, s in ours) for m, v, u in theirs))
+def _alike(rows: list[tuple], fits) -> tuple[list[tuple[int, int, int]], np.ndarray]:
+    """((row, person of theirs, person of ours) for the pairs of people that fit, similarities of their names), all names of a batch at once."""
+    where = [(k, j, i) for k, (ours, theirs) in enumerate(rows) for j, q in enumerate(theirs) for i, p in enumerate(ours) if fits(k, p, q)]
+    names = [[rows[k][side][x][0] or "" for k, *both in where for x in (both[1 - side],)] for side in (0, 1)]
+    return where, of_pairs(*names)
 
 
-def count_extra_children(ours: list[tuple], theirs: list[tuple], year: float, threshold: float, years: float) -> float:
-    """People are (name, birth year, sex, relate). Matches are made best first; each child takes part in one at most."""
+def related_counts(rows: list[tuple], thresholds: list[float], years: list[float]) -> np.ndarray:
+    """For each (ours, theirs): how many of theirs have somebody in ours of the same sex, a close birth year and a similar name. People are (name, birth year, sex)."""
+    where, x = _alike(rows, lambda k, p, q: p[2] == q[2] and _gap(q[1], p[1]) <= years[k])
+    found = {(k, j) for (k, j, _), s in zip(where, x.tolist()) if s >= thresholds[k]}
+    return np.bincount(np.array([k for k, _ in found], np.int64), minlength=len(rows)).astype(float)
+
+
+def extra_counts(rows: list[tuple], years_b: list[float], thresholds: list[float], years: list[float]) -> np.ndarray:
+    """For each (ours, theirs): children of theirs that match none of ours. People are (name, birth year, sex, relate).
+
+    Matches are made best first; each child takes part in one at most.
+    """
     child = lambda p: p[3] is not None and 300 <= p[3] < 400
-    ours = [p for p in ours if child(p)]
-    theirs = [p for p in theirs if child(p) and p[1] is not None and year - p[1] >= 11]
-    close = []
-    for j, (m, v, u, _) in enumerate(theirs):
-        for i, (n, w, s, _) in enumerate(ours):
-            x = jaro_winkler(n or "", m or "")
-            if s == u and _gap(w, v) <= years and x >= threshold:
-                close.append((-x, j, i))
+    old = lambda p, year: p[1] is not None and year - p[1] >= 11
+    kids = [([p for p in ours if child(p)], [p for p in theirs if child(p) and old(p, year)]) for (ours, theirs), year in zip(rows, years_b)]
+    where, x = _alike(kids, lambda k, p, q: p[2] == q[2] and _gap(p[1], q[1]) <= years[k])
     used_a, used_b = set(), set()
-    for _, j, i in sorted(close, key=lambda c: c[0]):
-        if i not in used_a and j not in used_b:
-            used_a.add(i)
-            used_b.add(j)
-    return float(len(theirs) - len(used_b))
+    close = sorted((k, -s, n) for n, ((k, _, _), s) in enumerate(zip(where, x.tolist())) if s >= thresholds[k])
+    for k, _, n in close:  # of equal matches the first
+        _, j, i = where[n]
+        if (k, i) not in used_a and (k, j) not in used_b:
+            used_a.add((k, i))
+            used_b.add((k, j))
+    matched = np.bincount(np.array([k for k, _ in used_b], np.int64), minlength=len(rows))
+    return np.array([len(theirs) for _, theirs in kids], np.int64) - matched
+
+
+def count_extra_children(ours: list[tuple], theirs: list[tuple], year: float, threshold: float, years: float) -> float:
+    """extra_counts() of one row."""
+    return float(extra_counts([(ours, theirs)], [year], [threshold], [years])[0])
 
 
 def extra_children(
@@ -146,20 +154,23 @@ def extra_children(
 
     @_batched
     def count(an: pd.Series, ab: pd.Series, asx: pd.Series, ar: pd.Series, bn: pd.Series, bb: pd.Series, bsx: pd.Series, br: pd.Series, yb: pd.Series, ra: pd.Series, rb: pd.Series) -> pd.Series:
-        out = []
-        for *row, year, x, y in zip(an, ab, asx, ar, bn, bb, bsx, br, yb, ra, rb):
-            kin = x is not None and y is not None and x <= 399 and y <= 399  # NaN compares false
-            out.append(count_extra_children(_rows(*row[:4]), _rows(*row[4:8]), year, threshold, years) if kin else 0.0)
-        return pd.Series(out, dtype="float64")
+        kin = [x is not None and y is not None and x <= 399 and y <= 399 for x, y in zip(ra, rb)]  # NaN compares false
+        rows = [(_rows(*row[:4]), _rows(*row[4:])) if k else ([], []) for k, *row in zip(kin, an, ab, asx, ar, bn, bb, bsx, br)]
+        return _series(extra_counts(rows, list(yb), [threshold] * len(rows), [years] * len(rows)))
 
     fields = {"n": name, "b": birth, "s": sex, "r": relate}
     return count(*_people(a, **fields), *_people(b, **fields), year_b.cast("long"), relate_a.cast("long"), relate_b.cast("long"))
 
 
-def compare_rate(ours: list[tuple], theirs: list[tuple]) -> float:
-    """People are (name, birth year, place, sex)."""
-    score = lambda p, q: 2 * (jaro_winkler(p[0] or "", q[0] or "") > 0.8) + (p[1] == q[1]) + (p[2] == q[2]) + (p[3] == q[3])
-    return sum(any(score(p, q) > 3.9 for p in ours) for q in theirs) / len(theirs) if theirs else 0.0
+def compare_rates(rows: list[tuple]) -> np.ndarray:
+    """For each (ours, theirs): the share of theirs for whom somebody in ours scores over 3.9. People are (name, birth year, place, sex).
+
+    A name over 0.8 counts 2, the others 1 each, so the name and two others have to agree.
+    """
+    where, x = _alike(rows, lambda k, p, q: sum(p[x] == q[x] for x in (1, 2, 3)) >= 2)
+    found = {(k, j) for (k, j, _), s in zip(where, x.tolist()) if s > 0.8}
+    hits = np.bincount(np.array([k for k, _ in found], np.int64), minlength=len(rows))
+    return hits / np.maximum([len(theirs) for _, theirs in rows], 1)
 
 
 def hh_compare_rate(a: Column, b: Column, name: str = "namefrst_std", birth: str = "birthyr", bpl: str = "bpl", sex: str = "sex") -> Column:
@@ -167,7 +178,7 @@ def hh_compare_rate(a: Column, b: Column, name: str = "namefrst_std", birth: str
 
     @_batched
     def rate(an: pd.Series, ab: pd.Series, ap: pd.Series, asx: pd.Series, bn: pd.Series, bb: pd.Series, bp: pd.Series, bsx: pd.Series) -> pd.Series:
-        return pd.Series([compare_rate(_rows(*row[:4]), _rows(*row[4:])) for row in zip(an, ab, ap, asx, bn, bb, bp, bsx)], dtype="float64")
+        return _series(compare_rates([(_rows(*row[:4]), _rows(*row[4:])) for row in zip(an, ab, ap, asx, bn, bb, bp, bsx)]))
 
     fields = {"n": name, "b": birth, "p": bpl, "s": sex}
     return rate(*_people(a, **fields), *_people(b, **fields))
@@ -185,6 +196,22 @@ def _struct_rows(x, *names: str) -> list[tuple]:
     return [] if x is None else [tuple(p.get(n) for n in names) for p in x]
 
 
+def _vectors(v: pd.DataFrame) -> list[list[float] | None]:
+    """Vectors as they cross to Arrow, as frames of type (1: dense), size, indices and values; None for null."""
+    out: list[list[float] | None] = []
+    for kind, size, indices, values in zip(v["type"], v["size"], v["indices"], v["values"]):
+        if values is None:
+            out.append(None)
+        elif indices is None:
+            out.append([float(x) for x in values])
+        else:
+            full = [0.0] * int(size)
+            for k, x in zip(indices, values):
+                full[k] = float(x)
+            out.append(full)
+    return out
+
+
 def register_functions(spark: SparkSession) -> None:
     """Make the comparators callable in SQL expressions (jw, jw_max, jw_rate, rel_jw, extra_children, ...).
 
@@ -193,36 +220,42 @@ def register_functions(spark: SparkSession) -> None:
 
     @_batched
     def rate(a: pd.Series, b: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series([share_over(_texts(x), _texts(y), float(z)) for x, y, z in zip(a, b, t)], dtype="float64")
+        return shares_over(a, b, t.to_numpy("float64"))
 
     @_batched
     def related(a: pd.Series, b: pd.Series, t: pd.Series, years: pd.Series, names: pd.Series) -> pd.Series:
-        out = []
-        for x, y, u, v, m in zip(a, b, t, years, names):
+        rows = []
+        for x, y, m in zip(a, b, names):
             m = dict(m)
             cols = (m.get("name", "namefrst_std"), m.get("byr", "birthyr"), m.get("sex", "sex"))
-            out.append(count_related(_struct_rows(x, *cols), _struct_rows(y, *cols), float(u), float(v)))
-        return pd.Series(out, dtype="float64")
+            rows.append((_struct_rows(x, *cols), _struct_rows(y, *cols)))
+        return _series(related_counts(rows, [float(u) for u in t], [float(v) for v in years]))
 
     @_batched
     def extra(a: pd.Series, b: pd.Series, year: pd.Series, ra: pd.Series, rb: pd.Series, t: pd.Series, years: pd.Series, names: pd.Series) -> pd.Series:
-        out = []
-        for x, y, z, p, q, u, v, m in zip(a, b, year, ra, rb, t, years, names):
+        rows = []
+        for x, y, p, q, m in zip(a, b, ra, rb, names):
             m = dict(m)
             cols = (m.get("name", "namefrst_std"), m.get("byr", "birthyr"), m.get("sex", "sex"), m.get("relate", "relate"))
             kin = p is not None and q is not None and p <= 399 and q <= 399
-            out.append(count_extra_children(_struct_rows(x, *cols), _struct_rows(y, *cols), float(z), float(u), float(v)) if kin else 0.0)
-        return pd.Series(out, dtype="float64")
+            rows.append((_struct_rows(x, *cols), _struct_rows(y, *cols)) if kin else ([], []))
+        return _series(extra_counts(rows, [float(z) for z in year], [float(u) for u in t], [float(v) for v in years]))
 
     @_batched
     def households(a: pd.Series, b: pd.Series) -> pd.Series:
         cols = ("namefrst_std", "birthyr", "bpl", "sex")
-        return pd.Series([compare_rate(_struct_rows(x, *cols), _struct_rows(y, *cols)) for x, y in zip(a, b)], dtype="float64")
+        return _series(compare_rates([(_struct_rows(x, *cols), _struct_rows(y, *cols)) for x, y in zip(a, b)]))
+
+    @_batched
+    def match_probability(v: pd.DataFrame) -> pd.Series:
+        return _series([x[1] if x is not None and len(x) > 1 else 0.0 for x in _vectors(v)])
+
+    @F.pandas_udf(StringType())
+    def as_text(v: pd.DataFrame) -> pd.Series:
+        return pd.Series([None if x is None else "[" + ",".join(map(str, x)) + "]" for x in _vectors(v)], dtype=object)
 
-    for name, f in (("jw", _jw), ("jw_max", _jw_max), ("jw_rate", rate), ("rel_jw", related), ("extra_children", extra), ("hh_compare_rate", households)):
+    for name, f in (("jw", _jw), ("jw_max", _jw_max), ("jw_rate", rate), ("rel_jw", related), ("extra_children", extra), ("hh_compare_rate", households), ("parseProbVector", match_probability), ("vector_to_string", as_text)):
         spark.udf.register(name, f)
-    spark.udf.register("parseProbVector", lambda v: float(v[1]) if v is not None and len(v) > 1 else 0.0, DoubleType())
-    spark.udf.register("vector_to_string", lambda v: None if v is None else "[" + ",".join(str(float(x)) for x in v) + "]", StringType())
     for text in (
         "has_matching_element(a ARRAY<STRING>, b ARRAY<STRING>) RETURNS BOOLEAN RETURN coalesce(arrays_overlap(a, b), false)",
         "array_to_string(a ARRAY<STRING>) RETURNS STRING RETURN concat('[', array_join(a, ','), ']')",
@@ -233,5 +266,4 @@ def register_functions(spark: SparkSession) -> None:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {text}")
 
 
-def share_over(ours: list[str], theirs: list[str], threshold: float) -> float:
-    return sum(any(jaro_winkler(u, v) > threshold for v in theirs) for u in ours) / len(ours) if ours else 0.0
+__all__ = ["extra_children", "has_matching_element", "hh_compare_rate", "jaro_winkler", "jw", "jw_max", "jw_rate", "register_functions", "related_jw"]
