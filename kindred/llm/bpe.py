@@ -7,8 +7,10 @@ of position, and is reassembled by position. No word is hot: it is shuffled once
 each occurrence, and buckets are alike. Decoding looks every id up in the token-byte table. What travels is packed: a row
 holds a chunk's words of a bucket, or the numbers of some documents, compressed.
 
-The scan is read twice, once for the words and once for the documents' numbers, and gives equal numbers both times; a
-written table of both would cost as much disk as the shuffles themselves.
+The scan is read twice, once for the words and once for the documents' numbers; a written table of both would cost as much
+disk as the shuffles themselves. Both times the same rows have to make a chunk, so the scans are pinned (common.pinned_scans)
+and results are written before they are returned. Each chunk's words and documents carry a checksum of its numbering:
+should the two not agree, a task raises an error instead of returning other words.
 
 Ranks and pattern are those of a published vocabulary; its path is a parameter, read on the driver.
 
@@ -34,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import map_batches, scanned
+from kindred.llm.common import durable, map_batches, pinned_scans, scanned, shuffles_removed
 
 CHUNK = 12_000_000
 ROWS = 512
@@ -222,7 +224,7 @@ class Chunk:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], pattern: str, chars: int) -> Iterator[tuple[int, Chunk, list, tuple, bool]]:
-    """(chunk id, chunk, doc_ids, counts and numbers of their pre-tokens, whether the chunk ends here) for slices of a scan partition, alike in every pass."""
+    """(chunk id, chunk, doc_ids, counts and numbers of their pre-tokens, whether the chunk ends here) for slices of a scan partition, alike in every pinned pass."""
     splitter = Splitter(pattern)
     part = TaskContext.get().partitionId()
     k, size, chunk = 0, 0, Chunk(splitter)
@@ -240,8 +242,8 @@ def _chunks(batches: Iterator[pa.RecordBatch], pattern: str, chars: int) -> Iter
 
 
 def distinct_words(docs: DataFrame, pattern: str, chars: int = CHUNK) -> DataFrame:
-    """bucket, chunk, body: the distinct pre-tokens of each chunk by bucket; packed numbers (their differences), sizes and bytes."""
-    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("body", pa.binary())])
+    """bucket, chunk, mark, body: the distinct pre-tokens of each chunk by bucket; packed numbers (their differences), sizes and bytes."""
+    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("mark", pa.int64()), ("body", pa.binary())])
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
@@ -256,31 +258,36 @@ def distinct_words(docs: DataFrame, pattern: str, chars: int = CHUNK) -> DataFra
             for numbers in np.split(order, starts[1:]):
                 own = [words[n] for n in numbers.tolist()]
                 bodies.append(pack(np.diff(numbers, prepend=0), np.fromiter(map(len, own), np.int64, len(own)), tail=b"".join(own)))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(np.full(len(found), k)), pa.array(bodies, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(np.full(len(found), k)), pa.array(np.full(len(found), mark_of(words))), pa.array(bodies, pa.binary())], schema=schema)
 
-    return docs.mapInArrow(run, "bucket int, chunk long, body binary")
+    return docs.mapInArrow(run, "bucket int, chunk long, mark long, body binary")
 
 
-_BACK = pa.schema([("chunk", pa.int64()), ("at", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("body", pa.binary())])
+_BACK = pa.schema([("chunk", pa.int64()), ("at", pa.int64()), ("mark", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("body", pa.binary())])
+_BACK_SQL = "chunk long, at long, mark long, doc_ids array<long>, body binary"
+
+
+def mark_of(words: list[bytes]) -> int:
+    """A checksum of a chunk's numbering."""
+    return zlib.crc32(b"\0".join(words))
 
 
 def numbered_documents(docs: DataFrame, pattern: str, chars: int = CHUNK) -> DataFrame:
-    """chunk, at, doc_ids, body: some documents, from row `at` of the partition on; packed counts of pre-tokens, and their numbers."""
+    """chunk, at, mark, doc_ids, body: some documents, from row `at` of the partition on; packed counts of pre-tokens, and their numbers. The last row of a chunk has its mark."""
 
     def run(batches):
         row = 0
-        for k, _, ids, numbered, _ in _chunks(batches, pattern, chars):
-            if not ids:
-                continue
-            body = pack(*numbered)
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([row]), pa.array([ids], pa.list_(pa.int64())), pa.array([body], pa.binary())], schema=_BACK)
+        for k, chunk, ids, numbered, ends in _chunks(batches, pattern, chars):
+            body = pack(*(numbered or [np.zeros(0, np.uint32)] * 2))
+            mark = mark_of([w.encode() for w in chunk.number]) if ends else None
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([row]), pa.array([mark], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([body], pa.binary())], schema=_BACK)
             row += len(ids)
 
-    return docs.mapInArrow(run, "chunk long, at long, doc_ids array<long>, body binary")
+    return docs.mapInArrow(run, _BACK_SQL)
 
 
 def encoded_words(words: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """chunk, at (WORDS), doc_ids (null), body: packed numbers (their differences), counts of ids, and ids; equal words meet and are encoded once."""
+    """chunk, at (WORDS), mark, doc_ids (null), body: packed numbers (their differences), counts of ids, and ids; equal words meet and are encoded once."""
     vocab = words.sparkSession.sparkContext.broadcast(ranks)  # the vocabulary file, of fixed size
     met = words.repartition("bucket").sortWithinPartitions("bucket")
 
@@ -301,9 +308,9 @@ def encoded_words(words: DataFrame, ranks: dict[bytes, int], pattern: str) -> Da
                 each = [memo[w] for w in own]
                 bodies.append(pack(steps, np.fromiter(map(len, each), np.int64, len(each)) // 4, np.frombuffer(b"".join(each), np.uint32)))
             n = b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column("chunk"), pa.array(np.full(n, WORDS)), pa.nulls(n, pa.list_(pa.int64())), pa.array(bodies, pa.binary())], schema=_BACK)
+            yield pa.RecordBatch.from_arrays([b.column("chunk"), pa.array(np.full(n, WORDS)), b.column("mark"), pa.nulls(n, pa.list_(pa.int64())), pa.array(bodies, pa.binary())], schema=_BACK)
 
-    return met.mapInArrow(run, "chunk long, at long, doc_ids array<long>, body binary")
+    return met.mapInArrow(run, _BACK_SQL)
 
 
 def strings(data: pa.Buffer, ends: np.ndarray) -> pa.LargeBinaryArray:
@@ -325,11 +332,15 @@ def _reassembled(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chars:
     back = back.repartition("chunk").sortWithinPartitions("chunk", "at")
 
     def run(parts):
-        now, found, words = None, [], None
+        now, found, words, marks = None, [], None, set()
         for b in parts:
-            for chunk, at, doc_ids, body in zip(b["chunk"], b["at"], b["doc_ids"], b["body"], strict=True):
+            for chunk, at, mark, doc_ids, body in zip(b["chunk"], b["at"], b["mark"], b["doc_ids"], b["body"], strict=True):
                 if chunk != now:
-                    now, found, words = chunk, [], None
+                    now, found, words, marks = chunk, [], None, set()
+                if mark is not None:
+                    marks.add(mark)
+                    if len(marks) > 1:
+                        raise RuntimeError(f"the words and the documents of chunk {chunk} come from different rows: files or settings changed while they were read")
                 if at == WORDS:
                     found.append(body)
                     continue
@@ -348,7 +359,8 @@ def _reassembled(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chars:
                     cuts.append([view[y:z] for y, z in zip(at_end[:-1], at_end[1:], strict=True)])
                 yield [finish((chunk >> 20 << 33) + at + k, i, *own) for k, (i, *own) in enumerate(zip(doc_ids, *cuts, strict=True))]
 
-    return map_batches(back, schema, run, rows=64)
+    with pinned_scans(docs.sparkSession), shuffles_removed(docs.sparkSession):
+        return durable(map_batches(back, schema, run, rows=64), "bpe-documents")
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chars: int = CHUNK) -> DataFrame:

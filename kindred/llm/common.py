@@ -123,6 +123,14 @@ def few(ids: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= rows else ids.hint("merge")
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs, as scanned() returns it, without the rows whose numbers are in the one column of `gone`, a durable frame."""
+    name = unused(docs.columns, "__rid")
+    (own,) = gone.columns
+    left = gone.select(F.col(own).alias(unused([*docs.columns, name], "__gone")))
+    return numbered(docs, name).join(few(left), F.col(name) == F.col(left.columns[0]), "left_anti").drop(name)
+
+
 @contextmanager
 def shuffles_removed(spark: SparkSession):
     """The shuffle files of each action inside are deleted when it ends: durable tables stand for them."""
@@ -147,6 +155,24 @@ def batches_of(spark: SparkSession, rows: int):
         spark.conf.set(name, before)
 
 
+@contextmanager
+def pinned_scans(spark: SparkSession):
+    """Actions inside cut files into the same pieces each time they scan them.
+
+    Spark sizes the pieces by the cores that are registered when a scan is planned, which change as executors come and go; here
+    by those that are registered now.
+    """
+    name = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(name, None)
+    if before is None:
+        spark.conf.set(name, str(max(1, spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+
+
 def released(spark: SparkSession) -> None:
     """What no frame refers to any more leaves the driver and the executors, and the room it took goes back to the system.
 

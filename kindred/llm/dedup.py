@@ -10,7 +10,8 @@ found by a first count of block hashes, is dealt out over salts, and its salts'
 under the block; hashes only choose the salts. All other steps move integers. What is dropped is a list of row numbers: it is
 broadcast up to a checked size, and joined to the documents by sort and merge beyond it.
 
-Row ids are monotonically_increasing_id() of the scan; anything else than a file scan is written out first (common.scanned).
+Row ids come from the rows' places in their files (common.numbered), so they hold in every scan; anything else than a scan of
+Parquet files is written out first.
 
 Defined results: a null text counts as empty; a null doc_id is kept as null and loses against any other id; of equal
 texts the largest doc_id stays, and of repeated rows with that id one; columns other than doc_id and text are never read.
@@ -22,17 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kindred.llm.common import discard, durable, few, scanned
+from kindred.llm.common import discard, durable, few, numbered, scanned, without
 
 BLOCK_CHARS = 4096
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        F.monotonically_increasing_id().alias("rid"),
-        F.col("doc_id"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body"),
-    )
+    return numbered(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body")))
 
 
 def _named(rows: DataFrame, key: list[str], label: str) -> DataFrame:
@@ -131,10 +128,9 @@ def keep_distinct(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of docs that stay, with its columns."""
     docs = scanned(docs)
     told = _decided(docs, block_chars)
-    gone = durable(told.where("rid <> keep_rid").select(F.col("rid").alias("__gone")), "dedup-gone")
+    gone = durable(told.where("rid <> keep_rid").select("rid"), "dedup-gone")
     discard(told)
-    numbered = docs.withColumn("__rid", F.monotonically_increasing_id())
-    return numbered.join(few(gone), F.col("__rid") == F.col("__gone"), "left_anti").drop("__rid")
+    return without(docs, gone)
 
 
 __all__ = ["exact_dedup", "identities", "keep_distinct"]

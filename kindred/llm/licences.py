@@ -27,7 +27,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import scanned, unit_hash
+from kindred.llm.common import numbered, scanned, unit_hash
 
 DIM = 1 << 14
 CONTAINMENT = 0.8
@@ -234,7 +234,7 @@ def confirmed(words: Column, family: Column) -> Column:
 
 def scan_paragraphs(docs: DataFrame, scanner: Scanner) -> DataFrame:
     """rid, doc_id, line, family, p, confirmed for paragraphs that are no ordinary text."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
+    rows = numbered(docs.select("doc_id", "text"))
     lines = _featured(paragraphs(rows).where("line <> ''"))
     # The row number keeps Catalyst from moving the filter below the features, where it would compute them several times.
     scored = scanner.notices.transform(lines).select("rid", "doc_id", "line", "words", "features", _second("p_notice").alias("notice"), F.monotonically_increasing_id().alias("row"))
@@ -253,7 +253,7 @@ def scan_blocks(docs: DataFrame) -> DataFrame:
 
     A wrapped notice stands over lines, among others that may be ordinary text, so templates decide alone.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body"))
+    rows = numbered(docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body")))
     rows = rows.select("rid", F.explode(F.split("body", r"\n\s*\n")).alias("block"))
     some = rows.where(F.contains(F.trim("block"), F.lit("\n")) & F.col("block").rlike(NEEDED))
     own = some.select("rid", F.filter(words_of(F.col("block")), lambda w: w != "").alias("words")).select("rid", shingles(F.col("words")).alias("own"))
@@ -285,7 +285,7 @@ def scan_licences(docs: DataFrame, scanner: Scanner) -> DataFrame:
         F.collect_set(F.when(F.col("confirmed"), F.col("family"))).alias("by_line"),
     )
     wrapped = scan_blocks(docs).groupBy("rid").agg(F.collect_set("family").alias("by_block")).withColumnRenamed("rid", "b_rid")
-    own = docs.select(F.monotonically_increasing_id().alias("own_rid"), "doc_id")
+    own = numbered(docs.select("doc_id"), "own_rid")
     none = F.array().cast("array<string>")
     line, block = F.coalesce("by_line", none), F.coalesce("by_block", none)
     more = {"n_notices": F.size(F.array_except(block, line)), "n_confirmed": F.size(F.array_except(block, line)), "n_unknown": F.lit(0)}

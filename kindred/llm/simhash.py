@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import batches_of, discard, durable, few, map_batches, most_frequent, released, scanned, shuffles_removed
+from kindred.llm.common import batches_of, discard, durable, few, map_batches, most_frequent, numbered, released, scanned, shuffles_removed, without
 
 SHINGLE = 3
 THRESHOLD = 3
@@ -635,7 +635,7 @@ def similar_texts(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
                 out.append((rid, *prints, xxhash.xxh3_128_digest(h.tobytes()), len(h), sketch_of(h), bin_counts(h), prefix_of(h, hot, similar).view(np.int64).tolist()))
             yield out
 
-    rows = scanned(docs).select(F.monotonically_increasing_id().alias("rid"), F.col("text").cast("string").alias("text"))
+    rows = numbered(scanned(docs).select(F.col("text").cast("string").alias("text"))).select("rid", "text")
     hot = hot_shingles(rows, similar)
     schema = "rid long, " + ", ".join(f"{f} long" for f in fps) + ", own binary, size int, sketch binary, bins binary, prefix array<long>"
     with batches_of(docs.sparkSession, SETS):
@@ -669,12 +669,21 @@ def similar_texts(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
 
 def keep_dissimilar(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """docs with the first row of each group of similar texts, and their columns."""
+    """docs with one row of each group of similar texts, that with the largest doc_id, and their columns.
+
+    A null id loses against any other; of rows with one id the first stays, by files and rows.
+    """
     docs = scanned(docs)
     with shuffles_removed(docs.sparkSession):
-        gone = durable(similar_texts(docs, similar).where("rid <> keep_rid").select(F.col("rid").alias("__gone")), "similar-gone")
-    numbered = docs.withColumn("__rid", F.monotonically_increasing_id())
-    return numbered.join(few(gone), F.col("__rid") == F.col("__gone"), "left_anti").drop("__rid")
+        told = durable(similar_texts(docs, similar).where("rid <> keep_rid").select("rid", F.col("keep_rid").alias("root")), "similar-told")
+        grouped = durable(told.unionByName(told.select(F.col("root").alias("rid"), "root").distinct()), "similar-grouped")
+        own = numbered(docs.select("doc_id"), "own_rid")
+        named = durable(own.join(few(grouped), F.col("own_rid") == F.col("rid")).select("rid", "root", "doc_id"), "similar-ids")
+        best = F.max(F.struct("doc_id", (-F.col("rid")).alias("late")))["late"]  # nulls sort first
+        stays = durable(named.groupBy(F.col("root").alias("s_root")).agg((-best).alias("stays")), "similar-stays")
+        gone = durable(named.join(stays, F.col("root") == F.col("s_root")).where("rid <> stays").select("rid"), "similar-gone")
+        discard(told, grouped, named, stays)
+    return without(docs, gone)
 
 
 def hexed(fp: str) -> Column:

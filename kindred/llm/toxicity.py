@@ -28,7 +28,7 @@ import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import batches_of, crc_mod, durable, few, labelled_sample, map_batches, py_crc_mod, scanned, trimmed
+from kindred.llm.common import batches_of, crc_mod, durable, labelled_sample, map_batches, py_crc_mod, numbered, scanned, trimmed, without
 
 #: A window has so many words and bytes at most.
 WORDS, BYTES = 4, 56
@@ -335,8 +335,7 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
             yield [(rid,) for rid, t in zip(b["rid"], toxic, strict=True) if t]
         trimmed()
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("text").cast("string").alias("text"))
+    rows = numbered(docs.select(F.col("text").cast("string").alias("text"))).select("rid", "text")
     with batches_of(docs.sparkSession, TEXTS):
-        gone = durable(map_batches(rows, "__gone long", run, rows=TEXTS), "toxicity-gone")
-    numbered = docs.withColumn("__rid", F.monotonically_increasing_id())
-    return numbered.join(few(gone), F.col("__rid") == F.col("__gone"), "left_anti").drop("__rid")
+        gone = durable(map_batches(rows, "rid long", run, rows=TEXTS), "toxicity-gone")
+    return without(docs, gone)
