@@ -173,11 +173,15 @@ def tested(s: str, at: int) -> list[dict]:
         got = battery(s[x:y])
         if got:
             out.append({"s": at + x, "e": at + y, "stratum": stratum(y - x), "bin": _bin(got[1])})
+    # Chosen parts are disjoint, so one can only overlap those that start next to it.
+    starts: list[int] = []
     chosen: list[dict] = []
     for c in sorted(out, key=lambda c: (c["bin"] > _bin(KEEP), c["s"] - c["e"], c["bin"], c["s"])):
-        if not any(c["s"] < d["e"] and d["s"] < c["e"] for d in chosen):
-            chosen.append(c)
-    return sorted(chosen, key=lambda c: c["s"])
+        k = bisect.bisect_left(starts, c["e"])
+        if k == 0 or chosen[k - 1]["e"] <= c["s"]:
+            starts.insert(k, c["s"])
+            chosen.insert(k, c)
+    return chosen
 
 
 def outside(start: int, end: int, known: list[tuple[int, int]]) -> list[tuple[int, int]]:
