@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 BOOST_FROM, SCALE, PREFIX = 0.7, 0.1, 4
 #: Characters that a mask of 64 bits holds; longer strings are compared one pair at a time.
@@ -56,7 +57,7 @@ def jaro_winkler(a: str, b: str) -> float:
 def _codes(strings: list[str], lengths: np.ndarray, width: int) -> np.ndarray:
     """Code points of each string in a row of `width`, filled up with what is no character."""
     out = np.full((len(strings), width), _NO_CHARACTER, np.uint32)
-    flat = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), "<u4")
+    flat = np.frombuffer("".join(strings).encode("utf-32-le"), "<u4")
     out[np.arange(width)[None, :] < lengths[:, None]] = flat
     return out
 
@@ -109,8 +110,9 @@ def of_pairs(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
     n = len(a)
     if not n:
         return np.zeros(0)
-    code, names = pd.factorize(np.concatenate([np.asarray(a, object), np.asarray(b, object)]))
-    pair, distinct = pd.factorize(code[:n].astype(np.int64) * len(names) + code[n:])
+    coded = pa.array([*a, *b], pa.large_string()).dictionary_encode()
+    code, names = np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_pylist()
+    pair, distinct = pd.factorize(code[:n] * len(names) + code[n:])
     one, two = np.divmod(distinct, len(names))
     length = np.fromiter(map(len, names), np.int64, len(names))
     out = np.where((one == two) & (length[one] > 0), 1.0, 0.0)

@@ -1,19 +1,39 @@
-"""Candidate pairs: equality keys, OR groups, numeric bands and array overlap, all as equi-joins.
+"""Candidate pairs: equality keys, OR groups, numeric bands, intervals, array overlap and similar names, all as equi-joins.
 
-Spark plans a lone disjunction as a nested loop. Here the condition is put in disjunctive form (one alternative for each
-choice from the OR groups), every alternative is an equi-join of ids on its keys, and the id pairs are made distinct
-before any feature is computed. Bands and arrays are exploded into keys on the side that needs it.
+Spark plans a lone disjunction as a nested loop. Here the alternatives of OR groups become a union of equi-joins. An alternative
+leaves out the pairs that an earlier one of its group has, so parts are disjoint and no pair has to be made distinct: bands,
+arrays and intervals that could meet more than once keep a pair at one key alone. Groups whose alternatives would
+multiply beyond ALTERNATIVES are checked on the joined pairs.
+
+A key with many records on both sides is cut into a grid of (part of A, part of B), so no task makes more than about
+`hot_pairs` pairs; how many pairs the keys will make is known, and can be refused, before any is made.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
+from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kindred.functions.jaro import BOOST_FROM, PREFIX, SCALE
+from kindred.functions.similarity import jw
+
+#: Equi-joins of the union at most; further OR groups are conditions on the pairs.
+ALTERNATIVES = 8
+#: Pairs of one key that a task makes at most, about, where hot keys are split.
+HOT_PAIRS = 10_000_000
+#: Tokens whose frequency orders the prefixes of similar names; all others count as rarer.
+ORDERED_TOKENS = 400
+
+
+class TooManyCandidates(ValueError):
+    """The blocking rules make more pairs than was allowed."""
+
 
 def or_groups(blocking: list[dict[str, Any]]) -> list[list[str]]:
     """Columns by OR group, explicit groups first; a rule without a group is a group of its own."""
@@ -48,20 +68,280 @@ def explode_keys(df: DataFrame, blocking: list[dict[str, Any]], is_a: bool) -> D
     return df
 
 
-def candidate_ids(a: DataFrame, b: DataFrame, blocking: list[dict[str, Any]], id_column: str, unordered: bool = False) -> DataFrame:
-    """Distinct ({id}_a, {id}_b) of the pairs that the rules allow. unordered: a and b are one table; keep id_a < id_b."""
+# --- rules: what each side carries, the keys it meets at, and whether a pair fits
+
+
+def _number(c: Column, kind: str) -> Column:
+    """Numbers as they are, dates in days, times in seconds."""
+    if kind == "date":
+        return F.datediff(c, F.lit("1970-01-01").cast("date")).cast("double")
+    return (c.cast("timestamp") if kind == "timestamp_ntz" else c).cast("double")
+
+
+@dataclass
+class Rule:
+    """One blocking rule. A side carries `value` as __a{k} or __b{k}; keys are made from it as __x{k} and __y{k}."""
+
+    spec: dict[str, Any]
+    k: int
+    kinds: tuple[str, str]
+
+    @property
+    def width(self) -> float:
+        return float(self.spec["range"])
+
+    def _exploded(self, side: str) -> bool:
+        return bool(self.spec.get("explode")) and self.spec.get("dataset", side) == side
+
+    def value(self, side: str) -> Column:
+        s = self.spec
+        if s.get("range") is not None:
+            return _number(F.col(s.get("derived_from", s["column_name"])), self.kinds["ab".index(side)])
+        if s.get("explode") and (s.get("expand_length") or not self._exploded(side)):
+            return F.col(s["derived_from"])
+        return F.col(s["column_name"])
+
+    def source(self, side: str) -> str:
+        s = self.spec
+        if s.get("explode") and (s.get("expand_length") or not self._exploded(side)) or s.get("range") is not None:
+            return s.get("derived_from", s["column_name"])
+        return s["column_name"]
+
+    def keyed(self, df: DataFrame, side: str) -> DataFrame:
+        """df with the key __x{k} (A) or __y{k} (B), a row for each key."""
+        x, key = F.col(f"__{side}{self.k}"), f"__{'x' if side == 'a' else 'y'}{self.k}"
+        if self.spec.get("range") is not None:
+            # Buckets are as wide as the whole interval, so A's interval meets two of them, and B stands in one.
+            wide = 2 * self.width
+            at = x / wide if wide else x
+            margin = F.greatest(F.lit(1.0), F.abs(at)) * 1e-9  # rounding
+            place = lambda c: F.floor(c).cast("long")
+            if not wide:
+                return df.withColumn(key, x)
+            if side == "b":
+                return df.withColumn(key, place(at))
+            return df.withColumn(key, F.explode(F.array_distinct(F.array(place(at - 0.5 - margin), place(at), place(at + 0.5 + margin)))))
+        if self._exploded(side):
+            if self.spec.get("expand_length"):
+                n = int(self.spec["expand_length"])
+                return df.withColumn(key, F.explode(F.sequence(x - n, x + n)))
+            return df.withColumn(key, F.explode(F.array_distinct(x)))
+        return df.withColumn(key, x)
+
+    def fits(self) -> Column:
+        """Whether a pair satisfies the rule; never null."""
+        a, b = F.col(f"__a{self.k}"), F.col(f"__b{self.k}")
+        s = self.spec
+        if s.get("range") is not None:
+            hit = F.abs(a - b) <= self.width
+        elif s.get("jaro_winkler") is not None:
+            return a.isNotNull() & b.isNotNull() & (jw(a, b) >= float(s["jaro_winkler"]))
+        elif s.get("expand_length") and s.get("explode"):
+            reach = int(s["expand_length"]) * (self._exploded("a") + self._exploded("b"))
+            hit = (F.abs(a - b) <= reach) & ((a - b) % 1 == 0)
+        elif s.get("explode"):
+            both = self._exploded("a") and self._exploded("b")
+            hit = F.arrays_overlap(a, b) if both else F.array_contains(a, b) if self._exploded("a") else F.array_contains(b, a)
+        else:
+            hit = a == b
+        return F.coalesce(hit, F.lit(False))
+
+    def once(self) -> Column | None:
+        """The condition that leaves a pair one of the keys it meets at; None where it meets at one only."""
+        a, b, key = F.col(f"__a{self.k}"), F.col(f"__b{self.k}"), F.col(f"__x{self.k}")
+        if self.spec.get("range") is not None:
+            return self.fits()
+        if self._exploded("a") and self._exploded("b"):
+            if n := self.spec.get("expand_length"):
+                return key == F.greatest(a - int(n), b - int(n))
+            return key == F.array_min(F.array_intersect(a, b))
+        return None
+
+
+def _rules(a: DataFrame, b: DataFrame, blocking: list[dict[str, Any]]) -> dict[str, Rule]:
+    out = {}
+    for k, spec in enumerate(blocking):
+        rule = Rule(spec, k, ("", ""))
+        if spec.get("range") is not None:
+            rule.kinds = (dict(a.dtypes)[rule.source("a")], dict(b.dtypes)[rule.source("b")])
+        out[spec["column_name"]] = rule
+    return out
+
+
+def alternatives(blocking: list[dict[str, Any]], limit: int = ALTERNATIVES) -> tuple[list[list[str]], list[list[str]], list[tuple[str, ...]]]:
+    """(groups that are joined on, groups that are checked, choices from the first): as many groups are joined on as `limit` allows."""
+    joined, checked, n = [], [], 1
+    for g in sorted(or_groups(blocking), key=len):
+        if not joined or n * len(g) <= limit:
+            joined.append(g)
+            n *= len(g)
+        else:
+            checked.append(g)
+    return joined, checked, list(itertools.product(*joined))
+
+
+@dataclass
+class _Part:
+    """One alternative: both sides with their keys, the names of these, and what its pairs have to satisfy."""
+
+    left: DataFrame
+    right: DataFrame
+    keys: list[int]
+    where: list[Column]
+
+
+def _parts(a: DataFrame, b: DataFrame, blocking: list[dict[str, Any]], id_column: str, limit: int) -> list[_Part]:
     if not blocking:
         raise ValueError("blocking needs a rule: without one every pair of records would be a candidate")
-    groups = or_groups(blocking)
-    by_name = {r["column_name"]: r for r in blocking}
+    rules = _rules(a, b, blocking)
+    joined, checked, choices = alternatives(blocking, limit)
+    left = a.select(F.col(id_column).alias("__id_a"), *[r.value("a").alias(f"__a{r.k}") for r in rules.values()])
+    right = b.select(F.col(id_column).alias("__id_b"), *[r.value("b").alias(f"__b{r.k}") for r in rules.values()])
     parts = []
-    for choice in itertools.product(*groups):
-        keys = list(dict.fromkeys(choice))
-        rules = [by_name[k] for k in keys]
-        left = explode_keys(a, rules, True).select(F.col(id_column).alias(f"{id_column}_a"), *keys)
-        right = explode_keys(b, rules, False).select(F.col(id_column).alias(f"{id_column}_b"), *keys)
-        pairs = left.join(right, keys, "inner").select(f"{id_column}_a", f"{id_column}_b")
-        parts.append(pairs.where(F.col(f"{id_column}_a") < F.col(f"{id_column}_b")) if unordered else pairs)
-    out = reduce(DataFrame.unionByName, parts)
-    unique = len(parts) == 1 and not any(r.get("explode") for r in blocking)
-    return out if unique else out.distinct()
+    for choice in choices:
+        own = [rules[c] for c in dict.fromkeys(choice)]
+        x, y, where = left, right, []
+        for r in own:
+            if r.spec.get("jaro_winkler") is not None:
+                alike = similar_values(a.select(r.value("a").alias("value")), b.select(r.value("b").alias("value")), float(r.spec["jaro_winkler"]))
+                x = x.join(alike.select(F.col("value_a").alias(f"__v{r.k}"), F.col("value_b").alias(f"__x{r.k}")), F.col(f"__a{r.k}") == F.col(f"__v{r.k}"))
+                y = y.withColumn(f"__y{r.k}", F.col(f"__b{r.k}"))
+                continue
+            x, y = r.keyed(x, "a"), r.keyed(y, "b")
+            if (once := r.once()) is not None:
+                where.append(once)
+        for g, c in zip(joined, choice, strict=True):
+            where += [~rules[n].fits() for n in g[: g.index(c)]]
+        for g in checked:
+            where.append(reduce(lambda p, q: p | q, [rules[n].fits() for n in g]))
+        parts.append(_Part(x, y, [r.k for r in own], where))
+    return parts
+
+
+def _weights(part: _Part) -> DataFrame:
+    """The part's keys (__k0, __k1, ...) that both sides have, with n_a and n_b."""
+    names = [f"__k{k}" for k in range(len(part.keys))]
+    one = part.left.groupBy(*[F.col(f"__x{k}").alias(n) for k, n in zip(part.keys, names)]).agg(F.count("*").alias("n_a"))
+    two = part.right.groupBy(*[F.col(f"__y{k}").alias(n) for k, n in zip(part.keys, names)]).agg(F.count("*").alias("n_b"))
+    return one.join(two, names)
+
+
+def expected_candidates(a: DataFrame, b: DataFrame, blocking: list[dict[str, Any]], id_column: str, limit: int = ALTERNATIVES) -> int:
+    """How many pairs the keys make, from the keys' frequencies alone; pairs of several alternatives count in each, those of one table both ways."""
+    counts = [_weights(p).agg(F.sum(F.col("n_a") * F.col("n_b")).alias("n")) for p in _parts(a, b, blocking, id_column, limit)]
+    return reduce(DataFrame.unionAll, counts).agg(F.sum("n")).first()[0] or 0
+
+
+def heaviest_keys(a: DataFrame, b: DataFrame, blocking: list[dict[str, Any]], id_column: str, k: int = 10, limit: int = ALTERNATIVES) -> DataFrame:
+    """alternative, key, n_a, n_b, pairs of the k keys that make the most pairs."""
+    found = []
+    for n, p in enumerate(_parts(a, b, blocking, id_column, limit)):
+        key = F.concat_ws(" | ", *[F.col(f"__k{i}").cast("string") for i in range(len(p.keys))])
+        found.append(_weights(p).select(F.lit(n).alias("alternative"), key.alias("key"), "n_a", "n_b", (F.col("n_a") * F.col("n_b")).alias("pairs")))
+    return reduce(DataFrame.unionByName, found).orderBy(F.desc("pairs"), "alternative", "key").limit(k)
+
+
+def _split(part: _Part, hot_pairs: int) -> _Part:
+    """The part with its hot keys cut into cells: i counts parts of A, j those of B."""
+    weights = _weights(part).where(F.col("n_a") * F.col("n_b") > hot_pairs)
+    side = F.lit(math.sqrt(hot_pairs))
+    grid = weights.select(*[f"__k{k}" for k in range(len(part.keys))], F.ceil(F.col("n_a") / side).cast("int").alias("__pa"), F.ceil(F.col("n_b") / side).cast("int").alias("__pb"))
+
+    def dealt(df: DataFrame, letter: str, own: str, other: str, id_column: str, mine: str, theirs: str) -> DataFrame:
+        on = [F.col(f"__{letter}{k}") == F.col(f"__k{n}") for n, k in enumerate(part.keys)]
+        met = df.join(grid, on, "left")
+        at = F.pmod(F.xxhash64(id_column), F.coalesce(own, F.lit(1))).cast("int")
+        return met.withColumn(mine, at).withColumn(theirs, F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))).drop("__pa", "__pb", *[f"__k{k}" for k in range(len(part.keys))])
+
+    left = dealt(part.left, "x", "__pa", "__pb", "__id_a", "__i", "__j")
+    right = dealt(part.right, "y", "__pb", "__pa", "__id_b", "__u", "__t")
+    return _Part(left, right, part.keys, part.where)
+
+
+def candidate_ids(
+    a: DataFrame, b: DataFrame, blocking: list[dict[str, Any]], id_column: str, unordered: bool = False, hot_pairs: int | None = None, max_candidates: int | None = None, limit: int = ALTERNATIVES,
+) -> DataFrame:
+    """({id}_a, {id}_b) of the pairs that the rules allow, each once; ids are unique in a and in b.
+
+    unordered: a and b are one table; keep id_a < id_b. hot_pairs: keys that make more pairs are cut into cells of about
+    so many. max_candidates: TooManyCandidates, with the heaviest keys, if the keys make more pairs; nothing is joined then.
+    """
+    parts = _parts(a, b, blocking, id_column, limit)
+    if max_candidates is not None:
+        n = expected_candidates(a, b, blocking, id_column, limit)
+        if n > max_candidates:
+            worst = "; ".join(f"{r['key']}: {r['n_a']} x {r['n_b']}" for r in heaviest_keys(a, b, blocking, id_column, 5, limit).collect())
+            raise TooManyCandidates(f"the blocking keys make {n} pairs, and {max_candidates} are allowed; the heaviest: {worst}")
+    found = []
+    for p in parts:
+        p = p if hot_pairs is None else _split(p, hot_pairs)
+        on = [F.col(f"__x{k}") == F.col(f"__y{k}") for k in p.keys]
+        if hot_pairs is not None:
+            on += [F.col("__i") == F.col("__t"), F.col("__j") == F.col("__u")]
+        met = p.left.join(p.right, on)
+        if unordered:
+            met = met.where(F.col("__id_a") < F.col("__id_b"))
+        met = reduce(DataFrame.where, p.where, met)
+        found.append(met.select(F.col("__id_a").alias(f"{id_column}_a"), F.col("__id_b").alias(f"{id_column}_b")))
+    return reduce(DataFrame.unionByName, found)
+
+
+# --- similar names
+
+
+def least_jaro(threshold: float, same: int) -> float:
+    """The Jaro similarity that a pair with `same` equal first characters needs for a Jaro-Winkler similarity of `threshold`."""
+    return min(threshold, max(BOOST_FROM, (threshold - SCALE * same) / (1 - SCALE * same)))
+
+
+def _tokens(value: Column) -> Column:
+    """Each character with how often it has occurred so far: common characters of two strings are common tokens."""
+    chars = F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.substring(value, i, F.lit(1)))
+    return F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x == c)).cast("string")))
+
+
+def similar_values(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+    """value_a, value_b: the distinct pairs of strings (column value) whose Jaro-Winkler similarity is `threshold` or more; exact.
+
+    With m common characters, Jaro is at most (m / |a| + m / |b| + 1) / 3, so a pair at j has m / |a| + m / |b| >= s with
+    s = 3 j - 1: lengths differ by the factor s - 1 at most, and a string of n characters shares (s - 1) n of its tokens with
+    any partner. So two strings share one of their first n - (s - 1) n + 1 tokens, in an order that starts with the rarest. The
+    prefix boost lowers j by the number of equal first characters; each number is a case of its own, whose keys
+    hold those characters.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("a threshold is over 0, and 1 at most")
+    needs = [3 * least_jaro(threshold, n) - 2 - 1e-9 for n in range(PREFIX + 1)]  # s - 1
+    one, two = (d.where(F.col("value").isNotNull() & (F.col("value") != "")).select(F.col("value").cast("string").alias("value")).distinct() for d in (a, b))
+    counts = one.unionAll(two).select(F.explode(_tokens(F.col("value"))).alias("t")).groupBy("t").count().orderBy(F.desc("count"), "t").limit(ORDERED_TOKENS)
+    often = [r["t"] for r in counts.collect()]
+    place = F.create_map(*[x for k, t in enumerate(often) for x in (F.lit(t), F.lit(len(often) - k))]) if often else F.create_map().cast("map<string,int>")
+    ordered = F.transform(F.array_sort(F.transform(_tokens(F.col("value")), lambda t: F.struct(F.coalesce(F.try_element_at(place, t), F.lit(0)).alias("r"), t.alias("t")))), lambda p: p["t"])
+
+    def headed(head: Column, tokens: Column) -> Column:
+        return F.transform(tokens, lambda t: F.concat(head, t))
+
+    def keyed(df: DataFrame, side: str) -> DataFrame:
+        n = F.length("value")
+        rows = df.withColumn("tokens", ordered)
+        cases = []
+        for same, need in enumerate(needs):
+            least = F.greatest(F.lit(1), F.ceil(F.lit(need) * n).cast("int"))
+            head = F.concat(F.lit(f"{same}|"), F.substring("value", 1, same), F.lit("|"))
+            cases.append(F.when(n >= same, headed(head, F.slice("tokens", F.lit(1), n - least + 1))).otherwise(F.array().cast("array<string>")))
+        return rows.select(F.col("value").alias(f"value_{side}"), F.flatten(F.array(*cases)).alias(f"keys_{side}")).withColumn(f"key_{side}", F.explode(f"keys_{side}"))
+
+    met = keyed(one, "a").join(keyed(two, "b"), F.col("key_a") == F.col("key_b"))
+    va, vb = F.col("value_a"), F.col("value_b")
+    same, factor = F.lit(0), F.lit(needs[0])
+    for n in range(1, PREFIX + 1):
+        equal = (F.length(va) >= n) & (F.length(vb) >= n) & (F.substring(va, 1, n) == F.substring(vb, 1, n))
+        same, factor = F.when(equal, n).otherwise(same), F.when(equal, needs[n]).otherwise(factor)
+    head = F.concat(same.cast("string"), F.lit("|"), F.substring(va, F.lit(1), same), F.lit("|"))
+    # Of the keys that a pair shares in its own case, the first makes the pair.
+    first = F.get(F.filter(F.array_intersect("keys_a", "keys_b"), lambda k: F.startswith(k, head)), F.lit(0))
+    lengths = F.least(F.length(va), F.length(vb)) >= factor * F.greatest(F.length(va), F.length(vb))
+    return met.where((F.col("key_a") == first) & lengths).select("value_a", "value_b").where(jw(va, vb) >= threshold)
+
+
+__all__ = ["TooManyCandidates", "alternatives", "candidate_ids", "expected_candidates", "explode_keys", "heaviest_keys", "or_groups", "similar_values", "universe"]

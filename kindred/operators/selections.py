@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,13 +19,30 @@ def bigrams(text: Column, pad: bool = True) -> Column:
     return F.when(F.length(s) > 1, F.sort_array(pairs)).otherwise(F.when(s.isNotNull(), F.array().cast("array<string>")))
 
 
+#: Min-hashes are (x * h + y) modulo this prime, with h from the first eight hex digits of a token's md5: any SQL engine can do the same.
+MINHASH_PRIME = 2**31 - 1
+
+
+def minhash_factors(number: int, seed: int = 445123) -> list[tuple[int, int]]:
+    """(x, y) of each hash function."""
+    digits = [hashlib.md5(f"{seed}:{k}".encode()).hexdigest() for k in range(number)]
+    return [(1 + int(d[:8], 16) % (MINHASH_PRIME - 1), int(d[8:16], 16) % MINHASH_PRIME) for d in digits]
+
+
 def minhash(tokens: Column, number: int, seed: int = 445123) -> Column:
     """`number` min-hashes of a set of tokens; without a fitted vocabulary, so hashes of both sides compare."""
+    hashes = F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("long") % MINHASH_PRIME)
+    factors = F.array(*[F.struct(F.lit(x).cast("long").alias("x"), F.lit(y).cast("long").alias("y")) for x, y in minhash_factors(number, seed)])
+    return F.transform(factors, lambda f: F.array_min(F.transform(hashes, lambda h: (f["x"] * h + f["y"]) % MINHASH_PRIME)))
+
 
-    def one(k: int) -> Column:
-        return F.array_min(F.transform(tokens, lambda t: F.xxhash64(t, F.lit(seed + k))))
+def bands(hashes: Column, rows: int) -> Column:
+    """A key for every `rows` min-hashes, of which two sets with similarity s share one with probability s^rows.
 
-    return F.array(*[one(k) for k in range(number)])
+    As a blocking column that is exploded, k bands find a pair with probability 1 - (1 - s^rows)^k.
+    """
+    starts = F.sequence(F.lit(1), F.size(hashes) - (rows - 1), F.lit(rows))
+    return F.transform(starts, lambda i: F.xxhash64(i, F.slice(hashes, i, F.lit(rows))))
 
 
 def popularity(df: DataFrame, output: str, columns: list[str] | None = None, range_column: str | None = None, reach: int | None = None) -> DataFrame:
@@ -72,6 +90,24 @@ def neighbour_values(df: DataFrame, value: str, output: str, neighbourhood: str,
     return df.join(around, F.col(neighbourhood).eqNullSafe(F.col("__nbhd")) & F.col(household).eqNullSafe(F.col("__hh")), "left").drop("__nbhd", "__hh")
 
 
+def neighbour_band(df: DataFrame, value: str, output: str, neighbourhood: str, number: str, household: str, person: str, reach: float) -> DataFrame:
+    """The values of the first person of every other household of the neighbourhood whose number is within `reach`, by number and household.
+
+    An interval join: households stand in buckets as wide as the whole interval, so each meets two buckets however wide it
+    is, and a large neighbourhood is spread over its buckets. Number is numeric or a date; a null number has no neighbours.
+    """
+    from kindred.operators.blocking import candidate_ids
+
+    first = df.groupBy(neighbourhood, household).agg(F.min_by(F.struct(F.col(value).alias("v"), F.col(number).alias("n")), person).alias("h"))
+    heads = first.select(F.col(neighbourhood).alias("__nbhd"), F.col(household).alias("__hh"), F.col("h.v").alias("__value"), F.col("h.n").alias("__number"), F.struct(neighbourhood, household).alias("__id"))
+    near = candidate_ids(heads, heads, [{"column_name": "__nbhd"}, {"column_name": "__number", "range": reach}], "__id").where("__id_a <> __id_b")
+    told = near.join(heads.select(F.col("__id").alias("__other"), "__number", "__value"), F.col("__id_b") == F.col("__other"))
+    listed = told.groupBy("__id_a").agg(F.array_sort(F.collect_list(F.struct("__number", "__other", "__value"))).alias("__list"))
+    around = listed.select(F.col(f"__id_a.{neighbourhood}").alias("__nbhd"), F.col(f"__id_a.{household}").alias("__hh"), F.transform("__list", lambda x: x["__value"]).alias(output))
+    out = df.join(around, (F.col(neighbourhood) == F.col("__nbhd")) & (F.col(household) == F.col("__hh")), "left").drop("__nbhd", "__hh")
+    return out.withColumn(output, F.coalesce(output, F.array().cast(dict(around.dtypes)[output])))
+
+
 def family_value(df: DataFrame, value: str, output: str, pointer: str, family: str, person: str) -> DataFrame:
     """The value of the family member that the pointer names; null for pointer 0 and for nobody."""
     members = df.select(F.col(family).alias("__family"), F.col(person).alias("__person"), F.col(value).alias("__value")).dropDuplicates(["__family", "__person"])
@@ -137,7 +173,8 @@ def _one(spark: SparkSession, df: DataFrame, spec: dict[str, Any], id_column: st
     if kind == "hash":
         tokens = F.col(_source(spec, is_a))
         kept = df.where(F.size(tokens) > 0)  # as documented, rows without tokens leave
-        return kept.withColumn(f"{out}_count", F.size(tokens)).withColumn(out, minhash(tokens, int(spec["number"])))
+        kept = kept.withColumn(f"{out}_count", F.size(tokens)).withColumn(out, minhash(tokens, int(spec["number"])))
+        return kept.withColumn(f"{out}_bands", bands(F.col(out), int(spec["rows_per_band"]))) if spec.get("rows_per_band") else kept
     if kind == "soundex":
         return df.withColumn(out, F.soundex(F.col(_source(spec, is_a))))
     if kind == "power":
@@ -146,6 +183,8 @@ def _one(spark: SparkSession, df: DataFrame, spec: dict[str, Any], id_column: st
         return popularity(df, out, spec.get("input_cols"), spec.get("range_col"), spec.get("range_val"))
     if kind == "attach_variable":
         return attach_variable_file(spark, df, spec)
+    if kind == "neighbor_aggregate" and spec.get("range_column"):
+        return neighbour_band(df, _source(spec, is_a), out, spec["neighborhood_column"], spec["range_column"], spec["sort_column"], spec.get("person_id", "pernum"), float(spec["range"]))
     if kind == "neighbor_aggregate":
         return neighbour_values(df, _source(spec, is_a), out, spec["neighborhood_column"], spec["sort_column"], spec.get("person_id", "pernum"), int(spec["range"]))
     if kind == "attach_family_col":

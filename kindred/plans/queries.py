@@ -18,7 +18,7 @@ from kindred.functions.features import build_feature
 from kindred.functions.transforms import apply_transform
 from kindred.functions.trees import tree_condition
 from kindred.operators import blocking, decide, households, ml, pairs, prepare, reports, selections
-from kindred.plans import name_queries
+from kindred.plans import block_queries, name_queries
 from kindred.plans.name_queries import jw_sql
 from kindred.sources import io
 
@@ -511,7 +511,11 @@ def feat_soundex(spark, sf_dir):
     return selections.select_features(spark, table(spark, sf_dir, "part"), [{"transform": "soundex", "input_column": "p_name", "output_column": "code"}], "p_partkey", True).select("p_partkey", "code")
 
 
-@query("feat_minhash")
+@query(
+    "feat_minhash",
+    "WITH g AS (SELECT p_partkey, list_transform(range(1, length(p_name) + 1), lambda i: lower(substr(' ' || p_name, CAST(i AS INTEGER), 1)) || ' ' || lower(substr(' ' || p_name, CAST(i AS INTEGER) + 1, 1))) AS t FROM part) "
+    f"SELECT p_partkey, CAST(len(t) AS INTEGER) AS hashes_count, array_to_string({block_queries.minhash_sql('t', 4)}, ',') AS hashes FROM g",
+)
 def feat_minhash(spark, sf_dir):
     specs = [{"transform": "bigrams", "input_column": "p_name", "output_column": "grams"}, {"transform": "hash", "input_column": "grams", "output_column": "hashes", "number": 4}]
     return selections.select_features(spark, table(spark, sf_dir, "part"), specs, "p_partkey", True).select("p_partkey", F.col("hashes_count"), F.array_join(F.transform("hashes", lambda x: x.cast("string")), ",").alias("hashes"))
@@ -824,12 +828,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES | name_queries.queries()
+    return _QUERIES | name_queries.queries() | block_queries.queries()
 
 
 @cache
 def _sql() -> dict[str, str]:
-    return _SQL | name_queries.oracle_sql()
+    return _SQL | name_queries.oracle_sql() | block_queries.oracle_sql()
 
 
 def oracle_sql() -> dict[str, str]:

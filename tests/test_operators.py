@@ -345,3 +345,122 @@ def test_files_in_and_out(spark, tmp_path):
     assert io.read_datasource(spark, {"file": str(tmp_path / "s.csv"), "convert_ints_to_longs": True}).dtypes[0] == ("id", "bigint")
     with pytest.raises(ValueError):
         io.datasource_path({"file": "x.txt"})
+
+
+# --- candidates
+
+
+def test_hot_keys_are_cut_and_limits_hold(spark):
+    a = spark.createDataFrame([(k, "hot" if k % 3 == 0 else f"k{k % 7}", None if k % 5 else k) for k in range(300)], "id int, k string, x int")
+    b = spark.createDataFrame([(k, "hot" if k % 3 == 0 else f"k{k % 7}", k) for k in range(90)], "id int, k string, x int")
+    rules = [{"column_name": "k"}]
+    want = sorted(map(tuple, blocking.candidate_ids(a, b, rules, "id").collect()))
+    split = blocking.candidate_ids(a, b, rules, "id", hot_pairs=50)
+    assert sorted(map(tuple, split.collect())) == want and len(set(want)) == len(want) > 3000
+    assert blocking.expected_candidates(a, b, rules, "id") == len(want)
+    assert [tuple(r) for r in blocking.heaviest_keys(a, b, rules, "id", 1).collect()] == [(0, "hot", 100, 30, 3000)]
+    with pytest.raises(blocking.TooManyCandidates, match="hot: 100 x 30"):
+        blocking.candidate_ids(a, b, rules, "id", max_candidates=len(want) - 1)
+    assert blocking.candidate_ids(a, b, rules, "id", max_candidates=len(want)).count() == len(want)
+    # No cell of the hot key makes more than about hot_pairs pairs.
+    part = blocking._split(blocking._parts(a, b, rules, "id", 8)[0], 50)
+    on = [F.col("__x0") == F.col("__y0"), F.col("__i") == F.col("__t"), F.col("__j") == F.col("__u")]
+    cells = part.left.join(part.right, on).where("__x0 = 'hot'").groupBy("__i", "__j").count().collect()
+    assert sum(r["count"] for r in cells) == 3000 and max(r["count"] for r in cells) <= 50 * 6
+
+
+def test_or_groups_are_disjoint(spark):
+    import itertools
+    import random
+
+    rng = random.Random(6)
+    cell = lambda n: None if rng.random() < 0.1 else rng.randrange(n)
+    names = [f"c{k}" for k in range(9)]
+    rows = lambda n: [(i, *[cell(6) for _ in names], [rng.randrange(12) for _ in range(rng.randrange(4))]) for i in range(n)]
+    ra, rb = rows(60), rows(50)
+    schema = "id int, " + ", ".join(f"{c} int" for c in names) + ", arr array<int>"
+    a, b = spark.createDataFrame(ra, schema), spark.createDataFrame(rb, schema)
+    groups = [names[:3], names[3:6], names[6:8]]
+    rules = [{"column_name": c, "or_group": str(k)} for k, g in enumerate(groups) for c in g] + [{"column_name": "arr", "explode": True, "or_group": "2"}]
+    eq = lambda x, y, c: x[1 + names.index(c)] is not None and x[1 + names.index(c)] == y[1 + names.index(c)]
+    want = sorted(
+        (x[0], y[0]) for x, y in itertools.product(ra, rb)
+        if any(eq(x, y, c) for c in groups[0]) and any(eq(x, y, c) for c in groups[1]) and (any(eq(x, y, c) for c in groups[2]) or set(x[-1]) & set(y[-1]))
+    )
+    for limit in (1, 8, 27):
+        found = blocking.candidate_ids(a, b, rules, "id", limit=limit)
+        assert sorted(map(tuple, found.collect())) == want
+        plan = found._jdf.queryExecution().toString()
+        assert "Aggregate" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert [len(blocking.alternatives(rules, k)[2]) for k in (1, 8, 27)] == [3, 3, 27]
+    band = [{"column_name": "w", "explode": True, "expand_length": 1, "derived_from": "c0"}]
+    want = sorted((x[0], y[0]) for x, y in itertools.product(ra, rb) if x[1] is not None and y[1] is not None and abs(x[1] - y[1]) <= 2)
+    assert sorted(map(tuple, blocking.candidate_ids(a, b, band, "id").collect())) == want  # both sides are expanded
+
+
+@pytest.mark.parametrize("width", [0, 0.1, 0.3, 7.25, 1e6])
+def test_intervals(spark, width):
+    values = [0.0, 0.1, 0.2, 0.3, 0.30000000000000004, -0.1, 1e9, -7.25, 7.25, 14.5, 3.5, None, float("nan"), float("inf"), -1e-300]
+    df = spark.createDataFrame(list(enumerate(values)), "id int, x double")
+    found = sorted(map(tuple, blocking.candidate_ids(df, df, [{"column_name": "x", "range": width}], "id").collect()))
+    known = [(i, x) for i, x in enumerate(values) if x is not None and x == x]
+    assert found == sorted((i, j) for i, x in known for j, y in known if abs(x - y) <= width)
+
+
+def test_intervals_of_dates_and_times(spark):
+    df = spark.sql("SELECT id, date_add(DATE '2020-02-20', CAST(id * 4 AS INT)) AS d, timestamp_seconds(id * 100) AS t, CAST(timestamp_seconds(id * 100) AS TIMESTAMP_NTZ) AS n FROM range(10)")
+    for column, width, reach in (("d", 9, 2), ("t", 250.5, 2), ("n", 100, 1)):
+        found = sorted(map(tuple, blocking.candidate_ids(df, df, [{"column_name": column, "range": width}], "id", unordered=True).collect()))
+        assert found == [(i, j) for i in range(10) for j in range(i + 1, min(10, i + reach + 1))]
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.75, 0.9, 1.0])
+def test_similar_values_are_all_pairs(spark, threshold):
+    import random
+
+    from kindred.functions.jaro import jaro_winkler
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdeé☃") for _ in range(rng.randrange(1, 12)))
+    a = [word() for _ in range(120)]
+    b = [word() for _ in range(60)] + [x[: rng.randrange(1, len(x) + 1)] + rng.choice(["", "a", "bc"]) for x in a] + ["", None]
+    frame = lambda v: spark.createDataFrame([(x,) for x in [*v, *v[:5]]], "value string")
+    pairs_found = blocking.similar_values(frame(a), frame(b), threshold)
+    found = [tuple(r) for r in pairs_found.collect()]
+    assert sorted(found) == sorted({(x, y) for x in a for y in b if y and jaro_winkler(x, y) >= threshold})
+    plan = pairs_found._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    with pytest.raises(ValueError):
+        blocking.similar_values(frame(a), frame(b), 0)
+
+
+def test_bands_find_similar_sets(spark):
+    import random
+
+    rng = random.Random(9)
+    sets = []
+    for k in range(150):
+        base = [f"t{rng.randrange(5000)}" for _ in range(20)]
+        sets += [(2 * k, base), (2 * k + 1, base[:17] + [f"u{k}{j}" for j in range(rng.randrange(4))])]  # 0.74 to 0.85
+    df = spark.createDataFrame(sets, "id int, t array<string>")
+    spec = {"transform": "hash", "input_column": "t", "output_column": "h", "number": 60, "rows_per_band": 3}
+    banded = selections.select_features(spark, df, [spec], "id", True)
+    found = {tuple(r) for r in blocking.candidate_ids(banded, banded, [{"column_name": "h_bands", "explode": True}], "id", unordered=True).collect()}
+    pairs_of = {(2 * k, 2 * k + 1) for k in range(150)}
+    assert len(pairs_of & found) >= 0.97 * len(pairs_of) and len(found - pairs_of) < 50
+
+
+def test_batch_kernel_is_the_loop():
+    import random
+
+    from kindred.functions import jaro
+
+    rng = random.Random(1)
+    word = lambda hi: "".join(rng.choice("abcdé☃👍 ") for _ in range(rng.randrange(hi)))
+    for hi in (5, 12, 40, 90):
+        a = [word(hi) for _ in range(3000)]
+        b = [word(hi) if k % 2 else x[::-1] if k % 3 else x + "a" for k, x in enumerate(a)]
+        assert jaro.of_pairs(a, b).tolist() == [jaro.jaro_winkler(x, y) for x, y in zip(a, b)]
+    assert jaro.of_pairs([], []).tolist() == [] and jaro.of_pairs(["a\0b"], ["a\0c"]).tolist() == [jaro.jaro_winkler("a\0b", "a\0c")]
+    scores, ends = jaro.of_lists([["a", "b"], [], ["c"]], [["a"], ["x"], []])
+    assert scores.tolist() == [1.0, 0.0] and ends.tolist() == [0, 2, 2, 2]
