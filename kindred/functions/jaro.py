@@ -11,6 +11,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BOOST_FROM, SCALE, PREFIX = 0.7, 0.1, 4
 #: Characters that a mask of 64 bits holds; longer strings are compared one pair at a time.
@@ -54,12 +55,11 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + SCALE * same * (1 - jaro)
 
 
-def _codes(strings: list[str], lengths: np.ndarray, width: int) -> np.ndarray:
+def _codes(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int) -> np.ndarray:
     """Code points of each string in a row of `width`, filled up with what is no character."""
-    out = np.full((len(strings), width), _NO_CHARACTER, np.uint32)
-    flat = np.frombuffer("".join(strings).encode("utf-32-le"), "<u4")
-    out[np.arange(width)[None, :] < lengths[:, None]] = flat
-    return out
+    at = np.arange(width)[None, :]
+    inside = at < lengths[:, None]
+    return np.where(inside, flat[np.where(inside, starts[:, None] + at, 0)], np.uint32(_NO_CHARACTER))
 
 
 def _class(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, swapped: np.ndarray) -> np.ndarray:
@@ -72,9 +72,7 @@ def _class(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, swapped
     for i in range(int(la.max())):
         at = a[:, i]
         low, high = np.maximum(i - reach, 0), np.minimum(lb - 1, i + reach)
-        equal = np.zeros(n, np.uint64)
-        for j in range(int(low.min()), int(high.max()) + 1):
-            equal |= (columns_b[j] == at).astype(np.uint64) << np.uint64(j)
+        equal = np.packbits(b == at[:, None], axis=1, bitorder="little").view(f"<u{b.shape[1] // 8}").ravel().astype(np.uint64)
         size = np.maximum(high - low + 1, 0).astype(np.uint64)
         window = np.where(size >= 64, ~np.uint64(0), (_ONE << np.minimum(size, np.uint64(63))) - _ONE) << low.astype(np.uint64)
         free = equal & window & ~taken
@@ -105,41 +103,40 @@ def _class(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, swapped
     return np.where(m == 0, 0.0, out)
 
 
-def of_pairs(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
-    """jaro_winkler of each pair of strings, bit by bit the same."""
+def of_arrays(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """jaro_winkler of each pair of two string arrays, bit by bit the same; null counts as empty."""
     n = len(a)
     if not n:
         return np.zeros(0)
-    coded = pa.array([*a, *b], pa.large_string()).dictionary_encode()
-    code, names = np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_pylist()
+    coded = pa.concat_arrays([x.cast(pa.large_string()).fill_null("") for x in (a, b)]).dictionary_encode()
+    code, names = np.asarray(coded.indices).astype(np.int64), coded.dictionary
     pair, distinct = pd.factorize(code[:n] * len(names) + code[n:])
     one, two = np.divmod(distinct, len(names))
-    length = np.fromiter(map(len, names), np.int64, len(names))
+    length = np.asarray(pc.utf8_length(names)).astype(np.int64)
+    starts = np.cumsum(length) - length
+    flat = np.frombuffer(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names), pa.scalar("", pa.large_string()))[0].as_py().encode("utf-32-le"), "<u4")
     out = np.where((one == two) & (length[one] > 0), 1.0, 0.0)
     kind = np.searchsorted(_CLASSES, length)
-    rows: list[np.ndarray] = []  # of each class, where its strings stand among the codes
-    codes = []
-    for c, width in enumerate(_CLASSES):
-        own = np.flatnonzero(kind == c)
-        place = np.zeros(len(names), np.int64)
-        place[own] = np.arange(len(own))
-        rows.append(place)
-        codes.append(_codes([names[k] for k in own.tolist()], length[own], width))
     swapped = length[one] > length[two]
     short, long = np.where(swapped, two, one), np.where(swapped, one, two)
     key = np.where((one == two) | (length[short] == 0), -1, kind[short] * 8 + kind[long])
     for k in np.unique(key[key >= 0]).tolist():
         todo = np.flatnonzero(key == k)
         if k % 8 == len(_CLASSES):
-            out[todo] = [jaro_winkler(names[x], names[y]) for x, y in zip(one[todo].tolist(), two[todo].tolist())]
+            out[todo] = [jaro_winkler(names[x].as_py(), names[y].as_py()) for x, y in zip(one[todo].tolist(), two[todo].tolist())]
             continue
         for at in range(0, len(todo), AT_ONCE):
             r = todo[at : at + AT_ONCE]
             x, y = short[r], long[r]
-            out[r] = _class(codes[k // 8][rows[k // 8][x]], codes[k % 8][rows[k % 8][y]], length[x], length[y], swapped[r])
+            out[r] = _class(_codes(flat, starts[x], length[x], _CLASSES[k // 8]), _codes(flat, starts[y], length[y], _CLASSES[k % 8]), length[x], length[y], swapped[r])
     return out[pair]
 
 
+def of_pairs(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    """of_arrays() of Python strings."""
+    return of_arrays(pa.array(a, pa.large_string()), pa.array(b, pa.large_string()))
+
+
 def of_lists(a: list[list[str]], b: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     """(similarities of every element of a[k] with every one of b[k], row by row; where each k begins, and the end)."""
     left = [x for p, q in zip(a, b, strict=True) for x in p for _ in q]

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-from kindred.functions.jaro import jaro_winkler, of_lists, of_pairs
+from kindred.functions.jaro import jaro_winkler, of_arrays, of_lists, of_pairs
 
 def _batched(f):
     """A vectorised UDF of doubles that Catalyst may not evaluate twice, as it does when it moves a filter on its result below it."""
@@ -19,9 +20,11 @@ def _series(values) -> pd.Series:
     return pd.Series(values, dtype="float64")
 
 
-@_batched
-def _jw(a: pd.Series, b: pd.Series) -> pd.Series:
-    return _series(of_pairs(a.fillna("").to_numpy(object), b.fillna("").to_numpy(object)))
+def _similarities(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array(of_arrays(a, b))
+
+
+_jw = F.arrow_udf(_similarities, DoubleType()).asNondeterministic()
 
 
 def jw(a: Column, b: Column) -> Column:
