@@ -11,7 +11,7 @@ go to reference shards by their anchor, and a shard holds about SHARD_WORDS word
 have more fragments than fit are dealt by whole windows instead.
 
 A task builds the suffix automaton of its shard, in which every state knows where its words occur first, and streams the
-fragments past it. The matching statistic of a position, followed up to the state of its last `width` words, tells whether
+fragments past it, but for those that are alone with their anchor. The matching statistic of a position, followed up to the state of its last `width` words, tells whether
 the fragment's own window is the first of its kind. Those windows are kept, and all other windows of repeated
 anchors are removed. A literal broadcast of all automata to all tasks would send a share of the corpus to each of them;
 here an automaton meets exactly the fragments that share an anchor with its shard. For a reference of a proven size, such as a
@@ -25,6 +25,7 @@ gives no rows; other columns are never read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -190,20 +191,28 @@ def _fragments(rows: DataFrame, width: int) -> DataFrame:
 
 
 def _kept_windows(shards: DataFrame, width: int) -> DataFrame:
-    """rid, start, bits: the windows, from `start` on, that are the first of their kind; rows of a shard stand together."""
+    """rid, start, bits: the windows, from `start` on, that are the first of their kind; rows of a shard and, in it, an anchor stand together.
+
+    A fragment that is alone with its anchor has no rivals, and neither has a window that was dealt as a whole.
+    """
 
     def run(parts):
         key, held = None, []
 
         def flush():
-            order = sorted({(i is None, i or 0, rid) for _, i, rid, _ in held})
+            alone, rivals = [], []
+            for _, same in groupby(held, key=lambda row: row[0]):
+                same = list(same)
+                (alone if len(same) == 1 or same[0][0] is None else rivals).extend(same)
+            order = sorted({(i is None, i or 0, rid) for _, _, i, rid, _ in rivals})
             rank = {x: k << PLACE for k, x in enumerate(order)}
-            own = [(body.encode().split(b" "), rank[(i is None, i or 0, rid)] + start) for body, i, rid, start in held]
-            return [(rid, start, bits) for (_, _, rid, start), bits in zip(held, first_windows(own, width), strict=True) if bits]
+            own = [(body.encode().split(b" "), rank[(i is None, i or 0, rid)] + start) for _, body, i, rid, start in rivals]
+            out = [(rid, start, bits) for (_, _, _, rid, start), bits in zip(rivals, first_windows(own, width), strict=True) if bits]
+            return out + [(rid, start, (1 << (body.count(" ") + 2 - width)) - 1) for _, body, _, rid, start in alone]
 
         for b in parts:
             out = []
-            for shard, *row in zip(b["shard"], b["body"], b["id"], b["rid"], b["start"], strict=True):
+            for shard, *row in zip(b["shard"], b["anchor"], b["body"], b["id"], b["rid"], b["start"], strict=True):
                 if shard != key:
                     if held:
                         out += flush()
@@ -213,7 +222,7 @@ def _kept_windows(shards: DataFrame, width: int) -> DataFrame:
         if held:
             yield flush()
 
-    return map_batches(shards.select("shard", "body", "id", "rid", "start"), "rid long, start int, bits long", run)
+    return map_batches(shards.select("shard", "anchor", "body", "id", "rid", "start"), "rid long, start int, bits long", run)
 
 
 def removed_words(n: int, found: list[dict], kept: list[dict], width: int) -> list[tuple[int, int]]:
@@ -258,7 +267,7 @@ def _repeats(docs: DataFrame, width: int, gram: int, hot: int) -> tuple[DataFram
     size = merged.agg(F.sum(F.length("body"))).first()[0] or 0
     shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (6 * SHARD_WORDS)))
     shard = F.pmod(F.when(F.col("anchor").isNull(), F.xxhash64("body")).otherwise(F.xxhash64("anchor")), F.lit(shards)).cast("int")
-    dealt = merged.withColumn("shard", shard).repartition(shards, "shard").sortWithinPartitions("shard")
+    dealt = merged.withColumn("shard", shard).repartition(shards, "shard").sortWithinPartitions("shard", "anchor")
     kept = _kept_windows(dealt, width).groupBy("rid").agg(F.collect_list(F.struct("start", "bits")).alias("kept"))
     kept = durable(kept, "substrings-kept")
     discard(merged)
