@@ -788,6 +788,45 @@ def ml_explore_grid(spark, sf_dir):
     return ml.summarize(ml.explore(_labelled(spark, sf_dir), _LABELS)).select("model", "alpha", "ratio", F.round("mcc_mean", 3).alias("mcc_mean"), F.round("pr_auc_mean", 3).alias("pr_auc_mean"))
 
 
+_FOLDS = f"(SELECT *, CAST(id_b % 4 AS INTEGER) AS fold, CAST(id_b % 3 = 0 AS INTEGER) AS y FROM {_SCORED})"
+
+
+def _folds(spark, sf_dir):
+    return _scored(spark, sf_dir).select("id_a", "id_b", "probability", (F.col("id_b") % 4).cast("int").alias("fold"), (F.col("id_b") % 3 == 0).cast("int").alias("y"))
+
+
+@query(
+    "ml_threshold_cells",
+    f"WITH r AS (SELECT *, rank() OVER w AS r, lead(probability) OVER w AS p2 FROM {_FOLDS} WINDOW w AS (PARTITION BY fold, id_a ORDER BY probability DESC, id_b)), "
+    "c AS (SELECT * FROM (VALUES (0.4), (0.6), (0.8)) a(alpha), (VALUES (1.0), (1.3)) b(ratio)), "
+    "p AS (SELECT fold, CAST(alpha AS DOUBLE) AS alpha, CAST(ratio AS DOUBLE) AS ratio, y = 1 AS y, r = 1 AND probability >= alpha AND coalesce(probability / nullif(p2, 0) > ratio, true) AS hit FROM r, c), "
+    "m AS (SELECT fold, alpha, ratio, count(*) FILTER (y AND hit) AS tp, count(*) FILTER (NOT y AND hit) AS fp, count(*) FILTER (y AND NOT hit) AS fn, count(*) FILTER (NOT y AND NOT hit) AS tn FROM p GROUP BY ALL) "
+    "SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END AS recall FROM m",
+)
+def ml_threshold_cells(spark, sf_dir):
+    """All folds and threshold cells, counted in one aggregation over the pairs."""
+    cells = spark.createDataFrame([(f, x, y) for f in range(4) for x in (0.4, 0.6, 0.8) for y in (1.0, 1.3)], "fold int, alpha double, ratio double")
+    return ml.threshold_metrics(_folds(spark, sf_dir), "y", cells, "drop_duplicate_with_threshold_ratio", "id").drop("f_measure", "mcc")
+
+
+@query(
+    "ml_pr_areas",
+    f"WITH g AS (SELECT fold, round(CAST(probability AS DECIMAL(9, 4)), 2) AS p, sum(y) AS pos, count(*) AS n FROM {_FOLDS} GROUP BY ALL), "
+    "c AS (SELECT fold, p, sum(pos) OVER w / sum(pos) OVER (PARTITION BY fold) AS r, sum(pos) OVER w / sum(n) OVER w AS pre FROM g WINDOW w AS (PARTITION BY fold ORDER BY p DESC)), "
+    "l AS (SELECT *, lag(r, 1, 0) OVER w AS r0, lag(pre, 1, 1) OVER w AS pre0 FROM c WINDOW w AS (PARTITION BY fold ORDER BY p DESC)) "
+    "SELECT fold, round(sum((r - r0) * (pre + pre0) / 2), 9) AS pr_auc FROM l GROUP BY fold",
+)
+def ml_pr_areas(spark, sf_dir):
+    return ml.pr_areas(_folds(spark, sf_dir), "y", "fold").withColumn("pr_auc", F.round("pr_auc", 9))
+
+
+@query("ml_importances_boosted")
+def ml_importances_boosted(spark, sf_dir):
+    """Split counts and gains of a boosted model, by feature."""
+    model = {"type": "gradient_boosted_trees", "maxIter": 5, "maxDepth": 3}
+    return ml.train(_labelled(spark, sf_dir), _LABELS, model=model).importances(spark)
+
+
 @query("ml_importances")
 def ml_importances(spark, sf_dir):
     return ml.train(_labelled(spark, sf_dir), _LABELS).importances(spark)

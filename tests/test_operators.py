@@ -464,3 +464,55 @@ def test_batch_kernel_is_the_loop():
     assert jaro.of_pairs([], []).tolist() == [] and jaro.of_pairs(["a\0b"], ["a\0c"]).tolist() == [jaro.jaro_winkler("a\0b", "a\0c")]
     scores, ends = jaro.of_lists([["a", "b"], [], ["c"]], [["a"], ["x"], []])
     assert scores.tolist() == [1.0, 0.0] and ends.tolist() == [0, 2, 2, 2]
+
+
+# --- exploration and boosted trees
+
+
+def test_threshold_cells_are_those_of_decisions(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(rng.randrange(30), k, rng.choice([0.0, 0.3, 0.5, 0.55, 0.8, rng.random()]), rng.choice([0, 1, None]), k % 3) for k in range(300)]
+    df = spark.createDataFrame(rows, "id_a int, id_b int, probability double, y int, fold int")
+    cells = [(f, x, y) for f in range(3) for x in (0.5, 0.8, 0.2) for y in (1.0, 1.4)]
+    for decision in (None, "drop_duplicate_a", "drop_duplicate_with_threshold_ratio"):
+        found = ml.threshold_metrics(df, "y", spark.createDataFrame(cells, "fold int, alpha double, ratio double"), decision, "id")
+        got = {(r["fold"], r["alpha"], r["ratio"]): (r["tp"], r["fp"], r["fn"], r["tn"]) for r in found.collect()}
+        for f, x, y in cells:
+            own = decide.decide(df.where(F.col("fold") == f).fillna(0, ["y"]), decision, x, y, "id")
+            assert got[f, x, y] == tuple(ml.confusion(own, "y").first())
+
+
+def test_exploration_takes_as_many_jobs_for_many_cells(spark):
+    import random
+
+    rng = random.Random(4)
+    data = spark.createDataFrame([(k // 3, k, float(k % 7 == 0) * 0.8 + rng.random(), k % 7 == 0) for k in range(210)], "id_a int, id_b int, x double, y boolean").withColumn("y", F.col("y").cast("int"))
+
+    def jobs(thresholds):
+        conf = {"id_column": "id", "comparison_features": [{"alias": "x"}], "training": {"dependent_var": "y", "independent_vars": ["x"], "n_training_iterations": 3, "threshold": thresholds, "threshold_ratio": [1.0, 1.2], "model_parameters": [{"type": "decision_tree", "maxDepth": 2}, {"type": "decision_tree", "maxDepth": 1}]}}
+        before = last_job()
+        rows = ml.explore(data, conf, parallel=1).collect()
+        assert len(rows) == 3 * 2 * len(thresholds)
+        return rows, last_job() - before
+
+    def last_job():
+        """The number of the job that this starts."""
+        return max(spark.sparkContext.statusTracker().getJobIdsForGroup(None) or [0]) if spark.range(1).count() else 0
+
+    (few, n_few), (many, n_many) = jobs([0.5, 0.8]), jobs([0.1 * k for k in range(1, 10)] + [0.55])
+    assert abs(n_few - n_many) <= 5  # adaptive execution may run a stage as a job of its own
+    pick = lambda rows: {(r["fold"], r["alpha"], r["ratio"]): tuple(r)[5:] for r in rows if r["alpha"] in (0.5, 0.8)}
+    assert pick(few) == pick(many) and len(pick(few)) == 12
+
+
+def test_boosted_importances_count_splits(spark):
+    data = spark.createDataFrame([(k, k, float(k % 10), float(k % 7), float(k % 10 > 4 and k % 7 > 2)) for k in range(300)], "id_a int, id_b int, u double, v double, y double")
+    conf = {"id_column": "id", "comparison_features": [{"alias": "u"}, {"alias": "v"}], "training": {"dependent_var": "y", "independent_vars": ["u", "v"], "chosen_model": {"type": "gradient_boosted_trees", "maxIter": 4, "maxDepth": 3}}}
+    model = ml.train(data, conf)
+    found = {r["feature"]: r for r in model.importances(spark).collect()}
+    trees = [t.toDebugString for t in model.fitted.stages[-1].trees]
+    for slot, name in enumerate(("u", "v")):
+        assert found[name]["weight"] == sum(t.count(f"If (feature {slot} ") for t in trees) > 0
+        assert found[name]["gain"] > 0 and found[name]["coefficient_or_importance"] > 0
