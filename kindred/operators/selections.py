@@ -136,6 +136,69 @@ def related_rows(df: DataFrame, columns: list[str], output: str, family: str, pe
     return df.join(members, F.col(family) == F.col("__family"), "left").withColumn(output, F.coalesce(rows, F.array().cast(kind))).drop("__family", "__members")
 
 
+#: Members of a family that its one grouped row holds; families with more are looked up by joins.
+LARGEST_FAMILY = 1000
+#: Selections that look at a person's family, and the keys of their specifications that name columns of its members.
+FAMILY = ("attach_family_col", "related_individuals", "related_individual_rows")
+
+
+def family_selections(df: DataFrame, specs: list[dict[str, Any]], id_column: str, is_a: bool, largest: int = LARGEST_FAMILY) -> DataFrame:
+    """Several selections of FAMILY kinds over one family column, from one grouping: records are shuffled once.
+
+    A family's records meet in one row, as an array; each is then taken out of it beside the array, from which all
+    selections are read. Records without a family, and those of families with more than `largest` records, which no row should
+    hold, go the way of one join for each selection.
+    """
+    (family,) = {s["family_id"] for s in specs}
+    sizes = df.groupBy(F.col(family).alias("__f")).agg(F.count("*").alias("__n")).where((F.col("__n") > largest) | F.col("__f").isNull())
+    apart = [r["__f"] for r in sizes.limit(LARGEST_FAMILY + 1).collect()]
+    if len(apart) > LARGEST_FAMILY:
+        return _one_by_one(df, specs, id_column, is_a)
+    known = [x for x in apart if x is not None]
+    alone = F.col(family).isNull() | (F.col(family).isin(known) if known else F.lit(False))
+    own = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    grouped = (df.where(~alone) if apart else df).groupBy(F.col(family).alias("__family")).agg(F.collect_list(own).alias("__members"))
+    each = grouped.select("__members", F.explode("__members").alias("__me")).select("__members", "__me.*")
+    out = each
+    for s in specs:
+        out = out.withColumn(_target(s), _from_members(df, s, id_column, is_a))
+    out = out.drop("__members")
+    return out.unionByName(_one_by_one(df.where(alone), specs, id_column, is_a).select(*out.columns)) if apart else out
+
+
+def _from_members(df: DataFrame, spec: dict[str, Any], id_column: str, is_a: bool) -> Column:
+    """A selection's value for the record in the columns, from the array of its family."""
+    kind, members = spec["transform"], F.col("__members")
+    if kind == "attach_family_col":
+        pointer, person, value = spec["person_pointer"], spec["person_id"], _source(spec, is_a)
+        found = F.filter(members, lambda m: (m[person] == F.col(pointer)) & (F.col(pointer) != 0))
+        return F.get(F.transform(found, lambda m: m[value]), F.lit(0))
+    if kind == "related_individuals":
+        value, relate = _source(spec, is_a), spec["relate_col"]
+        fit = F.filter(members, lambda m: m[relate].between(int(spec["bottom_code"]), int(spec["top_code"])) & m[value].isNotNull())
+        # As in related_values(): null where nobody of the family, the record itself included, has such a code.
+        others = F.array_sort(F.array_distinct(F.transform(F.filter(fit, lambda m: m[id_column] != F.col(id_column)), lambda m: m[value])))
+        return F.when(F.size(fit) > 0, others)
+    person, columns = spec["person_id"], spec["input_cols"]
+    keep = [f for f in spec.get("filter_cols", []) if f.get("dataset", "a" if is_a else "b") == ("a" if is_a else "b")]
+    kept = members
+    for f in keep:
+        kept = _between(kept, f)
+    rows = F.array_sort(F.transform(kept, lambda m: F.struct(m[person].alias("__p"), F.struct(*[m[c].alias(c) for c in columns]).alias("__row"))))
+    kind = "array<struct<" + ",".join(f"{n}:{t}" for n, t in df.select(*columns).dtypes) + ">>"
+    return F.transform(F.filter(rows, lambda m: m["__p"] != F.col(person)), lambda m: m["__row"]).cast(kind)
+
+
+def _between(members: Column, f: dict[str, Any]) -> Column:
+    return F.filter(members, lambda m: m[f["column"]].between(f["min"], f["max"]))
+
+
+def _one_by_one(df: DataFrame, specs: list[dict[str, Any]], id_column: str, is_a: bool) -> DataFrame:
+    for s in specs:
+        df = _one(df.sparkSession, df, s, id_column, is_a)
+    return df
+
+
 def _source(spec: dict[str, Any], is_a: bool) -> str:
     name = spec.get("input_column") or spec.get("input_col")
     return spec.get("override_column_a" if is_a else "override_column_b") or name
@@ -150,13 +213,32 @@ def select_features(spark: SparkSession, df: DataFrame, specs: list[dict[str, An
     household = ("neighbor_aggregate", "attach_family_col", "related_individual_rows")
     live = [s for s in specs if not s.get("skip")]
     rank = lambda s: 2 if s.get("post_agg_feature") else 1 if s["transform"] in household else 0
-    for spec in sorted(live, key=rank):
-        df = _one(spark, df, spec, id_column, is_a)
-        if spec.get("checkpoint"):
-            df = df.checkpoint()
+    todo = sorted(live, key=rank)
+    while todo:
+        together = _together(todo, is_a)
+        if len(together) > 1:
+            df = family_selections(df, together, id_column, is_a)
+        else:
+            df = _one(spark, df, todo[0], id_column, is_a)
+            if todo[0].get("checkpoint"):
+                df = df.checkpoint()
+        todo = todo[len(together) :]
     return df
 
 
+def _together(specs: list[dict[str, Any]], is_a: bool) -> list[dict[str, Any]]:
+    """The first selection, and those after it that look at the same families and at no result of one before."""
+    out: list[dict[str, Any]] = []
+    for s in specs:
+        plain = s["transform"] in FAMILY and not s.get("checkpoint") and s.get("set_value_column_a" if is_a else "set_value_column_b") is None
+        made = {_target(x) for x in out}
+        reads = {str(v) for v in s.values()} | set(s.get("input_cols", [])) | {f["column"] for f in s.get("filter_cols", [])}
+        if not plain or (out and (s["family_id"] != out[0]["family_id"] or reads & made)):
+            break
+        out.append(s)
+    return out or specs[:1]
+
+
 def _one(spark: SparkSession, df: DataFrame, spec: dict[str, Any], id_column: str, is_a: bool) -> DataFrame:
     kind, out = spec["transform"], _target(spec)
     constant = spec.get("set_value_column_a" if is_a else "set_value_column_b")

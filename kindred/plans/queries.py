@@ -521,6 +521,32 @@ def feat_minhash(spark, sf_dir):
     return selections.select_features(spark, table(spark, sf_dir, "part"), specs, "p_partkey", True).select("p_partkey", F.col("hashes_count"), F.array_join(F.transform("hashes", lambda x: x.cast("string")), ",").alias("hashes"))
 
 
+_KIN = [
+    {"transform": "attach_family_col", "input_column": "name", "output_column": "mother", "person_pointer": "momloc", "family_id": "serialp", "person_id": "pernum"},
+    {"transform": "attach_family_col", "input_column": "district", "output_column": "mother_district", "person_pointer": "momloc", "family_id": "serialp", "person_id": "pernum"},
+    {"transform": "related_individuals", "input_column": "name", "output_column": "kin", "family_id": "serialp", "relate_col": "relate", "bottom_code": 20, "top_code": 40},
+    {"transform": "related_individuals", "input_column": "district", "output_column": "elders", "family_id": "serialp", "relate_col": "relate", "bottom_code": 41, "top_code": 50},
+    {"transform": "related_individual_rows", "input_cols": ["name", "relate"], "output_column": "rows", "family_id": "serialp", "person_id": "pernum", "filter_cols": [{"column": "relate", "min": 10, "max": 45}, {"column": "momloc", "min": 1, "max": 4}]},
+]
+
+
+@query(
+    "fam_five_selections",
+    f"WITH p AS MATERIALIZED {_PERSONS}, k AS (SELECT a.serialp, a.pernum, array_to_string(list_sort(list_distinct(list(b.name) FILTER (b.pernum <> a.pernum AND b.relate BETWEEN 20 AND 40))), ',') AS kin, "
+    "array_to_string(list_sort(list_distinct(list(b.district) FILTER (b.pernum <> a.pernum AND b.relate BETWEEN 41 AND 50))), ',') AS elders, "
+    "string_agg(b.name || ':' || b.relate, ',' ORDER BY b.pernum) FILTER (b.pernum <> a.pernum AND b.relate BETWEEN 10 AND 45 AND b.momloc BETWEEN 1 AND 4) AS kinrows FROM p a JOIN p b ON a.serialp = b.serialp GROUP BY ALL) "
+    "SELECT p.serialp, p.pernum, m.name AS mother, m.district AS mother_district, coalesce(kin, '') AS kin, coalesce(elders, '') AS elders, coalesce(kinrows, '') AS kinrows "
+    "FROM p JOIN k USING (serialp, pernum) LEFT JOIN p m ON m.serialp = p.serialp AND m.pernum = p.momloc AND p.momloc <> 0",
+)
+def fam_five_selections(spark, sf_dir):
+    """Five selections over families, read from one grouping."""
+    p = _persons(spark, sf_dir).withColumn("id", F.concat_ws("-", "serialp", "pernum"))
+    out = selections.select_features(spark, p, _KIN, "id", True)
+    text = lambda c: F.coalesce(F.array_join(F.transform(c, lambda x: x.cast("string")), ","), F.lit(""))
+    rows = F.array_join(F.transform("rows", lambda x: F.concat(x["name"].cast("string"), F.lit(":"), x["relate"].cast("string"))), ",")
+    return out.select("serialp", "pernum", "mother", "mother_district", text("kin").alias("kin"), text("elders").alias("elders"), rows.alias("kinrows"))
+
+
 # --- substitutions and lookups
 
 _PAIRS = [("small", "little"), ("red", "crimson"), ("large", "big"), ("blue", "azure")]

@@ -516,3 +516,31 @@ def test_boosted_importances_count_splits(spark):
     for slot, name in enumerate(("u", "v")):
         assert found[name]["weight"] == sum(t.count(f"If (feature {slot} ") for t in trees) > 0
         assert found[name]["gain"] > 0 and found[name]["coefficient_or_importance"] > 0
+
+
+# --- families
+
+
+def test_family_selections_take_one_exchange(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [(k, None if k % 40 == 0 else k // 5 if k < 150 else 1000, k % 5 + 1 if k < 150 else k, rng.choice([None, 0, 1, 2, 3]), rng.randrange(300, 320), rng.choice([None, "x", "y", "z"])) for k in range(200)]
+    df = spark.createDataFrame(rows, "id int, fam int, person int, mom int, relate int, name string")
+    rel = {"family_id": "fam", "person_id": "person"}
+    specs = [
+        {"transform": "attach_family_col", "input_column": "name", "output_column": "m", "person_pointer": "mom", **rel}, {"transform": "attach_family_col", "input_column": "relate", "output_column": "mr", "person_pointer": "mom", **rel},
+        {"transform": "related_individuals", "input_column": "name", "output_column": "k1", "relate_col": "relate", "bottom_code": 300, "top_code": 309, **rel}, {"transform": "related_individuals", "input_column": "name", "output_column": "k2", "relate_col": "relate", "bottom_code": 310, "top_code": 330, **rel},
+        {"transform": "related_individual_rows", "input_cols": ["name", "relate"], "output_column": "r", "filter_cols": [{"column": "relate", "min": 303, "max": 315}], **rel},
+    ]
+    tidy = lambda d: sorted(map(repr, d.select("id", "m", "mr", "k1", "k2", "r").collect()))
+    want = tidy(selections._one_by_one(df, specs, "id", True))
+    assert tidy(selections.select_features(spark, df, specs, "id", True)) == want
+    assert tidy(selections.family_selections(df, specs, "id", True, largest=4)) == want  # all families apart
+    assert tidy(selections.family_selections(df, specs, "id", True, largest=10)) == want  # the large one apart
+    whole = df.where("fam IS NOT NULL AND fam < 1000")
+    plan = selections.select_features(spark, whole, specs, "id", True)._jdf.queryExecution().sparkPlan().toString()
+    physical = selections.select_features(spark, whole, specs, "id", True)._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("Exchange") == 1 and "Join" not in plan
+    later = {"transform": "related_individuals", "input_column": "m", "output_column": "k3", "relate_col": "relate", "bottom_code": 300, "top_code": 330, **rel}
+    assert len(selections._together([specs[0], later], True)) == 1  # it reads what the first one makes
