@@ -17,18 +17,20 @@ Defined results: nulls are a value of their own ("?") in every margin; empty tex
 from __future__ import annotations
 
 import logging
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import WORD, discard, durable, unit_hash
+from kindred.llm.common import WORD, discard, durable, unit_hash, unused
 
 log = logging.getLogger(__name__)
 
 TEMPER = 0.7
 KEEP_SHARE = 0.9
 TOLERANCE = 1e-9
-MAX_ROUNDS = 40
+#: Raking ends unmet where SPAN rounds have not brought the largest miss below this part of what it was.
+STALLED, SPAN = 0.9, 10
 MARGINS = ("source", "lang", "topic")
 #: What a document is about is told from its make-up, in order of precedence: (topic, signs counted, percent of all characters).
 SIGNS = (("markup", "{}()[]<>=;#*$%&|~^", 3), ("figures", "0123456789", 5), ("capitals", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", 40))
@@ -41,11 +43,11 @@ def topic_of(text: Column) -> Column:
     Other topics, as those of a classifier, are a column: see `topic` of mix().
     """
     n = F.length(text)
-    count = lambda signs: n - F.length(F.translate(text, signs, ""))
-    lines = count("\n") + 1
+    number = lambda signs: n - F.length(F.translate(text, signs, ""))
+    lines = number("\n") + 1
     out = F.when(n == 0, "empty")
     for name, signs, percent in SIGNS:
-        out = out.when(count(signs) * 100 >= n * percent, name)
+        out = out.when(number(signs) * 100 >= n * percent, name)
     return out.when((lines >= LIST_LINES) & (n < lines * LIST_CHARS), "lists").when(n < LONG_CHARS, "notes").otherwise("prose")
 
 
@@ -72,8 +74,12 @@ def tempered(cells: DataFrame, margin: str, temper: float) -> DataFrame:
     return sums.select("value", (F.col("s") / F.lit(total)).alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, rounds: int = MAX_ROUNDS) -> DataFrame:
-    """cells (margins, w) with x: weights that meet all target shares; where no weights can, as nearly as `rounds` rounds bring them, with a warning."""
+def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE) -> DataFrame:
+    """cells (margins, w) with x, weights that meet all target shares, and off, by which factor the cell's margins missed them before the last round.
+
+    Rounds go on until no margin is off by more than `tolerance`. Where the targets contradict the cells that are there, no
+    weights can meet them: raking ends when it makes no more headway, and `off` says by how much which cells miss.
+    """
     total = cells.agg(F.sum("w")).first()[0] or 0.0
     # Cells carry their goals, so a round has one join a margin; cells without a goal are left out.
     aimed = cells.withColumn("x", F.col("w")).withColumn("off", F.lit(0.0))
@@ -81,9 +87,9 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
         goal = t.select(F.col("value").alias("g_value"), (F.col("share") * F.lit(float(total))).alias(f"goal_{m}"))
         aimed = aimed.join(goal, F.col(m) == F.col("g_value")).drop("g_value")
     goals = [f"goal_{m}" for m in MARGINS]
-    off = 0.0
+    history: list[float] = []
     now = durable(aimed, "mix-0")
-    for k in range(1, rounds + 1):
+    for k in count(1):
         step = now.withColumn("off", F.lit(0.0))
         for m in MARGINS:
             sums = step.groupBy(F.col(m).alias("g_value")).agg(F.sum("x").alias("had"))
@@ -93,12 +99,13 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
             )
         before, now = now, durable(step, f"mix-{k}")
         discard(before)
-        off = now.agg(F.max("off")).first()[0] or 0.0
-        if off <= tolerance:
+        history.append(now.agg(F.max("off")).first()[0] or 0.0)
+        if history[-1] <= tolerance:
+            break
+        if k > 2 * SPAN and history[-1] > STALLED * history[-1 - SPAN]:
+            log.warning("after %d rounds a margin is off by the factor %.2g: its targets contradict the cells that are there", k, history[-1])
             break
-    else:
-        log.warning("after %d rounds a margin is off by the factor %.2g: its targets contradict the cells that are there", rounds, off)
-    return now.select(*MARGINS, "w", "x")
+    return now.select(*MARGINS, "w", "x", "off")
 
 
 def draw_rate(cells: DataFrame, keep_share: float, steps: int = 60) -> float:
@@ -127,37 +134,40 @@ def fit_cells(rows: DataFrame, targets: dict[str, DataFrame] | None = None, keep
 
 
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep_share: float = KEEP_SHARE, temper: float = TEMPER, topic: str | None = None) -> DataFrame:
-    """doc_id, source, lang, topic, tokens, ratio, p, sample_weight, sampled for each row of docs.
+    """doc_id, source, lang, topic, tokens, ratio, p, sample_weight, sampled, margin_error for each row of docs.
 
+    margin_error: by which factor a margin of the row's cell misses its target; 0 but for TOLERANCE unless targets contradict each other.
     Texts are read once: their topics and token counts are written out, for the cells and for the result.
     """
     rows = durable(weighed(docs, topic), "mix-rows")
     raked, c = fit_cells(rows, targets, keep_share, temper)
-    fit = raked.select(*[F.col(m).alias(f"c_{m}") for m in MARGINS], "ratio")
+    fit = raked.select(*[F.col(m).alias(f"c_{m}") for m in MARGINS], "ratio", "off")
     on = [F.col(m) == F.col(f"c_{m}") for m in MARGINS]
     ratio = F.coalesce("ratio", F.lit(1.0))
     p = F.least(F.lit(1.0), F.lit(c) * F.col("ratio"))
-    joined = rows.join(fit, on, "left").select("doc_id", *MARGINS, "tokens", ratio.alias("ratio"))
+    joined = rows.join(fit, on, "left").select("doc_id", *MARGINS, "tokens", ratio.alias("ratio"), F.coalesce("off", F.lit(0.0)).alias("margin_error"))
     return joined.withColumn("p", p).select(
         "doc_id", *MARGINS, "tokens", "ratio", "p",
         F.when(F.col("p") > 0, F.col("ratio") / F.col("p")).alias("sample_weight"),
-        (unit_hash(F.col("doc_id"), "mix") < F.col("p")).alias("sampled"),
+        (unit_hash(F.col("doc_id"), "mix") < F.col("p")).alias("sampled"), "margin_error",
     )
 
 
 def keep_sampled(docs: DataFrame, topic: str | None = None, **kw) -> DataFrame:
     """The drawn rows of docs, with its columns. Cells, not documents, carry the probability, so no text is shuffled."""
     raked, c = fit_cells(weighed(docs, topic), **kw)
-    p = raked.select(*[F.col(m).alias(f"__c_{m}") for m in MARGINS], F.least(F.lit(1.0), F.lit(c) * F.col("ratio")).alias("__p"))
-    names = {m: f"__{m}" for m in MARGINS}
+    names = {m: unused(docs.columns, f"__{m}") for m in MARGINS}
+    fit = {m: unused(docs.columns, f"__c_{m}") for m in MARGINS}
+    rate = unused(docs.columns, "__p")
+    p = raked.select(*[F.col(m).alias(fit[m]) for m in MARGINS], F.least(F.lit(1.0), F.lit(c) * F.col("ratio")).alias(rate))
     own = docs
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     for m in ("source", "lang"):
         own = own.withColumn(names[m], F.coalesce(F.col(m).cast("string"), F.lit("?")))
-    own = own.withColumn("__topic", _topic(text, topic))
-    met = own.join(p, [F.col(names[m]) == F.col(f"__c_{m}") for m in MARGINS], "left")
+    own = own.withColumn(names["topic"], _topic(text, topic))
+    met = own.join(p, [F.col(names[m]) == F.col(fit[m]) for m in MARGINS], "left")
     # Cells of empty texts only have ratio 1.
-    return met.where(unit_hash(F.col("doc_id"), "mix") < F.coalesce("__p", F.lit(min(1.0, c)))).select(*[F.col(f"`{name}`") for name in docs.columns])
+    return met.where(unit_hash(F.col("doc_id"), "mix") < F.coalesce(rate, F.lit(min(1.0, c)))).select(*[F.col(f"`{name}`") for name in docs.columns])
 
 
 def mix_sql(rounds: int = 25, newton: int = 12, keep_share: float = KEEP_SHARE, temper: float = TEMPER) -> str:
@@ -179,9 +189,10 @@ def mix_sql(rounds: int = 25, newton: int = 12, keep_share: float = KEEP_SHARE,
     for k in range(1, rounds + 1):
         for m in MARGINS:
             name = f"x{k}_{m}"
-            parts.append(f"{name} AS MATERIALIZED (SELECT a.source, a.lang, a.topic, a.w, a.x * g.goal / sum(a.x) OVER (PARTITION BY a.{m}) AS x FROM {last} a JOIN g_{m} g ON a.{m} = g.{m})")
+            off = "" if k < rounds else f", greatest({'0' if m == MARGINS[0] else 'a.off'}, abs(g.goal / sum(a.x) OVER (PARTITION BY a.{m}) - 1)) AS off"
+            parts.append(f"{name} AS MATERIALIZED (SELECT a.source, a.lang, a.topic, a.w, a.x * g.goal / sum(a.x) OVER (PARTITION BY a.{m}) AS x{off} FROM {last} a JOIN g_{m} g ON a.{m} = g.{m})")
             last = name
-    parts.append(f"f AS MATERIALIZED (SELECT source, lang, topic, w, x / w AS ratio FROM {last})")
+    parts.append(f"f AS MATERIALIZED (SELECT source, lang, topic, w, x / w AS ratio, off FROM {last})")
     parts.append("n0 AS MATERIALIZED (SELECT 0.0::DOUBLE AS c)")
     for k in range(1, newton + 1):
         full = f"(SELECT c FROM n{k - 1}) * ratio >= 1"
@@ -189,7 +200,7 @@ def mix_sql(rounds: int = 25, newton: int = 12, keep_share: float = KEEP_SHARE,
             f"n{k} AS MATERIALIZED (SELECT coalesce(({keep_share} * sum(w) - sum(CASE WHEN {full} THEN w ELSE 0 END)) / nullif(sum(CASE WHEN {full} THEN 0 ELSE w * ratio END), 0), (SELECT c FROM n{k - 1})) AS c FROM f)"
         )
     return f"""WITH {", ".join(parts)},
-        d AS (SELECT r.*, coalesce(ratio, 1.0) AS ratio, least(1.0, (SELECT c FROM n{newton}) * coalesce(ratio, 1.0)) AS p FROM r LEFT JOIN f USING (source, lang, topic))
+        d AS (SELECT r.*, coalesce(ratio, 1.0) AS ratio, coalesce(off, 0.0) AS off, least(1.0, (SELECT c FROM n{newton}) * coalesce(ratio, 1.0)) AS p FROM r LEFT JOIN f USING (source, lang, topic))
         SELECT doc_id, source, lang, topic, tokens, round(ratio, 6) AS ratio, round(p, 6) AS p,
             round(CASE WHEN p > 0 THEN ratio / p END, 6) AS sample_weight,
-            ('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT / 4294967296.0 < p AS sampled FROM d"""
+            ('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT / 4294967296.0 < p AS sampled, round(off, 6) AS margin_error FROM d"""

@@ -27,7 +27,7 @@ def op1_quality_rules(spark, sf_dir):
 
 def op2_source_mixing(spark, sf_dir):
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
-    return mixed.withColumns({c: F.round(c, 6) for c in ("ratio", "p", "sample_weight")})
+    return mixed.withColumns({c: F.round(c, 6) for c in ("ratio", "p", "sample_weight", "margin_error")})
 
 
 def op3_exact_dedup(spark, sf_dir):

@@ -275,3 +275,88 @@ def test_audit_compares_texts_where_hashes_collide(table, monkeypatch):
 
 def test_audit_of_nothing(empty, table):
     assert audit.audit(empty, table([], "doc_id long, quality int, toxic int")).count() == 0
+
+
+# --- stable row numbers in the operators that join what they find back to rows
+
+
+def _texts():
+    rng = random.Random(21)
+    base = [" ".join(f"w{rng.randrange(300)}" for _ in range(rng.randrange(30, 90))) for _ in range(150)]
+    rows = [(k, base[k % 150] if k % 4 else base[k % 150] + f" x{k}") for k in range(450)]
+    return [(k, t + ("\nReleased under the MIT License." if k % 9 == 0 else "")) for k, t in rows]
+
+
+class Longer:
+    """A stand-in for a trained model: texts with an odd number of words are toxic."""
+
+    def scores(self, texts):
+        return [float(len(x.split()) % 2) for x in texts]
+
+
+@pytest.mark.parametrize("name", ["keep_distinct", "exact_dedup", "keep_dissimilar", "drop_toxic", "scan_licences", "round_trip", "keep_sampled"])
+def test_results_hold_when_cores_change_between_scans(table, spark, name):
+    from kindred.llm import bpe, dedup, licences, mixing, queries, simhash, toxicity
+
+    docs = table([(k, t, "en", f"s{k % 3}") for k, t in _texts()], partitions=9)
+    t = queries._tokenizers()
+    ranks = bpe.read_ranks(t.path(queries.BPE_FILE)) if name == "round_trip" else None
+    scanner = licences.train(docs) if name == "scan_licences" else None
+
+    run = {
+        "keep_distinct": lambda d: dedup.keep_distinct(d), "exact_dedup": lambda d: dedup.exact_dedup(d, 64), "keep_dissimilar": lambda d: simhash.keep_dissimilar(d), "drop_toxic": lambda d: toxicity.drop_toxic(d, Longer()),
+        "scan_licences": lambda d: licences.scan_licences(d, scanner), "round_trip": lambda d: bpe.round_trip(d, ranks, t.PATTERN, 3000), "keep_sampled": lambda d: mixing.keep_sampled(d),
+    }[name]
+    tidy = lambda df: sorted(map(repr, df.collect()))
+    still = tidy(run(docs))
+    with recored(spark, 24):
+        moved = tidy(run(clashing(docs).select(*docs.columns)))
+        assert len(docs.collect()) == 450
+    assert moved == still and still
+    if name in ("keep_distinct", "keep_dissimilar", "drop_toxic", "keep_sampled"):
+        odd = clashing(docs)
+        kept = run(odd)
+        assert kept.columns == odd.columns and tidy(kept.select(*docs.columns)) == still
+        assert {r["__rid"] for r in kept.collect()} == {"mine"}
+
+
+def test_near_copies_keep_the_largest_id(table):
+    from kindred.llm import simhash
+
+    text = " ".join(f"w{k}" for k in range(200))
+    rows = [(5, text), (9, text + " end"), (7, "start " + text), (None, text + " a"), (1, "other words of another text " * 8)]
+    assert sorted(r["doc_id"] for r in simhash.keep_dissimilar(table(rows)).collect()) == [1, 9]
+
+
+def test_contradicting_targets_are_reported(table):
+    from kindred.llm import mixing
+
+    # Source b has all texts of language y and no other: both can't have the share of their own target.
+    rows = [(k, "w " * 10, "x" if k % 2 else "y", "a" if k % 2 else "b") for k in range(100)]
+    share = lambda **s: table(list(s.items()), "value string, share double")
+    got = mixing.mix(table(rows), {"source": share(a=0.5, b=0.5), "lang": share(x=0.9, y=0.1)}).collect()
+    assert min(r["margin_error"] for r in got) > 0.1
+    fine = mixing.mix(table(rows), {"source": share(a=0.7, b=0.3), "lang": share(x=0.7, y=0.3)}).collect()
+    assert max(r["margin_error"] for r in fine) < 1e-8
+
+
+def test_long_mixed_candidates_take_linear_time():
+    import time
+
+    from kindred.llm import secrets
+
+    rng = random.Random(5)
+    line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789") if rng.random() < 0.96 else rng.choice("-/") for _ in range(2_000_000))
+
+    def all_pairs(s, at):
+        out = [{"s": at + x, "e": at + y, "stratum": secrets.stratum(y - x), "bin": secrets._bin(got[1])} for x, y in secrets.parts(s) if (got := secrets.battery(s[x:y]))]
+        chosen = []
+        for c in sorted(out, key=lambda c: (c["bin"] > secrets._bin(secrets.KEEP), c["s"] - c["e"], c["bin"], c["s"])):
+            if not any(c["s"] < d["e"] and d["s"] < c["e"] for d in chosen):
+                chosen.append(c)
+        return sorted(chosen, key=lambda c: c["s"])
+
+    for k in range(0, 40_000, 4000):
+        assert secrets.tested(line[k : k + 4000], 7) == all_pairs(line[k : k + 4000], 7)
+    began = time.time()
+    assert len(secrets.tested(line, 0)) > 1000 and time.time() - began < 120

@@ -160,7 +160,7 @@ def test_similar_texts(table, odd, empty):
             group[len(rows)] = g
             rows.append((len(rows), " ".join(t)))
     docs = table(rows)
-    ids = {r["__rid"]: r["doc_id"] for r in docs.withColumn("__rid", F.monotonically_increasing_id()).collect()}
+    ids = {r["__rid"]: r["doc_id"] for r in common.numbered(common.scanned(docs), "__rid").collect()}
     found = {}
     for r in simhash.similar_texts(docs).collect():
         found.setdefault(r["keep_rid"], set()).add(group[ids[r["rid"]]])
@@ -197,7 +197,7 @@ def edited():
 
 def test_similar_texts_at_the_limit(table, edited):
     docs = table([(2 * k + j, " ".join(pair[j])) for k, pair in enumerate(edited) for j in (0, 1)])
-    ids = {r["__rid"]: r["doc_id"] for r in docs.withColumn("__rid", F.monotonically_increasing_id()).collect()}
+    ids = {r["__rid"]: r["doc_id"] for r in common.numbered(common.scanned(docs), "__rid").collect()}
     keep = {ids[r["rid"]]: r["keep_rid"] for r in simhash.similar_texts(docs).collect()}
     assert [keep[2 * k] == keep[2 * k + 1] for k in range(len(edited))] == [x[2] for x in edited]
     assert max(Counter(keep.values()).values()) == 2
@@ -330,7 +330,7 @@ def test_large_groups_of_near_copies_make_no_row_for_each_pair(table, block, mon
     """150 near copies, of which many are similar to none: groups as by brute force, rows in proportion to the texts."""
     words = near_copies(150, 150, (1, 2, 3, 4, 5), 5) + near_copies(40, 60, (1, 2), 6)
     docs = table([(k, " ".join(w)) for k, w in enumerate(words)])
-    ids = {r["rid"]: r["doc_id"] for r in docs.withColumn("rid", F.monotonically_increasing_id()).collect()}
+    ids = {r["rid"]: r["doc_id"] for r in common.numbered(common.scanned(docs), "rid").collect()}
     written, write = {}, simhash.durable
 
     def counted(df, label):
@@ -354,7 +354,7 @@ def test_pairs_of_rare_and_of_crowded_shingles_are_all_found(table, edited, monk
     """Shingles of two texts, of a few and of many: what goes to crowds and what to pairs make up all links."""
     words = [w for pair in edited for w in pair[:2]] + near_copies(20, 80, (1, 2, 3), 7)
     docs = table([(k, " ".join(w)) for k, w in enumerate(words)])
-    ids = {r["rid"]: r["doc_id"] for r in docs.withColumn("rid", F.monotonically_increasing_id()).collect()}
+    ids = {r["rid"]: r["doc_id"] for r in common.numbered(common.scanned(docs), "rid").collect()}
     want = Counter(brute_groups(words)).values()
     for most in (0, 1, 3, 18):
         monkeypatch.setattr(simhash, "CROWD", most)
