@@ -68,11 +68,11 @@ class LinkRun:
                 raise RuntimeError(f"no model is there; run the task {section} first") from None
         return self.models[section]
 
-    def put(self, name: str, make: Callable[[], DataFrame], persist: bool = True) -> DataFrame:
-        """The named frame: an existing one if that is allowed, else a new one."""
+    def put(self, name: str, make: Callable[[], DataFrame], persist: bool = True, bucket_by: str | None = None) -> DataFrame:
+        """The named frame: an existing one if that is allowed, else a new one. bucket_by: a column that later steps join on."""
         if self.use_preexisting_tables and self.tables.exists(name):
             return self.tables.get(name)
-        df = self.tables.put(name, make(), persist)
+        df = self.tables.put(name, make(), persist, bucket_by)
         if self.print_sql:
             df.explain()
         return df
@@ -142,7 +142,7 @@ class Preprocessing(Task):
                 df = prepare.substitute(self.run.spark, df, c.get("substitution_columns", []))
                 return selections.select_features(self.run.spark, df, c.get("feature_selections", []), c["id_column"], side == "a")
 
-            self.run.put(f"prepped_df_{side}", make)
+            self.run.put(f"prepped_df_{side}", make, bucket_by=c["id_column"])
 
 
 class Matching(Task):
@@ -158,14 +158,14 @@ class Matching(Task):
     def explode(self):
         conditions = [u["expression"] for u in self.config.get("potential_matches_universe", [])]
         for side in ("a", "b"):
-            self.run.put(f"match_universe_df_{side}", lambda side=side: blocking.universe(self.run.table(f"prepped_df_{side}"), conditions))
+            self.run.put(f"match_universe_df_{side}", lambda side=side: blocking.universe(self.run.table(f"prepped_df_{side}"), conditions), bucket_by=self.config["id_column"])
 
     def match(self):
         c = self.config
 
         def make():
             a, b = self.run.table("match_universe_df_a"), self.run.table("match_universe_df_b")
-            ids = blocking.candidate_ids(a, b, c["blocking"], c["id_column"])
+            ids = blocking.candidate_ids(a, b, c["blocking"], c["id_column"], hot_pairs=int(c.get("hot_key_pairs", blocking.HOT_PAIRS)), max_candidates=c.get("max_potential_matches"))
             specs = pairs.needed_features(c.get("comparisons"), c.get("comparison_features", []))
             return pairs.compare(self.run.spark, ids, a, b, c["id_column"], specs, c.get("comparisons"), keep_records=not c.get("streamline_potential_match_generation", False))
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass, field
+from functools import cached_property
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -127,6 +130,100 @@ KNOWN_TABLES = {
 }
 
 
+#: Records for each partition of a large step, and the most partitions; Spark's own setting is the least.
+ROWS_IN_PARTITION, MOST_PARTITIONS = 25_000, 10_000
+
+
+def partitions_for(spark: SparkSession, rows: int) -> int:
+    """How many partitions or buckets so many rows are dealt to."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTITIONS, -(-rows // ROWS_IN_PARTITION)))
+
+
+class StepTables:
+    """Tables of a run's steps in its warehouse folder, in versions.
+
+    A table is a folder with a version folder and a pointer to it. A version is written whole before the pointer is
+    replaced by a rename, so a step that breaks off leaves the table as it was, and a table can be made from itself. Tables may be
+    bucketed by a column: the catalog then knows how their rows are dealt out, and joins on the column move only the
+    other side. The pointer holds what another process needs to open the table.
+    """
+
+    POINTER = "_current"
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self._jvm = spark._jvm
+        path = self._path(self.folder)
+        self._fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        self._context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), spark._jsc.hadoopConfiguration())
+
+    def _path(self, text: str):
+        return self._jvm.org.apache.hadoop.fs.Path(text)
+
+    def write(self, name: str, df: DataFrame, bucket_by: str | None = None, buckets: int | None = None) -> DataFrame:
+        """The table as it reads from now on. buckets: by the number of rows, where it isn't given; they are counted once the rows are written."""
+        version = f"v-{uuid.uuid4().hex}"
+        path = f"{self.folder}/{name}/{version}"
+        about = {"version": version, "schema": df.schema.json()}
+        if bucket_by is None:
+            df.write.parquet(path)
+        else:
+            if buckets is None:
+                draft = f"{path}-draft"
+                df.write.parquet(draft)
+                df = self.spark.read.schema(df.schema).parquet(draft)
+                buckets = partitions_for(self.spark, df.count())
+            about |= {"bucket_by": bucket_by, "buckets": buckets}
+            dealt = df.repartition(buckets, F.col(f"`{bucket_by}`"))  # one file for a bucket
+            dealt.write.format("parquet").bucketBy(buckets, bucket_by).sortBy(bucket_by).option("path", path).saveAsTable(self._table(name, version))
+        before = self._about(name)
+        self._point(name, about)
+        for old in [f"{path}-draft"] + ([f"{self.folder}/{name}/{before['version']}"] if before else []):
+            self._fs.delete(self._path(old), True)
+        if before:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._table(name, before['version'])}")
+        return self.read(name)
+
+    def _table(self, name: str, version: str) -> str:
+        return f"kindred_{''.join(c if c.isalnum() else '_' for c in name)}_{version.replace('-', '_')}"
+
+    def _point(self, name: str, about: dict[str, Any]) -> None:
+        new, now = (self._path(f"{self.folder}/{name}/{x}") for x in (f"_new-{uuid.uuid4().hex}", self.POINTER))
+        out = self._fs.create(new, True)
+        out.write(bytearray(json.dumps(about).encode()))
+        out.close()
+        options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        self._context.rename(new, now, options)
+
+    def _about(self, name: str) -> dict[str, Any] | None:
+        path = self._path(f"{self.folder}/{name}/{self.POINTER}")
+        if not self._fs.exists(path):
+            return None
+        text = self._fs.open(path)
+        try:
+            return json.loads(bytes(text.readAllBytes()))
+        finally:
+            text.close()
+
+    def exists(self, name: str) -> bool:
+        return self._about(name) is not None
+
+    def read(self, name: str) -> DataFrame:
+        about = self._about(name)
+        if about is None:
+            raise KeyError(f"no table is named {name}")
+        schema, path = T.StructType.fromJson(json.loads(about["schema"])), f"{self.folder}/{name}/{about['version']}"
+        if "buckets" not in about:
+            return self.spark.read.schema(schema).parquet(path)
+        table = self._table(name, about["version"])
+        if not self.spark.catalog.tableExists(table):  # another process has written it
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+            key = f"`{about['bucket_by']}`"
+            self.spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {about['buckets']} BUCKETS LOCATION '{path}'")
+        return self.spark.table(table)
+
+
 @dataclass
 class Registry:
     """Named frames of a run: tables in the warehouse folder, or lazy views without one."""
@@ -135,12 +232,14 @@ class Registry:
     warehouse: str | None = None
     frames: dict[str, DataFrame] = field(default_factory=dict)
 
-    def put(self, name: str, df: DataFrame, persist: bool = False) -> DataFrame:
+    @cached_property
+    def stored(self) -> StepTables | None:
+        return StepTables(self.spark, self.warehouse) if self.warehouse else None
+
+    def put(self, name: str, df: DataFrame, persist: bool = False, bucket_by: str | None = None) -> DataFrame:
         name = name.lower()
-        if persist and self.warehouse:
-            path = f"{self.warehouse.rstrip('/')}/{name}"
-            df.write.mode("overwrite").parquet(path)
-            df = self.spark.read.parquet(path)
+        if persist and self.stored:
+            df = self.stored.write(name, df, bucket_by)
         df.createOrReplaceTempView(name)
         self.frames[name] = df
         return df
@@ -149,12 +248,16 @@ class Registry:
         name = name.lower()
         if name in self.frames:
             return self.frames[name]
+        if self.stored and self.stored.exists(name):
+            return self.put(name, self.stored.read(name))
         if self.spark.catalog.tableExists(name):
             return self.spark.table(name)
         raise KeyError(f"no table is named {name}")
 
     def exists(self, name: str) -> bool:
-        return name.lower() in self.frames or self.spark.catalog.tableExists(name)
+        """Whether this run has the frame, or a run before it has left it in the warehouse folder, or the catalog has it."""
+        name = name.lower()
+        return name in self.frames or bool(self.stored and self.stored.exists(name)) or self.spark.catalog.tableExists(name)
 
     def drop(self, name: str) -> None:
         self.frames.pop(name.lower(), None)
@@ -172,8 +275,9 @@ class Registry:
             name = s.getPath().getName()
             if not s.isDirectory() or name.startswith(("_", ".")):
                 continue
+            own = StepTables(self.spark, folder)
             try:
-                self.put(name.removesuffix(".parquet"), self.spark.read.parquet(s.getPath().toString()))
+                self.put(name.removesuffix(".parquet"), own.read(name) if own.exists(name) else self.spark.read.parquet(s.getPath().toString()))
                 found.append(name.removesuffix(".parquet"))
             except Exception:  # noqa: BLE001  a folder that is no table
                 continue
