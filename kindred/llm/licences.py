@@ -232,12 +232,10 @@ def confirmed(words: Column, family: Column) -> Column:
     return out
 
 
-def scan_paragraphs(docs: DataFrame, scanner: Scanner) -> DataFrame:
-    """rid, doc_id, line, family, p, confirmed for paragraphs that are no ordinary text."""
-    rows = numbered(docs.select("doc_id", "text"))
-    lines = _featured(paragraphs(rows).where("line <> ''"))
+def classified(lines: DataFrame, scanner: Scanner) -> DataFrame:
+    """rid, doc_id, line, family, p, confirmed for the paragraphs (rid, doc_id, line) that are no ordinary text: both models, and templates to confirm."""
     # The row number keeps Catalyst from moving the filter below the features, where it would compute them several times.
-    scored = scanner.notices.transform(lines).select("rid", "doc_id", "line", "words", "features", _second("p_notice").alias("notice"), F.monotonically_increasing_id().alias("row"))
+    scored = scanner.notices.transform(_featured(lines)).select("rid", "doc_id", "line", "words", "features", _second("p_notice").alias("notice"), F.monotonically_increasing_id().alias("row"))
     found = scored.where((F.col("notice") > scanner.notice_limit) & (F.col("row") >= 0)).drop("notice", "row")
     seen = scanner.families.transform(found).select("rid", "doc_id", "line", "words", vector_to_array("p_family").alias("ps"))
     best = F.array_max("ps")
@@ -248,18 +246,24 @@ def scan_paragraphs(docs: DataFrame, scanner: Scanner) -> DataFrame:
     return named.select("rid", "doc_id", "line", "family", "p", confirmed(words, F.col("family")).alias("confirmed"))
 
 
-def scan_blocks(docs: DataFrame) -> DataFrame:
-    """rid, family of the templates that blocks of two and more non-blank lines hold at CONTAINMENT or more.
+def scan_paragraphs(docs: DataFrame, scanner: Scanner) -> DataFrame:
+    """rid, doc_id, line, family, p, confirmed for paragraphs that are no ordinary text."""
+    return classified(paragraphs(numbered(docs.select("doc_id", "text"))).where("line <> ''"), scanner)
+
 
-    A wrapped notice stands over lines, among others that may be ordinary text, so templates decide alone.
+def block_paragraphs(docs: DataFrame) -> DataFrame:
+    """rid, doc_id, line: what blocks of two and more non-blank lines hold from the first to the last shingle of a family's templates.
+
+    A wrapped notice stands over lines, among others that may be ordinary text; templates that a block holds at CONTAINMENT
+    or more tell where to cut it out. What it is, the models decide.
     """
-    rows = numbered(docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body")))
-    rows = rows.select("rid", F.explode(F.split("body", r"\n\s*\n")).alias("block"))
+    rows = numbered(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body")))
+    rows = rows.select("rid", "doc_id", F.explode(F.split("body", r"\n\s*\n")).alias("block"))
     some = rows.where(F.contains(F.trim("block"), F.lit("\n")) & F.col("block").rlike(NEEDED))
-    own = some.select("rid", F.filter(words_of(F.col("block")), lambda w: w != "").alias("words")).select("rid", shingles(F.col("words")).alias("own"))
+    own = some.select("rid", "doc_id", F.filter(words_of(F.col("block")), lambda w: w != "").alias("words")).select("rid", "doc_id", "words", shingles(F.col("words")).alias("own"))
     # A block has few shingles of templates, or none; only those are compared with each template. (A filter on them would be
     # moved below the shingles, which would then split the block again for each of its words.)
-    own = own.select("rid", F.array_intersect("own", template_shingles(*[t for ts in TEMPLATES.values() for t in ts])).alias("own"))
+    own = own.select("rid", "doc_id", "words", F.array_intersect("own", template_shingles(*[t for ts in TEMPLATES.values() for t in ts])).alias("own"))
     held = []
     for f, ts in TEMPLATES.items():
         hit = F.lit(False)
@@ -268,13 +272,26 @@ def scan_blocks(docs: DataFrame) -> DataFrame:
             # A line of few words is found as a line.
             hit = hit | ((F.size(theirs) > 1) & (F.size(F.array_intersect("own", theirs)) >= CONTAINMENT * F.size(theirs)))
         held.append(F.when(hit, F.lit(f)))
-    return own.select("rid", F.explode(F.array_compact(F.array(*held))).alias("family"))
+    by = own.select("rid", "doc_id", "words", F.explode(F.array_compact(F.array(*held))).alias("family"))
+    theirs = F.lit(None).cast("array<string>")
+    for f, ts in TEMPLATES.items():
+        theirs = F.when(F.col("family") == f, template_shingles(*ts)).otherwise(theirs)
+    n = F.size("words")
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(n - SHINGLE + 1, F.lit(1))), lambda i: F.array_contains("theirs", F.array_join(F.slice("words", i, SHINGLE), " ")))
+    cut = by.withColumn("theirs", theirs).withColumn("starts", starts)
+    first, last = F.element_at("starts", 1), F.element_at("starts", -1)
+    return cut.select("rid", "doc_id", F.array_join(F.slice("words", first, last - first + SHINGLE), " ").alias("line"))
+
+
+def scan_blocks(docs: DataFrame, scanner: Scanner) -> DataFrame:
+    """rid, family of the notices in blocks that the models name and a template confirms."""
+    return classified(block_paragraphs(docs), scanner).where("confirmed").select("rid", "family")
 
 
 def scan_licences(docs: DataFrame, scanner: Scanner) -> DataFrame:
     """doc_id, n_notices, n_confirmed, n_unknown, families (confirmed ones, sorted): one row for each row of docs.
 
-    A family that only blocks of lines confirm counts as one notice, confirmed.
+    A family that the models find in a block of lines only counts as one notice, confirmed.
     """
     docs = scanned(docs)
     found = scan_paragraphs(docs, scanner)
@@ -284,7 +301,7 @@ def scan_licences(docs: DataFrame, scanner: Scanner) -> DataFrame:
         F.count_if(F.col("family") == "unknown").alias("n_unknown"),
         F.collect_set(F.when(F.col("confirmed"), F.col("family"))).alias("by_line"),
     )
-    wrapped = scan_blocks(docs).groupBy("rid").agg(F.collect_set("family").alias("by_block")).withColumnRenamed("rid", "b_rid")
+    wrapped = scan_blocks(docs, scanner).groupBy("rid").agg(F.collect_set("family").alias("by_block")).withColumnRenamed("rid", "b_rid")
     own = numbered(docs.select("doc_id"), "own_rid")
     none = F.array().cast("array<string>")
     line, block = F.coalesce("by_line", none), F.coalesce("by_block", none)
