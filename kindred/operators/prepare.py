@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.functions.transforms import apply_transform
-from kindred.sources.io import read_csv, read_substitutions
+from kindred.sources.io import read_csv, read_substitutions, substitution_table
 
 
 LITERAL_PAIRS = 1000
@@ -65,20 +65,21 @@ def map_columns(df: DataFrame, mappings: list[dict[str, Any]], id_column: str, i
     return out.select(*dict.fromkeys([id_column, *keep, *done]))
 
 
-def substitute_table(df: DataFrame, column: str, pairs: list[tuple[str, str]], join_column: str | None = None, join_value: Any = None) -> DataFrame:
+def substitute_table(df: DataFrame, column: str, pairs: list[tuple[str, str]] | DataFrame, join_column: str | None = None, join_value: Any = None) -> DataFrame:
     """Where the first word is a `from` (and the join column has its value): its `to`, then the second word; others stay.
 
-    A table of up to LITERAL_PAIRS is a map literal, so nothing is joined; a longer one is joined by its first word.
+    A list of pairs is a map literal, so nothing is joined; a frame (__from, __to) is joined by the first word.
     """
-    if not pairs:
+    if isinstance(pairs, list) and not pairs:
         return df
+    if isinstance(pairs, list) and len(pairs) > LITERAL_PAIRS:
+        pairs = df.sparkSession.createDataFrame(list(dict(pairs).items()), "__from string, __to string")
     words = F.split(F.col(column), " ")
-    if len(pairs) <= LITERAL_PAIRS:
+    if isinstance(pairs, list):
         table = F.create_map(*[F.lit(x) for p in dict(pairs).items() for x in p])
         new = F.try_element_at(table, F.get(words, F.lit(0)))
     else:
-        table = df.sparkSession.createDataFrame(list(dict(pairs).items()), "__from string, __to string")
-        df = df.join(table, F.get(words, F.lit(0)) == F.col("__from"), "left")
+        df = df.join(pairs, F.get(words, F.lit(0)) == F.col("__from"), "left")
         new = F.col("__to")
     hit = new.isNotNull()
     if join_column is not None:
@@ -87,23 +88,37 @@ def substitute_table(df: DataFrame, column: str, pairs: list[tuple[str, str]], j
     return df.withColumn(column, F.when(hit, F.when(second.isNotNull(), F.concat_ws(" ", new, second)).otherwise(new)).otherwise(F.col(column))).drop("__from", "__to")
 
 
-def substitute_words(df: DataFrame, column: str, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Every whole word that is a `from` becomes its `to`, pair by pair."""
-    out = F.col(column)
-    for old, new in pairs:
-        out = F.regexp_replace(out, rf"\b{re.escape(old)}\b", new.replace("\\", "\\\\").replace("$", "\\$"))
-    return df.withColumn(column, out)
+def substitute_words(df: DataFrame, column: str, pairs: list[tuple[str, str]] | DataFrame) -> DataFrame:
+    """Every whole word that is a `from` becomes its `to`: pair by pair for a list, where a later pair finds what an earlier one made.
+
+    A frame (__from, __to), which may have any number of pairs, is looked up once for each word of the distinct values.
+    """
+    if isinstance(pairs, list):
+        out = F.col(column)
+        for old, new in pairs:
+            out = F.regexp_replace(out, rf"\b{re.escape(old)}\b", new.replace("\\", "\\\\").replace("$", "\\$"))
+        return df.withColumn(column, out)
+    values = df.select(F.col(column).alias("__value")).where("__value IS NOT NULL").distinct()
+    pieces = values.select("__value", F.posexplode(F.regexp_extract_all("__value", F.lit(r"\w+|\W+"), F.lit(0))).alias("__at", "__piece"))
+    met = pieces.join(pairs, F.col("__piece") == F.col("__from"), "left").select("__value", F.struct("__at", F.coalesce("__to", "__piece").alias("p")).alias("s"))
+    made = met.groupBy("__value").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["p"]), "").alias("__made"))
+    return df.join(made, F.col(column) == F.col("__value"), "left").withColumn(column, F.coalesce("__made", F.col(column))).drop("__value", "__made")
 
 
 def substitute(spark: SparkSession, df: DataFrame, specs: list[dict[str, Any]]) -> DataFrame:
-    """All substitution_columns of a configuration; KeyError for a spec that names neither a join nor a word replacement."""
+    """All substitution_columns of a configuration; KeyError for a spec that names neither a join nor a word replacement.
+
+    Files of up to LITERAL_PAIRS pairs become literals of the plan; longer ones stay frames, and are joined.
+    """
     for spec in specs:
         for s in spec["substitutions"]:
-            pairs = read_substitutions(spark, s["substitution_file"])
+            path = s["substitution_file"]
+            pairs = read_substitutions(spark, path, LITERAL_PAIRS)
+            table = substitution_table(spark, path) if pairs is None else pairs
             if s.get("regex_word_replace"):
-                df = substitute_words(df, spec["column_name"], pairs)
+                df = substitute_words(df, spec["column_name"], table)
             elif "join_column" in s and "join_value" in s:
-                df = substitute_table(df, spec["column_name"], pairs, s["join_column"], s["join_value"])
+                df = substitute_table(df, spec["column_name"], table, s["join_column"], s["join_value"])
             else:
                 raise KeyError(f"a substitution of {spec['column_name']} needs join_column and join_value, or regex_word_replace")
     return df

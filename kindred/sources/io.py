@@ -96,10 +96,20 @@ def fixed_width(df: DataFrame, widths: dict[str, int] | None = None, default: in
     return df.select(F.concat(*cells).alias("value"))
 
 
-def read_substitutions(spark: SparkSession, path: str) -> list[tuple[str, str]]:
-    """(from, to) pairs of a headerless `to,from` file, in lower case; a byte-order mark is dropped."""
-    rows = spark.read.schema("to string, from string").csv(path).collect()
-    clean = lambda x: (x or "").lstrip("﻿").strip().lower()
+def substitution_table(spark: SparkSession, path: str) -> DataFrame:
+    """__from, __to of a headerless `to,from` file of any size, in lower case, a byte-order mark dropped; of repeated froms the last one counts."""
+    clean = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), "^\ufeff+", "")))
+    rows = spark.read.schema("to string, from string").csv(path).select(clean("from").alias("__from"), clean("to").alias("__to"), F.monotonically_increasing_id().alias("__line"))
+    return rows.groupBy("__from").agg(F.max_by("__to", "__line").alias("__to"))
+
+
+def read_substitutions(spark: SparkSession, path: str, most: int | None = None) -> list[tuple[str, str]] | None:
+    """(from, to) pairs of a headerless `to,from` file, in lower case and in order; a byte-order mark is dropped. None if there are more than `most`."""
+    rows = spark.read.schema("to string, from string").csv(path)
+    rows = (rows if most is None else rows.limit(most + 1)).collect()
+    if most is not None and len(rows) > most:
+        return None
+    clean = lambda x: (x or "").lstrip("\ufeff").strip().lower()
     return [(clean(r["from"]), clean(r["to"])) for r in rows]
 
 

@@ -586,3 +586,20 @@ def test_bucketed_records_stay_where_they_are(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert io.partitions_for(spark, 1) == 4 and io.partitions_for(spark, 10_001_033) == 401 and io.partitions_for(spark, 2_700_000_000) == 10_000
+
+
+def test_long_substitution_files_stay_frames(spark, tmp_path, monkeypatch):
+    (tmp_path / "s.csv").write_text("﻿Catherine,kate\nwilliam,Bill\nrobert,bob\nrob,bob\n")
+    df = spark.createDataFrame([("kate ann marie", 2), ("kate", 1), ("bill", 2), ("o'kate, bob-x  bill!", 2), (None, 2), ("", 2)], "n string, sex int")
+    path = {"substitution_file": str(tmp_path / "s.csv")}
+    joined = {"column_name": "n", "substitutions": [path | {"join_column": "sex", "join_value": 2}]}
+    words = {"column_name": "n", "substitutions": [path | {"regex_word_replace": True}]}
+    tidy = lambda d: sorted((r["n"] or "?", r["sex"]) for r in d.collect())
+    short = [tidy(prepare.substitute(spark, df, [s])) for s in (joined, words)]
+    monkeypatch.setattr(prepare, "LITERAL_PAIRS", 2)
+    assert io.read_substitutions(spark, path["substitution_file"], 2) is None
+    long = [tidy(prepare.substitute(spark, df, [s])) for s in (joined, words)]
+    assert long[0] == short[0] and ("catherine ann", 2) in long[0]
+    # Pair by pair, bob becomes robert, which the next pair doesn't find; in the frame the last pair of bob counts.
+    assert ("o'catherine, robert-x  william!", 2) in short[1] and ("o'catherine, rob-x  william!", 2) in long[1] and ("catherine", 1) in long[1]
+    assert [r["__to"] for r in io.substitution_table(spark, path["substitution_file"]).orderBy("__from").collect()] == ["william", "rob", "catherine"]
