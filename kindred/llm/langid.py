@@ -9,7 +9,7 @@ column for each language, so that a gram is looked up once for all; larger sets
 equal results. The model's size follows the sample's bound, CHARS_TOTAL characters however many languages there are.
 
 Defined results: `und` with score 0 if a text is null or has no letter, or if no language was learned; rows with a null
-lang or text teach nothing; a null doc_id counts as empty text for the split; repeated rows are scored alike, ties between
+lang or text teach nothing, and a language all of whose texts are longer than LONGEST characters isn't learned, so it is never predicted; a null doc_id counts as empty text for the split; repeated rows are scored alike, ties between
 languages go to the first by name, and columns other than doc_id, text and lang are never read. Texts are scored whole.
 """
 

@@ -14,7 +14,8 @@ than ordinary ones (none below the least gain that tells them apart); a logistic
 documents that the dictionaries never saw, maps the sum of weights and the number of windows to a score in [0, 1].
 
 Defined results: a null or empty text has no window and gets the score of a text without evidence; without labels of both
-classes, or where nothing sets them apart, every score is 0. Repeated rows are scored alike, a null doc_id counts as empty text for
+classes, or where nothing sets them apart, every score is 0; so it is where all labelled texts of a class are longer than
+LONGEST characters, since only shorter ones are sampled. Repeated rows are scored alike, a null doc_id counts as empty text for
 the split, and columns other than doc_id and text are never read. Texts are scored whole, however long.
 """
 

@@ -360,3 +360,65 @@ def test_long_mixed_candidates_take_linear_time():
         assert secrets.tested(line[k : k + 4000], 7) == all_pairs(line[k : k + 4000], 7)
     began = time.time()
     assert len(secrets.tested(line, 0)) > 1000 and time.time() - began < 120
+
+
+# --- toxicity: windows, gains and scores again, one window after the other, from the model's two dictionaries
+
+
+def test_toxicity_by_brute_force(table):
+    import math
+
+    import zstandard as zs
+
+    from kindred.llm import toxicity
+
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice(["the", "on", "er", "in", "an", "re"]) for _ in range(rng.randint(1, 3)))
+    rows, labels = [], []
+    for k in range(400):
+        t = [word() for _ in range(rng.randint(5, 70))]
+        if k % 5 == 0:
+            for _ in range(6):
+                t[rng.randrange(len(t))] = rng.choice(["blockhead", "zuckwurm", "quompf", "Zuckwurme"])
+        rows.append((k, " ".join(t)))
+        labels.append((k, 1, int(k % 5 == 0)))
+    rows += [(500, None), (501, ""), (502, "x" * 700), (503, "blockhead " * 9), (504, "Ünï ☃ " * 40)]
+    docs = table(rows)
+    model = toxicity.train(docs, table(labels, "doc_id long, quality int, toxic int"))
+    settings = zs.ZstdCompressionParameters(
+        window_log=16, hash_log=14, chain_log=14, search_log=5, min_match=5, target_length=64, strategy=zs.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False
+    )
+    packers = []
+    for data in (model.pair.ordinary, model.pair.toxic):
+        d = zs.ZstdCompressionDict(data + toxicity.CARRIER + b"\n" * 16, dict_type=zs.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(compression_params=settings)
+        packers.append(zs.ZstdCompressor(dict_data=d, compression_params=settings))
+
+    def windows(text):
+        words = (text or "").lower().encode().split()
+        for k in range(0, len(words), toxicity.WORDS):
+            now = b""
+            whole = b"".join(b" " + w for w in words[k : k + toxicity.WORDS])
+            pieces = [whole] if len(whole) <= toxicity.BYTES else [b" " + w[s : s + toxicity.BYTES - 1] for w in words[k : k + toxicity.WORDS] for s in range(0, len(w), toxicity.BYTES - 1)]
+            for p in pieces:
+                if now and len(now) + len(p) > toxicity.BYTES:
+                    yield now
+                    now = b""
+                now += p
+            yield now
+
+    def score(text):
+        total = n = 0.0
+        for w in windows(text):
+            gain = len(packers[0].compress(toxicity.CARRIER + w)) - len(packers[1].compress(toxicity.CARRIER + w))
+            total += model.weights[sum(len(w) > x for x in toxicity.LENGTHS), min(max(gain, 0), toxicity.MOST)]
+            n += 1
+        mean, var = model.noise
+        x = (min((total - n * mean) / math.sqrt(n * var + 1), 30) / 3, math.log1p(total), math.log1p(n))
+        return 1 / (1 + math.exp(-(model.curve[0] + sum(b * v for b, v in zip(model.curve[1:], x)))))
+
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, model).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        assert got[i]["score"] == pytest.approx(score(t), abs=1e-9) and got[i]["predicted"] == int(got[i]["score"] >= 0.7)
+    assert sum(r["predicted"] for r in got.values()) > 50
