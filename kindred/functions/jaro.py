@@ -137,9 +137,28 @@ def of_pairs(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
     return of_arrays(pa.array(a, pa.large_string()), pa.array(b, pa.large_string()))
 
 
-def of_lists(a: list[list[str]], b: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-    """(similarities of every element of a[k] with every one of b[k], row by row; where each k begins, and the end)."""
-    left = [x for p, q in zip(a, b, strict=True) for x in p for _ in q]
-    right = [y for p, q in zip(a, b, strict=True) for _ in p for y in q]
-    sizes = np.fromiter((len(p) * len(q) for p, q in zip(a, b, strict=True)), np.int64, len(a))
-    return of_pairs(left, right), np.concatenate([[0], np.cumsum(sizes)])
+def of_lists(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For two list arrays: similarities of every element of a[k] with every one of b[k], row by row, and the rows' numbers of elements in a and b, and where each row begins.
+
+    Null lists are empty, null elements are empty strings.
+    """
+    size_a, size_b = (np.asarray(pc.fill_null(pc.list_value_length(x), 0)).astype(np.int64) for x in (a, b))
+    at_a, at_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
+    both = size_a * size_b
+    starts = np.cumsum(both) - both
+    row = np.repeat(np.arange(len(a)), both)
+    place = np.arange(len(row)) - starts[row]
+    left, right = at_a[row] + place // size_b[row], at_b[row] + place % size_b[row]
+    return of_arrays(a.flatten().take(pa.array(left)), b.flatten().take(pa.array(right))), size_a, size_b, starts
+
+
+def best_of_each(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the best similarity of every element of a[k] with any of b[k], 0 where there is none; the row k of each; elements of each row)."""
+    scores, size_a, size_b, _ = of_lists(a, b)
+    rows = np.repeat(np.arange(len(a)), size_a)
+    size = size_b[rows]
+    best = np.zeros(len(rows))
+    some = np.flatnonzero(size)
+    if len(some):
+        best[some] = np.maximum.reduceat(scores, np.cumsum(size[some]) - size[some])
+    return best, rows, size_a

@@ -9,7 +9,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-from kindred.functions.jaro import jaro_winkler, of_arrays, of_lists, of_pairs
+from kindred.functions.jaro import best_of_each, jaro_winkler, of_arrays, of_pairs
 
 def _batched(f):
     """A vectorised UDF of doubles that Catalyst may not evaluate twice, as it does when it moves a filter on its result below it."""
@@ -32,36 +32,20 @@ def jw(a: Column, b: Column) -> Column:
     return _jw(F.coalesce(a.cast("string"), F.lit("")), F.coalesce(b.cast("string"), F.lit("")))
 
 
-def _texts(x) -> list[str]:
-    return [] if x is None else [v or "" for v in x]
-
-
-def _best_of_each(ours: list[list[str]], theirs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-    """(the best similarity of every element of ours[k] with any of theirs[k], 0 where there is none; the row k of each)."""
-    scores, _ = of_lists(ours, theirs)
-    rows = np.repeat(np.arange(len(ours)), [len(p) for p in ours])
-    size = np.array([len(q) for q in theirs], np.int64)[rows]
-    best = np.zeros(len(rows))
-    some = np.flatnonzero(size)
-    if len(some):
-        best[some] = np.maximum.reduceat(scores, np.concatenate([[0], np.cumsum(size[some])[:-1]]))
-    return best, rows
-
-
-@_batched
-def _jw_max(a: pd.Series, b: pd.Series) -> pd.Series:
-    best, rows = _best_of_each([_texts(x) for x in a], [_texts(x) for x in b])
+def _greatest(a: pa.Array, b: pa.Array) -> pa.Array:
+    best, rows, _ = best_of_each(a, b)
     out = np.zeros(len(a))
     np.maximum.at(out, rows, best)
-    return _series(out)
+    return pa.array(out)
+
 
+_jw_max = F.arrow_udf(_greatest, DoubleType()).asNondeterministic()
 
-def shares_over(a: pd.Series, b: pd.Series, threshold: np.ndarray) -> pd.Series:
+
+def shares_over(a: pa.Array, b: pa.Array, threshold: np.ndarray) -> pa.Array:
     """Share of each row's elements of a whose best match in b is over the row's threshold; 0 if a has none."""
-    ours = [_texts(x) for x in a]
-    best, rows = _best_of_each(ours, [_texts(x) for x in b])
-    over = np.bincount(rows[best > threshold[rows]], minlength=len(a))
-    return _series(over / np.maximum([len(p) for p in ours], 1))
+    best, rows, size = best_of_each(a, b)
+    return pa.array(np.bincount(rows[best > threshold[rows]], minlength=len(a)) / np.maximum(size, 1))
 
 
 def jw_max(a: Column, b: Column) -> Column:
@@ -72,11 +56,10 @@ def jw_max(a: Column, b: Column) -> Column:
 def jw_rate(a: Column, b: Column, threshold: float) -> Column:
     """Share of a's elements whose best match in b is over the threshold; 0 if a has none."""
 
-    @_batched
-    def rate(p: pd.Series, q: pd.Series) -> pd.Series:
+    def rate(p: pa.Array, q: pa.Array) -> pa.Array:
         return shares_over(p, q, np.full(len(p), threshold))
 
-    return rate(a, b)
+    return F.arrow_udf(rate, DoubleType()).asNondeterministic()(a, b)
 
 
 def _people(col: Column, **fields: str) -> list[Column]:
@@ -221,9 +204,10 @@ def register_functions(spark: SparkSession) -> None:
     What Spark expresses itself becomes a SQL function, so it stays in the plan; the similarity family is Arrow-batched.
     """
 
-    @_batched
-    def rate(a: pd.Series, b: pd.Series, t: pd.Series) -> pd.Series:
-        return shares_over(a, b, t.to_numpy("float64"))
+    def over(a: pa.Array, b: pa.Array, t: pa.Array) -> pa.Array:
+        return shares_over(a, b, t.to_numpy(zero_copy_only=False).astype("float64"))
+
+    rate = F.arrow_udf(over, DoubleType()).asNondeterministic()
 
     @_batched
     def related(a: pd.Series, b: pd.Series, t: pd.Series, years: pd.Series, names: pd.Series) -> pd.Series:

@@ -462,8 +462,13 @@ def test_batch_kernel_is_the_loop():
         b = [word(hi) if k % 2 else x[::-1] if k % 3 else x + "a" for k, x in enumerate(a)]
         assert jaro.of_pairs(a, b).tolist() == [jaro.jaro_winkler(x, y) for x, y in zip(a, b)]
     assert jaro.of_pairs([], []).tolist() == [] and jaro.of_pairs(["a\0b"], ["a\0c"]).tolist() == [jaro.jaro_winkler("a\0b", "a\0c")]
-    scores, ends = jaro.of_lists([["a", "b"], [], ["c"]], [["a"], ["x"], []])
-    assert scores.tolist() == [1.0, 0.0] and ends.tolist() == [0, 2, 2, 2]
+    import pyarrow as pa
+
+    lists = [[["a", "b"], [], None, ["c", None]], [["a", "x"], ["x"], ["y"], ["c"]]]
+    one, two = (pa.array(x, pa.list_(pa.string())) for x in lists)
+    best, rows, sizes = jaro.best_of_each(one, two)
+    assert best.tolist() == [1.0, 0.0, 1.0, 0.0] and rows.tolist() == [0, 0, 3, 3] and sizes.tolist() == [2, 0, 0, 2]
+    assert jaro.best_of_each(one.slice(3), two.slice(3))[0].tolist() == [1.0, 0.0]
 
 
 # --- exploration and boosted trees
