@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kindred.llm.common import discard, durable, few, numbered, scanned, without
+from kindred.llm.common import discard, durable, numbered, scanned, without
 
 BLOCK_CHARS = 4096
 

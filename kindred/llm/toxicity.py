@@ -21,7 +21,6 @@ the split, and columns other than doc_id and text are never read. Texts are scor
 
 from __future__ import annotations
 
-import math
 import random
 
 import numpy as np
