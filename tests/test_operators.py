@@ -608,3 +608,49 @@ def test_long_substitution_files_stay_frames(spark, tmp_path, monkeypatch):
     # Pair by pair, bob becomes robert, which the next pair doesn't find; in the frame the last pair of bob counts.
     assert ("o'catherine, robert-x  william!", 2) in short[1] and ("o'catherine, rob-x  william!", 2) in long[1] and ("catherine", 1) in long[1]
     assert [r["__to"] for r in io.substitution_table(spark, path["substitution_file"]).orderBy("__from").collect()] == ["william", "rob", "catherine"]
+
+
+def test_small_tables_with_many_pairs_make_many_tasks(spark, monkeypatch):
+    """Tasks are dealt by the pairs that keys make, whatever the size of the tables, and cells of one key are bounded."""
+    monkeypatch.setattr(blocking, "HOT_PAIRS", 500)
+    df = spark.range(200).selectExpr("id", "case when id < 120 then 'hot' else concat('k', id % 4) end as k").coalesce(1)
+    met = blocking.candidate_ids(df, df, [{"column_name": "k"}], "id")
+    sizes = [r["n"] for r in met.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 120 * 120 + 4 * 20 * 20 and len(sizes) > 8 and max(sizes) < 3000
+    monkeypatch.setattr(blocking, "CELLS", 16)
+    part = blocking._split(blocking._parts(df, df, [{"column_name": "k"}], "id", 8)[0], 1)
+    assert part.left.where("__x0 = 'hot'").count() <= 120 * 5
+    assert blocking.candidate_ids(df, df, [{"column_name": "k"}], "id", hot_pairs=1).count() == sum(sizes)
+
+
+def test_or_groups_with_few_pairs_are_joined_first(spark, monkeypatch):
+    """Where the first groups make many pairs, those that make few are joined on instead; the pairs are the same."""
+    df = spark.range(300).selectExpr("id", "id % 2 as a", "id % 3 as b", "id % 60 as c", "id % 70 as d", "id % 5 as e", "id % 80 as f")
+    rules = [{"column_name": c, "or_group": g} for c, g in zip("abcdef", "112233")]
+    rules += [{"column_name": "g", "or_group": "4"}, {"column_name": "h", "or_group": "4"}]
+    df = df.selectExpr("*", "id % 90 as g", "id % 100 as h")
+    want = sorted(map(tuple, blocking.candidate_ids(df, df, rules, "id", unordered=True).collect()))
+    seen = []
+    own = blocking._parts
+    monkeypatch.setattr(blocking, "MANY_PAIRS", 10)
+    monkeypatch.setattr(blocking, "_parts", lambda *args: seen.append(args[6] if len(args) > 6 else None) or own(*args))
+    monkeypatch.setattr(blocking, "ALTERNATIVES", 4)
+    monkeypatch.setattr(blocking.alternatives, "__defaults__", (4, None))
+    assert sorted(map(tuple, blocking.candidate_ids(df, df, rules, "id", unordered=True).collect())) == want
+    assert seen[-1][0] == ["g", "h"] and seen[-1][-1] == ["a", "b"]
+
+
+def test_compare_blocked_makes_each_pair_in_one_join(spark):
+    """Features and hits come from the join that makes the pairs; nothing is joined to pairs, which are not shuffled."""
+    a = spark.createDataFrame([(k, k % 3, k % 5, f"n{k % 4}") for k in range(60)], "id int, k int, x int, name string")
+    b = spark.createDataFrame([(k, k % 4, k % 2, f"n{k % 3}") for k in range(40)], "id int, k int, x int, name string")
+    rules = [{"column_name": "k"}, {"column_name": "x", "or_group": "g"}, {"column_name": "name", "or_group": "g"}]
+    specs = [{"alias": "exact", "comparison_type": "equals", "column_name": "x"}, {"alias": "jw", "comparison_type": "jaro_winkler", "column_name": "name"}, {"alias": "of", "comparison_type": "fetch_td", "column_name": "id_a"}]
+    wanted = ["exact", "jw", "of", "hits", "hits2", "exact_mult"]
+    tree = {"feature_name": "jw", "comparison_type": "threshold", "threshold": 0.5}
+    ids = blocking.candidate_ids(a, b, rules, "id")
+    want = pairs.compare(spark, ids, a, b, "id", specs, tree, wanted)
+    found = pairs.compare_blocked(spark, a, b, rules, "id", specs, tree, wanted)
+    assert rows(found.select(*want.columns)) == rows(want) and found.count() > 0
+    plan = pairs.compare_blocked(spark, a, b, rules[:1], "id", specs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
