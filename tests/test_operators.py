@@ -654,3 +654,14 @@ def test_compare_blocked_makes_each_pair_in_one_join(spark):
     assert rows(found.select(*want.columns)) == rows(want) and found.count() > 0
     plan = pairs.compare_blocked(spark, a, b, rules[:1], "id", specs)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1 and "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_of_equal_rows_come_from_their_kinds(spark):
+    """Copies are compared once: pairs of kinds come back as all pairs of members, each once."""
+    df = spark.createDataFrame([(k, k % 3, None if k % 3 == 2 else k % 3) for k in range(30)], "id int, x int, y int")
+    kinds, members = blocking.of_values(df, "id", ["x", "y"])
+    assert kinds.count() == 3 and members.count() == 30
+    found = spark.createDataFrame([(0, 0, 1.0), (0, 1, 0.5)], "id_a int, id_b int, s double")
+    got = rows(blocking.of_members(found, members, "id"))
+    want = [(a, b, 1.0 if a % 3 == b % 3 else 0.5) for a in range(30) for b in range(a + 1, 30) if {a % 3, b % 3} in ({0}, {0, 1})]
+    assert got == sorted(want)
