@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import batches_of, discard, durable, few, map_batches, most_frequent, numbered, released, scanned, shuffles_removed, without
+from kindred.llm.common import BROADCAST_ROWS, batches_of, discard, durable, few, map_batches, most_frequent, numbered, released, scanned, shuffles_removed, without
 
 SHINGLE = 3
 THRESHOLD = 3
@@ -412,10 +412,14 @@ def in_slices(pairs: DataFrame, at_once: int, label: str, work: Callable[[DataFr
 
 
 def keyed(marked: DataFrame, roots: DataFrame, similar: float) -> DataFrame:
-    """node, size, root, need, key: a row for each shingle of the prefixes; need: how many of them a similar set shares."""
+    """node, size, root, need, key: a row for each shingle of the prefixes; need: how many of them a similar set shares.
+
+    roots: node, root; a node that isn't in it is its own root.
+    """
     lacking = F.col("size") - F.ceil(F.lit(similar) * F.col("size") - F.lit(1e-9))
     need = (F.size("prefix") - lacking).cast("int").alias("need")
-    return marked.join(few(roots), F.col("rid") == F.col("node")).select("node", "size", "root", need, F.explode("prefix").alias("key"))
+    met = marked.join(few(roots), F.col("rid") == F.col("node"), "left")
+    return met.select(F.col("rid").alias("node"), "size", F.coalesce("root", "rid").alias("root"), need, F.explode("prefix").alias("key"))
 
 
 def shared_keys(own: DataFrame) -> DataFrame:
@@ -525,7 +529,7 @@ def crowds(rows: DataFrame, own: DataFrame, keys: DataFrame, similar: float, blo
 def sharing(marked: DataFrame, roots: DataFrame, similar: float, block: int = BLOCK, keys: DataFrame | None = None) -> DataFrame:
     """u, v: pairs of nodes with unequal roots that share a shingle of their prefixes and whose sketches don't rule them out.
 
-    roots: node, root. A prefix that is longer by k than the shingles a similar set may lack shares k with it at least, and
+    roots: as of `keyed`. A prefix that is longer by k than the shingles a similar set may lack shares k with it at least, and
     pairs that share fewer are left out. A shingle with more than `block` nodes is cut into blocks, as anchors are. Bins that
     differ are so many shingles that only one of the two sets has, and so are the differences of bin counts (which tell long
     texts apart), so no pair at `similar` or more is lost to either. With `keys` (c_key, n), only those shingles are looked at;
@@ -643,27 +647,29 @@ def similar_texts(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     least = every.groupBy("own").agg(F.min("rid").alias("node"))
     least = durable(least.select(F.col("own").alias("n_own"), "node"), "similar-least")
     # From here on a set of shingles stands once, under its first row; copies come back at the end.
-    marked = durable(every.join(few(least.select("node")), F.col("rid") == F.col("node"), "left_semi"), "similar-nodes")
+    # Copies are few where nodes are many, so they are left out: a join of all nodes would shuffle prefixes, sketches and bins.
     members = durable(every.select("rid", "own"), "similar-members")
-    discard(every)
+    copies = durable(members.join(least, F.col("own") == F.col("n_own")).where("rid <> node").select(F.col("rid").alias("copy")), "similar-copies")
+    marked = every.join(few(copies), F.col("rid") == F.col("copy"), "left_anti")
+    if copies.count() > BROADCAST_ROWS:
+        marked = durable(marked, "similar-nodes")
+        discard(every)
     released(docs.sparkSession)
     nodes = marked.select(F.col("rid").alias("node"), *fps, "sketch")
     met = links(nodes.select("node", *fps), fps, nodes.select("node", "sketch"), min(LOOSE, similar))
     edges = confirmed(rows, met, similar)
     first = components(edges)
     released(docs.sparkSession)
-    comp = first.select(F.col("node").alias("c_node"), "root")
-    roots = durable(nodes.select("node").join(comp, F.col("node") == F.col("c_node"), "left").select("node", F.coalesce("root", "node").alias("root")), "similar-first")
-    keys = shared_keys(own := keyed(marked, roots, similar))
+    keys = shared_keys(own := keyed(marked, first, similar))
     dense = crowds(rows, own, keys.where(F.col("n") > CROWD).select("c_key"), similar)
     released(docs.sparkSession)
-    rest = sharing(marked, roots, similar, keys=keys.where(F.col("n") <= CROWD))
+    rest = sharing(marked, first, similar, keys=keys.where(F.col("n") <= CROWD))
     more = confirmed(rows, rest, similar)
     released(docs.sparkSession)
     last = components(edges.unionByName(dense).unionByName(more))
     comp = last.select(F.col("node").alias("c_node"), "root")
     rooted = durable(least.join(comp, F.col("node") == F.col("c_node"), "left").select("n_own", F.coalesce("root", "node").alias("keep_rid")), "similar-rooted")
-    for d in (marked, met, edges, first, roots, keys, dense, rest, more, last, least):
+    for d in (every, copies, marked, met, edges, first, keys, dense, rest, more, last, least):
         discard(d)
     return members.join(rooted, F.col("own") == F.col("n_own")).select("rid", "keep_rid")
 

@@ -255,6 +255,17 @@ def test_prefixes_of_similar_sets_share_enough():
                 assert min(need) >= 1 and len(np.intersect1d(p, q)) >= min(need)
 
 
+def test_nodes_are_told_by_exceptions(table, monkeypatch):
+    words = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    texts = [words(k) for k in range(30)]
+    texts += [texts[0].upper(), texts[1] + " more"]  # a copy and a near copy
+    joined, whole = [], simhash.few
+    monkeypatch.setattr(simhash, "few", lambda ids: joined.append(ids.count()) or whole(ids))
+    found = {r["rid"]: r["keep_rid"] for r in simhash.similar_texts(table(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(set(found.values())) == 30
+    assert max(joined) <= 4  # ids of all nodes, joined to marks or texts, would be too many to broadcast
+
+
 def test_sharing_leaves_out_pairs_that_share_too_few(table):
     rows = [(0, [1, 2, 3, 4], 10, 0), (1, [1, 2, 5, 6], 10, 1), (2, [1, 7, 8, 9], 10, 2), (3, [7, 10, 11], 10, 3)]
     given = table(rows, "rid long, prefix array<long>, size int, root long")
