@@ -665,3 +665,21 @@ def test_pairs_of_equal_rows_come_from_their_kinds(spark):
     got = rows(blocking.of_members(found, members, "id"))
     want = [(a, b, 1.0 if a % 3 == b % 3 else 0.5) for a in range(30) for b in range(a + 1, 30) if {a % 3, b % 3} in ({0}, {0, 1})]
     assert got == sorted(want)
+
+
+def test_few_names_are_looked_up(spark, monkeypatch):
+    from kindred.functions.jaro import jaro_winkler
+
+    names = ["anna", "anne", "", None, "bert", "berta"]
+    rows = [(k, 1, names[k % 6]) for k in range(24)]
+    df = spark.createDataFrame(rows, "id long, k int, name string")
+    spec = {"alias": "jw", "comparison_type": "jaro_winkler", "column_name": "name"}
+    made = lambda: pairs.compare_blocked(spark, df, df, [{"column_name": "k"}], "id", [spec], unordered=True)
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    few = made()
+    assert "ArrowEvalPython" not in plan(few)  # names are compared before records are paired
+    monkeypatch.setattr(pairs, "NAMES", 4)
+    many = made()
+    assert "ArrowEvalPython" in plan(many)
+    want = sorted((i, j, jaro_winkler(x or "", y or "")) for i, _, x in rows for j, _, y in rows if i < j)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) == want
