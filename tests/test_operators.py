@@ -683,3 +683,42 @@ def test_few_names_are_looked_up(spark, monkeypatch):
     assert "ArrowEvalPython" in plan(many)
     want = sorted((i, j, jaro_winkler(x or "", y or "")) for i, _, x in rows for j, _, y in rows if i < j)
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) == want
+
+
+def _labelled_pairs(spark, n=600):
+    rows = [(k % 40, 1000 + k, float(k * 7 % 10) / 10, None if k % 50 == 0 else k % 3, int(k * 7 % 10 > 6) if k % 11 else 1) for k in range(n)]
+    return spark.createDataFrame(rows, "id_a long, id_b long, jw double, gap int, y int")
+
+
+_PAIRS_CONF = {"id_column": "id", "training": {"dependent_var": "y", "independent_vars": ["jw", "gap"], "chosen_model": {"type": "logistic_regression", "maxIter": 20, "regParam": 0.01}}}
+
+
+def test_fits_read_the_pairs_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(x):
+        seen.add(1)
+        return x
+
+    pairs_of = lambda: _labelled_pairs(spark).withColumn("jw", F.udf(read, "double").asNondeterministic()("jw"))
+    for model in ({"type": "logistic_regression", "maxIter": 20}, {"type": "gradient_boosted_trees", "maxIter": 2, "maxDepth": 2}):
+        seen.value = 0
+        ml.train(pairs_of(), _PAIRS_CONF, model=model)
+        assert seen.value == 600
+
+
+def test_kinds_of_pairs_are_fitted_and_scored_like_the_pairs(spark, monkeypatch):
+    from pyspark.ml import Pipeline
+
+    df = _labelled_pairs(spark)
+    conf, chosen = _PAIRS_CONF["training"], _PAIRS_CONF["training"]["chosen_model"]
+    single = df.withColumns({n: F.coalesce(F.col(n).cast("float"), F.lit(float("nan"))) for n in ("jw", "gap")})
+    plain = Pipeline(stages=[*ml.pipeline_stages(_PAIRS_CONF, conf["independent_vars"], []), ml.classifier(chosen["type"], chosen, "y")]).fit(single)
+    expected = {(r["id_a"], r["id_b"]): float(r["probability"][1]) for r in plain.transform(single).collect()}
+    seen = ml.kinds(df, _PAIRS_CONF)
+    assert seen.count() < 100 and seen.agg(F.sum(ml.WEIGHT)).first()[0] == 600
+    model = ml.train(seen, _PAIRS_CONF, weighted=True)
+    for few in (ml.LOOKED_UP, 1):
+        monkeypatch.setattr(ml, "LOOKED_UP", few)
+        found = {(r["id_a"], r["id_b"]): r["probability"] for r in model.score(df, seen).collect()}
+        assert found.keys() == expected.keys() and all(abs(found[k] - expected[k]) < 1e-9 for k in found)
