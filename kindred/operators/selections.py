@@ -93,19 +93,28 @@ def neighbour_values(df: DataFrame, value: str, output: str, neighbourhood: str,
 def neighbour_band(df: DataFrame, value: str, output: str, neighbourhood: str, number: str, household: str, person: str, reach: float) -> DataFrame:
     """The values of the first person of every other household of the neighbourhood whose number is within `reach`, by number and household.
 
-    An interval join: households stand in buckets as wide as the whole interval, so each meets two buckets however wide it
-    is, and a large neighbourhood is spread over its buckets. Number is numeric or a date; a null number has no neighbours.
+    Households stand in buckets as wide as `reach`, and in both beside their own, so a record reads all its neighbours from one sorted
+    array; records and households are shuffled, never pairs or lists. Number is numeric or a date; a null number has no neighbours.
     """
-    from kindred.operators.blocking import candidate_ids
-
-    first = df.groupBy(neighbourhood, household).agg(F.min_by(F.struct(F.col(value).alias("v"), F.col(number).alias("n")), person).alias("h"))
-    heads = first.select(F.col(neighbourhood).alias("__nbhd"), F.col(household).alias("__hh"), F.col("h.v").alias("__value"), F.col("h.n").alias("__number"), F.struct(neighbourhood, household).alias("__id"))
-    near = candidate_ids(heads, heads, [{"column_name": "__nbhd"}, {"column_name": "__number", "range": reach}], "__id").where("__id_a <> __id_b")
-    told = near.join(heads.select(F.col("__id").alias("__other"), "__number", "__value"), F.col("__id_b") == F.col("__other"))
-    listed = told.groupBy("__id_a").agg(F.array_sort(F.collect_list(F.struct("__number", "__other", "__value"))).alias("__list"))
-    around = listed.select(F.col(f"__id_a.{neighbourhood}").alias("__nbhd"), F.col(f"__id_a.{household}").alias("__hh"), F.transform("__list", lambda x: x["__value"]).alias(output))
-    out = df.join(around, (F.col(neighbourhood) == F.col("__nbhd")) & (F.col(household) == F.col("__hh")), "left").drop("__nbhd", "__hh")
-    return out.withColumn(output, F.coalesce(output, F.array().cast(dict(around.dtypes)[output])))
+    from kindred.operators.blocking import as_number
+
+    spark = df.sparkSession
+    first = df.groupBy(F.col(neighbourhood).alias("__nbhd"), F.col(household).alias("__hh")).agg(F.min_by(F.struct(F.col(value).alias("v"), F.col(number).alias("n")), person).alias("__h"))
+    heads = first.withColumn("__at", as_number(F.col("__h.n"), dict(df.dtypes)[number]))
+    at = F.col("__at") / reach if reach else F.col("__at")
+    margin = F.greatest(F.lit(1.0), F.abs(at)) * 1e-9  # rounding
+    place = lambda c: F.floor(c).cast("long")
+    home, around = (place(at), F.sequence(place(at - 1 - margin), place(at + 1 + margin))) if reach else (at, F.array(at))
+    # Lists cost more than the bytes they are made of tell: a given number of partitions is not merged.
+    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    finite = heads.where(F.abs("__at") < float("inf"))
+    spread = finite.select(F.col("__nbhd").alias("__of"), F.explode(around).alias("__bucket"), F.struct(F.col("__h.n").alias("n"), F.col("__hh").alias("h"), F.col("__h.v").alias("v"), F.col("__at").alias("x")).alias("__near"))
+    lists = spread.repartition(n, "__of", "__bucket").groupBy("__of", "__bucket").agg(F.array_sort(F.collect_list("__near")).alias("__list"))
+    told = df.join(finite.select("__nbhd", "__hh", "__at", home.alias("__home")), (F.col(neighbourhood) == F.col("__nbhd")) & (F.col(household) == F.col("__hh")), "left")
+    met = told.repartition(n, neighbourhood, "__home").join(lists, (F.col(neighbourhood) == F.col("__of")) & (F.col("__home") == F.col("__bucket")), "left")
+    near = F.filter("__list", lambda o: (F.abs(o["x"] - F.col("__at")) <= reach) & ~o["h"].eqNullSafe(F.col(household)))
+    found = F.transform(near, lambda o: o["v"])
+    return met.withColumn(output, F.coalesce(found, F.array().cast(f"array<{dict(df.dtypes)[value]}>"))).select(*[c for c in df.columns if c != output], output)
 
 
 def family_value(df: DataFrame, value: str, output: str, pointer: str, family: str, person: str) -> DataFrame:

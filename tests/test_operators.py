@@ -732,3 +732,34 @@ def test_similar_names_make_their_tokens_for_distinct_names_only(spark, capsys):
     plan = capsys.readouterr().out
     below = [line for line in plan.splitlines() if "Filter" in line and "transform(" in line and "key_a" not in line]
     assert not below
+
+
+def test_neighbour_bands_are_brute_force_and_shuffle_no_pairs(spark):
+    import random
+
+    rng = random.Random(7)
+    rows = [(k, rng.choice(["u", "v", None]), rng.choice([None, *range(40)]), rng.choice([1, 2]), rng.choice([None, float("inf"), float("nan"), -0.3, round(rng.uniform(-5, 5), 1)])) for k in range(300)]
+    rows = list({(r[1], r[2], r[3]): r for r in rows}.values())
+    df = spark.createDataFrame(rows, "id long, nbhd string, hh long, person int, number double")
+    heads = {}
+    for r in sorted(rows, key=lambda r: r[3]):
+        heads.setdefault((r[1], r[2]), r)
+
+    def near(r, reach):
+        own = heads[r[1], r[2]]
+        if r[1] is None or r[2] is None or own[4] is None:
+            return []
+        met = [h for (n, hh), h in heads.items() if n == r[1] and hh != r[2] and h[4] is not None and abs(h[4] - own[4]) <= reach]
+        return [h[0] for h in sorted(met, key=lambda h: (h[4], h[2] is not None, h[2] or 0))]
+
+    for reach in (0.7, 0.0):
+        found = {r["id"]: r["near"] for r in selections.neighbour_band(df, "id", "near", "nbhd", "number", "hh", "person", reach).collect()}
+        assert found == {r[0]: near(r, reach) for r in rows}
+
+    store = spark.sparkContext._jsc.sc().statusStore()
+    shuffled = lambda: sum(e.totalShuffleWrite() for e in [store.executorList(True).apply(i) for i in range(store.executorList(True).size())])
+    dense = spark.range(600).select("id", F.lit("u").alias("nbhd"), F.col("id").alias("hh"), F.lit(1).alias("person"), (F.rand(1) * 2).alias("number"))
+    before = shuffled()
+    lists = selections.neighbour_band(dense, "id", "near", "nbhd", "number", "hh", "person", 5.0)
+    assert lists.agg(F.sum(F.size("near"))).first()[0] == 600 * 599
+    assert shuffled() - before < 300_000
