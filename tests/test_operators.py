@@ -656,6 +656,57 @@ def test_compare_blocked_makes_each_pair_in_one_join(spark):
     assert plan.count("Join ") == 1 and "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def _listed_sides(spark):
+    a = spark.createDataFrame([(k, None if k % 7 == 0 else k % 3, k % 5, f"n{k % 4}") for k in range(120)], "id int, k int, x int, name string")
+    b = spark.createDataFrame([(k, None if k % 5 == 0 else k % 4, k % 2, f"n{k % 3}") for k in range(160)], "id int, k int, x int, name string")
+    return a, b
+
+
+@pytest.mark.parametrize("hot", [50, 2_000_000])
+def test_features_are_computed_for_equal_records_at_once(spark, monkeypatch, hot):
+    """Records of B that a tree can't tell apart are joined as one row, and only what the tree accepts is expanded to pairs."""
+    a, b = _listed_sides(spark)
+    rules = [{"column_name": "k"}]
+    specs = [{"alias": "same", "comparison_type": "equals", "column_name": "x"}, {"alias": "gap", "comparison_type": "abs_diff", "column_name": "x"}]
+    tree = {"feature_name": "gap", "comparison_type": "threshold", "threshold_expr": "<= 1"}
+    want = rows(pairs.compare_blocked(spark, a, b, rules, "id", specs, tree))
+    few = [(i["id"], j["id"]) for i in a.collect() for j in b.collect() if i["k"] is not None and i["k"] == j["k"] and abs(i["x"] - j["x"]) <= 1]
+    assert sorted((r[0], r[1]) for r in want) == sorted(few)
+    monkeypatch.setattr(blocking, "HOT_PAIRS", min(hot, 1000) - 1)
+    made = pairs.compare_blocked(spark, a, b, rules, "id", specs, tree)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan and plan.index("Generate") < plan.index("abs(")  # features and the tree are below the expansion
+    assert rows(made) == want
+
+
+def test_lists_of_equal_records_lose_no_pair(spark, monkeypatch):
+    """One table both ways, OR groups of which only some are listed, bands, ids in conditions, and distances that occur twice."""
+    a, b = _listed_sides(spark)
+    wide = [{"column_name": "size", "explode": True, "expand_length": 1, "derived_from": "x", "dataset": "a"}, {"column_name": "name"}]
+    far = spark.createDataFrame([("n0", "n0", 1), ("n0", "n1", 2), ("n0", "n1", 3)], "l string, r string, d int")
+    geo = {"alias": "d", "comparison_type": "geo_distance", "key_count": 1, "table_name": "far", "column_name": "name", "loc_a": "l", "loc_b": "r", "distance_col": "d"}
+    odd = {"alias": "odd", "comparison_type": "sql_condition", "condition": "b.id % 2 = 1 AND a.x = b.X"}
+    upper = {"alias": "up", "comparison_type": "sql_condition", "condition": "a.x = b.X"}
+    cases = [
+        lambda: blocking.candidate_ids(a, b, [{"column_name": "k"}], "id", hot_pairs=50),
+        lambda: blocking.candidate_ids(b, b, [{"column_name": "k"}], "id", unordered=True),
+        lambda: blocking.candidate_ids(a, b, [{"column_name": "k", "or_group": "g"}, {"column_name": "x", "or_group": "g"}], "id"),
+        lambda: blocking.candidate_ids(b, b, wide, "id", unordered=True),
+        lambda: pairs.compare_blocked(spark, a, b, [{"column_name": "k"}], "id", [geo], tables={"far": far}),
+        lambda: pairs.compare_blocked(spark, a, b, [{"column_name": "k"}], "id", [odd]),
+        lambda: pairs.compare_blocked(spark, b, b, [{"column_name": "k"}, {"column_name": "x"}], "id", [upper], unordered=True),
+        lambda: pairs.compare_blocked(spark, a, b, [{"column_name": "k", "or_group": "g"}, {"column_name": "x", "or_group": "g"}], "id", [upper], wanted=["up", "hits"]),
+    ]
+    plain = [rows(c()) for c in cases]
+    monkeypatch.setattr(blocking, "HOT_PAIRS", 500)
+    made = [c() for c in cases]
+    assert [rows(d) for d in made] == plain and all(plain)
+    listed = ["collect_list" in d._jdf.queryExecution().optimizedPlan().toString() for d in made]
+    assert listed == [True, True, True, True, True, False, True, True]
+    monkeypatch.setattr(blocking, "_is_listed", lambda part, *_: part.keys == [1])  # one of two alternatives
+    assert [rows(cases[n]()) for n in (2, 7)] == [plain[2], plain[7]]
+
+
 def test_pairs_of_equal_rows_come_from_their_kinds(spark):
     """Copies are compared once: pairs of kinds come back as all pairs of members, each once."""
     df = spark.createDataFrame([(k, k % 3, None if k % 3 == 2 else k % 3) for k in range(30)], "id int, x int, y int")
