@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,11 +30,16 @@ def minhash_factors(number: int, seed: int = 445123) -> list[tuple[int, int]]:
     return [(1 + int(d[:8], 16) % (MINHASH_PRIME - 1), int(d[8:16], 16) % MINHASH_PRIME) for d in digits]
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value made once for a row; named inside a lambda, it would be made anew for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def minhash(tokens: Column, number: int, seed: int = 445123) -> Column:
     """`number` min-hashes of a set of tokens; without a fitted vocabulary, so hashes of both sides compare."""
     hashes = F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("long") % MINHASH_PRIME)
     factors = F.array(*[F.struct(F.lit(x).cast("long").alias("x"), F.lit(y).cast("long").alias("y")) for x, y in minhash_factors(number, seed)])
-    return F.transform(factors, lambda f: F.array_min(F.transform(hashes, lambda h: (f["x"] * h + f["y"]) % MINHASH_PRIME)))
+    return _bound(hashes, lambda own: F.transform(factors, lambda f: F.array_min(F.transform(own, lambda h: (f["x"] * h + f["y"]) % MINHASH_PRIME))))
 
 
 def bands(hashes: Column, rows: int) -> Column:
@@ -41,8 +47,7 @@ def bands(hashes: Column, rows: int) -> Column:
 
     As a blocking column that is exploded, k bands find a pair with probability 1 - (1 - s^rows)^k.
     """
-    starts = F.sequence(F.lit(1), F.size(hashes) - (rows - 1), F.lit(rows))
-    return F.transform(starts, lambda i: F.xxhash64(i, F.slice(hashes, i, F.lit(rows))))
+    return _bound(hashes, lambda own: F.transform(F.sequence(F.lit(1), F.size(own) - (rows - 1), F.lit(rows)), lambda i: F.xxhash64(i, F.slice(own, i, F.lit(rows)))))
 
 
 def popularity(df: DataFrame, output: str, columns: list[str] | None = None, range_column: str | None = None, reach: int | None = None) -> DataFrame:

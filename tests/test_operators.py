@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -814,3 +815,33 @@ def test_neighbour_bands_are_brute_force_and_shuffle_no_pairs(spark):
     lists = selections.neighbour_band(dense, "id", "near", "nbhd", "number", "hh", "person", 5.0)
     assert lists.agg(F.sum(F.size("near"))).first()[0] == 600 * 599
     assert shuffled() - before < 300_000
+
+
+def test_similar_sets_meet_at_three_tokens(spark):
+    """Any two unequal sets at SIMILAR or more share a key, of all sizes; sets that share no three tokens make no pair."""
+    import random
+
+    from kindred.plans import block_queries
+
+    g = random.Random(5)
+    sets = sorted({tuple(sorted(g.sample("abcdefgh", g.randint(1, 7)))) for _ in range(150)})
+    kinds = spark.createDataFrame([(k, list(s)) for k, s in enumerate(sets)], "id int, tokens array<string>")
+    keys = {r["id"]: set(r["keys"]) for r in block_queries._triples_of_tokens(kinds).collect()}
+    similar = 0
+    for i, x in enumerate(sets):
+        for j in range(i):
+            both, n = len(set(x) & set(sets[j])), len(set(x) | set(sets[j]))
+            if round(both / n, 6) >= block_queries.SIMILAR:
+                similar += 1
+                assert keys[i] & keys[j], (x, sets[j])
+            assert both >= 2 or not keys[i] & keys[j]
+    assert similar > 100
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the tables are not here")
+def test_lsh_bands_compares_sets_once(spark):
+    """Compared sets are kept, so that counting their pairs doesn't compare them anew, and the plan stays small."""
+    from kindred.plans import block_queries
+
+    plan = block_queries.block_lsh_bands(spark, "/root/testdata/sf0.001")._jdf.queryExecution().withCachedData().toString()
+    assert "InMemoryRelation" in plan and "h_bands" not in plan.split("InMemoryRelation")[0]
