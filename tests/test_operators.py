@@ -845,3 +845,15 @@ def test_lsh_bands_compares_sets_once(spark):
 
     plan = block_queries.block_lsh_bands(spark, "/root/testdata/sf0.001")._jdf.queryExecution().withCachedData().toString()
     assert "InMemoryRelation" in plan and "h_bands" not in plan.split("InMemoryRelation")[0]
+
+
+def test_alternatives_share_the_tasks(spark, monkeypatch):
+    """The equi-joins of a blocking have TASKS tasks in all, not each: the driver's memory grows with them."""
+    monkeypatch.setattr(blocking, "TASKS", 40)
+    monkeypatch.setattr(blocking, "HOT_PAIRS", 50)
+    a = spark.createDataFrame([(k, k % 3, k % 5, k % 2, k % 7) for k in range(80)], "id int, w int, x int, y int, z int")
+    rules = [{"column_name": c, "or_group": g} for c, g in zip("wxyz", "ggii")]
+    found = blocking.candidate_ids(a, a, rules, "id", unordered=True)
+    assert found.rdd.getNumPartitions() <= 44  # Spark deals fewer than spark.sql.shuffle.partitions, four here, anew; 88 if each had its own
+    want = [(i, j) for i in range(80) for j in range(i + 1, 80) if (i % 3 == j % 3 or i % 5 == j % 5) and (i % 2 == j % 2 or i % 7 == j % 7)]
+    assert rows(found) == want
