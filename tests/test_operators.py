@@ -857,3 +857,13 @@ def test_alternatives_share_the_tasks(spark, monkeypatch):
     assert found.rdd.getNumPartitions() <= 44  # Spark deals fewer than spark.sql.shuffle.partitions, four here, anew; 88 if each had its own
     want = [(i, j) for i in range(80) for j in range(i + 1, 80) if (i % 3 == j % 3 or i % 5 == j % 5) and (i % 2 == j % 2 or i % 7 == j % 7)]
     assert rows(found) == want
+
+
+def test_ratio_without_shuffled_pairs(spark):
+    """by_ratio_told decides as by_ratio does, ties and nulls included, without a window over the pairs."""
+    df = scored(spark, *[(k % 9, k, [0.9, 0.5, 0.9, 0.7, 0.3, None, 0.0][k * k % 7]) for k in range(60)], (20, 1, None), (21, 1, 0.8), (22, 1, 0.8), (22, 2, 0.0))
+    made = lambda told=None: df if told is None else df.join(told, F.col("id_a") == F.col("__of"), "left").drop("__of")
+    for alpha, ratio in ((0.5, 1.0), (0.5, 0.9), (0.6, 1.2), (0.0, 1.0)):
+        found = decide.by_ratio_told(made, alpha, ratio, "id")
+        assert rows(found, "id_a", "id_b") == rows(decide.by_ratio(df, alpha, ratio, "id").select(*found.columns), "id_a", "id_b")
+        assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
